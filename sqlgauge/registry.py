@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 from sqlgauge import oracle
 from sqlgauge.functions import querylog as Q
 from sqlgauge.operators import querylog as QL
+from sqlgauge.operators import benchmark as BM
+from sqlgauge.operators import execute as EX
+from sqlgauge.operators import report as RP
+from sqlgauge.plans.gold import GOLD
 from sqlgauge.sources import derived
+from sqlgauge.sources.tables import parquet_dir_database
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,8 +56,88 @@ def q_feature_counts(spark: SparkSession, sf: str) -> DataFrame:
     return QL.feature_counts(QL.classified_log(spark, sf))
 
 
+# ---- H: gold queries through the read-only executor ----
+
+SHOP_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+
+def shop_db(sf: str):
+    return parquet_dir_database(sf, name="shop", tables=SHOP_TABLES)
+
+
+def _gold_query(g) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return EX.sql_frame(spark, shop_db(sf), g.sql)
+    run.__name__ = f"run_gold_{g.key}"
+    return run
+
+
+# ---- G, E, F: the benchmark over the gold corpus with replayed answers ----
+
+_RUNS: dict = {}
+
+
+def benchmark(spark: SparkSession, sf: str):
+    """Run (once per session and scale) the replayed benchmark over ``shop``."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        db = shop_db(sf)
+        _RUNS[key] = BM.run_benchmark(spark, {"shop": db}, BM.gold_examples(spark, "shop"),
+                                      responses=BM.replay_responses(spark))
+    return _RUNS[key]
+
+
+def q_strategy_report(spark, sf):
+    return RP.strategy_report(benchmark(spark, sf).scored)
+
+
+def q_overall_report(spark, sf):
+    return RP.overall_report(benchmark(spark, sf).scored)
+
+
+def q_question_report(spark, sf):
+    return RP.question_report(benchmark(spark, sf).scored)
+
+
+def q_cost_report(spark, sf):
+    return RP.cost_report(benchmark(spark, sf).scored)
+
+
+def q_score_verdict(spark, sf):
+    return benchmark(spark, sf).scored.select("example_id", "strategy", "correct", "verdict")
+
+
+def q_generate_replay(spark, sf):
+    return benchmark(spark, sf).generations.select(
+        "example_id", "strategy", "model", "sql", "input_tokens", "output_tokens")
+
+
+def q_run_errors(spark, sf):
+    ex = benchmark(spark, sf).executions
+    return ex.where("NOT success").select("run_id", "sql", "error_class", "timed_out")
+
+
+def q_prompt_set(spark, sf):
+    return benchmark(spark, sf).prompts.select(
+        "example_id", "strategy", "system", "user", "max_tokens")
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return q_strategy_report(spark, sf)
+
+
 def queries() -> dict[str, Query]:
+    gold = {f"run_gold_{g.key}": _gold_query(g) for g in GOLD}
     return {
+        **gold,
+        "prompt_set": q_prompt_set,
+        "generate_replay": q_generate_replay,
+        "run_errors": q_run_errors,
+        "score_verdict": q_score_verdict,
+        "strategy_report": q_strategy_report,
+        "overall_report": q_overall_report,
+        "question_report": q_question_report,
+        "cost_report": q_cost_report,
         "strip_literals": q_strip_literals,
         "select_count": q_select_count,
         "classify": q_classify,
@@ -64,6 +149,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        **{f"run_gold_{g.key}": g.oracle("sql") for g in GOLD},
         "strip_literals": oracle.strip_literals(),
         "select_count": oracle.select_count(),
         "classify": oracle.classify(),
