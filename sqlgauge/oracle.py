@@ -114,3 +114,116 @@ def feature_counts() -> str:
         f"SELECT '{n}' AS feature, count_if(f_{n}) AS n FROM cls" for n, _ in FEATURE_TIERS)
     return (f"WITH {classify_cte(derived.query_log_sql())[1:]} "
             f"SELECT feature, n FROM ({parts}) x WHERE n > 0")
+
+
+# ---- B keys ----
+
+def map_type_sql(x: str) -> str:
+    from sqlgauge.functions.names import FALLBACK_TYPE, TYPE_RULES
+    d = f"upper(coalesce({x}, ''))"
+    whens = []
+    for needles, target in TYPE_RULES:
+        cond = " OR ".join(f"strpos({d}, {lit(n)}) > 0" for n in needles) if needles else f"{d} = ''"
+        whens.append(f"WHEN {cond} THEN {lit(target)}")
+    return "CASE " + " ".join(whens) + f" ELSE {lit(FALLBACK_TYPE)} END"
+
+
+def sanitize_sql(x: str) -> str:
+    s = f"regexp_replace(lower(trim({x}, {python_ws_lit()})), '[^a-z0-9_]', '_', 'g')"
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {s} = '' THEN 'col' "
+            f"WHEN regexp_matches({s}, '^[0-9]') THEN '_' || {s} ELSE {s} END")
+
+
+def map_types() -> str:
+    return (f"SELECT column_id, declared, {map_type_sql('declared')} AS target_type "
+            f"FROM ({derived.declarations_sql()}) d")
+
+
+def sanitize_names() -> str:
+    return (f"SELECT column_id, raw_name, {sanitize_sql('raw_name')} AS clean_name "
+            f"FROM ({derived.raw_names_sql()}) n")
+
+
+def name_collisions() -> str:
+    return (f"WITH c AS (SELECT db_id, table_name, raw_name AS raw, {sanitize_sql('raw_name')} AS clean_name "
+            f"FROM ({derived.raw_names_sql()}) n), "
+            "r AS (SELECT DISTINCT db_id, table_name, clean_name, raw FROM c) "
+            "SELECT db_id, table_name, clean_name, count(*) AS n_raw, min(raw) AS first_raw, "
+            "max(raw) AS last_raw FROM r GROUP BY db_id, table_name, clean_name HAVING count(*) > 1")
+
+
+def cast_audit(table: str, source: str, targets: dict[str, str]) -> str:
+    parts = []
+    for c, t in targets.items():
+        parts.append(
+            f"SELECT {lit(table)} AS table_name, {lit(c)} AS column_name, {lit(t)} AS target_type, "
+            f"count(CAST({c} AS VARCHAR)) AS n_values, "
+            f"count(CASE WHEN CAST({c} AS VARCHAR) IS NOT NULL AND "
+            f"TRY_CAST(CAST({c} AS VARCHAR) AS {t}) IS NULL THEN 1 END) AS n_bad FROM ({source}) s")
+    return " UNION ALL ".join(parts)
+
+
+def pk_check(keys: dict[str, tuple[str, ...]], tables: list[str]) -> str:
+    parts = []
+    for t in sorted(tables):
+        pk = keys.get(t)
+        if not pk:
+            continue
+        cols = ", ".join(pk)
+        anynull = " OR ".join(f"{c} IS NULL" for c in pk)
+        parts.append(
+            f"SELECT {lit(t)} AS table_name, {lit(', '.join(pk))} AS key_columns, "
+            "CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows, "
+            "CAST(coalesce(sum(CASE WHEN anynull THEN n END), 0) AS BIGINT) AS n_null_key, "
+            "CAST(count(CASE WHEN NOT anynull AND n > 1 THEN 1 END) AS BIGINT) AS n_dup_keys, "
+            "CAST(coalesce(sum(CASE WHEN NOT anynull AND n > 1 THEN n END), 0) AS BIGINT) AS n_dup_rows "
+            f"FROM (SELECT {cols}, count(*) AS n, ({anynull}) AS anynull FROM {t} GROUP BY {cols}) g")
+    body = " UNION ALL ".join(parts)
+    return (f"SELECT *, CASE WHEN n_null_key > 0 THEN 'null key' WHEN n_dup_keys > 0 "
+            f"THEN 'duplicate key' ELSE 'ok' END AS verdict FROM ({body}) x")
+
+
+def fk_check(fks, tables: list[str]) -> str:
+    parts = []
+    for fk in fks:
+        if fk.table not in tables or fk.ref_table not in tables:
+            continue
+        cols, refs = list(fk.columns), list(fk.ref_columns)
+        cond = " AND ".join(f"c.{a} = p.r{i}" for i, a in enumerate(cols))
+        allset = " AND ".join(f"c.{a} IS NOT NULL" for a in cols)
+        orphan = f"(c.cn IS NOT NULL AND {allset} AND p.pn IS NULL)"
+        parts.append(
+            f"SELECT {lit(fk.name)} AS fk_name, {lit(fk.table)} AS table_name, "
+            f"{lit(', '.join(cols))} AS columns, {lit(fk.ref_table)} AS ref_table, "
+            f"{lit(', '.join(refs))} AS ref_columns, "
+            "CAST(coalesce(sum(c.cn), 0) AS BIGINT) AS n_child_rows, "
+            f"CAST(coalesce(sum(CASE WHEN {allset} THEN c.cn END), 0) AS BIGINT) AS n_checked, "
+            f"CAST(coalesce(sum(CASE WHEN {orphan} THEN c.cn END), 0) AS BIGINT) AS n_orphan_rows, "
+            f"CAST(count(CASE WHEN {orphan} THEN 1 END) AS BIGINT) AS n_orphan_keys, "
+            "CAST(count(CASE WHEN p.pn > 1 THEN 1 END) AS BIGINT) AS n_parent_dup_keys "
+            f"FROM (SELECT {', '.join(cols)}, count(*) AS cn FROM {fk.table} GROUP BY {', '.join(cols)}) c "
+            f"FULL OUTER JOIN (SELECT {', '.join(f'{r} AS r{i}' for i, r in enumerate(refs))}, count(*) AS pn "
+            f"FROM {fk.ref_table} GROUP BY {', '.join(refs)}) p ON {cond}")
+    body = " UNION ALL ".join(parts)
+    return ("SELECT *, CASE WHEN n_parent_dup_keys > 0 OR n_orphan_rows > 0 THEN 'skipped' "
+            "ELSE 'accepted' END AS status, CASE WHEN n_parent_dup_keys > 0 THEN "
+            "'referenced key is not unique' WHEN n_orphan_rows > 0 THEN "
+            "CAST(n_orphan_rows AS VARCHAR) || ' row(s) without parent' END AS reason "
+            f"FROM ({body}) x")
+
+
+def load_stats(dbs: list[tuple[str, list[str]]], keys: dict[str, tuple[str, ...]]) -> str:
+    """Per database: ok when every keyed table has unique, non-null keys
+    (column names of the test tables never collide)."""
+    per_db = []
+    for name, tables in dbs:
+        checks = pk_check(keys, tables)
+        per_db.append(
+            f"SELECT {lit(name)} AS db_id, count(CASE WHEN verdict <> 'ok' THEN 1 END) = 0 AS ok, "
+            f"count(*) AS tables, sum(n_rows) AS rows FROM ({checks}) k")
+    body = " UNION ALL ".join(per_db)
+    return ("SELECT CAST(count(CASE WHEN ok THEN 1 END) AS BIGINT) AS databases, "
+            "CAST(count(CASE WHEN NOT ok THEN 1 END) AS BIGINT) AS failed, "
+            "CAST(coalesce(sum(CASE WHEN ok THEN tables END), 0) AS BIGINT) AS tables, "
+            "CAST(coalesce(sum(CASE WHEN ok THEN rows END), 0) AS BIGINT) AS rows "
+            f"FROM ({body}) d")

@@ -17,9 +17,11 @@ from sqlgauge.operators import querylog as QL
 from sqlgauge.operators import benchmark as BM
 from sqlgauge.operators import execute as EX
 from sqlgauge.operators import report as RP
+from sqlgauge.functions import names as NM
+from sqlgauge.operators import validate as VD
 from sqlgauge.plans.gold import GOLD
 from sqlgauge.sources import derived
-from sqlgauge.sources.tables import parquet_dir_database
+from sqlgauge.sources.tables import TABLE_NAMES, TEST_KEYS, parquet_dir_database
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +58,57 @@ def q_feature_counts(spark: SparkSession, sf: str) -> DataFrame:
     return QL.feature_counts(QL.classified_log(spark, sf))
 
 
+# ---- B: load-time transforms and validation ----
+
+CORPUS_TABLES = ["documents", "labels", "pages", "benchmark", "conversations", "embeddings"]
+EVENTS_AUDIT = {"event_id": "BIGINT", "ts": "TIMESTAMP", "user_id": "BIGINT",
+                "event_type": "BIGINT", "value": "DOUBLE", "props": "BIGINT",
+                "maybe_null": "BIGINT"}
+EVENTS_AUDIT_SRC = ("SELECT event_id, ts, user_id, event_type, value, props, "
+                    "nullif(event_id % 7, 0) AS maybe_null FROM events")
+
+
+def q_map_types(spark, sf):
+    d = derived.declarations(spark, sf)
+    return d.select("column_id", "declared", NM.map_type(F.col("declared")).alias("target_type"))
+
+
+def q_sanitize_names(spark, sf):
+    n = derived.raw_names(spark, sf)
+    return n.select("column_id", "raw_name", NM.sanitize(F.col("raw_name")).alias("clean_name"))
+
+
+def q_name_collisions(spark, sf):
+    return VD.name_collisions(derived.raw_names(spark, sf))
+
+
+def q_cast_audit(spark, sf):
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    src = spark.sql(EVENTS_AUDIT_SRC.replace("FROM events", "FROM {ev}"), ev=ev)
+    return VD.cast_audit(src, EVENTS_AUDIT, "events")
+
+
+def _all_tables(spark, sf):
+    return parquet_dir_database(sf).tables(spark)
+
+
+def q_pk_check(spark, sf):
+    return VD.pk_check(_all_tables(spark, sf), TEST_KEYS.primary_keys)
+
+
+def q_fk_check(spark, sf):
+    return VD.fk_check(_all_tables(spark, sf), TEST_KEYS.foreign_keys)
+
+
+def test_databases(sf):
+    return [parquet_dir_database(sf, name="shop", tables=SHOP_TABLES),
+            parquet_dir_database(sf, name="corpus", tables=CORPUS_TABLES)]
+
+
+def q_load_stats(spark, sf):
+    return VD.load_stats(VD.load_plan(spark, test_databases(sf)))
+
+
 # ---- H: gold queries through the read-only executor ----
 
 SHOP_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -130,6 +183,13 @@ def queries() -> dict[str, Query]:
     gold = {f"run_gold_{g.key}": _gold_query(g) for g in GOLD}
     return {
         **gold,
+        "map_types": q_map_types,
+        "sanitize_names": q_sanitize_names,
+        "name_collisions": q_name_collisions,
+        "cast_audit": q_cast_audit,
+        "pk_check": q_pk_check,
+        "fk_check": q_fk_check,
+        "load_stats": q_load_stats,
         "prompt_set": q_prompt_set,
         "generate_replay": q_generate_replay,
         "run_errors": q_run_errors,
@@ -150,6 +210,14 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         **{f"run_gold_{g.key}": g.oracle("sql") for g in GOLD},
+        "map_types": oracle.map_types(),
+        "sanitize_names": oracle.sanitize_names(),
+        "name_collisions": oracle.name_collisions(),
+        "cast_audit": oracle.cast_audit("events", EVENTS_AUDIT_SRC, EVENTS_AUDIT),
+        "pk_check": oracle.pk_check(TEST_KEYS.primary_keys, TABLE_NAMES),
+        "fk_check": oracle.fk_check(TEST_KEYS.foreign_keys, TABLE_NAMES),
+        "load_stats": oracle.load_stats([("shop", SHOP_TABLES), ("corpus", CORPUS_TABLES)],
+                                        TEST_KEYS.primary_keys),
         "strip_literals": oracle.strip_literals(),
         "select_count": oracle.select_count(),
         "classify": oracle.classify(),
