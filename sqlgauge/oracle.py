@@ -227,3 +227,117 @@ def load_stats(dbs: list[tuple[str, list[str]]], keys: dict[str, tuple[str, ...]
             "CAST(coalesce(sum(CASE WHEN ok THEN tables END), 0) AS BIGINT) AS tables, "
             "CAST(coalesce(sum(CASE WHEN ok THEN rows END), 0) AS BIGINT) AS rows "
             f"FROM ({body}) d")
+
+
+# ---- C keys (catalog profile of one database) ----
+
+DUCK_TO_SPARK_TYPE = {"BIGINT": "BIGINT", "INTEGER": "INT", "VARCHAR": "STRING", "DOUBLE": "DOUBLE",
+                      "TIMESTAMP": "TIMESTAMP_NTZ", "FLOAT": "FLOAT", "FLOAT[]": "ARRAY<FLOAT>",
+                      "BOOLEAN": "BOOLEAN", "DATE": "DATE"}
+
+
+def table_columns(table: str, sf_dir: str = "/root/testdata/sf0.01") -> list[str]:
+    """Column names of a test table, read from its parquet footer."""
+    import pyarrow.parquet as pq
+    return list(pq.read_schema(f"{sf_dir}/{table}.parquet").names)
+
+
+def _values(rows: list[tuple]) -> str:
+    def v(x):
+        if x is None:
+            return "NULL"
+        if isinstance(x, (int, float)):
+            return str(x)
+        return lit(str(x))
+    return ", ".join("(" + ", ".join(v(x) for x in r) + ")" for r in rows)
+
+
+def _meta_ctes(db_name: str, tables: list[str], keys) -> str:
+    in_list = ", ".join(lit(t) for t in tables)
+    ty = "CASE data_type " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in DUCK_TO_SPARK_TYPE.items()) \
+        + " ELSE upper(data_type) END"
+    pk_rows = [(t, c, i + 1) for t in tables for i, c in enumerate(keys.primary_keys.get(t, ()))]
+    fk_rows = [(fk.table, fk.name, ", ".join(fk.columns), fk.ref_table, ", ".join(fk.ref_columns))
+               for fk in keys.foreign_keys if fk.table in tables and fk.ref_table in tables]
+    fk_cte = (f"fk(table_name, fk_name, cols, ref_table, ref_cols) AS (VALUES {_values(fk_rows)})"
+              if fk_rows else
+              "fk AS (SELECT ''::VARCHAR AS table_name, ''::VARCHAR AS fk_name, ''::VARCHAR AS cols, "
+              "''::VARCHAR AS ref_table, ''::VARCHAR AS ref_cols WHERE false)")
+    return (f"cols AS (SELECT DISTINCT table_name, column_name, ordinal_position AS o, {ty} AS ty "
+            f"FROM information_schema.columns WHERE table_name IN ({in_list})), "
+            f"pk(table_name, column_name, pos) AS (VALUES {_values(pk_rows)}), {fk_cte}")
+
+
+def _ddl_cte(db_name: str) -> str:
+    return (
+        "lines AS ("
+        "SELECT c.table_name, c.o, '  ' || c.column_name || ' ' || c.ty || "
+        "CASE WHEN pk.pos IS NOT NULL THEN ' NOT NULL' ELSE '' END AS line "
+        "FROM cols c LEFT JOIN pk ON pk.table_name = c.table_name AND pk.column_name = c.column_name "
+        "UNION ALL SELECT table_name, 100000, '  PRIMARY KEY (' || string_agg(column_name, ', ' ORDER BY pos) "
+        "|| ')' FROM pk GROUP BY table_name "
+        "UNION ALL SELECT table_name, 200000 + row_number() OVER (PARTITION BY table_name ORDER BY fk_name), "
+        "'  FOREIGN KEY (' || cols || ') REFERENCES ' || ref_table || ' (' || ref_cols || ')' FROM fk), "
+        f"ddl AS (SELECT {lit(db_name)} AS db_id, table_name, 'CREATE TABLE ' || table_name || ' (' || chr(10) "
+        "|| string_agg(line, ',' || chr(10) ORDER BY o) || chr(10) || ');' AS ddl FROM lines GROUP BY table_name)")
+
+
+def _samples_cte(db_name: str, tables: list[str], keys, limit: int) -> str:
+    parts = []
+    for t in sorted(tables):
+        cols = table_columns(t)
+        pk = list(keys.primary_keys.get(t, ()))
+        order = ", ".join(f"{c} ASC NULLS LAST" for c in pk + [c for c in cols if c not in pk])
+        cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'None')" for c in cols)
+        parts.append(
+            f"SELECT {lit(db_name)} AS db_id, {lit(t)} AS table_name, "
+            f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS sample_pos, "
+            f"concat_ws(' | ', {cells}) AS row_text FROM (SELECT * FROM {t} ORDER BY {order} LIMIT {limit}) s")
+    return "smp AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def _blocks_cte(db_name: str) -> str:
+    return (
+        "hdr AS (SELECT table_name, string_agg(column_name, ' | ' ORDER BY o) AS header FROM cols GROUP BY table_name), "
+        "body AS (SELECT db_id, table_name, count(*) AS n, string_agg(row_text, chr(10) ORDER BY sample_pos) AS b "
+        "FROM smp GROUP BY db_id, table_name), "
+        "sblock AS (SELECT body.db_id, body.table_name, '/* ' || CAST(n AS VARCHAR) || ' example row(s):' || chr(10) "
+        "|| header || chr(10) || b || chr(10) || '*/' AS sample_block FROM body JOIN hdr ON hdr.table_name = body.table_name)")
+
+
+def catalog_with(db_name: str, tables: list[str], keys, limit: int = 3) -> str:
+    return ("WITH " + _meta_ctes(db_name, tables, keys) + ", " + _ddl_cte(db_name) + ", "
+            + _samples_cte(db_name, tables, keys, limit) + ", " + _blocks_cte(db_name) + ", "
+            "full_text AS (SELECT ddl.db_id, string_agg(CASE WHEN sample_block IS NULL THEN ddl "
+            "ELSE ddl || chr(10) || sample_block END, chr(10) || chr(10) ORDER BY ddl.table_name) AS schema_text "
+            "FROM ddl LEFT JOIN sblock ON sblock.table_name = ddl.table_name GROUP BY ddl.db_id), "
+            "min_lines AS (SELECT table_name, table_name || '(' || string_agg(column_name, ', ' ORDER BY o) "
+            "|| ')' AS line FROM cols GROUP BY table_name), "
+            f"min_text AS (SELECT {lit(db_name)} AS db_id, string_agg(line, chr(10) ORDER BY table_name) "
+            "AS schema_text_min FROM min_lines) ")
+
+
+def cat_row_counts(db_name: str, tables: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {lit(db_name)} AS db_id, {lit(t)} AS table_name, count(*) AS row_count FROM {t}"
+        for t in sorted(tables))
+
+
+def cat_samples(db_name, tables, keys, limit=3) -> str:
+    return catalog_with(db_name, tables, keys, limit) + "SELECT db_id, table_name, sample_pos, row_text FROM smp"
+
+
+def ddl_text(db_name, tables, keys) -> str:
+    return catalog_with(db_name, tables, keys) + "SELECT db_id, table_name, ddl FROM ddl"
+
+
+def sample_text(db_name, tables, keys, limit=3) -> str:
+    return catalog_with(db_name, tables, keys, limit) + "SELECT db_id, table_name, sample_block FROM sblock"
+
+
+def schema_text(db_name, tables, keys, limit=3) -> str:
+    return catalog_with(db_name, tables, keys, limit) + "SELECT db_id, schema_text FROM full_text"
+
+
+def schema_text_min(db_name, tables, keys) -> str:
+    return catalog_with(db_name, tables, keys) + "SELECT db_id, schema_text_min FROM min_text"

@@ -18,6 +18,7 @@ from sqlgauge.operators import benchmark as BM
 from sqlgauge.operators import execute as EX
 from sqlgauge.operators import report as RP
 from sqlgauge.functions import names as NM
+from sqlgauge.operators import catalog as CT
 from sqlgauge.operators import validate as VD
 from sqlgauge.plans.gold import GOLD
 from sqlgauge.sources import derived
@@ -58,6 +59,13 @@ def q_feature_counts(spark: SparkSession, sf: str) -> DataFrame:
     return QL.feature_counts(QL.classified_log(spark, sf))
 
 
+SHOP_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+
+def shop_db(sf: str):
+    return parquet_dir_database(sf, name="shop", tables=SHOP_TABLES)
+
+
 # ---- B: load-time transforms and validation ----
 
 CORPUS_TABLES = ["documents", "labels", "pages", "benchmark", "conversations", "embeddings"]
@@ -109,13 +117,47 @@ def q_load_stats(spark, sf):
     return VD.load_stats(VD.load_plan(spark, test_databases(sf)))
 
 
-# ---- H: gold queries through the read-only executor ----
+# ---- C: catalog profiling of the shop database ----
 
-SHOP_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+def q_cat_row_counts(spark, sf):
+    return CT.row_counts(spark, shop_db(sf))
 
 
-def shop_db(sf: str):
-    return parquet_dir_database(sf, name="shop", tables=SHOP_TABLES)
+def q_cat_samples(spark, sf):
+    s = CT.samples(spark, shop_db(sf), 3, order_by_key=True)
+    return s.select("db_id", "table_name", "sample_pos", F.array_join("cells", " | ").alias("row_text"))
+
+
+def q_ddl_text(spark, sf):
+    return CT.ddl_text(spark, shop_db(sf))
+
+
+def q_sample_text(spark, sf):
+    return CT.sample_text(spark, shop_db(sf), 3, order_by_key=True)
+
+
+def q_schema_text(spark, sf):
+    return CT.schema_text(spark, shop_db(sf), True, 3, order_by_key=True)
+
+
+def q_schema_text_min(spark, sf):
+    return CT.schema_text_min(spark, shop_db(sf))
+
+
+def q_cat_columns(spark, sf):
+    return CT.columns(spark, shop_db(sf))
+
+
+def q_cat_keys(spark, sf):
+    return CT.foreign_keys(spark, shop_db(sf))
+
+
+def q_cat_profile(spark, sf):
+    p = CT.profile(spark, shop_db(sf), 3, True, order_by_key=True)
+    return p.select("db_id", "table_name", F.size("columns").alias("n_columns"),
+                    F.array_join("primary_key", ", ").alias("primary_key"),
+                    F.size("foreign_keys").alias("n_foreign_keys"), "row_count",
+                    F.size("sample_rows").alias("n_samples"))
 
 
 def _gold_query(g) -> Query:
@@ -183,6 +225,13 @@ def queries() -> dict[str, Query]:
     gold = {f"run_gold_{g.key}": _gold_query(g) for g in GOLD}
     return {
         **gold,
+        "cat_row_counts": q_cat_row_counts,
+        "cat_samples": q_cat_samples,
+        "ddl_text": q_ddl_text,
+        "sample_text": q_sample_text,
+        "schema_text": q_schema_text,
+        "schema_text_min": q_schema_text_min,
+        "cat_profile": q_cat_profile,
         "map_types": q_map_types,
         "sanitize_names": q_sanitize_names,
         "name_collisions": q_name_collisions,
@@ -210,6 +259,12 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         **{f"run_gold_{g.key}": g.oracle("sql") for g in GOLD},
+        "cat_row_counts": oracle.cat_row_counts("shop", SHOP_TABLES),
+        "cat_samples": oracle.cat_samples("shop", SHOP_TABLES, TEST_KEYS),
+        "ddl_text": oracle.ddl_text("shop", SHOP_TABLES, TEST_KEYS),
+        "sample_text": oracle.sample_text("shop", SHOP_TABLES, TEST_KEYS),
+        "schema_text": oracle.schema_text("shop", SHOP_TABLES, TEST_KEYS),
+        "schema_text_min": oracle.schema_text_min("shop", SHOP_TABLES, TEST_KEYS),
         "map_types": oracle.map_types(),
         "sanitize_names": oracle.sanitize_names(),
         "name_collisions": oracle.name_collisions(),
