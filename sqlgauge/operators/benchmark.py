@@ -29,20 +29,40 @@ def gold_examples(spark: SparkSession, db_id: str) -> DataFrame:
 
 
 FAILING_SQL = "SELECT no_such_column FROM orders"
+# Write statements a model may answer with; the read-only guard refuses them.
+REFUSED_SQL = ["DELETE FROM orders WHERE o_orderkey = 0", "DROP TABLE customer"]
 
 
-def replay_text(i: int, strategy: str, alt: str, wrong: str) -> str:
-    """The replayed model answer for gold example ``i`` under ``strategy``."""
+def replay_variant(i: int, strategy: str) -> str:
+    """Which answer the replay gives for gold example ``i`` under ``strategy``:
+    'alt' (equivalent), 'wrong' (near miss), 'failing' or 'refused'."""
     if strategy == "zero_shot":
+        if i % 8 == 5:
+            return "refused"
         if i % 4 == 3:
-            return FAILING_SQL
-        return wrong if i % 2 else alt
-    if strategy == "schema_aware":
-        return alt
+            return "failing"
+        return "wrong" if i % 2 else "alt"
+    if strategy == "chain_of_thought":
+        return "wrong" if i % 3 == 0 else "alt"
+    return "alt"
+
+
+def replay_sql(i: int, variant: str, alt: str, wrong: str) -> str:
+    if variant == "failing":
+        return FAILING_SQL
+    if variant == "refused":
+        return REFUSED_SQL[(i // 8) % len(REFUSED_SQL)]
+    return alt if variant == "alt" else wrong
+
+
+def replay_text(i: int, strategy: str, alt: str, wrong: str) -> str:
+    """The replayed model answer for gold example ``i`` under ``strategy``."""
+    sql = replay_sql(i, replay_variant(i, strategy), alt, wrong)
     if strategy == "few_shot":
-        return f"```sql\n{alt};\n```"
-    body = wrong if i % 3 == 0 else alt
-    return f"First find the tables involved.\n```sql\n{body}\n```\nThat query answers it."
+        return f"```sql\n{sql};\n```"
+    if strategy == "chain_of_thought":
+        return f"First find the tables involved.\n```sql\n{sql}\n```\nThat query answers it."
+    return sql
 
 
 def replay_responses(spark: SparkSession) -> DataFrame:

@@ -123,8 +123,12 @@ def _run_one(spark: SparkSession, sessions: dict, db: Database, run_id: str,
         finally:
             timer.cancel()
             sc.removeJobTag(tag)
-        n = int(obs.get.get("n", 0))
         ms = int((time.time() - started) * 1000)
+        if timed_out.is_set():
+            # The deadline passed before the job finished (its cancel may have
+            # come before the job started): a timeout, as a statement timeout is.
+            raise TimeoutError
+        n = int(obs.get.get("n", 0))
         return (run_id, db.name, sql, True, None, None, False, columns, n, ms)
     except Exception as exc:  # noqa: BLE001 - a failed query is data (G4)
         ms = int((time.time() - started) * 1000)
@@ -132,6 +136,8 @@ def _run_one(spark: SparkSession, sessions: dict, db: Database, run_id: str,
             return (run_id, db.name, sql, False,
                     f"statement timeout: canceled after {timeout_ms} ms",
                     "TIMEOUT", True, None, None, ms)
+        if isinstance(exc, guard.GuardError):
+            return (run_id, db.name, sql, False, _first_line(exc), "READ_ONLY", False, None, None, ms)
         return (run_id, db.name, sql, False, _first_line(exc), _error_class(exc),
                 False, None, None, ms)
 

@@ -1,15 +1,19 @@
 """Prompt-set building (E1-E5): examples x strategies x schema text, one job.
 
-A strategy is a builder of three Columns (system, user, max_tokens) from the
-question and the two schema texts.  The set is open: register a builder
-under a new name; an unknown name raises KeyError, like a dict lookup.
-Examples x strategies is a union of one projection per strategy (no cross
-join); schema texts (one row per database) are joined by ``db_id``.
+A strategy builds three Columns (system, user, max_tokens) from the question
+and the two schema texts.  The built-in strategies are text templates with
+``{question}``, ``{schema_min}`` and ``{schema_full}`` slots; any Column
+builder can be registered under a new name.  An unknown name raises
+KeyError, like a dict lookup.  Examples x strategies is a union of one
+projection per strategy (no cross join); schema texts (one row per
+database) are joined by ``db_id``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,43 +34,56 @@ FEW_SHOT_EXAMPLES = [
     ("How many rows are there?", "SELECT COUNT(*) FROM some_table"),
     ("List the distinct categories.", "SELECT DISTINCT category FROM some_table"),
 ]
+SLOTS = ("question", "schema_min", "schema_full")
+_SLOT_RX = re.compile(r"\{(" + "|".join(SLOTS) + r")\}")
 
-Builder = Callable[[Column, Column, Column], tuple[Column, Column, Column]]
-
-
-def _txt(*parts) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
+@dataclass(frozen=True)
+class Template:
+    """A prompt strategy as text with slots; renders in Spark or in SQL."""
 
-def zero_shot(q: Column, minimal: Column, full: Column):
-    user = _txt("Tables:\n", minimal, "\n\nQuestion: ", q, f"\n\nWrite one {DIALECT} query.")
-    return F.lit(SYSTEM), user, F.lit(None).cast("int")
+    system: str
+    user: str
+    max_tokens: int | None = None
 
+    def parts(self) -> list[tuple[bool, str]]:
+        """(is_slot, text) pieces of the user template, in order."""
+        out, pos = [], 0
+        for m in _SLOT_RX.finditer(self.user):
+            if m.start() > pos:
+                out.append((False, self.user[pos:m.start()]))
+            out.append((True, m.group(1)))
+            pos = m.end()
+        if pos < len(self.user):
+            out.append((False, self.user[pos:]))
+        return out
 
-def schema_aware(q: Column, minimal: Column, full: Column):
-    user = _txt("Database schema:\n", full, "\n\nQuestion: ", q,
-                f"\n\nWrite one {DIALECT} query that answers the question.")
-    return F.lit(SYSTEM), user, F.lit(None).cast("int")
+    def __call__(self, q: Column, minimal: Column, full: Column):
+        slots = {"question": q, "schema_min": minimal, "schema_full": full}
+        user = F.concat(*[slots[t] if is_slot else F.lit(t) for is_slot, t in self.parts()])
+        mx = F.lit(self.max_tokens) if self.max_tokens else F.lit(None).cast("int")
+        return F.lit(self.system), user, mx
 
 
-def few_shot(q: Column, minimal: Column, full: Column):
-    shots = "\n".join(f"Q: {a}\nSQL: {b}" for a, b in FEW_SHOT_EXAMPLES)
-    user = _txt("Database schema:\n", full, "\n\nExamples:\n" + shots + "\n\nQ: ", q, "\nSQL:")
-    return F.lit(SYSTEM), user, F.lit(None).cast("int")
-
-
-def chain_of_thought(q: Column, minimal: Column, full: Column):
-    user = _txt("Database schema:\n", full, "\n\nQuestion: ", q,
-                "\n\nWork step by step: find the tables involved, the joins between them "
-                f"and any filters or grouping, then write the final {DIALECT} query.")
-    return F.lit(SYSTEM_COT), user, F.lit(COT_MAX_TOKENS)
+_SHOTS = "\n".join(f"Q: {a}\nSQL: {b}" for a, b in FEW_SHOT_EXAMPLES)
 
+Builder = Callable[[Column, Column, Column], tuple[Column, Column, Column]]
 
 STRATEGIES: dict[str, Builder] = {
-    "zero_shot": zero_shot,
-    "schema_aware": schema_aware,
-    "few_shot": few_shot,
-    "chain_of_thought": chain_of_thought,
+    "zero_shot": Template(
+        SYSTEM, "Tables:\n{schema_min}\n\nQuestion: {question}\n\n"
+                f"Write one {DIALECT} query."),
+    "schema_aware": Template(
+        SYSTEM, "Database schema:\n{schema_full}\n\nQuestion: {question}\n\n"
+                f"Write one {DIALECT} query that answers the question."),
+    "few_shot": Template(
+        SYSTEM, "Database schema:\n{schema_full}\n\nExamples:\n" + _SHOTS
+                + "\n\nQ: {question}\nSQL:"),
+    "chain_of_thought": Template(
+        SYSTEM_COT, "Database schema:\n{schema_full}\n\nQuestion: {question}\n\n"
+                    "Work step by step: find the tables involved, the joins between them "
+                    f"and any filters or grouping, then write the final {DIALECT} query.",
+        COT_MAX_TOKENS),
 }
 
 
@@ -76,16 +93,18 @@ def register_strategy(name: str, builder: Builder) -> None:
 
 def build_prompts(examples: DataFrame, schema_texts: DataFrame,
                   strategies: list[str] | None = None) -> DataFrame:
-    """(example_id, db_id, question, strategy, system, user, max_tokens).
+    """examples' columns + strategy, system, user, max_tokens.
 
     ``examples``: example_id, db_id, question (+ any extra columns, kept).
-    ``schema_texts``: db_id, schema_text, schema_text_min (one row per db).
+    ``schema_texts``: db_id, schema_text, schema_text_min (one row per
+    database: small, broadcast).
     """
     names = strategies or list(STRATEGIES)
     builders = [(n, STRATEGIES[n]) for n in names]  # KeyError on unknown names
     base = examples.join(F.broadcast(schema_texts), "db_id", "left")
-    q, mn, full = F.col("question"), F.coalesce("schema_text_min", F.lit("")), \
-        F.coalesce("schema_text", F.lit(""))
+    q = F.col("question")
+    mn = F.coalesce(F.col("schema_text_min"), F.lit(""))
+    full = F.coalesce(F.col("schema_text"), F.lit(""))
     parts = []
     for name, b in builders:
         system, user, mx = b(q, mn, full)

@@ -105,5 +105,7 @@ def verdicts(pairs: DataFrame, executions: DataFrame, results: DataFrame) -> Dat
               .otherwise(F.lit("result sets differ")))
     verdict = (F.when(~gold_ok, F.lit("gold_failed")).when(~gen_ok, F.lit("generated_failed"))
                .when(equal, F.lit("match")).otherwise(F.lit("differ")))
-    return s.withColumn("correct", gold_ok & gen_ok & equal).withColumn(
-        "reason", reason).withColumn("verdict", verdict)
+    # Equality is only defined when both runs produced a result.
+    return (s.withColumn("equal", F.when(gold_ok & gen_ok, equal))
+            .withColumn("correct", gold_ok & gen_ok & equal)
+            .withColumn("reason", reason).withColumn("verdict", verdict))

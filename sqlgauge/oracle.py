@@ -341,3 +341,115 @@ def schema_text(db_name, tables, keys, limit=3) -> str:
 
 def schema_text_min(db_name, tables, keys) -> str:
     return catalog_with(db_name, tables, keys) + "SELECT db_id, schema_text_min FROM min_text"
+
+
+# ---- E, F, G keys: the replayed benchmark over the shop database ----
+
+def template_sql(t) -> str:
+    """A prompt Template's user text as a SQL expression over q/min/full columns."""
+    cols = {"question": "question", "schema_min": "schema_text_min", "schema_full": "schema_text"}
+    return " || ".join(cols[x] if is_slot else lit(x) for is_slot, x in t.parts())
+
+
+def _cells(q: str) -> str:
+    return (f"SELECT concat_ws(chr(31), *COLUMNS(*)) AS r FROM "
+            f"(SELECT coalesce(CAST(COLUMNS(*) AS VARCHAR), 'None') FROM ({q}) q0) q1")
+
+
+def multiset_equal(a: str, b: str) -> str:
+    return (f"(SELECT coalesce(bool_and(d = 0), true) FROM (SELECT r, sum(side) AS d FROM ("
+            f"SELECT 1 AS side, r FROM ({_cells(a)}) x UNION ALL "
+            f"SELECT -1 AS side, r FROM ({_cells(b)}) y) u GROUP BY r) z)")
+
+
+def benchmark_with(db_name: str, tables: list[str], keys) -> str:
+    """CTEs: prompts, gen (replayed answers, tokens, cost), scored."""
+    from sqlgauge.operators import benchmark as BM
+    from sqlgauge.operators import generate as GN
+    from sqlgauge.operators import prompts as PR
+    from sqlgauge.plans.gold import GOLD
+    ex_rows = [(f"q{i:02d}_{g.key}", g.question, g.sql) for i, g in enumerate(GOLD)]
+    resp_rows, ver_parts = [], []
+    for i, g in enumerate(GOLD):
+        for s in PR.STRATEGIES:
+            variant = BM.replay_variant(i, s)
+            ex = f"q{i:02d}_{g.key}"
+            resp_rows.append((ex, s, BM.replay_text(i, s, g.alt, g.wrong)))
+            if variant in ("failing", "refused"):
+                eq, kind = "NULL", variant
+            else:
+                eq, kind = multiset_equal(g.oracle("sql"), g.oracle(variant)), "ok"
+            ver_parts.append(f"SELECT {lit(ex)} AS example_id, {lit(s)} AS strategy, "
+                             f"CAST({eq} AS BOOLEAN) AS eq, {lit(kind)} AS kind")
+    prompt_parts = []
+    for name, t in PR.STRATEGIES.items():
+        mx = t.max_tokens or PR.DEFAULT_MAX_TOKENS
+        prompt_parts.append(
+            f"SELECT example_id, question, gold_sql, {lit(name)} AS strategy, {lit(t.system)} AS system, "
+            f"{template_sql(t)} AS \"user\", {mx} AS max_tokens FROM ex, full_text, min_text")
+    rates = {m: (a, b) for m, a, b in GN.DEFAULT_PRICES}
+    rin, rout = rates[GN.DEFAULT_MODEL]
+    ws = python_ws_lit()
+    return (catalog_with(db_name, tables, keys)[:-1] + ", "
+            f"ex(example_id, question, gold_sql) AS (VALUES {_values(ex_rows)}), "
+            f"resp(example_id, strategy, response) AS (VALUES {_values(resp_rows)}), "
+            "prompts AS (" + " UNION ALL ".join(prompt_parts) + "), "
+            f"gen AS (SELECT p.*, {lit(GN.DEFAULT_MODEL)} AS model, r.response, "
+            f"{extract_sql_expr('trim(r.response, ' + ws + ')')} AS sql, "
+            "CAST(ceil(length(p.system || p.\"user\") / 4) AS BIGINT) AS input_tokens, "
+            f"CAST(ceil(length(trim(r.response, {ws})) / 4) AS BIGINT) AS output_tokens "
+            "FROM prompts p JOIN resp r ON r.example_id = p.example_id AND r.strategy = p.strategy), "
+            f"costed AS (SELECT *, input_tokens / 1e6 * {rin} + output_tokens / 1e6 * {rout} AS cost_usd FROM gen), "
+            "ver AS (" + " UNION ALL ".join(ver_parts) + "), "
+            "scored AS (SELECT c.*, v.eq, CASE WHEN v.kind = 'ok' THEN v.eq ELSE false END AS correct, "
+            "CASE WHEN v.kind <> 'ok' THEN 'generated_failed' WHEN v.eq THEN 'match' ELSE 'differ' END AS verdict "
+            "FROM costed c JOIN ver v ON v.example_id = c.example_id AND v.strategy = c.strategy) ")
+
+
+def prompt_set(db_name, tables, keys) -> str:
+    return benchmark_with(db_name, tables, keys) + \
+        "SELECT example_id, strategy, system, \"user\", max_tokens FROM prompts"
+
+
+def generate_replay(db_name, tables, keys) -> str:
+    return benchmark_with(db_name, tables, keys) + \
+        "SELECT example_id, strategy, model, sql, input_tokens, output_tokens FROM gen"
+
+
+def score_rows(db_name, tables, keys) -> str:
+    return benchmark_with(db_name, tables, keys) + "SELECT example_id, strategy, eq AS equal FROM scored"
+
+
+def score_verdict(db_name, tables, keys) -> str:
+    return benchmark_with(db_name, tables, keys) + \
+        "SELECT example_id, strategy, correct, verdict FROM scored"
+
+
+def strategy_report(db_name, tables, keys) -> str:
+    return benchmark_with(db_name, tables, keys) + (
+        "SELECT strategy, CAST(sum(CAST(correct AS BIGINT)) AS BIGINT) AS n_correct, count(*) AS n, "
+        "round(sum(cost_usd), 6) AS cost_usd, CASE WHEN count(*) > 0 THEN "
+        "round(100.0 * sum(CAST(correct AS BIGINT)) / count(*), 2) ELSE 0.0 END AS accuracy_pct "
+        "FROM scored GROUP BY strategy")
+
+
+def overall_report(db_name, tables, keys) -> str:
+    return benchmark_with(db_name, tables, keys) + (
+        "SELECT CAST(coalesce(sum(CAST(correct AS BIGINT)), 0) AS BIGINT) AS n_correct, count(*) AS n, "
+        "round(coalesce(sum(cost_usd), 0.0), 6) AS cost_usd, CASE WHEN count(*) > 0 THEN "
+        "round(100.0 * sum(CAST(correct AS BIGINT)) / count(*), 2) ELSE 0.0 END AS accuracy_pct FROM scored")
+
+
+def question_report(db_name, tables, keys) -> str:
+    return benchmark_with(db_name, tables, keys) + (
+        "SELECT example_id, strategy, CASE WHEN correct THEN 'PASS' ELSE 'FAIL' END AS mark, "
+        "sql AS generated_sql, gold_sql, CASE WHEN NOT correct THEN verdict END AS why FROM scored")
+
+
+def cost_report(db_name, tables, keys) -> str:
+    w = ("OVER (PARTITION BY strategy ORDER BY example_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    return benchmark_with(db_name, tables, keys) + (
+        "SELECT strategy, example_id, input_tokens, output_tokens, round(cost_usd, 8) AS cost_usd, "
+        f"CAST(sum(input_tokens) {w} AS BIGINT) AS running_input_tokens, "
+        f"CAST(sum(output_tokens) {w} AS BIGINT) AS running_output_tokens, "
+        f"round(sum(cost_usd) {w}, 8) AS running_cost_usd FROM scored")

@@ -202,6 +202,15 @@ def q_score_verdict(spark, sf):
     return benchmark(spark, sf).scored.select("example_id", "strategy", "correct", "verdict")
 
 
+def q_score_rows(spark, sf):
+    return benchmark(spark, sf).scored.select("example_id", "strategy", "equal")
+
+
+def q_guard_report(spark, sf):
+    ex = benchmark(spark, sf).executions
+    return ex.where("error_class = 'READ_ONLY'").select("run_id", "sql", "error")
+
+
 def q_generate_replay(spark, sf):
     return benchmark(spark, sf).generations.select(
         "example_id", "strategy", "model", "sql", "input_tokens", "output_tokens")
@@ -243,6 +252,8 @@ def queries() -> dict[str, Query]:
         "generate_replay": q_generate_replay,
         "run_errors": q_run_errors,
         "score_verdict": q_score_verdict,
+        "score_rows": q_score_rows,
+        "guard_report": q_guard_report,
         "strategy_report": q_strategy_report,
         "overall_report": q_overall_report,
         "question_report": q_question_report,
@@ -259,6 +270,14 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         **{f"run_gold_{g.key}": g.oracle("sql") for g in GOLD},
+        "prompt_set": oracle.prompt_set("shop", SHOP_TABLES, TEST_KEYS),
+        "generate_replay": oracle.generate_replay("shop", SHOP_TABLES, TEST_KEYS),
+        "score_rows": oracle.score_rows("shop", SHOP_TABLES, TEST_KEYS),
+        "score_verdict": oracle.score_verdict("shop", SHOP_TABLES, TEST_KEYS),
+        "strategy_report": oracle.strategy_report("shop", SHOP_TABLES, TEST_KEYS),
+        "overall_report": oracle.overall_report("shop", SHOP_TABLES, TEST_KEYS),
+        "question_report": oracle.question_report("shop", SHOP_TABLES, TEST_KEYS),
+        "cost_report": oracle.cost_report("shop", SHOP_TABLES, TEST_KEYS),
         "cat_row_counts": oracle.cat_row_counts("shop", SHOP_TABLES),
         "cat_samples": oracle.cat_samples("shop", SHOP_TABLES, TEST_KEYS),
         "ddl_text": oracle.ddl_text("shop", SHOP_TABLES, TEST_KEYS),
