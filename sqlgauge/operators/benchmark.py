@@ -106,6 +106,16 @@ def run_benchmark(spark: SparkSession, databases: dict[str, Database], examples:
     ps = prompts.build_prompts(examples, texts)
     if generated is None:
         generated = generate.replay(ps, responses)
+    return score_generated(spark, databases, examples, ps, generated, prices, timeout_ms,
+                           parallelism, out_dir)
+
+
+def score_generated(spark: SparkSession, databases: dict[str, Database], examples: DataFrame,
+                    ps: DataFrame, generated: DataFrame, prices: DataFrame | None = None,
+                    timeout_ms: int | None = None, parallelism: int = 4,
+                    out_dir: str | None = None) -> BenchmarkResult:
+    """F3 -> G: clean and cost the answers, run gold and generated SQL, score."""
+    out_dir = out_dir or work_path(spark, "benchmark")
     prices = prices if prices is not None else generate.price_table(spark)
     gens = generate.generations(ps, generated, prices)
     gens = gens.join(examples.select("example_id", "gold_sql"), "example_id")
@@ -121,3 +131,9 @@ def run_benchmark(spark: SparkSession, databases: dict[str, Database], examples:
     scored.write.mode("overwrite").parquet(f"{out_dir}/scored")
     scored = spark.read.parquet(f"{out_dir}/scored")
     return BenchmarkResult(ps, gens, rr.executions, rr.results, scored, out_dir)
+
+
+def repair_responses(spark: SparkSession) -> DataFrame:
+    """Replay for the repair round: the equivalent rewrite for every example."""
+    rows = [(f"q{i:02d}_{g.key}", s, g.alt) for i, g in enumerate(GOLD) for s in prompts.STRATEGIES]
+    return spark.createDataFrame(rows, "example_id string, strategy string, response string")

@@ -453,3 +453,45 @@ def cost_report(db_name, tables, keys) -> str:
         f"CAST(sum(input_tokens) {w} AS BIGINT) AS running_input_tokens, "
         f"CAST(sum(output_tokens) {w} AS BIGINT) AS running_output_tokens, "
         f"round(sum(cost_usd) {w}, 8) AS running_cost_usd FROM scored")
+
+
+# ---- G6 and P keys ----
+
+def normalise_rows(sql: str) -> str:
+    return ("SELECT o_orderkey, concat_ws('|', *COLUMNS(* EXCLUDE (k))) AS row_text FROM "
+            "(SELECT o_orderkey AS k, coalesce(CAST(COLUMNS(*) AS VARCHAR), 'None') FROM "
+            f"({sql}) q) r")
+
+
+def benchmark_cube(db_name, tables, keys) -> str:
+    src = "SELECT example_id AS g_example_id, gold_sql AS query FROM ex"
+    cls = classify_cte(src, "query")
+    return benchmark_with(db_name, tables, keys)[:-1] + "," + cls[1:] + (
+        ", sc AS (SELECT s.*, c.tier FROM scored s JOIN cls c ON c.g_example_id = s.example_id) "
+        "SELECT model, strategy, tier, CAST(GROUPING(model, strategy, tier) AS BIGINT) AS level, "
+        "count(*) AS n, CAST(sum(CAST(correct AS BIGINT)) AS BIGINT) AS n_correct, "
+        "round(100.0 * sum(CAST(correct AS BIGINT)) / count(*), 2) AS accuracy_pct, "
+        "round(sum(cost_usd), 6) AS cost_usd FROM sc GROUP BY CUBE (model, strategy, tier)")
+
+
+def repair_gain(db_name, tables, keys) -> str:
+    from sqlgauge.plans.gold import GOLD
+    alt = " UNION ALL ".join(
+        f"SELECT {lit(f'q{i:02d}_{g.key}')} AS example_id, CAST({multiset_equal(g.oracle('sql'), g.oracle('alt'))} "
+        "AS BOOLEAN) AS eq_alt" for i, g in enumerate(GOLD))
+    return benchmark_with(db_name, tables, keys)[:-1] + f", alt_eq AS ({alt}) " + (
+        "SELECT strategy, count(*) AS n, CAST(sum(CAST(correct AS BIGINT)) AS BIGINT) AS correct_before, "
+        "CAST(sum(CAST(correct OR (NOT correct AND a.eq_alt) AS BIGINT)) AS BIGINT) AS correct_after, "
+        "CAST(sum(CAST(correct OR (NOT correct AND a.eq_alt) AS BIGINT)) - sum(CAST(correct AS BIGINT)) "
+        "AS BIGINT) AS gain FROM scored s JOIN alt_eq a ON a.example_id = s.example_id GROUP BY strategy")
+
+
+def similar_topk(k: int) -> str:
+    return (
+        "WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM embeddings), "
+        "c AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM u GROUP BY label, pos), "
+        "cent AS (SELECT label, list(m ORDER BY pos) AS centroid FROM c GROUP BY label), "
+        "s AS (SELECT cent.label, e.vec_id, list_cosine_similarity(cent.centroid, "
+        "CAST(e.embedding AS DOUBLE[])) AS score FROM cent, embeddings e), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s) "
+        f"SELECT label, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= {k}")

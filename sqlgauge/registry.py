@@ -19,6 +19,9 @@ from sqlgauge.operators import execute as EX
 from sqlgauge.operators import report as RP
 from sqlgauge.functions import names as NM
 from sqlgauge.operators import catalog as CT
+from sqlgauge.operators import extend as XT
+from sqlgauge.operators import generate as GN
+from sqlgauge.session import work_path
 from sqlgauge.operators import validate as VD
 from sqlgauge.plans.gold import GOLD
 from sqlgauge.sources import derived
@@ -226,6 +229,59 @@ def q_prompt_set(spark, sf):
         "example_id", "strategy", "system", "user", "max_tokens")
 
 
+def q_normalise_rows(spark, sf):
+    df = EX.sql_frame(spark, shop_db(sf), NORMALISE_SQL)
+    return df.select("o_orderkey", F.array_join(EX.render_cells(df), "|").alias("row_text"))
+
+
+NORMALISE_SQL = ("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status, o_totalprice, "
+                 "o_orderdate FROM orders")
+
+
+def q_run_timeout(spark, sf):
+    """Every gold query under a 1 ms statement timeout: all must time out."""
+    runs = BM.gold_examples(spark, "shop").select(
+        BM.run_id(F.col("db_id"), F.col("gold_sql")).alias("run_id"), "db_id",
+        F.col("gold_sql").alias("sql"))
+    rr = EX.run_batch(spark, runs, {"shop": shop_db(sf)}, timeout_ms=1)
+    return rr.executions.select("run_id", "success", "timed_out", "error_class")
+
+
+def q_benchmark_cube(spark, sf):
+    b = benchmark(spark, sf)
+    cube = XT.benchmark_cube(b.scored, b.executions)
+    return cube.select("model", "strategy", "tier", F.col("level").cast("bigint").alias("level"),
+                       "n", "n_correct", "accuracy_pct", "cost_usd")
+
+
+def q_similar_topk(spark, sf):
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet")
+    cents = XT.label_centroids(emb)
+    top = XT.top_k_similar(cents, emb, k=5, query_id="label", query_vec="centroid",
+                           corpus_id="vec_id", corpus_vec="embedding")
+    return top.select("label", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def q_repair_gain(spark, sf):
+    b = benchmark(spark, sf)
+    rp = XT.repair_prompts(b.scored, b.prompts)
+    gen = GN.replay(rp, BM.repair_responses(spark))
+    after = BM.score_generated(spark, {"shop": shop_db(sf)}, BM.gold_examples(spark, "shop"),
+                               rp, gen)
+    return XT.repair_gain(b.scored, after.scored)
+
+
+def q_history(spark, sf):
+    b = benchmark(spark, sf)
+    path = work_path(spark, "history")
+    for rid in ("round_1", "round_2"):
+        XT.append_history(b.scored.select("example_id", "strategy", "correct", "cost_usd"),
+                          path, rid, "scores")
+    h = XT.read_history(spark, path, "scores", ["round_2"])
+    return h.groupBy("run_id", "strategy").agg(F.count(F.lit(1)).alias("n"),
+                                               F.sum(F.col("correct").cast("bigint")).alias("n_correct"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return q_strategy_report(spark, sf)
 
@@ -253,6 +309,12 @@ def queries() -> dict[str, Query]:
         "run_errors": q_run_errors,
         "score_verdict": q_score_verdict,
         "score_rows": q_score_rows,
+        "normalise_rows": q_normalise_rows,
+        "run_timeout": q_run_timeout,
+        "benchmark_cube": q_benchmark_cube,
+        "similar_topk": q_similar_topk,
+        "repair_gain": q_repair_gain,
+        "history": q_history,
         "guard_report": q_guard_report,
         "strategy_report": q_strategy_report,
         "overall_report": q_overall_report,
@@ -278,6 +340,10 @@ def oracle_sql() -> dict[str, str]:
         "overall_report": oracle.overall_report("shop", SHOP_TABLES, TEST_KEYS),
         "question_report": oracle.question_report("shop", SHOP_TABLES, TEST_KEYS),
         "cost_report": oracle.cost_report("shop", SHOP_TABLES, TEST_KEYS),
+        "normalise_rows": oracle.normalise_rows(NORMALISE_SQL),
+        "benchmark_cube": oracle.benchmark_cube("shop", SHOP_TABLES, TEST_KEYS),
+        "similar_topk": oracle.similar_topk(5),
+        "repair_gain": oracle.repair_gain("shop", SHOP_TABLES, TEST_KEYS),
         "cat_row_counts": oracle.cat_row_counts("shop", SHOP_TABLES),
         "cat_samples": oracle.cat_samples("shop", SHOP_TABLES, TEST_KEYS),
         "ddl_text": oracle.ddl_text("shop", SHOP_TABLES, TEST_KEYS),
