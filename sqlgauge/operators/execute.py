@@ -54,15 +54,21 @@ def render_cells(df: DataFrame, strict_null: bool = False) -> Column:
     """Row -> array<string>, one cell per column by position.
 
     NULL renders as ``None`` (so it equals the text 'None', as Python's
-    ``str()`` does) unless ``strict_null``, where it stays NULL.
+    ``str()`` does) unless ``strict_null``, where it stays NULL.  Use on a
+    frame from ``positional``: result names may repeat or contain dots.
     """
     cells = []
-    for i, _ in enumerate(df.columns):
-        c = df[i].cast("string")
+    for name in df.columns:
+        c = F.col(f"`{name}`").cast("string")
         cells.append(c if strict_null else F.coalesce(c, F.lit(NULL_TEXT)))
     return F.array(*cells) if cells else F.array().cast("array<string>")
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """Rename result columns to _c0, _c1, ... (names are ignored by scoring)."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
 def sql_frame(spark: SparkSession, db: Database, sql: str,
               allow_qualified: bool = False) -> DataFrame:
     """G1 for one query: read-only check, then the lazy result DataFrame."""
@@ -114,7 +120,8 @@ def _run_one(spark: SparkSession, sessions: dict, db: Database, run_id: str,
         guard.check_analyzed(df)
         columns = list(df.columns)
         obs = Observation(f"n_{run_id}")
-        out = df.select(render_cells(df, strict_null).alias("cells")).observe(
+        pos = positional(df)
+        out = pos.select(render_cells(pos, strict_null).alias("cells")).observe(
             obs, F.count(F.lit(1)).alias("n"))
         sc.addJobTag(tag)
         timer.start()

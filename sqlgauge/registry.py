@@ -230,8 +230,9 @@ def q_prompt_set(spark, sf):
 
 
 def q_normalise_rows(spark, sf):
-    df = EX.sql_frame(spark, shop_db(sf), NORMALISE_SQL)
-    return df.select("o_orderkey", F.array_join(EX.render_cells(df), "|").alias("row_text"))
+    df = EX.positional(EX.sql_frame(spark, shop_db(sf), NORMALISE_SQL))
+    return df.select(F.col("_c0").alias("o_orderkey"),
+                     F.array_join(EX.render_cells(df), "|").alias("row_text"))
 
 
 NORMALISE_SQL = ("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status, o_totalprice, "

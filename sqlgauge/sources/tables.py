@@ -27,7 +27,7 @@ class ForeignKey:
 
     @property
     def name(self) -> str:
-        return f"fk_{self.table}_{'_'.join(self.columns)}"
+        return f"fk_{self.table}_{'_'.join(self.columns)}_{self.ref_table}"
 
 
 @dataclass
