@@ -35,7 +35,7 @@ def schema_columns(dbs: DataFrame) -> DataFrame:
     cols = cols.select(
         "db_id", F.col("idx").alias("col_pos"),
         F.col("pair")[0].cast("int").alias("table_pos"), F.col("pair")[1].alias("column_name"),
-        F.coalesce(F.element_at("column_types", F.col("idx") + 1), F.lit("?")).alias("column_type"),
+        F.coalesce(F.try_element_at("column_types", F.col("idx") + 1), F.lit("?")).alias("column_type"),
     ).where(F.col("table_pos") >= 0)
     return tables.join(cols, ["db_id", "table_pos"], "left")
 
