@@ -105,10 +105,16 @@ def normalise_sql(query: Column) -> Column:
     return strip_literals(F.lower(F.coalesce(query, F.lit(""))))
 
 
-def feature_flags(s: Column, n_select: Column) -> dict[str, Column]:
+def from_segment(s: Column) -> Column:
+    """Text between the first FROM and the next clause word (or the end)."""
+    return F.regexp_extract(s, RX_FROM_SEGMENT, 1)
+
+
+def feature_flags(s: Column, n_select: Column, segment: Column | None = None,
+                  has_cte: Column | None = None) -> dict[str, Column]:
     """Boolean Column per feature, given normalised text and its select count."""
-    segment = F.regexp_extract(s, RX_FROM_SEGMENT, 1)
-    has_cte = s.rlike(RX_CTE)
+    segment = from_segment(s) if segment is None else segment
+    has_cte = s.rlike(RX_CTE) if has_cte is None else has_cte
     return {
         "join": s.rlike(RX_JOIN) | (segment.contains(",") & ~segment.contains("select")),
         "aggregate": s.rlike(RX_AGG),
@@ -135,10 +141,12 @@ def with_complexity(df: DataFrame, query_col: str = "query",
     Blank or NULL text is tier 1 with no features.  The normalised text and
     the feature flags are projected once each, so no regex runs twice.
     """
-    s_col, n_col = "__qlog_s", "__qlog_nsel"
+    s_col, n_col, seg_col, cte_col = "__qlog_s", "__qlog_nsel", "__qlog_seg", "__qlog_cte"
     out = df.withColumn(s_col, normalise_sql(F.col(query_col)))
-    out = out.withColumn(n_col, count_selects(F.col(s_col)))
-    flags = feature_flags(F.col(s_col), F.col(n_col))
+    out = out.select("*", count_selects(F.col(s_col)).alias(n_col),
+                     from_segment(F.col(s_col)).alias(seg_col),
+                     F.col(s_col).rlike(RX_CTE).alias(cte_col))
+    flags = feature_flags(F.col(s_col), F.col(n_col), F.col(seg_col), F.col(cte_col))
     flag_cols = {f"__qlog_f_{k}": v for k, v in flags.items()}
     out = out.select("*", *[v.alias(k) for k, v in flag_cols.items()])
     blank = F.col(query_col).isNull() | (strip_ws(F.col(query_col)) == "")
@@ -158,7 +166,7 @@ def with_complexity(df: DataFrame, query_col: str = "query",
                          .otherwise(features))
     if label_col:
         out = out.withColumn(label_col, tier_label(F.col(tier_col)))
-    return out.drop(s_col, n_col, *flag_cols)
+    return out.drop(s_col, n_col, seg_col, cte_col, *flag_cols)
 
 
 def extract_sql(text: Column) -> Column:

@@ -90,7 +90,7 @@ class BenchmarkResult:
 def run_benchmark(spark: SparkSession, databases: dict[str, Database], examples: DataFrame,
                   generated: DataFrame | None = None, responses: DataFrame | None = None,
                   prices: DataFrame | None = None, sample_limit: int = 3,
-                  timeout_ms: int | None = None, parallelism: int = 4,
+                  timeout_ms: int | None = None, parallelism: int = 8,
                   out_dir: str | None = None) -> BenchmarkResult:
     """Score every (example, strategy) answer against its gold query.
 
@@ -112,7 +112,7 @@ def run_benchmark(spark: SparkSession, databases: dict[str, Database], examples:
 
 def score_generated(spark: SparkSession, databases: dict[str, Database], examples: DataFrame,
                     ps: DataFrame, generated: DataFrame, prices: DataFrame | None = None,
-                    timeout_ms: int | None = None, parallelism: int = 4,
+                    timeout_ms: int | None = None, parallelism: int = 8,
                     out_dir: str | None = None) -> BenchmarkResult:
     """F3 -> G: clean and cost the answers, run gold and generated SQL, score."""
     out_dir = out_dir or work_path(spark, "benchmark")

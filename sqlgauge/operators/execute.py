@@ -151,7 +151,7 @@ def _run_one(spark: SparkSession, sessions: dict, db: Database, run_id: str,
 
 def run_batch(spark: SparkSession, runs: DataFrame, databases: dict[str, Database],
               *, out_dir: str | None = None, timeout_ms: int | None = None,
-              parallelism: int = 4, strict_null: bool = False,
+              parallelism: int = 8, strict_null: bool = False,
               allow_qualified: bool = False) -> RunResult:
     """Run every (run_id, db_id, sql) row; return the run log and result cells.
 
