@@ -55,8 +55,8 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 5,
 
     The corpus streams through ``mapInPandas`` once per query chunk; each
     Arrow batch scores against the chunk's queries (one matrix product) and
-    keeps only its own top-k per query, so at most k x batches candidates
-    per query reach the final ``row_number`` -- never all pairs.  Queries are
+    each task keeps a running top-k per query, so at most k x tasks
+    candidates per query reach the final ``row_number`` -- never all pairs.  Queries are
     shipped to tasks in chunks of at most ``max_broadcast_queries`` rows
     (counted first); more queries mean more chunks, never a bigger broadcast.
     Ties in score are broken by corpus id.
@@ -78,28 +78,32 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 5,
         bq = spark.sparkContext.broadcast((qids, qmat))
 
         def score(batches: Iterator[pd.DataFrame], bq=bq) -> Iterator[pd.DataFrame]:
+            # A running top-k per query over all batches of this task: the task
+            # emits k rows per query, not k per batch.
             ids, qm = bq.value
+            best_c = [np.empty(0, dtype=np.int64) for _ in ids]
+            best_s = [np.empty(0) for _ in ids]
             for pdf in batches:
                 if pdf.empty:
                     continue
                 cm = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in pdf["cvec"]]))
                 sims = qm @ cm.T                         # (queries, batch)
-                kk = min(k, sims.shape[1])
                 cids = pdf["cid"].to_numpy()
-                out_q, out_c, out_s = [], [], []
-                for i, qid in enumerate(ids):
-                    row = sims[i]
-                    cand = np.arange(row.shape[0])
-                    if row.shape[0] > kk:
+                for i in range(len(ids)):
+                    row, cand = sims[i], np.arange(sims.shape[1])
+                    if row.shape[0] > k:
                         # k best by argpartition, plus every tie with the k-th score
-                        part = np.argpartition(-row, kk - 1)[:kk]
+                        part = np.argpartition(-row, k - 1)[:k]
                         cand = np.nonzero(row >= row[part].min())[0]
+                    s_all = np.concatenate([best_s[i], row[cand]])
+                    c_all = np.concatenate([best_c[i], cids[cand]])
                     # score desc, then id asc (lexsort: last key is primary)
-                    order = cand[np.lexsort((cids[cand], -row[cand]))][:kk]
-                    out_q.extend([qid] * kk)
-                    out_c.extend(cids[order].tolist())
-                    out_s.extend(row[order].tolist())
-                yield pd.DataFrame({"qid": out_q, "cid": out_c, "score": out_s})
+                    order = np.lexsort((c_all, -s_all))[:k]
+                    best_s[i], best_c[i] = s_all[order], c_all[order]
+            out_q = [qid for i, qid in enumerate(ids) for _ in range(len(best_c[i]))]
+            if out_q:
+                yield pd.DataFrame({"qid": out_q, "cid": np.concatenate(best_c),
+                                    "score": np.concatenate(best_s)})
 
         parts.append(c.mapInPandas(score, f"qid {q.schema['qid'].dataType.simpleString()}, "
                                           f"cid {c.schema['cid'].dataType.simpleString()}, score double"))

@@ -22,6 +22,7 @@ target already exists.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -71,7 +72,7 @@ def resolve_foreign_keys(fks: DataFrame, columns: DataFrame) -> DataFrame:
 
 def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str | None = None,
                     limit: int | None = None, replace: bool = False,
-                    chunk_rows: int | None = None) -> LoadResult:
+                    chunk_rows: int | None = None, parallelism: int = 8) -> LoadResult:
     if os.path.exists(target) and os.listdir(target) and not replace:
         raise FileExistsError(f"{target} exists; pass replace=True to reload")
     cols = column_plan(sqlite.read(spark, path, "columns", only, limit)).persist()
@@ -100,9 +101,8 @@ def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str |
         return part.select(*[F.expr(f"try_cast(cells[{c['cid']}] AS {c['spark_type']})")
                              .alias(c["clean_name"]) for c in by_table[(db_id, table)]])
 
-    logs, loaded = [], {}
-    dbs = sorted({k[0] for k in by_table})
-    for db_id in dbs:
+    def load_one(db_id: str):
+        """Check and write one database; returns (log row, Database or None)."""
         tables = sorted(t for d, t in by_table if d == db_id)
         error = None
         if db_id in bad_names:
@@ -130,8 +130,7 @@ def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str |
             if pkc:
                 error = f"{pkc[0]['table_name']}: primary key {pkc[0]['verdict']}"
         if error is not None:
-            logs.append((db_id, False, 0, 0, error))
-            continue
+            return (db_id, False, 0, 0, error), None
         db_path = f"{target.rstrip('/')}/{sanitize_text(db_id)}"
         n_rows, paths = 0, {}
         for t in tables:
@@ -147,8 +146,17 @@ def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str |
                     sanitize_text(r["table_name"]), tuple(sanitize_text(c) for c in r["columns"]),
                     sanitize_text(r["ref_table"]), tuple(sanitize_text(c) for c in r["ref_columns"])))
         keys.primary_keys = {sanitize_text(t): v for t, v in keys.primary_keys.items()}
-        loaded[db_id] = Database(sanitize_text(db_id), paths, keys)
-        logs.append((db_id, True, len(tables), n_rows, None))
+        return (db_id, True, len(tables), n_rows, None), Database(sanitize_text(db_id), paths, keys)
+
+    # One database per worker thread: each submits its own small jobs, so many
+    # databases load at once; a failure stays inside its database.
+    logs, loaded = [], {}
+    dbs = sorted({k[0] for k in by_table})
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        for db_id, (row, db) in zip(dbs, pool.map(load_one, dbs)):
+            logs.append(row)
+            if db is not None:
+                loaded[db_id] = db
     cols.unpersist()
     log = spark.createDataFrame(logs, "db_id string, ok boolean, tables bigint, rows bigint, error string")
     fk_parts = [validate.fk_check(db.tables(spark), db.keys.foreign_keys).withColumn(

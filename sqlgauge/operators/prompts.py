@@ -87,6 +87,17 @@ STRATEGIES: dict[str, Builder] = {
 }
 
 
+# Schema texts are broadcast to the examples only below this many characters.
+BROADCAST_TEXT_LIMIT = 64 * 1024 * 1024
+
+
+def _maybe_broadcast(texts: DataFrame) -> DataFrame:
+    """Broadcast the per-database texts when their measured size allows."""
+    size = texts.agg(F.coalesce(F.sum(F.length("schema_text") + F.length("schema_text_min")),
+                                F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(texts) if size <= BROADCAST_TEXT_LIMIT else texts
+
+
 def register_strategy(name: str, builder: Builder) -> None:
     STRATEGIES[name] = builder
 
@@ -97,11 +108,12 @@ def build_prompts(examples: DataFrame, schema_texts: DataFrame,
 
     ``examples``: example_id, db_id, question (+ any extra columns, kept).
     ``schema_texts``: db_id, schema_text, schema_text_min (one row per
-    database: small, broadcast).
+    database); broadcast when their total size is under the limit, else
+    joined by shuffle.
     """
     names = strategies or list(STRATEGIES)
     builders = [(n, STRATEGIES[n]) for n in names]  # KeyError on unknown names
-    base = examples.join(F.broadcast(schema_texts), "db_id", "left")
+    base = examples.join(_maybe_broadcast(schema_texts), "db_id", "left")
     q = F.col("question")
     mn = F.coalesce(F.col("schema_text_min"), F.lit(""))
     full = F.coalesce(F.col("schema_text"), F.lit(""))

@@ -37,13 +37,42 @@ def question_report(scored: DataFrame) -> DataFrame:
         F.when(~F.col("correct"), F.col("verdict")).alias("why"))
 
 
+def running_sums(df: DataFrame, group: str, order: str, cols: list[str],
+                 parts: int | None = None) -> DataFrame:
+    """Exact running totals of ``cols`` per ``group`` in ``order``, distributed.
+
+    A window partitioned by a low-cardinality group (a handful of strategies)
+    would put each group's rows into one task.  Instead: range-partition by
+    (group, order), take local running sums inside each partition, add the
+    totals of all earlier partitions of the same group (a small table: one row
+    per group and partition), done.  ``order`` must be unique within a group.
+    """
+    spark = df.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, group, order).withColumn("_pid", F.spark_partition_id())
+    local_w = (Window.partitionBy(group, "_pid").orderBy(order)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = ranged.select("*", *[F.sum(c).over(local_w).alias(f"_loc_{c}") for c in cols])
+    totals = ranged.groupBy(group, "_pid").agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
+    before = (Window.partitionBy(group).orderBy("_pid")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(group, "_pid", *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0))
+                                             .alias(f"_off_{c}") for c in cols])
+    # offsets: one row per (group, partition) -- bounded, broadcast.
+    out = local.join(F.broadcast(offsets), [group, "_pid"])
+    for c in cols:
+        out = out.withColumn(f"running_{c}", F.col(f"_loc_{c}") + F.col(f"_off_{c}"))
+    return out.drop("_pid", *[f"_loc_{c}" for c in cols], *[f"_off_{c}" for c in cols])
+
+
 def cost_report(scored: DataFrame) -> DataFrame:
     """Per question cost and tokens, with running totals per strategy batch."""
-    w = (Window.partitionBy("strategy").orderBy("example_id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return scored.select(
+    base = scored.select("strategy", "example_id", "input_tokens", "output_tokens",
+                         F.col("cost_usd").alias("cost"))
+    r = running_sums(base, "strategy", "example_id", ["input_tokens", "output_tokens", "cost"])
+    return r.select(
         "strategy", "example_id", "input_tokens", "output_tokens",
-        F.round("cost_usd", 8).alias("cost_usd"),
-        F.sum("input_tokens").over(w).alias("running_input_tokens"),
-        F.sum("output_tokens").over(w).alias("running_output_tokens"),
-        F.round(F.sum("cost_usd").over(w), 8).alias("running_cost_usd"))
+        F.round("cost", 8).alias("cost_usd"),
+        F.col("running_input_tokens").cast("bigint").alias("running_input_tokens"),
+        F.col("running_output_tokens").cast("bigint").alias("running_output_tokens"),
+        F.round("running_cost", 8).alias("running_cost_usd"))
