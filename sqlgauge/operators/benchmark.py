@@ -72,9 +72,10 @@ def replay_responses(spark: SparkSession) -> DataFrame:
 
 
 def schema_texts(spark: SparkSession, db: Database, sample_limit: int = 3,
-                 order_by_key: bool = True) -> DataFrame:
-    full = catalog.schema_text(spark, db, True, sample_limit, order_by_key)
-    return full.join(catalog.schema_text_min(spark, db), "db_id")
+                 order_by_key: bool = False) -> DataFrame:
+    cols = catalog.columns(spark, db)
+    full = catalog.schema_text(spark, db, True, sample_limit, order_by_key, cols)
+    return full.join(catalog.schema_text_min(spark, db, cols), "db_id")
 
 
 @dataclass
@@ -91,15 +92,18 @@ def run_benchmark(spark: SparkSession, databases: dict[str, Database], examples:
                   generated: DataFrame | None = None, responses: DataFrame | None = None,
                   prices: DataFrame | None = None, sample_limit: int = 3,
                   timeout_ms: int | None = None, parallelism: int = 8,
-                  out_dir: str | None = None) -> BenchmarkResult:
+                  out_dir: str | None = None,
+                  sample_order_by_key: bool = False) -> BenchmarkResult:
     """Score every (example, strategy) answer against its gold query.
 
     Give either ``generated`` (F1 output) or ``responses`` (a replay table).
+    Sample rows for the schema text are the first rows read (a minimal scan);
+    ``sample_order_by_key`` makes them repeatable at the cost of a full scan.
     """
     out_dir = out_dir or work_path(spark, "benchmark")
     texts = None
     for db in databases.values():
-        t = schema_texts(spark, db, sample_limit)
+        t = schema_texts(spark, db, sample_limit, sample_order_by_key)
         texts = t if texts is None else texts.unionByName(t)
     texts.write.mode("overwrite").parquet(f"{out_dir}/schema_texts")
     texts = spark.read.parquet(f"{out_dir}/schema_texts")

@@ -127,9 +127,9 @@ def _ordered_join(key_cols: list[str], order_col: str, text_col: str, sep: str):
         F.struct(F.col(order_col).alias("o"), F.col(text_col).alias("t")))), lambda x: x["t"]), sep)
 
 
-def ddl_text(spark: SparkSession, db: Database) -> DataFrame:
+def ddl_text(spark: SparkSession, db: Database, cols: DataFrame | None = None) -> DataFrame:
     """(db_id, table_name, ddl) -- CREATE TABLE text per table."""
-    cols = columns(spark, db)
+    cols = columns(spark, db) if cols is None else cols
     col_lines = cols.select(
         "db_id", "table_name", F.col("ordinal").alias("o"),
         F.concat(F.lit("  "), F.col("column_name"), F.lit(" "), F.upper("data_type"),
@@ -155,9 +155,9 @@ def ddl_text(spark: SparkSession, db: Database) -> DataFrame:
 
 
 def sample_text(spark: SparkSession, db: Database, limit: int = 3,
-                order_by_key: bool = False) -> DataFrame:
+                order_by_key: bool = False, cols: DataFrame | None = None) -> DataFrame:
     """C11: (db_id, table_name, sample_block); tables without rows are absent."""
-    cols = columns(spark, db)
+    cols = columns(spark, db) if cols is None else cols
     header = (cols.groupBy("db_id", "table_name")
               .agg(_ordered_join([], "ordinal", "column_name", " | ").alias("header")))
     rows = samples(spark, db, limit, order_by_key).select(
@@ -172,11 +172,13 @@ def sample_text(spark: SparkSession, db: Database, limit: int = 3,
 
 
 def schema_text(spark: SparkSession, db: Database, include_samples: bool = True,
-                limit: int = 3, order_by_key: bool = False) -> DataFrame:
+                limit: int = 3, order_by_key: bool = False,
+                cols: DataFrame | None = None) -> DataFrame:
     """(db_id, schema_text): DDL (+ samples) per table by name, blank line between."""
-    ddl = ddl_text(spark, db)
+    cols = columns(spark, db) if cols is None else cols
+    ddl = ddl_text(spark, db, cols)
     if include_samples:
-        smp = sample_text(spark, db, limit, order_by_key)
+        smp = sample_text(spark, db, limit, order_by_key, cols)
         ddl = ddl.join(smp, ["db_id", "table_name"], "left").select(
             "db_id", "table_name",
             F.when(F.col("sample_block").isNotNull(),
@@ -188,9 +190,9 @@ def schema_text(spark: SparkSession, db: Database, include_samples: bool = True,
         _ordered_join([], "table_name", "block", "\n\n").alias("schema_text"))
 
 
-def schema_text_min(spark: SparkSession, db: Database) -> DataFrame:
+def schema_text_min(spark: SparkSession, db: Database, cols: DataFrame | None = None) -> DataFrame:
     """(db_id, schema_text_min): ``table(col, col)`` per line."""
-    cols = columns(spark, db)
+    cols = columns(spark, db) if cols is None else cols
     per_table = cols.groupBy("db_id", "table_name").agg(
         _ordered_join([], "ordinal", "column_name", ", ").alias("c"))
     lines = per_table.select("db_id", "table_name",

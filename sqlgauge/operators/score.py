@@ -29,8 +29,8 @@ def fingerprints(results: DataFrame) -> DataFrame:
     """(run_id, fp_n, fp_a, fp_b): row count and two order-free hash sums."""
     return results.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("fp_n"),
-        F.sum(F.xxhash64("cells").cast("decimal(38,0)")).alias("fp_a"),
-        F.sum(F.hash("cells").cast("decimal(38,0)")).alias("fp_b"),
+        F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("fp_a"),
+        F.sum(F.hash("row").cast("decimal(38,0)")).alias("fp_b"),
     )
 
 
@@ -64,11 +64,11 @@ def compare_runs(run_pairs: DataFrame, results: DataFrame) -> DataFrame:
     n_todo = todo.count()
     if n_todo:
         plus = _join_pairs(results, todo, "gold_run_id", n_todo).select(
-            "gold_run_id", "gen_run_id", "cells", F.lit(1).alias("sign"))
+            "gold_run_id", "gen_run_id", "row", F.lit(1).alias("sign"))
         minus = _join_pairs(results, todo, "gen_run_id", n_todo).select(
-            "gold_run_id", "gen_run_id", "cells", F.lit(-1).alias("sign"))
+            "gold_run_id", "gen_run_id", "row", F.lit(-1).alias("sign"))
         exact = (plus.unionByName(minus)
-                 .groupBy("gold_run_id", "gen_run_id", "cells").agg(F.sum("sign").alias("d"))
+                 .groupBy("gold_run_id", "gen_run_id", "row").agg(F.sum("sign").alias("d"))
                  .groupBy("gold_run_id", "gen_run_id").agg(F.bool_and(F.col("d") == 0).alias("exact")))
     else:
         exact = todo.withColumn("exact", F.lit(True))

@@ -111,7 +111,7 @@ def tier_histogram() -> str:
 
 def feature_counts() -> str:
     parts = " UNION ALL ".join(
-        f"SELECT '{n}' AS feature, count_if(f_{n}) AS n FROM cls" for n, _ in FEATURE_TIERS)
+        f"SELECT '{n}' AS feature, CAST(count_if(f_{n}) AS BIGINT) AS n FROM cls" for n, _ in FEATURE_TIERS)
     return (f"WITH {classify_cte(derived.query_log_sql())[1:]} "
             f"SELECT feature, n FROM ({parts}) x WHERE n > 0")
 
@@ -428,16 +428,17 @@ def score_verdict(db_name, tables, keys) -> str:
 def strategy_report(db_name, tables, keys) -> str:
     return benchmark_with(db_name, tables, keys) + (
         "SELECT strategy, CAST(sum(CAST(correct AS BIGINT)) AS BIGINT) AS n_correct, count(*) AS n, "
-        "round(sum(cost_usd), 6) AS cost_usd, CASE WHEN count(*) > 0 THEN "
-        "round(100.0 * sum(CAST(correct AS BIGINT)) / count(*), 2) ELSE 0.0 END AS accuracy_pct "
+        "round(sum(cost_usd), 6) AS cost_usd, CAST(CASE WHEN count(*) > 0 THEN "
+        "round(100.0 * sum(CAST(correct AS BIGINT)) / count(*), 2) ELSE 0.0 END AS DOUBLE) AS accuracy_pct "
         "FROM scored GROUP BY strategy")
 
 
 def overall_report(db_name, tables, keys) -> str:
     return benchmark_with(db_name, tables, keys) + (
         "SELECT CAST(coalesce(sum(CAST(correct AS BIGINT)), 0) AS BIGINT) AS n_correct, count(*) AS n, "
-        "round(coalesce(sum(cost_usd), 0.0), 6) AS cost_usd, CASE WHEN count(*) > 0 THEN "
-        "round(100.0 * sum(CAST(correct AS BIGINT)) / count(*), 2) ELSE 0.0 END AS accuracy_pct FROM scored")
+        "round(coalesce(sum(cost_usd), 0.0), 6) AS cost_usd, CAST(CASE WHEN count(*) > 0 THEN "
+        "round(100.0 * sum(CAST(correct AS BIGINT)) / count(*), 2) ELSE 0.0 END AS DOUBLE) AS accuracy_pct "
+        "FROM scored")
 
 
 def question_report(db_name, tables, keys) -> str:
@@ -458,7 +459,7 @@ def cost_report(db_name, tables, keys) -> str:
 # ---- G6 and P keys ----
 
 def normalise_rows(sql: str) -> str:
-    return ("SELECT o_orderkey, concat_ws('|', *COLUMNS(* EXCLUDE (k))) AS row_text FROM "
+    return ("SELECT k AS o_orderkey, concat_ws('|', *COLUMNS(* EXCLUDE (k))) AS row_text FROM "
             "(SELECT o_orderkey AS k, coalesce(CAST(COLUMNS(*) AS VARCHAR), 'None') FROM "
             f"({sql}) q) r")
 
@@ -470,7 +471,7 @@ def benchmark_cube(db_name, tables, keys) -> str:
         ", sc AS (SELECT s.*, c.tier FROM scored s JOIN cls c ON c.g_example_id = s.example_id) "
         "SELECT model, strategy, tier, CAST(GROUPING(model, strategy, tier) AS BIGINT) AS level, "
         "count(*) AS n, CAST(sum(CAST(correct AS BIGINT)) AS BIGINT) AS n_correct, "
-        "round(100.0 * sum(CAST(correct AS BIGINT)) / count(*), 2) AS accuracy_pct, "
+        "CAST(round(100.0 * sum(CAST(correct AS BIGINT)) / count(*), 2) AS DOUBLE) AS accuracy_pct, "
         "round(sum(cost_usd), 6) AS cost_usd FROM sc GROUP BY CUBE (model, strategy, tier)")
 
 

@@ -77,9 +77,14 @@ class Database:
     name: str
     paths: dict[str, str]
     keys: KeyMetadata = field(default_factory=KeyMetadata)
+    _frames: dict = field(default_factory=dict, repr=False, compare=False)
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
-        return spark.read.parquet(self.paths[table])
+        """The table as a DataFrame; one file listing and footer read per session."""
+        key = (id(spark), table)
+        if key not in self._frames:
+            self._frames[key] = spark.read.parquet(self.paths[table])
+        return self._frames[key]
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         return {t: self.read(spark, t) for t in sorted(self.paths)}
