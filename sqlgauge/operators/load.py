@@ -121,25 +121,16 @@ def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str |
                     (c for c in ccols if c["pk_position"]), key=lambda c: c["pk_position"]))
                 if pk:
                     keys.primary_keys[t] = pk
-            bad = reduce(DataFrame.unionByName, audits).where("n_bad > 0").limit(1).collect()
+            bad = (reduce(DataFrame.unionByName, audits).where("n_bad > 0")
+                   .orderBy("table_name", "column_name").limit(1).collect())
             if bad:
                 error = f"{bad[0]['table_name']}.{bad[0]['column_name']}: value does not fit " \
                         f"{bad[0]['target_type'].upper()}"
-        if error is None and keys.primary_keys:
-            pkc = validate.pk_check(frames, keys.primary_keys).where("verdict <> 'ok'").limit(1).collect()
-            if pkc:
-                error = f"{pkc[0]['table_name']}: primary key {pkc[0]['verdict']}"
+        if error is None:
+            error = first_key_error(frames, keys)
         if error is not None:
             return (db_id, False, 0, 0, error), None
-        db_path = f"{target.rstrip('/')}/{sanitize_text(db_id)}"
-        n_rows, paths = 0, {}
-        for t in tables:
-            clean_t = sanitize_text(t)
-            obs = Observation(f"load_{db_id}_{t}")
-            frames[t].observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite") \
-                .parquet(f"{db_path}/{clean_t}")
-            n_rows += int(obs.get.get("n", 0))
-            paths[clean_t] = f"{db_path}/{clean_t}"
+        paths, n_rows = write_tables(frames, target, db_id)
         for r in fk_rows:
             if r["db_id"] == db_id:
                 keys.foreign_keys.append(ForeignKey(
@@ -158,7 +149,7 @@ def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str |
             if db is not None:
                 loaded[db_id] = db
     cols.unpersist()
-    log = spark.createDataFrame(logs, "db_id string, ok boolean, tables bigint, rows bigint, error string")
+    log = spark.createDataFrame(logs, LOG_SCHEMA)
     fk_parts = [validate.fk_check(db.tables(spark), db.keys.foreign_keys).withColumn(
         "db_id", F.lit(name)) for name, db in loaded.items() if db.keys.foreign_keys]
     fks = (reduce(DataFrame.unionByName, fk_parts) if fk_parts else
@@ -166,6 +157,78 @@ def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str |
     return LoadResult(log, validate.load_stats(log), fks, loaded)
 
 
+LOG_SCHEMA = "db_id string, ok boolean, tables bigint, rows bigint, error string"
+
+
+def first_key_error(frames: dict[str, DataFrame], keys: KeyMetadata) -> str | None:
+    """The first table (by name) whose primary key is violated, as an error text."""
+    if not keys.primary_keys:
+        return None
+    bad = (validate.pk_check(frames, keys.primary_keys).where("verdict <> 'ok'")
+           .orderBy("table_name").limit(1).collect())
+    return f"{bad[0]['table_name']}: primary key {bad[0]['verdict']}" if bad else None
+
+
+def write_tables(frames: dict[str, DataFrame], target: str, db_id: str) -> tuple[dict, int]:
+    """Write every table of one database; row counts come from ``observe``."""
+    db_path = f"{target.rstrip('/')}/{sanitize_text(db_id)}"
+    n_rows, paths = 0, {}
+    for t in sorted(frames):
+        clean_t = sanitize_text(t)
+        obs = Observation(f"load_{db_id}_{t}")
+        frames[t].observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite") \
+            .parquet(f"{db_path}/{clean_t}")
+        n_rows += int(obs.get.get("n", 0))
+        paths[clean_t] = f"{db_path}/{clean_t}"
+    return paths, n_rows
+
+
+def load_databases(spark: SparkSession, databases: list[Database], target: str, *,
+                   replace: bool = False, parallelism: int = 8) -> LoadResult:
+    """A6-A9 for databases that are already typed (parquet folders).
+
+    Per database: names cleaned (B2) and checked for collisions (B3), primary
+    keys checked (B5); a failing database is reported and not written, the
+    others load in parallel; foreign keys are checked after the writes (B6).
+    """
+    if os.path.exists(target) and os.listdir(target) and not replace:
+        raise FileExistsError(f"{target} exists; pass replace=True to reload")
+
+    def load_one(db: Database):
+        tables = db.tables(spark)
+        names = [(db.name, t, c) for t, df in tables.items() for c in df.columns]
+        names += [(db.name, "", t) for t in tables]
+        coll = validate.name_collisions(spark.createDataFrame(
+            names, "db_id string, table_name string, raw_name string")).limit(1).collect()
+        if coll:
+            return (db.name, False, 0, 0, "column or table names collide after cleaning"), None
+        error = first_key_error(tables, db.keys)
+        if error is not None:
+            return (db.name, False, 0, 0, error), None
+        frames = {t: df.toDF(*[sanitize_text(c) for c in df.columns]) for t, df in tables.items()}
+        paths, n_rows = write_tables(frames, target, db.name)
+        keys = KeyMetadata(
+            {sanitize_text(t): tuple(sanitize_text(c) for c in v) for t, v in db.keys.primary_keys.items()
+             if t in tables},
+            [ForeignKey(sanitize_text(f.table), tuple(map(sanitize_text, f.columns)),
+                        sanitize_text(f.ref_table), tuple(map(sanitize_text, f.ref_columns)))
+             for f in db.keys.foreign_keys if f.table in tables and f.ref_table in tables])
+        return (db.name, True, len(tables), n_rows, None), Database(sanitize_text(db.name), paths, keys)
+
+    logs, loaded = [], {}
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        for db, (row, out) in zip(databases, pool.map(load_one, databases)):
+            logs.append(row)
+            if out is not None:
+                loaded[db.name] = out
+    log = spark.createDataFrame(logs, LOG_SCHEMA)
+    fk_parts = [validate.fk_check(d.tables(spark), d.keys.foreign_keys).withColumn("db_id", F.lit(n))
+                for n, d in loaded.items() if d.keys.foreign_keys]
+    fks = (reduce(DataFrame.unionByName, fk_parts) if fk_parts else
+           spark.createDataFrame([], "db_id string, fk_name string, status string"))
+    return LoadResult(log, validate.load_stats(log), fks, loaded)
+
+
 def sanitize_text(name: str) -> str:
     """The B2 rule for one identifier on the driver (table and database names)."""
     import re

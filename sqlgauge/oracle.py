@@ -496,3 +496,25 @@ def similar_topk(k: int) -> str:
         "CAST(e.embedding AS DOUBLE[])) AS score FROM cent, embeddings e), "
         "r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s) "
         f"SELECT label, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= {k}")
+
+
+def load_log(dbs: list[tuple[str, list[str]]], keys) -> str:
+    """Per database: loaded when every keyed table passes; else the first
+    failing table (by name) is the error and nothing is counted."""
+    per_db = []
+    for name, tables in dbs:
+        checks = pk_check(keys, tables)
+        per_db.append(
+            f"SELECT {lit(name)} AS db_id, count(CASE WHEN verdict <> 'ok' THEN 1 END) = 0 AS ok, "
+            "count(*) AS tables, sum(n_rows) AS rows, "
+            "min(CASE WHEN verdict <> 'ok' THEN table_name || ': primary key ' || verdict END) AS error "
+            f"FROM ({checks}) k")
+    body = " UNION ALL ".join(per_db)
+    return ("SELECT db_id, ok, CAST(CASE WHEN ok THEN tables ELSE 0 END AS BIGINT) AS tables, "
+            "CAST(CASE WHEN ok THEN rows ELSE 0 END AS BIGINT) AS rows, error "
+            f"FROM ({body}) d")
+
+
+def bench_examples(n: int) -> str:
+    return (f"WITH {classify_cte(derived.query_log_sql())[1:]} "
+            f"SELECT log_id, query, tier, label FROM cls ORDER BY log_id LIMIT {n}")

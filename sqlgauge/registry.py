@@ -120,6 +120,19 @@ def q_load_stats(spark, sf):
     return VD.load_stats(VD.load_plan(spark, test_databases(sf)))
 
 
+def q_load_databases(spark, sf):
+    """Load both test databases into a fresh folder under the checkpoint dir."""
+    from sqlgauge.operators.load import load_databases
+    res = load_databases(spark, test_databases(sf), work_path(spark, "warehouse"))
+    return res.log
+
+
+def q_bench_examples(spark, sf):
+    """The first 20 log entries (by position) with their tier label."""
+    c = QL.classified_log(spark, sf)
+    return c.orderBy("log_id").limit(20).select("log_id", "query", "tier", "label")
+
+
 # ---- C: catalog profiling of the shop database ----
 
 def q_cat_row_counts(spark, sf):
@@ -307,6 +320,8 @@ def queries() -> dict[str, Query]:
         "pk_check": q_pk_check,
         "fk_check": q_fk_check,
         "load_stats": q_load_stats,
+        "load_databases": q_load_databases,
+        "bench_examples": q_bench_examples,
         "prompt_set": q_prompt_set,
         "generate_replay": q_generate_replay,
         "run_errors": q_run_errors,
@@ -361,6 +376,9 @@ def oracle_sql() -> dict[str, str]:
         "fk_check": oracle.fk_check(TEST_KEYS.foreign_keys, TABLE_NAMES),
         "load_stats": oracle.load_stats([("shop", SHOP_TABLES), ("corpus", CORPUS_TABLES)],
                                         TEST_KEYS.primary_keys),
+        "load_databases": oracle.load_log([("shop", SHOP_TABLES), ("corpus", CORPUS_TABLES)],
+                                          TEST_KEYS.primary_keys),
+        "bench_examples": oracle.bench_examples(20),
         "strip_literals": oracle.strip_literals(),
         "select_count": oracle.select_count(),
         "classify": oracle.classify(),

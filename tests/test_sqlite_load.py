@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import sqlite3
 
+import pytest
+
 from sqlgauge.operators import catalog as C
 from sqlgauge.operators.load import load_sqlite_dir
 from sqlgauge.sources import sqlite as S
@@ -87,3 +89,22 @@ def test_bad_values_fail_the_database(spark, tmp_path):
     res = load_sqlite_dir(spark, str(root), str(tmp_path / "wh"))
     r = res.log.first()
     assert not r["ok"] and "does not fit BIGINT" in r["error"]
+
+
+def test_load_parquet_databases(spark, tmp_path):
+    from sqlgauge.operators.load import load_databases
+    from sqlgauge.sources.tables import parquet_dir_database
+    sf = "/root/testdata/sf0.001"
+    shop = parquet_dir_database(sf, name="shop", tables=["orders", "lineitem", "customer"])
+    corpus = parquet_dir_database(sf, name="corpus", tables=["documents", "labels"])
+    res = load_databases(spark, [shop, corpus], str(tmp_path / "wh"))
+    log = {r["db_id"]: r for r in res.log.collect()}
+    assert not log["shop"]["ok"] and log["shop"]["error"] == "lineitem: primary key duplicate key"
+    assert log["corpus"]["ok"] and log["corpus"]["tables"] == 2
+    n = spark.read.parquet(f"{sf}/documents.parquet").count() + spark.read.parquet(f"{sf}/labels.parquet").count()
+    assert log["corpus"]["rows"] == n
+    assert not (tmp_path / "wh" / "shop").exists()
+    fk = {r["fk_name"]: r["status"] for r in res.foreign_keys.collect()}
+    assert fk == {"fk_labels_doc_id_documents": "accepted", "fk_documents_doc_id_labels": "skipped"}
+    with pytest.raises(FileExistsError):
+        load_databases(spark, [corpus], str(tmp_path / "wh"))
