@@ -81,6 +81,16 @@ def strip_ws(c: Column) -> Column:
     return F.trim(c, F.lit(_WS))
 
 
+def _guarded(text: Column, needles: list[str], regex_test: Column) -> Column:
+    """``regex_test``, evaluated only when ``text`` holds one of the literal
+    ``needles`` the pattern cannot match without (a cheap substring scan)."""
+    pre = None
+    for n in needles:
+        c = text.contains(n)
+        pre = c if pre is None else (pre | c)
+    return F.when(pre, regex_test).otherwise(F.lit(False))
+
+
 def strip_literals(sql: Column) -> Column:
     """Replace string literals with empty ones: ``'a''b'`` -> ``''``.
 
@@ -88,16 +98,18 @@ def strip_literals(sql: Column) -> Column:
     of adjacent marks (one doubled-quote literal) into a single ``''``.  The
     same is then done for double quotes.  Input holding U+0001 itself next to
     a literal would fold too; that character does not occur in SQL text.
+    Text without a quote character skips the regexes.
     """
-    s = F.regexp_replace(sql, "'[^']*'", _MARK)
-    s = F.regexp_replace(s, _MARK + "+", "''")
-    s = F.regexp_replace(s, '"[^"]*"', _MARK)
-    return F.regexp_replace(s, _MARK + "+", '""')
+    s1 = F.regexp_replace(F.regexp_replace(sql, "'[^']*'", _MARK), _MARK + "+", "''")
+    s = F.when(sql.contains("'"), s1).otherwise(sql)
+    s2 = F.regexp_replace(F.regexp_replace(s, '"[^"]*"', _MARK), _MARK + "+", '""')
+    return F.when(s.contains('"'), s2).otherwise(s)
 
 
 def count_selects(normalised: Column) -> Column:
     """Number of ``select`` words (on lower-cased, literal-free text)."""
-    return F.regexp_count(normalised, F.lit(RX_SELECT))
+    return F.when(normalised.contains("select"), F.regexp_count(normalised, F.lit(RX_SELECT))) \
+        .otherwise(F.lit(0))
 
 
 def normalise_sql(query: Column) -> Column:
@@ -107,27 +119,32 @@ def normalise_sql(query: Column) -> Column:
 
 def from_segment(s: Column) -> Column:
     """Text between the first FROM and the next clause word (or the end)."""
-    return F.regexp_extract(s, RX_FROM_SEGMENT, 1)
+    return F.when(s.contains("from"), F.regexp_extract(s, RX_FROM_SEGMENT, 1)).otherwise(F.lit(""))
 
 
 def feature_flags(s: Column, n_select: Column, segment: Column | None = None,
                   has_cte: Column | None = None) -> dict[str, Column]:
     """Boolean Column per feature, given normalised text and its select count."""
     segment = from_segment(s) if segment is None else segment
-    has_cte = s.rlike(RX_CTE) if has_cte is None else has_cte
+    has_cte = cte_flag(s) if has_cte is None else has_cte
     return {
-        "join": s.rlike(RX_JOIN) | (segment.contains(",") & ~segment.contains("select")),
-        "aggregate": s.rlike(RX_AGG),
-        "group_by": s.rlike(RX_GROUP_BY),
-        "having": s.rlike(RX_HAVING),
+        "join": _guarded(s, ["join"], s.rlike(RX_JOIN))
+                | (segment.contains(",") & ~segment.contains("select")),
+        "aggregate": _guarded(s, ["("], s.rlike(RX_AGG)),
+        "group_by": _guarded(s, ["group"], s.rlike(RX_GROUP_BY)),
+        "having": _guarded(s, ["having"], s.rlike(RX_HAVING)),
         "subquery": (n_select > 1) & ~has_cte,
-        "set_operation": s.rlike(RX_SETOP),
-        "window_function": s.rlike(RX_WINDOW),
+        "set_operation": _guarded(s, SET_OPERATORS, s.rlike(RX_SETOP)),
+        "window_function": _guarded(s, ["over"], s.rlike(RX_WINDOW)),
         "cte": has_cte,
         "deep_nesting": n_select >= 3,
     }
 
 
+def cte_flag(s: Column) -> Column:
+    return _guarded(s, ["with"], s.rlike(RX_CTE))
+
+
 def tier_label(tier: Column) -> Column:
     m = F.create_map(*[x for k, v in TIER_LABELS.items() for x in (F.lit(k), F.lit(v))])
     return m[tier]
@@ -145,7 +162,7 @@ def with_complexity(df: DataFrame, query_col: str = "query",
     out = df.withColumn(s_col, normalise_sql(F.col(query_col)))
     out = out.select("*", count_selects(F.col(s_col)).alias(n_col),
                      from_segment(F.col(s_col)).alias(seg_col),
-                     F.col(s_col).rlike(RX_CTE).alias(cte_col))
+                     cte_flag(F.col(s_col)).alias(cte_col))
     flags = feature_flags(F.col(s_col), F.col(n_col), F.col(seg_col), F.col(cte_col))
     flag_cols = {f"__qlog_f_{k}": v for k, v in flags.items()}
     out = out.select("*", *[v.alias(k) for k, v in flag_cols.items()])
@@ -178,5 +195,6 @@ def extract_sql(text: Column) -> Column:
     for "no match" and "empty block", hence the explicit ``rlike`` test.
     """
     t = F.coalesce(text, F.lit(""))
-    body = F.when(t.rlike(RX_FENCE), F.regexp_extract(t, RX_FENCE, 1)).otherwise(t)
+    fenced = _guarded(t, ["```"], t.rlike(RX_FENCE))
+    body = F.when(fenced, F.regexp_extract(t, RX_FENCE, 1)).otherwise(t)
     return strip_ws(F.rtrim(strip_ws(body), F.lit(";")))
