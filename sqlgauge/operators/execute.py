@@ -15,7 +15,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -27,6 +27,9 @@ from sqlgauge.session import work_path
 from sqlgauge.sources.tables import Database
 
 DEFAULT_TIMEOUT_MS = 5000
+# After a run's deadline, how long to wait for its job to honour the cancel
+# before giving up on it (a job that ignores cancels must not hang the batch).
+CANCEL_GRACE_S = 30.0
 NULL_TEXT = "None"
 
 EXECUTION_SCHEMA = T.StructType([
@@ -181,11 +184,32 @@ def run_batch(spark: SparkSession, runs: DataFrame, databases: dict[str, Databas
         rows.append((run_id, db_id, sql, False, f"database {db_id} does not exist",
                      "SCHEMA_NOT_FOUND", False, None, None, 0))
     todo = [p for p in plan if p[1] in databases]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        futures = [pool.submit(_run_one, spark, sessions, databases[db_id], run_id, sql,
-                               out_dir, timeout_ms, strict_null, allow_qualified)
-                   for run_id, db_id, sql in todo]
-        rows.extend(f.result() for f in futures)
+    started: dict[str, float] = {}
+
+    def run(run_id, db_id, sql):
+        started[run_id] = time.time()
+        return _run_one(spark, sessions, databases[db_id], run_id, sql, out_dir, timeout_ms,
+                        strict_null, allow_qualified)
+
+    pool = ThreadPoolExecutor(max_workers=max(1, parallelism))
+    futures = {pool.submit(run, *p): p for p in todo}
+    pending = set(futures)
+    limit_s = timeout_ms / 1000.0 + CANCEL_GRACE_S
+    try:
+        while pending:
+            done, pending = wait(pending, timeout=1.0, return_when=FIRST_COMPLETED)
+            rows.extend(f.result() for f in done)
+            now = time.time()
+            for f in list(pending):
+                run_id, db_id, sql = futures[f]
+                if run_id in started and now - started[run_id] > limit_s:
+                    # Outer limit: the cancel was ignored; stop waiting for this run.
+                    pending.discard(f)
+                    rows.append((run_id, db_id, sql, False,
+                                 f"statement timeout: canceled after {timeout_ms} ms", "TIMEOUT",
+                                 True, None, None, int((now - started[run_id]) * 1000)))
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
     log = spark.createDataFrame(rows, EXECUTION_SCHEMA)
     log.write.mode("overwrite").parquet(f"{out_dir}/executions")
     executions = spark.read.parquet(f"{out_dir}/executions")

@@ -133,3 +133,24 @@ def test_strict_null_rendering(spark):
     assert list(cells) == ["None", "None", "1.0", "true"]
     strict = df.select(X.render_cells(df, strict_null=True).alias("c")).first()["c"]
     assert strict[0] is None
+
+
+def test_outer_limit_when_cancel_is_ignored(spark, tmp_path, monkeypatch):
+    import time as _time
+    real = X._run_one
+
+    def stuck(spark_, sessions, db, run_id, sql, *a):
+        if run_id == "stuck":
+            _time.sleep(8)        # a job that never honours its cancel
+        return real(spark_, sessions, db, run_id, sql, *a)
+
+    monkeypatch.setattr(X, "_run_one", stuck)
+    monkeypatch.setattr(X, "CANCEL_GRACE_S", 0.5)
+    db = parquet_dir_database(SF, name="shop")
+    runs = _runs(spark, [("stuck", "shop", "SELECT 1"), ("fine", "shop", "SELECT 2")])
+    t0 = _time.time()
+    rr = X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "r"), timeout_ms=200)
+    ex = {r["run_id"]: r for r in rr.executions.collect()}
+    assert _time.time() - t0 < 7
+    assert ex["stuck"]["timed_out"] and ex["stuck"]["error_class"] == "TIMEOUT"
+    assert ex["fine"]["success"]
