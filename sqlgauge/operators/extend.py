@@ -77,9 +77,18 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 5,
         qmat = _unit(np.array([np.asarray(r["qvec"], dtype=np.float64) for r in rows]))
         bq = spark.sparkContext.broadcast((qids, qmat))
 
-        def score(batches: Iterator[pd.DataFrame], bq=bq) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame], bq=bq, k=k) -> Iterator[pd.DataFrame]:
             # A running top-k per query over all batches of this task: the task
-            # emits k rows per query, not k per batch.
+            # emits k rows per query, not k per batch.  Self-contained (only
+            # numpy/pandas), so workers need no copy of this package.
+            import numpy as np
+            import pandas as pd
+
+            def _unit(m):
+                n = np.linalg.norm(m, axis=1, keepdims=True)
+                n[n == 0] = 1.0
+                return m / n
+
             ids, qm = bq.value
             best_c = [np.empty(0, dtype=np.int64) for _ in ids]
             best_s = [np.empty(0) for _ in ids]

@@ -69,3 +69,27 @@ def env_cpus(default: int = 8) -> int:
         return int(os.environ.get("BENCH_CPUS", default))
     except ValueError:
         return default
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (once per context).
+
+    Needed where Spark pickles our classes by reference (the SQLite data
+    source); the zip travels through Spark's own file distribution.
+    """
+    import zipfile
+
+    import sqlgauge
+    sc = spark.sparkContext
+    if getattr(sc, "_sqlgauge_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(sqlgauge.__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="sqlgauge-code-"), "sqlgauge.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    sc._sqlgauge_shipped = True

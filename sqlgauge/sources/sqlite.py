@@ -159,6 +159,8 @@ class SqliteDirSource(DataSource):
 
 
 def register(spark) -> None:
+    from sqlgauge.session import ship_package
+    ship_package(spark)
     spark.dataSource.register(SqliteDirSource)
 
 
