@@ -108,3 +108,17 @@ def test_load_parquet_databases(spark, tmp_path):
     assert fk == {"fk_labels_doc_id_documents": "accepted", "fk_documents_doc_id_labels": "skipped"}
     with pytest.raises(FileExistsError):
         load_databases(spark, [corpus], str(tmp_path / "wh"))
+
+
+def test_catalog_listing(spark, tmp_path):
+    """User databases sorted; base tables only (views excluded)."""
+    loc = str(tmp_path / "ns")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS sg_listing LOCATION '{loc}'")
+    try:
+        spark.range(3).write.mode("overwrite").saveAsTable("sg_listing.b_table")
+        spark.range(2).write.mode("overwrite").saveAsTable("sg_listing.a_table")
+        spark.sql("CREATE OR REPLACE VIEW sg_listing.v AS SELECT * FROM sg_listing.a_table")
+        assert "sg_listing" in [r["schema_name"] for r in C.list_schemas(spark).collect()]
+        assert [r["table_name"] for r in C.list_tables(spark, "sg_listing").collect()] == ["a_table", "b_table"]
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS sg_listing CASCADE")
