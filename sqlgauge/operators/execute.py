@@ -103,6 +103,24 @@ def _error_class(exc: BaseException) -> str:
     return v or type(exc).__name__
 
 
+# PostgreSQL constructs Spark SQL rejects, with the Spark form to use instead.
+DIALECT_GAPS = [
+    ("(?i)\\bdistinct\\s+on\\s*\\(", "DISTINCT ON: use row_number() over a window, keep rank 1"),
+    ("\\s!?~\\*?\\s", "regex operator ~: use rlike / regexp"),
+    ("(?i)\\bfetch\\s+(first|next)\\b", "FETCH FIRST: use LIMIT"),
+    ("(?i)\\bgenerate_series\\s*\\(", "generate_series: use explode(sequence(...))"),
+]
+
+
+def with_dialect_hints(executions: DataFrame) -> DataFrame:
+    """Failed runs whose text uses a PostgreSQL-only construct get a hint
+    (reported, never rewritten)."""
+    hint = F.lit(None).cast("string")
+    for rx, text in reversed(DIALECT_GAPS):
+        hint = F.when(F.coalesce(F.col("sql"), F.lit("")).rlike(rx), F.lit(text)).otherwise(hint)
+    return executions.withColumn("dialect_hint", F.when(~F.col("success"), hint))
+
+
 @dataclass
 class RunResult:
     executions: DataFrame

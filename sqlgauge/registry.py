@@ -235,8 +235,8 @@ def q_generate_replay(spark, sf):
 
 
 def q_run_errors(spark, sf):
-    ex = benchmark(spark, sf).executions
-    return ex.where("NOT success").select("run_id", "sql", "error_class", "timed_out")
+    ex = EX.with_dialect_hints(benchmark(spark, sf).executions)
+    return ex.where("NOT success").select("run_id", "sql", "error_class", "timed_out", "dialect_hint")
 
 
 def q_prompt_set(spark, sf):

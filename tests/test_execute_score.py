@@ -154,3 +154,18 @@ def test_outer_limit_when_cancel_is_ignored(spark, tmp_path, monkeypatch):
     assert _time.time() - t0 < 7
     assert ex["stuck"]["timed_out"] and ex["stuck"]["error_class"] == "TIMEOUT"
     assert ex["fine"]["success"]
+
+
+def test_dialect_hints(spark, tmp_path):
+    db = parquet_dir_database(SF, name="shop")
+    runs = _runs(spark, [
+        ("d1", "shop", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders"),
+        ("d2", "shop", "SELECT * FROM customer WHERE c_name ~ 'Customer#0+1$'"),
+        ("d3", "shop", "SELECT * FROM orders FETCH FIRST 3 ROWS ONLY"),
+        ("d4", "shop", "SELECT * FROM generate_series(1, 3)"),
+        ("ok", "shop", "SELECT 1")])
+    rr = X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "r"))
+    got = {r["run_id"]: r["dialect_hint"] for r in X.with_dialect_hints(rr.executions).collect()}
+    assert got["d1"].startswith("DISTINCT ON") and got["d2"].startswith("regex operator")
+    assert got["d3"].startswith("FETCH FIRST") and got["d4"].startswith("generate_series")
+    assert got["ok"] is None
