@@ -122,7 +122,8 @@ def samples(spark: SparkSession, db: Database, limit: int = 3,
     return reduce(DataFrame.unionByName, parts)
 
 
-def _ordered_join(key_cols: list[str], order_col: str, text_col: str, sep: str):
+def _ordered_join(order_col: str, text_col: str, sep: str):
+    """Texts of a group joined by ``sep`` in ``order_col`` order (bounded groups only)."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct(F.col(order_col).alias("o"), F.col(text_col).alias("t")))), lambda x: x["t"]), sep)
 
@@ -137,7 +138,7 @@ def ddl_text(spark: SparkSession, db: Database, cols: DataFrame | None = None) -
         .alias("line"))
     pk = (cols.where(F.col("pk_position").isNotNull())
           .groupBy("db_id", "table_name")
-          .agg(_ordered_join([], "pk_position", "column_name", ", ").alias("k"))
+          .agg(_ordered_join("pk_position", "column_name", ", ").alias("k"))
           .select("db_id", "table_name", F.lit(100000).alias("o"),
                   F.concat(F.lit("  PRIMARY KEY ("), F.col("k"), F.lit(")")).alias("line")))
     fks = foreign_keys(spark, db)
@@ -148,7 +149,7 @@ def ddl_text(spark: SparkSession, db: Database, cols: DataFrame | None = None) -
                  F.col("ref_table"), F.lit(" ("), F.array_join("ref_columns", ", "), F.lit(")"))
         .alias("line"))
     lines = col_lines.unionByName(pk).unionByName(fk_lines.select("db_id", "table_name", "o", "line"))
-    body = lines.groupBy("db_id", "table_name").agg(_ordered_join([], "o", "line", ",\n").alias("b"))
+    body = lines.groupBy("db_id", "table_name").agg(_ordered_join("o", "line", ",\n").alias("b"))
     return body.select("db_id", "table_name", F.concat(
         F.lit("CREATE TABLE "), F.col("table_name"), F.lit(" (\n"), F.col("b"),
         F.lit("\n);")).alias("ddl"))
@@ -159,12 +160,12 @@ def sample_text(spark: SparkSession, db: Database, limit: int = 3,
     """C11: (db_id, table_name, sample_block); tables without rows are absent."""
     cols = columns(spark, db) if cols is None else cols
     header = (cols.groupBy("db_id", "table_name")
-              .agg(_ordered_join([], "ordinal", "column_name", " | ").alias("header")))
+              .agg(_ordered_join("ordinal", "column_name", " | ").alias("header")))
     rows = samples(spark, db, limit, order_by_key).select(
         "db_id", "table_name", "sample_pos", F.array_join("cells", " | ").alias("row_text"))
     body = (rows.groupBy("db_id", "table_name")
             .agg(F.count(F.lit(1)).alias("n"),
-                 _ordered_join([], "sample_pos", "row_text", "\n").alias("body")))
+                 _ordered_join("sample_pos", "row_text", "\n").alias("body")))
     return body.join(header, ["db_id", "table_name"]).select(
         "db_id", "table_name",
         F.concat(F.lit("/* "), F.col("n").cast("string"), F.lit(" example row(s):\n"),
@@ -187,19 +188,19 @@ def schema_text(spark: SparkSession, db: Database, include_samples: bool = True,
     else:
         ddl = ddl.select("db_id", "table_name", F.col("ddl").alias("block"))
     return ddl.groupBy("db_id").agg(
-        _ordered_join([], "table_name", "block", "\n\n").alias("schema_text"))
+        _ordered_join("table_name", "block", "\n\n").alias("schema_text"))
 
 
 def schema_text_min(spark: SparkSession, db: Database, cols: DataFrame | None = None) -> DataFrame:
     """(db_id, schema_text_min): ``table(col, col)`` per line."""
     cols = columns(spark, db) if cols is None else cols
     per_table = cols.groupBy("db_id", "table_name").agg(
-        _ordered_join([], "ordinal", "column_name", ", ").alias("c"))
+        _ordered_join("ordinal", "column_name", ", ").alias("c"))
     lines = per_table.select("db_id", "table_name",
                              F.concat(F.col("table_name"), F.lit("("), F.col("c"), F.lit(")"))
                              .alias("line"))
     return lines.groupBy("db_id").agg(
-        _ordered_join([], "table_name", "line", "\n").alias("schema_text_min"))
+        _ordered_join("table_name", "line", "\n").alias("schema_text_min"))
 
 
 def profile(spark: SparkSession, db: Database, sample_limit: int = 3,

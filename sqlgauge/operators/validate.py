@@ -130,8 +130,7 @@ def fk_check(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> DataFrame:
     return out.withColumn("status", status).withColumn("reason", reason)
 
 
-def load_plan(spark: SparkSession, databases: list[Database],
-              names: DataFrame | None = None) -> DataFrame:
+def load_plan(spark: SparkSession, databases: list[Database]) -> DataFrame:
     """A9/B7 log without writing: per database, would the load succeed?
 
     A database fails as a whole when a table's primary key is violated or

@@ -63,9 +63,6 @@ tiered AS (SELECT *, CAST({tier} AS INTEGER) AS tier, {feats} AS features FROM f
 cls AS (SELECT *, {label} AS label FROM tiered)"""
 
 
-PY_WS = None
-
-
 def python_ws_lit() -> str:
     from sqlgauge.functions.querylog import python_whitespace
     return lit(python_whitespace())

@@ -60,10 +60,6 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     return f"{base}/{tail}/{leaf}".rstrip("/")
 
 
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
 def env_cpus(default: int = 8) -> int:
     try:
         return int(os.environ.get("BENCH_CPUS", default))

@@ -103,6 +103,3 @@ def parquet_dir_database(sf_dir: str, name: str = "testdb",
     paths = {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in names}
     return Database(name, paths, keys if keys is not None else TEST_KEYS)
 
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
