@@ -121,6 +121,22 @@ def with_dialect_hints(executions: DataFrame) -> DataFrame:
     return executions.withColumn("dialect_hint", F.when(~F.col("success"), hint))
 
 
+class _LazySessions:
+    """One isolated session per database, built on first use by a worker
+    thread (in parallel across databases; never for unused databases)."""
+
+    def __init__(self, spark: SparkSession, databases: dict[str, Database]):
+        self.spark, self.databases = spark, databases
+        self._made: dict[str, SparkSession] = {}
+        self._locks = {name: threading.Lock() for name in databases}
+
+    def __getitem__(self, name: str) -> SparkSession:
+        with self._locks[name]:
+            if name not in self._made:
+                self._made[name] = run_session(self.spark, self.databases[name])
+            return self._made[name]
+
+
 @dataclass
 class RunResult:
     executions: DataFrame
@@ -195,7 +211,7 @@ def run_batch(spark: SparkSession, runs: DataFrame, databases: dict[str, Databas
     out_dir = out_dir or work_path(spark, "runs")
     plan = [(r["run_id"], r["db_id"], r["sql"])
             for r in runs.select("run_id", "db_id", "sql").distinct().collect()]
-    sessions = {name: run_session(spark, db) for name, db in databases.items()}
+    sessions = _LazySessions(spark, databases)
     rows: list[tuple] = []
     missing = [p for p in plan if p[1] not in databases]
     for run_id, db_id, sql in missing:
