@@ -144,14 +144,14 @@ class RunResult:
     out_dir: str
 
 
-def _run_one(spark: SparkSession, sessions: dict, db: Database, run_id: str,
+def _run_one(spark: SparkSession, sessions, db_id: str, run_id: str,
              sql: str, out_dir: str, timeout_ms: int, strict_null: bool,
              allow_qualified: bool) -> tuple:
     started = time.time()
     text = (sql or "").strip()
     if not text:
         # No statement, no result set: success with no rows.
-        return (run_id, db.name, sql, True, None, None, False, [], 0, 0)
+        return (run_id, db_id, sql, True, None, None, False, [], 0, 0)
     sc = spark.sparkContext
     tag = f"sqlgauge-run-{run_id}-{uuid.uuid4().hex[:8]}"
     timed_out = threading.Event()
@@ -162,7 +162,7 @@ def _run_one(spark: SparkSession, sessions: dict, db: Database, run_id: str,
 
     timer = threading.Timer(timeout_ms / 1000.0, cancel)
     try:
-        s = sessions[db.name]
+        s = sessions[db_id]
         guard.check_parsed(s, text, allow_qualified)
         df = s.sql(text)
         guard.check_analyzed(df)
@@ -184,16 +184,16 @@ def _run_one(spark: SparkSession, sessions: dict, db: Database, run_id: str,
             # come before the job started): a timeout, as a statement timeout is.
             raise TimeoutError
         n = int(obs.get.get("n", 0))
-        return (run_id, db.name, sql, True, None, None, False, columns, n, ms)
+        return (run_id, db_id, sql, True, None, None, False, columns, n, ms)
     except Exception as exc:  # noqa: BLE001 - a failed query is data (G4)
         ms = int((time.time() - started) * 1000)
         if timed_out.is_set():
-            return (run_id, db.name, sql, False,
+            return (run_id, db_id, sql, False,
                     f"statement timeout: canceled after {timeout_ms} ms",
                     "TIMEOUT", True, None, None, ms)
         if isinstance(exc, guard.GuardError):
-            return (run_id, db.name, sql, False, _first_line(exc), "READ_ONLY", False, None, None, ms)
-        return (run_id, db.name, sql, False, _first_line(exc), _error_class(exc),
+            return (run_id, db_id, sql, False, _first_line(exc), "READ_ONLY", False, None, None, ms)
+        return (run_id, db_id, sql, False, _first_line(exc), _error_class(exc),
                 False, None, None, ms)
 
 
@@ -222,7 +222,7 @@ def run_batch(spark: SparkSession, runs: DataFrame, databases: dict[str, Databas
 
     def run(run_id, db_id, sql):
         started[run_id] = time.time()
-        return _run_one(spark, sessions, databases[db_id], run_id, sql, out_dir, timeout_ms,
+        return _run_one(spark, sessions, db_id, run_id, sql, out_dir, timeout_ms,
                         strict_null, allow_qualified)
 
     pool = ThreadPoolExecutor(max_workers=max(1, parallelism))

@@ -229,6 +229,23 @@ def load_databases(spark: SparkSession, databases: list[Database], target: str,
     return LoadResult(log, validate.load_stats(log), fks, loaded)
 
 
+def register_in_catalog(spark: SparkSession, db: Database, namespace: str | None = None,
+                        replace: bool = False) -> Database:
+    """Make a loaded database one catalog namespace (one per db_id): each table
+    an external parquet table at its loaded path.  Recreating an existing
+    namespace drops it, so that needs ``replace=True``."""
+    ns = namespace or db.name
+    exists = ns in [d.name for d in spark.catalog.listDatabases()]
+    if exists and not replace:
+        raise FileExistsError(f"namespace {ns} exists; pass replace=True to recreate it")
+    if exists:
+        spark.sql(f"DROP DATABASE `{ns}` CASCADE")
+    spark.sql(f"CREATE DATABASE `{ns}`")
+    for t, path in sorted(db.paths.items()):
+        spark.sql(f"CREATE TABLE `{ns}`.`{t}` USING parquet LOCATION '{path}'")
+    return Database(ns, {t: f"{ns}.{t}" for t in db.paths}, db.keys, namespace=ns)
+
+
 def sanitize_text(name: str) -> str:
     """The B2 rule for one identifier on the driver (table and database names)."""
     import re

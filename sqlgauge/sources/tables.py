@@ -77,20 +77,26 @@ class Database:
     name: str
     paths: dict[str, str]
     keys: KeyMetadata = field(default_factory=KeyMetadata)
+    namespace: str | None = None      # set when the tables live in a catalog namespace
     _frames: dict = field(default_factory=dict, repr=False, compare=False)
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
         """The table as a DataFrame; one file listing and footer read per session."""
         key = (id(spark), table)
         if key not in self._frames:
-            self._frames[key] = spark.read.parquet(self.paths[table])
+            self._frames[key] = (spark.table(f"`{self.namespace}`.`{table}`") if self.namespace
+                                 else spark.read.parquet(self.paths[table]))
         return self._frames[key]
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         return {t: self.read(spark, t) for t in sorted(self.paths)}
 
     def register(self, spark: SparkSession) -> SparkSession:
-        """Expose every table by its unqualified name as a temp view."""
+        """Expose every table by its unqualified name: the current database
+        of the session for a catalog namespace, else one temp view per table."""
+        if self.namespace:
+            spark.catalog.setCurrentDatabase(self.namespace)
+            return spark
         for t in self.paths:
             self.read(spark, t).createOrReplaceTempView(t)
         return spark
@@ -103,3 +109,12 @@ def parquet_dir_database(sf_dir: str, name: str = "testdb",
     paths = {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in names}
     return Database(name, paths, keys if keys is not None else TEST_KEYS)
 
+
+
+def catalog_database(spark: SparkSession, namespace: str,
+                     keys: KeyMetadata | None = None) -> Database:
+    """A catalog namespace as a Database (base tables only, views excluded)."""
+    tables = [t.name for t in spark.catalog.listTables(namespace)
+              if not t.isTemporary and (t.tableType or "").upper() != "VIEW"]
+    return Database(namespace, {t: f"{namespace}.{t}" for t in tables},
+                    keys or KeyMetadata(), namespace=namespace)

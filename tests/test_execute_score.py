@@ -139,10 +139,10 @@ def test_outer_limit_when_cancel_is_ignored(spark, tmp_path, monkeypatch):
     import time as _time
     real = X._run_one
 
-    def stuck(spark_, sessions, db, run_id, sql, *a):
+    def stuck(spark_, sessions, db_id, run_id, sql, *a):
         if run_id == "stuck":
             _time.sleep(8)        # a job that never honours its cancel
-        return real(spark_, sessions, db, run_id, sql, *a)
+        return real(spark_, sessions, db_id, run_id, sql, *a)
 
     monkeypatch.setattr(X, "_run_one", stuck)
     monkeypatch.setattr(X, "CANCEL_GRACE_S", 0.5)

@@ -68,3 +68,32 @@ def test_reordered_answers_score_correct(spark, loaded, tmp_path):
     p = spark.createDataFrame(pairs, "example_id string, gold_run_id string, gen_run_id string")
     v = S.verdicts(p, rr.executions, rr.results)
     assert v.where(~F.col("correct")).count() == 0
+
+
+def test_catalog_namespaces(spark, loaded, tmp_path):
+    """One namespace per database; runs resolve unqualified names in it."""
+    from sqlgauge.operators import catalog as C
+    from sqlgauge.operators.load import register_in_catalog
+    from sqlgauge.sources.tables import catalog_database
+    dbs = {}
+    try:
+        for name, db in loaded.databases.items():
+            dbs[name] = register_in_catalog(spark, db, f"sg_{name}", replace=True)
+        assert {"sg_college_1", "sg_pets_1"} <= {r["schema_name"] for r in C.list_schemas(spark).collect()}
+        assert [r["table_name"] for r in C.list_tables(spark, "sg_pets_1").collect()] == ["owner", "pet"]
+        cat = {n: catalog_database(spark, f"sg_{n}", d.keys) for n, d in dbs.items()}
+        runs = spark.createDataFrame([(f"g{i}", db, q) for i, (db, _, q) in enumerate(SAMPLE_EXAMPLES)],
+                                     "run_id string, db_id string, sql string")
+        rr = X.run_batch(spark, runs, cat, out_dir=str(tmp_path / "r"))
+        assert rr.executions.where("NOT success").count() == 0
+        got = {tuple(json.loads(r["row"])) for r in rr.results.where("run_id = 'g0'").collect()}
+        assert got == ANSWERS[0]
+        # a run session stays inside its namespace: other databases are refused
+        bad = spark.createDataFrame([("x", "college_1", "SELECT * FROM sg_pets_1.pet")],
+                                    "run_id string, db_id string, sql string")
+        r = X.run_batch(spark, bad, cat, out_dir=str(tmp_path / "b")).executions.first()
+        assert r["error_class"] == "READ_ONLY"
+        assert spark.catalog.currentDatabase() == "default"
+    finally:
+        for n in dbs:
+            spark.sql(f"DROP DATABASE IF EXISTS sg_{n} CASCADE")
