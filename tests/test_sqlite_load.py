@@ -122,3 +122,23 @@ def test_catalog_listing(spark, tmp_path):
         assert [r["table_name"] for r in C.list_tables(spark, "sg_listing").collect()] == ["a_table", "b_table"]
     finally:
         spark.sql("DROP DATABASE IF EXISTS sg_listing CASCADE")
+
+
+def test_fk_without_target_columns_uses_parent_key(spark, tmp_path):
+    root = tmp_path / "src"
+    (root / "d").mkdir(parents=True)
+    conn = sqlite3.connect(root / "d" / "d.sqlite")
+    conn.execute("CREATE TABLE parent (a INTEGER, b INTEGER, PRIMARY KEY (a, b))")
+    conn.execute("CREATE TABLE child (id INTEGER PRIMARY KEY, x INTEGER, y INTEGER, "
+                 "FOREIGN KEY (x, y) REFERENCES parent)")
+    conn.executemany("INSERT INTO parent VALUES (?, ?)", [(1, 1), (1, 2)])
+    conn.executemany("INSERT INTO child VALUES (?, ?, ?)", [(1, 1, 2), (2, 1, 3), (3, None, 9)])
+    conn.commit()
+    conn.close()
+    fks = S.read(spark, str(root), "foreign_keys").collect()
+    assert all(r["ref_column"] is None for r in fks)          # what SQLite reports
+    res = load_sqlite_dir(spark, str(root), str(tmp_path / "wh"))
+    fk = res.foreign_keys.first()
+    assert (fk["columns"], fk["ref_columns"]) == ("x, y", "a, b")
+    # (1,3) has no parent; (NULL, 9) passes (MATCH SIMPLE)
+    assert (fk["n_child_rows"], fk["n_checked"], fk["n_orphan_rows"], fk["status"]) == (3, 2, 1, "skipped")
