@@ -127,8 +127,10 @@ def score_generated(spark: SparkSession, databases: dict[str, Database], example
                .withColumn("gen_run_id", run_id(F.col("db_id"), F.col("sql")))
     gens.write.mode("overwrite").parquet(f"{out_dir}/generations")
     gens = spark.read.parquet(f"{out_dir}/generations")
+    # Failed model calls have no query to run.
     runs = (gens.select(F.col("gold_run_id").alias("run_id"), "db_id", F.col("gold_sql").alias("sql"))
-            .unionByName(gens.select(F.col("gen_run_id").alias("run_id"), "db_id", "sql")))
+            .unionByName(gens.where(F.col("error").isNull())
+                         .select(F.col("gen_run_id").alias("run_id"), "db_id", "sql")))
     rr = execute.run_batch(spark, runs, databases, out_dir=f"{out_dir}/runs",
                            timeout_ms=timeout_ms, parallelism=parallelism)
     scored = score.verdicts(gens, rr.executions, rr.results)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sqlgauge.functions.querylog import extract_sql, strip_ws
 
 GENERATED_SCHEMA = ("example_id string, strategy string, model string, response string, "
-                    "input_tokens bigint, output_tokens bigint")
+                    "input_tokens bigint, output_tokens bigint, error string")
 
 # ---- fixed values: USD per million tokens (input, output) per model class ----
 DEFAULT_PRICES = [
@@ -52,43 +52,63 @@ def with_cost(df: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def generate(prompts: DataFrame, client_factory: Callable[[], object], model: str,
-             partitions: int | None = None, temperature: float = 0.0) -> DataFrame:
+             partitions: int | None = None, temperature: float = 0.0,
+             concurrency: int = 4) -> DataFrame:
     """one model call per prompt row, in Python workers, Arrow-batched.
 
     ``client_factory()`` returns an object with
-    ``generate(system, user, max_tokens, temperature) -> (text, in_tokens, out_tokens)``.
-    Text is stripped.  Returns GENERATED_SCHEMA rows.
+    ``generate(system, user, max_tokens, temperature) -> (text, in_tokens, out_tokens)``;
+    one client per task.  Calls are I/O-bound, so each task runs up to
+    ``concurrency`` at once.  A failed call is a row with ``error`` set (text
+    NULL, no tokens), never a failed task: a task retry would repeat -- and
+    pay for -- every call of its partition.  Text is stripped.
     """
     src = prompts.select("example_id", "strategy", "system", "user", "max_tokens")
     if partitions:
         src = src.repartition(partitions)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from concurrent.futures import ThreadPoolExecutor
+
         client = client_factory()
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
+
+        def one(r):
+            try:
                 text, n_in, n_out = client.generate(r.system, r.user, int(r.max_tokens), temperature)
-                out.append((r.example_id, r.strategy, model, (text or "").strip(),
-                            int(n_in), int(n_out)))
-            yield pd.DataFrame(out, columns=["example_id", "strategy", "model", "response",
-                                             "input_tokens", "output_tokens"])
+                return (r.example_id, r.strategy, model, (text or "").strip(), int(n_in), int(n_out), None)
+            except Exception as exc:  # noqa: BLE001 - a failed call is data
+                msg = (str(exc).strip().splitlines() or [type(exc).__name__])[0]
+                return (r.example_id, r.strategy, model, None, None, None, msg)
+
+        with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+            for pdf in batches:
+                out = list(pool.map(one, pdf.itertuples(index=False)))
+                yield pd.DataFrame(out, columns=["example_id", "strategy", "model", "response",
+                                                 "input_tokens", "output_tokens", "error"])
 
     return src.mapInPandas(call, GENERATED_SCHEMA)
 
 
 def generate_once(spark: SparkSession, prompts: DataFrame, client_factory, model: str,
                   path: str, partitions: int | None = None) -> DataFrame:
-    """F1 with resume: call only for keys not yet written under ``path``, append them."""
+    """F1 with resume: call only for keys without a good answer under ``path``
+    (never answered, or failed), append them; the latest answer per key wins."""
     todo = prompts
     try:
-        done = spark.read.parquet(path).select("example_id", "strategy", "model")
+        done = (spark.read.parquet(path).where(F.col("error").isNull())
+                .select("example_id", "strategy", "model"))
         todo = prompts.withColumn("model", F.lit(model)).join(
             done, ["example_id", "strategy", "model"], "left_anti").drop("model")
     except Exception:  # noqa: BLE001 - nothing written yet
         pass
     generate(todo, client_factory, model, partitions).write.mode("append").parquet(path)
-    return spark.read.parquet(path).where(F.col("model") == model)
+    out = spark.read.parquet(path).where(F.col("model") == model)
+    # A key answered after earlier failures keeps only its good answer.
+    good = out.where(F.col("error").isNull())
+    failed = out.where(F.col("error").isNotNull()).join(
+        good.select("example_id", "strategy"), ["example_id", "strategy"], "left_anti").dropDuplicates(
+        ["example_id", "strategy"])
+    return good.unionByName(failed)
 
 
 def approx_tokens(text) -> object:
@@ -103,7 +123,8 @@ def replay(prompts: DataFrame, responses: DataFrame, model: str = DEFAULT_MODEL)
         "example_id", "strategy", F.lit(model).alias("model"),
         strip_ws(F.col("response")).alias("response"),
         approx_tokens(F.concat("system", "user")).alias("input_tokens"),
-        approx_tokens(strip_ws(F.col("response"))).alias("output_tokens"))
+        approx_tokens(strip_ws(F.col("response"))).alias("output_tokens"),
+        F.lit(None).cast("string").alias("error"))
 
 
 def generations(prompts: DataFrame, generated: DataFrame, prices: DataFrame) -> DataFrame:
@@ -111,4 +132,7 @@ def generations(prompts: DataFrame, generated: DataFrame, prices: DataFrame) ->
     g = generated.join(prompts.select("example_id", "strategy", "db_id", "question"),
                        ["example_id", "strategy"], "inner")
     g = g.withColumn("sql", extract_sql(F.col("response")))
-    return with_cost(g, prices)
+    out = with_cost(g, prices)
+    # A failed call has no answer and costs nothing; its empty SQL scores as failed.
+    return out.withColumn("cost_usd", F.when(F.col("error").isNull(), F.col("cost_usd"))
+                          .otherwise(F.lit(0.0)))

@@ -95,15 +95,20 @@ def verdicts(pairs: DataFrame, executions: DataFrame, results: DataFrame) -> Dat
     s = (pairs.join(g, "gold_run_id", "left").join(n, "gen_run_id", "left")
          .join(eq, ["gold_run_id", "gen_run_id"], "left"))
     gold_ok = F.coalesce(F.col("gold_ok"), F.lit(False))
-    gen_ok = F.coalesce(F.col("gen_ok"), F.lit(False))
+    # A model call that failed (generation ``error``) produced no query at all.
+    gen_error = F.col("error") if "error" in pairs.columns else F.lit(None).cast("string")
+    gen_ok = F.coalesce(F.col("gen_ok"), F.lit(False)) & gen_error.isNull()
     equal = F.coalesce(F.col("equal"), F.lit(False))
     reason = (F.when(~gold_ok, F.concat(F.lit("gold query failed: "),
                                          F.coalesce(F.col("gold_error"), F.lit("not run"))))
+              .when(gen_error.isNotNull(), F.concat(F.lit("generation failed: "), gen_error))
               .when(~gen_ok, F.concat(F.lit("generated query failed: "),
                                       F.coalesce(F.col("gen_error"), F.lit("not run"))))
               .when(equal, F.lit("result sets match"))
               .otherwise(F.lit("result sets differ")))
-    verdict = (F.when(~gold_ok, F.lit("gold_failed")).when(~gen_ok, F.lit("generated_failed"))
+    verdict = (F.when(~gold_ok, F.lit("gold_failed"))
+               .when(gen_error.isNotNull(), F.lit("generation_failed"))
+               .when(~gen_ok, F.lit("generated_failed"))
                .when(equal, F.lit("match")).otherwise(F.lit("differ")))
     # Equality is only defined when both runs produced a result.
     return (s.withColumn("equal", F.when(gold_ok & gen_ok, equal))

@@ -35,3 +35,20 @@ def test_two_databases(spark, tmp_path):
     assert scored["c2"]["reason"].startswith("gold query failed: ")
     rep = R.strategy_report(res.scored).first()
     assert (rep["n"], rep["n_correct"]) == (3, 2)
+
+
+def test_failed_generation_is_reported(spark, tmp_path):
+    from sqlgauge.operators import generate as G
+    from sqlgauge.operators import prompts as P
+    shop = parquet_dir_database(SF, name="shop", tables=["orders"])
+    ex = spark.createDataFrame([("s1", "shop", "How many orders?", "SELECT count(*) FROM orders")],
+                               "example_id string, db_id string, question string, gold_sql string")
+    texts = B.schema_texts(spark, shop)
+    ps = P.build_prompts(ex, texts, ["zero_shot"])
+    gen = spark.createDataFrame([("s1", "zero_shot", "model-s", None, None, None, "rate limited")],
+                                G.GENERATED_SCHEMA)
+    res = B.score_generated(spark, {"shop": shop}, ex, ps, gen, out_dir=str(tmp_path / "b"))
+    r = res.scored.first()
+    assert not r["correct"] and r["verdict"] == "generation_failed"
+    assert r["reason"] == "generation failed: rate limited" and r["cost_usd"] == 0.0
+    assert res.executions.count() == 1            # only the gold query ran

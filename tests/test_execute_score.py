@@ -106,7 +106,9 @@ def test_multiset_scoring(spark, tmp_path):
     for name, gold, gen, _ in CASES:
         runs += [(f"{name}_g", "shop", _values_sql(gold)), (f"{name}_n", "shop", _values_sql(gen))]
         pairs.append((name, f"{name}_g", f"{name}_n"))
-    rr = X.run_batch(spark, _runs(spark, runs), {"shop": db}, out_dir=str(tmp_path / "r"))
+    # Scoring semantics, not timeouts: allow for a busy machine.
+    rr = X.run_batch(spark, _runs(spark, runs), {"shop": db}, out_dir=str(tmp_path / "r"),
+                     timeout_ms=120_000)
     p = spark.createDataFrame(pairs, "example_id string, gold_run_id string, gen_run_id string")
     got = {r["example_id"]: r for r in S.verdicts(p, rr.executions, rr.results).collect()}
     for name, _, _, want in CASES:
@@ -141,7 +143,7 @@ def test_outer_limit_when_cancel_is_ignored(spark, tmp_path, monkeypatch):
 
     def stuck(spark_, sessions, db_id, run_id, sql, *a):
         if run_id == "stuck":
-            _time.sleep(8)        # a job that never honours its cancel
+            _time.sleep(20)       # a job that never honours its cancel
         return real(spark_, sessions, db_id, run_id, sql, *a)
 
     monkeypatch.setattr(X, "_run_one", stuck)
@@ -151,7 +153,7 @@ def test_outer_limit_when_cancel_is_ignored(spark, tmp_path, monkeypatch):
     t0 = _time.time()
     rr = X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "r"), timeout_ms=200)
     ex = {r["run_id"]: r for r in rr.executions.collect()}
-    assert _time.time() - t0 < 7
+    assert _time.time() - t0 < 15
     assert ex["stuck"]["timed_out"] and ex["stuck"]["error_class"] == "TIMEOUT"
     assert ex["fine"]["success"]
 

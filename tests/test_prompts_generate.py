@@ -75,3 +75,33 @@ def test_generate_once_resumes(spark, tmp_path):
     out = G.generate_once(spark, ps, EchoClient, "model-s", path)
     assert out.count() == 8
     assert out.groupBy("example_id", "strategy").count().where("count > 1").count() == 0
+
+
+class FlakyClient:
+    """Fails on every prompt of example e2 until the marker file exists."""
+
+    def __init__(self, marker):
+        self.marker = marker
+
+    def generate(self, system, user, max_tokens, temperature):
+        import os
+        if "Which?" in user and not os.path.exists(self.marker):
+            raise RuntimeError("upstream overloaded\nretry later")
+        return "SELECT 1", 10, 2
+
+
+def test_failed_calls_are_data_and_resume(spark, tmp_path):
+    import functools
+    ex, texts = _inputs(spark)
+    ps = P.build_prompts(ex, texts)
+    marker = str(tmp_path / "ok")
+    factory = functools.partial(FlakyClient, marker)
+    path = str(tmp_path / "gen")
+    first = G.generate_once(spark, ps, factory, "model-s", path, partitions=2).collect()
+    errs = [r for r in first if r["error"]]
+    assert len(first) == 8 and len(errs) == 4 and errs[0]["error"] == "upstream overloaded"
+    cost = G.generations(ps, spark.read.parquet(path), G.price_table(spark))
+    assert cost.where("error IS NOT NULL AND cost_usd <> 0").count() == 0
+    open(marker, "w").close()          # the upstream recovers
+    second = G.generate_once(spark, ps, factory, "model-s", path, partitions=2).collect()
+    assert len(second) == 8 and not [r for r in second if r["error"]]
