@@ -123,14 +123,15 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 5,
 
 
 def label_centroids(df: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
-    """Mean vector per label: per (label, position) averages, reassembled in order.
-
-    Groups are (label, dimension) pairs: bounded by labels x dimensions.
-    """
-    parts = df.select(label, F.posexplode(vec).alias("pos", "x"))
-    avg = parts.groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return avg.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))),
-                                              lambda s: s["m"]).alias("centroid"))
+    """Mean vector per label with Spark ML's ``Summarizer``: a JVM aggregate
+    over whole vectors with map-side partials -- no explode into one row per
+    dimension, and each group's state is one vector."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = df.select(label, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    means = v.groupBy(label).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    return means.select(label, vector_to_array("_m").alias("centroid"))
 
 
 # --------------------------------------------------------- P3: repair gain
