@@ -106,6 +106,11 @@ def tier_histogram() -> str:
             "SELECT tier, n, repeat('#', CAST(floor(40 * n / greatest((SELECT sum(n) FROM h), 1)) AS INTEGER)) AS bar FROM h")
 
 
+def tier_counts() -> str:
+    return (f"WITH {classify_cte(derived.query_log_sql())[1:]} "
+            "SELECT tier, count(*) AS n FROM cls GROUP BY tier")
+
+
 def feature_counts() -> str:
     parts = " UNION ALL ".join(
         f"SELECT '{n}' AS feature, CAST(count_if(f_{n}) AS BIGINT) AS n FROM cls" for n, _ in FEATURE_TIERS)

@@ -301,6 +301,32 @@ def q_history(spark, sf):
                                                F.sum(F.col("correct").cast("bigint")).alias("n_correct"))
 
 
+def q_stream_classify(spark, sf):
+    """The classifier as a file stream: the whole derived log arrives as
+    several files, one micro-batch each, into a parquet sink."""
+    from sqlgauge.streaming import querylog as SQ
+    src, sink = work_path(spark, "stream-src"), work_path(spark, "stream-sink")
+    derived.query_log(spark, sf).repartition(4).write.parquet(src)
+    q = SQ.start_classifier(spark, src, sink, work_path(spark, "stream-ckpt"),
+                            available_now=True, max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("log_id", "source", "tier", "features", "label")
+
+
+def q_stream_tier_counts(spark, sf):
+    """Running tier counts as streaming state over the whole log (complete
+    mode; the state is at most five rows)."""
+    import uuid
+
+    from sqlgauge.streaming import querylog as SQ
+    src = work_path(spark, "stream-src")
+    derived.query_log(spark, sf).repartition(4).write.parquet(src)
+    name = f"tier_counts_{uuid.uuid4().hex[:8]}"
+    q = SQ.start_tier_counts(spark, src, name, work_path(spark, "stream-ckpt"), available_now=True)
+    q.awaitTermination()
+    return spark.table(name).select("tier", F.col("n").cast("bigint").alias("n"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return q_strategy_report(spark, sf)
 
@@ -336,6 +362,8 @@ def queries() -> dict[str, Query]:
         "similar_topk": q_similar_topk,
         "repair_gain": q_repair_gain,
         "history": q_history,
+        "stream_classify": q_stream_classify,
+        "stream_tier_counts": q_stream_tier_counts,
         "guard_report": q_guard_report,
         "strategy_report": q_strategy_report,
         "overall_report": q_overall_report,
@@ -362,6 +390,8 @@ def oracle_sql() -> dict[str, str]:
         "question_report": oracle.question_report("shop", SHOP_TABLES, TEST_KEYS),
         "cost_report": oracle.cost_report("shop", SHOP_TABLES, TEST_KEYS),
         "normalise_rows": oracle.normalise_rows(NORMALISE_SQL),
+        "stream_classify": oracle.classify(),
+        "stream_tier_counts": oracle.tier_counts(),
         "benchmark_cube": oracle.benchmark_cube("shop", SHOP_TABLES, TEST_KEYS),
         "similar_topk": oracle.similar_topk(5),
         "repair_gain": oracle.repair_gain("shop", SHOP_TABLES, TEST_KEYS),

@@ -36,10 +36,11 @@ def classified_stream(spark: SparkSession, source_dir: str, schema: str = LOG_SC
 
 def start_classifier(spark: SparkSession, source_dir: str, sink_dir: str,
                      checkpoint_dir: str | None = None, available_now: bool = False,
-                     schema: str = LOG_SCHEMA) -> StreamingQuery:
+                     schema: str = LOG_SCHEMA, max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Append classified rows to ``sink_dir`` (parquet), exactly once."""
     ckpt = checkpoint_dir or work_path(spark, "stream-ckpt", "classify")
-    w = (classified_stream(spark, source_dir, schema).withColumn("features", F.array_join("features", ","))
+    w = (classified_stream(spark, source_dir, schema, max_files_per_trigger=max_files_per_trigger)
+         .withColumn("features", F.array_join("features", ","))
          .writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", ckpt).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
