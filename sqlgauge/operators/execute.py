@@ -1,13 +1,20 @@
 """Batch execution of SQL runs: read-only, timed out, failures as data.
 
-Each distinct (database, SQL) pair is one run.  The driver submits runs from
-a bounded thread pool; every run is its own Spark job under a job tag, so a
-timer can cancel exactly that job.  A run's rows never reach the driver: they
-are rendered to string cells (one JSON text per row) and written to
-``<out>/results/run_id=<id>``
-under the shared checkpoint folder (the commit protocol publishes a run's
-folder only when its job succeeds).  The driver keeps one small log row per
-run (success, error first line, columns, row count, milliseconds).
+Each distinct (database, SQL) pair is one run.  Every statement is parsed,
+guarded and analysed on its own (errors there cost no job).  Runs are then
+executed in chunks of one database: one Spark job under one job tag writes
+the rows of all members, and a timer cancels exactly that job.  A chunk that
+finishes within one statement timeout proves each member did (no member did
+more work than the whole job); a chunk that fails or runs long is split and
+its members run one job each, so verdicts, errors and timeouts stay exact
+per run while small queries share one job's overhead.
+
+A run's rows never reach the driver: they are rendered to string cells (one
+JSON text per row) and written under the shared checkpoint folder, one
+folder per job (concurrent writers never share a path); the commit protocol
+publishes a folder only when its job succeeds.  The driver keeps one small
+log row per run: success, first error line, columns, row count,
+milliseconds (the job's, for chunk members) and where its rows are.
 """
 
 from __future__ import annotations
@@ -17,6 +24,7 @@ import time
 import uuid
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +51,7 @@ EXECUTION_SCHEMA = T.StructType([
     T.StructField("columns", T.ArrayType(T.StringType()), True),
     T.StructField("n_rows", T.LongType(), True),
     T.StructField("ms", T.LongType(), True),
+    T.StructField("result_path", T.StringType(), True),
 ])
 
 
@@ -144,16 +153,34 @@ class RunResult:
     out_dir: str
 
 
-def _run_one(spark: SparkSession, sessions, db_id: str, run_id: str,
-             sql: str, out_dir: str, timeout_ms: int, strict_null: bool,
-             allow_qualified: bool) -> tuple:
-    started = time.time()
-    text = (sql or "").strip()
-    if not text:
-        # No statement, no result set: success with no rows.
-        return (run_id, db_id, sql, True, None, None, False, [], 0, 0)
+def _log(run_id, db_id, sql, ok, error=None, error_class=None, timed_out=False,
+         columns=None, n_rows=None, ms=0, path=None) -> tuple:
+    return (run_id, db_id, sql, ok, error, error_class, timed_out, columns, n_rows, ms, path)
+
+
+def _failure(run_id, db_id, sql, exc: BaseException, ms: int) -> tuple:
+    if isinstance(exc, guard.GuardError):
+        return _log(run_id, db_id, sql, False, _first_line(exc), "READ_ONLY", ms=ms)
+    return _log(run_id, db_id, sql, False, _first_line(exc), _error_class(exc), ms=ms)
+
+
+def _prepare(session: SparkSession, sql: str, allow_qualified: bool) -> DataFrame:
+    """Parse, guard and analyse one statement (no job runs)."""
+    guard.check_parsed(session, sql, allow_qualified)
+    df = session.sql(sql)
+    guard.check_analyzed(df)
+    return df
+
+
+def _rows_frame(run_id: str, df: DataFrame, strict_null: bool) -> DataFrame:
+    pos = positional(df)
+    return pos.select(F.lit(run_id).alias("run_id"), row_key(pos, strict_null).alias("row"))
+
+
+def _timed_write(spark: SparkSession, out: DataFrame, path: str, timeout_ms: int) -> bool:
+    """Write under a job tag with a cancel timer; True when the deadline passed."""
     sc = spark.sparkContext
-    tag = f"sqlgauge-run-{run_id}-{uuid.uuid4().hex[:8]}"
+    tag = f"sqlgauge-run-{uuid.uuid4().hex}"
     timed_out = threading.Event()
 
     def cancel() -> None:
@@ -161,87 +188,161 @@ def _run_one(spark: SparkSession, sessions, db_id: str, run_id: str,
         sc.cancelJobsWithTag(tag)
 
     timer = threading.Timer(timeout_ms / 1000.0, cancel)
+    sc.addJobTag(tag)
+    timer.start()
     try:
-        s = sessions[db_id]
-        guard.check_parsed(s, text, allow_qualified)
-        df = s.sql(text)
-        guard.check_analyzed(df)
-        columns = list(df.columns)
-        obs = Observation(f"n_{run_id}")
-        pos = positional(df)
-        out = pos.select(row_key(pos, strict_null).alias("row")).observe(
-            obs, F.count(F.lit(1)).alias("n"))
-        sc.addJobTag(tag)
-        timer.start()
-        try:
-            out.write.mode("overwrite").parquet(f"{out_dir}/results/run_id={run_id}")
-        finally:
-            timer.cancel()
-            sc.removeJobTag(tag)
-        ms = int((time.time() - started) * 1000)
+        out.write.mode("overwrite").parquet(path)
+    except Exception:
         if timed_out.is_set():
-            # The deadline passed before the job finished (its cancel may have
-            # come before the job started): a timeout, as a statement timeout is.
-            raise TimeoutError
-        n = int(obs.get.get("n", 0))
-        return (run_id, db_id, sql, True, None, None, False, columns, n, ms)
-    except Exception as exc:  # noqa: BLE001 - a failed query is data (G4)
+            return True
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+    # The deadline may pass before the job ends (or before it starts, so the
+    # cancel found nothing): still a timeout, as a statement timeout is.
+    return timed_out.is_set()
+
+
+def _run_one(spark: SparkSession, sessions, db_id: str, run_id: str,
+             sql: str, out_dir: str, timeout_ms: int, strict_null: bool,
+             allow_qualified: bool) -> tuple:
+    """One run as its own job."""
+    started = time.time()
+    text = (sql or "").strip()
+    if not text:
+        # No statement, no result set: success with no rows.
+        return _log(run_id, db_id, sql, True, columns=[], n_rows=0)
+    try:
+        df = _prepare(sessions[db_id], text, allow_qualified)
+        obs = Observation(f"n_{run_id}_{uuid.uuid4().hex[:6]}")
+        out = _rows_frame(run_id, df, strict_null).observe(obs, F.count(F.lit(1)).alias("n"))
+        path = f"{out_dir}/results/run/{run_id}"
+        late = _timed_write(spark, out, path, timeout_ms)
         ms = int((time.time() - started) * 1000)
-        if timed_out.is_set():
-            return (run_id, db_id, sql, False,
-                    f"statement timeout: canceled after {timeout_ms} ms",
-                    "TIMEOUT", True, None, None, ms)
-        if isinstance(exc, guard.GuardError):
-            return (run_id, db_id, sql, False, _first_line(exc), "READ_ONLY", False, None, None, ms)
-        return (run_id, db_id, sql, False, _first_line(exc), _error_class(exc),
-                False, None, None, ms)
+        if late:
+            return _log(run_id, db_id, sql, False, f"statement timeout: canceled after {timeout_ms} ms",
+                        "TIMEOUT", True, ms=ms)
+        return _log(run_id, db_id, sql, True, columns=list(df.columns),
+                    n_rows=int(obs.get.get("n", 0)), ms=ms, path=path)
+    except Exception as exc:  # noqa: BLE001 - a failed query is data (G4)
+        return _failure(run_id, db_id, sql, exc, int((time.time() - started) * 1000))
+
+
+def _run_chunk(spark: SparkSession, sessions, db_id: str, items: list[tuple[str, str]],
+               out_dir: str, timeout_ms: int, strict_null: bool,
+               allow_qualified: bool) -> tuple[list[tuple], list[tuple[str, str]]]:
+    """Several runs of one database as one job.
+
+    Returns the decided log rows and the runs to retry one by one (all
+    prepared members, when the chunk job failed or passed the deadline).
+    """
+    if len(items) == 1:
+        return [_run_one(spark, sessions, db_id, items[0][0], items[0][1], out_dir, timeout_ms,
+                         strict_null, allow_qualified)], []
+    started = time.time()
+    rows, ready = [], []
+    for run_id, sql in items:
+        text = (sql or "").strip()
+        if not text:
+            rows.append(_log(run_id, db_id, sql, True, columns=[], n_rows=0))
+            continue
+        try:
+            ready.append((run_id, sql, _prepare(sessions[db_id], text, allow_qualified)))
+        except Exception as exc:  # noqa: BLE001
+            rows.append(_failure(run_id, db_id, sql, exc, int((time.time() - started) * 1000)))
+    if not ready:
+        return rows, []
+    union = reduce(DataFrame.unionByName, [_rows_frame(r, df, strict_null) for r, _, df in ready])
+    obs = Observation(f"chunk_{uuid.uuid4().hex[:12]}")
+    counts = [F.count_if(F.col("run_id") == F.lit(r)).alias(f"n{i}") for i, (r, _, _) in enumerate(ready)]
+    path = f"{out_dir}/results/chunk/{uuid.uuid4().hex}"
+    try:
+        late = _timed_write(spark, union.observe(obs, *counts), path, timeout_ms)
+    except Exception:  # noqa: BLE001 - some member fails at run time: split
+        late = True
+    if late:
+        return rows, [(r, sql) for r, sql, _ in ready]
+    ms = int((time.time() - started) * 1000)
+    got = obs.get
+    rows += [_log(r, db_id, sql, True, columns=list(df.columns), n_rows=int(got.get(f"n{i}", 0)),
+                  ms=ms, path=path) for i, (r, sql, df) in enumerate(ready)]
+    return rows, []
 
 
 def run_batch(spark: SparkSession, runs: DataFrame, databases: dict[str, Database],
               *, out_dir: str | None = None, timeout_ms: int | None = None,
               parallelism: int = 8, strict_null: bool = False,
-              allow_qualified: bool = False) -> RunResult:
+              allow_qualified: bool = False, chunk_size: int = 16) -> RunResult:
     """Run every (run_id, db_id, sql) row; return the run log and result cells.
 
     ``runs`` is a list of statements (metadata, one row per run), gathered
-    on the driver to submit one job per run; result rows stay on executors.
+    on the driver to submit jobs; result rows stay on executors.
     ``timeout_ms`` of 0/None falls back to the 5000 ms default (G3).
+    ``chunk_size`` bounds how many runs share one job (1: one job per run).
     """
     timeout_ms = timeout_ms or DEFAULT_TIMEOUT_MS
     out_dir = out_dir or work_path(spark, "runs")
     plan = [(r["run_id"], r["db_id"], r["sql"])
-            for r in runs.select("run_id", "db_id", "sql").distinct().collect()]
+            for r in runs.select("run_id", "db_id", "sql").distinct().orderBy("db_id", "run_id").collect()]
     sessions = _LazySessions(spark, databases)
     rows: list[tuple] = []
-    missing = [p for p in plan if p[1] not in databases]
-    for run_id, db_id, sql in missing:
-        rows.append((run_id, db_id, sql, False, f"database {db_id} does not exist",
-                     "SCHEMA_NOT_FOUND", False, None, None, 0))
+    for run_id, db_id, sql in plan:
+        if db_id not in databases:
+            rows.append(_log(run_id, db_id, sql, False, f"database {db_id} does not exist",
+                             "SCHEMA_NOT_FOUND"))
     todo = [p for p in plan if p[1] in databases]
-    started: dict[str, float] = {}
+    # Enough chunks to keep every worker busy, none larger than chunk_size.
+    size = max(1, min(chunk_size, -(-len(todo) // max(1, parallelism))))
+    by_db: dict[str, list[tuple[str, str]]] = {}
+    for run_id, db_id, sql in todo:
+        by_db.setdefault(db_id, []).append((run_id, sql))
+    chunks = [(db, items[i:i + size]) for db, items in by_db.items() for i in range(0, len(items), size)]
 
-    def run(run_id, db_id, sql):
-        started[run_id] = time.time()
-        return _run_one(spark, sessions, db_id, run_id, sql, out_dir, timeout_ms,
-                        strict_null, allow_qualified)
+    started: dict[int, float] = {}
+
+    def work(token: int, db_id: str, items: list[tuple[str, str]]):
+        started[token] = time.time()
+        return _run_chunk(spark, sessions, db_id, items, out_dir, timeout_ms, strict_null,
+                          allow_qualified)
 
     pool = ThreadPoolExecutor(max_workers=max(1, parallelism))
-    futures = {pool.submit(run, *p): p for p in todo}
+    futures: dict = {}
+    tokens = iter(range(1 << 62))
+
+    def submit(db_id: str, items: list[tuple[str, str]]):
+        t = next(tokens)
+        f = pool.submit(work, t, db_id, items)
+        futures[f] = (t, db_id, items)
+        return f
+
+    for db_id, items in chunks:
+        submit(db_id, items)
     pending = set(futures)
     limit_s = timeout_ms / 1000.0 + CANCEL_GRACE_S
     try:
         while pending:
             done, pending = wait(pending, timeout=1.0, return_when=FIRST_COMPLETED)
-            rows.extend(f.result() for f in done)
+            for f in done:
+                decided, retry = f.result()
+                rows.extend(decided)
+                _, db_id, _ = futures[f]
+                for item in retry:          # split chunk: one job per member
+                    pending.add(submit(db_id, [item]))
             now = time.time()
             for f in list(pending):
-                run_id, db_id, sql = futures[f]
-                if run_id in started and now - started[run_id] > limit_s:
-                    # Outer limit: the cancel was ignored; stop waiting for this run.
+                token, db_id, items = futures[f]
+                if token in started and now - started[token] > limit_s:
+                    # Outer limit: the job ignored its cancel; stop waiting for it.
                     pending.discard(f)
-                    rows.append((run_id, db_id, sql, False,
-                                 f"statement timeout: canceled after {timeout_ms} ms", "TIMEOUT",
-                                 True, None, None, int((now - started[run_id]) * 1000)))
+                    if len(items) > 1:
+                        for item in items:  # split the stuck chunk: one job per member
+                            pending.add(submit(db_id, [item]))
+                    else:
+                        run_id, sql = items[0]
+                        rows.append(_log(run_id, db_id, sql, False,
+                                         f"statement timeout: canceled after {timeout_ms} ms", "TIMEOUT",
+                                         True, ms=int((now - started[token]) * 1000)))
     finally:
         pool.shutdown(wait=False, cancel_futures=True)
     log = spark.createDataFrame(rows, EXECUTION_SCHEMA)
@@ -251,17 +352,16 @@ def run_batch(spark: SparkSession, runs: DataFrame, databases: dict[str, Databas
 
 
 RESULT_SCHEMA = T.StructType([
-    T.StructField("row", T.StringType(), True),
     T.StructField("run_id", T.StringType(), True),
+    T.StructField("row", T.StringType(), True),
 ])
 
 
 def read_results(spark: SparkSession, out_dir: str, executions: DataFrame) -> DataFrame:
-    """Result cells of successful runs only, pruned by the run_id partition."""
-    ok = [r["run_id"] for r in executions.where("success AND n_rows > 0")
-          .select("run_id").collect()]
-    if not ok:
+    """Result rows of successful runs: only the folders their log rows name
+    (a folder is one run or one chunk whose members all succeeded)."""
+    paths = sorted({r["result_path"] for r in executions.where("success AND n_rows > 0")
+                    .select("result_path").distinct().collect()})
+    if not paths:
         return spark.createDataFrame([], RESULT_SCHEMA)
-    df = (spark.read.schema(RESULT_SCHEMA).option("basePath", f"{out_dir}/results")
-          .parquet(*[f"{out_dir}/results/run_id={r}" for r in ok]))
-    return df.select("run_id", "row")
+    return spark.read.schema(RESULT_SCHEMA).parquet(*paths).select("run_id", "row")

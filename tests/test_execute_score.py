@@ -171,3 +171,38 @@ def test_dialect_hints(spark, tmp_path):
     assert got["d1"].startswith("DISTINCT ON") and got["d2"].startswith("regex operator")
     assert got["d3"].startswith("FETCH FIRST") and got["d4"].startswith("generate_series")
     assert got["ok"] is None
+
+
+def test_chunked_runs_split_on_failure(spark, tmp_path):
+    """Runs share one job; a member failing at run time splits the chunk so
+    every run still gets its own exact outcome."""
+    db = parquet_dir_database(SF, name="shop")
+    good = [(f"g{i}", "shop", f"SELECT o_orderkey + {i} AS k FROM orders WHERE o_orderkey % 5 = {i}")
+            for i in range(5)]
+    runs = good + [("boom", "shop", "SELECT 1 / (o_orderkey - o_orderkey) FROM orders"),
+                   ("bad", "shop", "SELECT nope FROM orders"), ("empty", "shop", "")]
+    rr = X.run_batch(spark, _runs(spark, runs), {"shop": db}, out_dir=str(tmp_path / "r"),
+                     parallelism=1, chunk_size=16, timeout_ms=120_000)
+    ex = {r["run_id"]: r for r in rr.executions.collect()}
+    assert not ex["boom"]["success"] and not ex["bad"]["success"] and ex["empty"]["success"]
+    n_orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert sum(ex[f"g{i}"]["n_rows"] for i in range(5)) == n_orders
+    assert {ex[f"g{i}"]["result_path"] for i in range(5)} and all(ex[f"g{i}"]["success"] for i in range(5))
+    got = rr.results.groupBy("run_id").count().collect()
+    assert {r["run_id"]: r["count"] for r in got} == {f"g{i}": ex[f"g{i}"]["n_rows"] for i in range(5)
+                                                      if ex[f"g{i}"]["n_rows"]}
+
+
+def test_chunk_shares_one_job(spark, tmp_path):
+    db = parquet_dir_database(SF, name="shop")
+    runs = [(f"g{i}", "shop", f"SELECT {i} AS x") for i in range(6)]
+    rr = X.run_batch(spark, _runs(spark, runs), {"shop": db}, out_dir=str(tmp_path / "r"),
+                     parallelism=1, chunk_size=16, timeout_ms=120_000)
+    paths = {r["result_path"] for r in rr.executions.collect()}
+    assert len(paths) == 1 and "/results/chunk/" in paths.pop()
+    assert sorted(json_rows(rr.results)) == [[str(i)] for i in range(6)]
+
+
+def json_rows(df):
+    import json
+    return [json.loads(r["row"]) for r in df.collect()]
