@@ -204,10 +204,27 @@ def _timed_write(spark: SparkSession, out: DataFrame, path: str, timeout_ms: int
     return timed_out.is_set()
 
 
-def _run_one(spark: SparkSession, sessions, db_id: str, run_id: str,
-             sql: str, out_dir: str, timeout_ms: int, strict_null: bool,
-             allow_qualified: bool) -> tuple:
-    """One run as its own job."""
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of everything the query reads (no job)."""
+    it = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while it.hasNext():
+        v = it.next().stats().sizeInBytes()
+        total += int(v if isinstance(v, int) else v.toString())
+    return total
+
+
+@dataclass
+class _Ready:
+    run_id: str
+    db_id: str
+    sql: str
+    df: DataFrame
+    size: int
+
+
+def _prepare_run(sessions, run_id: str, db_id: str, sql: str, allow_qualified: bool):
+    """A decided log row (empty, refused, analysis error) or a ready run."""
     started = time.time()
     text = (sql or "").strip()
     if not text:
@@ -215,71 +232,70 @@ def _run_one(spark: SparkSession, sessions, db_id: str, run_id: str,
         return _log(run_id, db_id, sql, True, columns=[], n_rows=0)
     try:
         df = _prepare(sessions[db_id], text, allow_qualified)
-        obs = Observation(f"n_{run_id}_{uuid.uuid4().hex[:6]}")
-        out = _rows_frame(run_id, df, strict_null).observe(obs, F.count(F.lit(1)).alias("n"))
-        path = f"{out_dir}/results/run/{run_id}"
+        return _Ready(run_id, db_id, sql, df, input_bytes(df))
+    except Exception as exc:  # noqa: BLE001 - a failed query is data (G4)
+        return _failure(run_id, db_id, sql, exc, int((time.time() - started) * 1000))
+
+
+def _run_one(spark: SparkSession, r: _Ready, out_dir: str, timeout_ms: int,
+             strict_null: bool) -> tuple:
+    """One prepared run as its own job."""
+    started = time.time()
+    try:
+        obs = Observation(f"n_{r.run_id}_{uuid.uuid4().hex[:6]}")
+        out = _rows_frame(r.run_id, r.df, strict_null).observe(obs, F.count(F.lit(1)).alias("n"))
+        path = f"{out_dir}/results/run/{r.run_id}"
         late = _timed_write(spark, out, path, timeout_ms)
         ms = int((time.time() - started) * 1000)
         if late:
-            return _log(run_id, db_id, sql, False, f"statement timeout: canceled after {timeout_ms} ms",
-                        "TIMEOUT", True, ms=ms)
-        return _log(run_id, db_id, sql, True, columns=list(df.columns),
+            return _log(r.run_id, r.db_id, r.sql, False,
+                        f"statement timeout: canceled after {timeout_ms} ms", "TIMEOUT", True, ms=ms)
+        return _log(r.run_id, r.db_id, r.sql, True, columns=list(r.df.columns),
                     n_rows=int(obs.get.get("n", 0)), ms=ms, path=path)
     except Exception as exc:  # noqa: BLE001 - a failed query is data (G4)
-        return _failure(run_id, db_id, sql, exc, int((time.time() - started) * 1000))
+        return _failure(r.run_id, r.db_id, r.sql, exc, int((time.time() - started) * 1000))
 
 
-def _run_chunk(spark: SparkSession, sessions, db_id: str, items: list[tuple[str, str]],
-               out_dir: str, timeout_ms: int, strict_null: bool,
-               allow_qualified: bool) -> tuple[list[tuple], list[tuple[str, str]]]:
-    """Several runs of one database as one job.
+def _run_chunk(spark: SparkSession, members: list[_Ready], out_dir: str, timeout_ms: int,
+               strict_null: bool) -> tuple[list[tuple], list[_Ready]]:
+    """Several small runs of one database as one job.
 
-    Returns the decided log rows and the runs to retry one by one (all
-    prepared members, when the chunk job failed or passed the deadline).
+    Returns the log rows, or -- when the job failed or passed the deadline --
+    no rows and the members to run one job each.
     """
-    if len(items) == 1:
-        return [_run_one(spark, sessions, db_id, items[0][0], items[0][1], out_dir, timeout_ms,
-                         strict_null, allow_qualified)], []
+    if len(members) == 1:
+        return [_run_one(spark, members[0], out_dir, timeout_ms, strict_null)], []
     started = time.time()
-    rows, ready = [], []
-    for run_id, sql in items:
-        text = (sql or "").strip()
-        if not text:
-            rows.append(_log(run_id, db_id, sql, True, columns=[], n_rows=0))
-            continue
-        try:
-            ready.append((run_id, sql, _prepare(sessions[db_id], text, allow_qualified)))
-        except Exception as exc:  # noqa: BLE001
-            rows.append(_failure(run_id, db_id, sql, exc, int((time.time() - started) * 1000)))
-    if not ready:
-        return rows, []
-    union = reduce(DataFrame.unionByName, [_rows_frame(r, df, strict_null) for r, _, df in ready])
+    union = reduce(DataFrame.unionByName, [_rows_frame(m.run_id, m.df, strict_null) for m in members])
     obs = Observation(f"chunk_{uuid.uuid4().hex[:12]}")
-    counts = [F.count_if(F.col("run_id") == F.lit(r)).alias(f"n{i}") for i, (r, _, _) in enumerate(ready)]
+    counts = [F.count_if(F.col("run_id") == F.lit(m.run_id)).alias(f"n{i}") for i, m in enumerate(members)]
     path = f"{out_dir}/results/chunk/{uuid.uuid4().hex}"
     try:
         late = _timed_write(spark, union.observe(obs, *counts), path, timeout_ms)
     except Exception:  # noqa: BLE001 - some member fails at run time: split
         late = True
     if late:
-        return rows, [(r, sql) for r, sql, _ in ready]
+        return [], members
     ms = int((time.time() - started) * 1000)
     got = obs.get
-    rows += [_log(r, db_id, sql, True, columns=list(df.columns), n_rows=int(got.get(f"n{i}", 0)),
-                  ms=ms, path=path) for i, (r, sql, df) in enumerate(ready)]
-    return rows, []
+    return [_log(m.run_id, m.db_id, m.sql, True, columns=list(m.df.columns),
+                 n_rows=int(got.get(f"n{i}", 0)), ms=ms, path=path)
+            for i, m in enumerate(members)], []
 
 
 def run_batch(spark: SparkSession, runs: DataFrame, databases: dict[str, Database],
               *, out_dir: str | None = None, timeout_ms: int | None = None,
               parallelism: int = 8, strict_null: bool = False,
-              allow_qualified: bool = False, chunk_size: int = 16) -> RunResult:
+              allow_qualified: bool = False, chunk_size: int = 16,
+              chunk_max_input_bytes: int = 2 * 1024 * 1024) -> RunResult:
     """Run every (run_id, db_id, sql) row; return the run log and result cells.
 
     ``runs`` is a list of statements (metadata, one row per run), gathered
     on the driver to submit jobs; result rows stay on executors.
     ``timeout_ms`` of 0/None falls back to the 5000 ms default (G3).
-    ``chunk_size`` bounds how many runs share one job (1: one job per run).
+    Runs whose estimated input is at most ``chunk_max_input_bytes`` share
+    jobs, up to ``chunk_size`` per job; larger runs get a job each (a chunk
+    member waits for the slowest member, which only pays off for small ones).
     """
     timeout_ms = timeout_ms or DEFAULT_TIMEOUT_MS
     out_dir = out_dir or work_path(spark, "runs")
@@ -292,63 +308,71 @@ def run_batch(spark: SparkSession, runs: DataFrame, databases: dict[str, Databas
             rows.append(_log(run_id, db_id, sql, False, f"database {db_id} does not exist",
                              "SCHEMA_NOT_FOUND"))
     todo = [p for p in plan if p[1] in databases]
-    # Enough chunks to keep every worker busy, none larger than chunk_size.
-    size = max(1, min(chunk_size, -(-len(todo) // max(1, parallelism))))
-    by_db: dict[str, list[tuple[str, str]]] = {}
-    for run_id, db_id, sql in todo:
-        by_db.setdefault(db_id, []).append((run_id, sql))
-    chunks = [(db, items[i:i + size]) for db, items in by_db.items() for i in range(0, len(items), size)]
-
-    started: dict[int, float] = {}
+    pool = ThreadPoolExecutor(max_workers=max(1, parallelism))
+    try:
+        # 1. Parse, guard, analyse and size every statement (no jobs).
+        ready: list[_Ready] = []
+        for out in pool.map(lambda p: _prepare_run(sessions, p[0], p[1], p[2], allow_qualified), todo):
+            (ready.append if isinstance(out, _Ready) else rows.append)(out)
+        # 2. Small runs share jobs, per database; every other run is alone.
+        small = [r for r in ready if r.size <= chunk_max_input_bytes]
+        size = max(1, min(chunk_size, -(-len(small) // max(1, parallelism))))
+        groups: list[list[_Ready]] = [[r] for r in ready if r.size > chunk_max_input_bytes]
+        by_db: dict[str, list[_Ready]] = {}
+        for r in small:
+            by_db.setdefault(r.db_id, []).append(r)
+        groups += [items[i:i + size] for items in by_db.values() for i in range(0, len(items), size)]
+        # 3. Execute, with an outer limit for jobs that ignore their cancel.
+        rows += _execute_groups(spark, pool, groups, out_dir, timeout_ms, strict_null)
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+    log = spark.createDataFrame(rows, EXECUTION_SCHEMA)
+    log.write.mode("overwrite").parquet(f"{out_dir}/executions")
+    executions = spark.read.parquet(f"{out_dir}/executions")
+    return RunResult(executions, read_results(spark, out_dir, executions), out_dir)
 
-    def work(token: int, db_id: str, items: list[tuple[str, str]]):
-        started[token] = time.time()
-        return _run_chunk(spark, sessions, db_id, items, out_dir, timeout_ms, strict_null,
-                          allow_qualified)
 
-    pool = ThreadPoolExecutor(max_workers=max(1, parallelism))
+def _execute_groups(spark: SparkSession, pool: ThreadPoolExecutor, groups: list[list[_Ready]],
+                    out_dir: str, timeout_ms: int, strict_null: bool) -> list[tuple]:
+    rows: list[tuple] = []
+    started: dict[int, float] = {}
     futures: dict = {}
     tokens = iter(range(1 << 62))
 
-    def submit(db_id: str, items: list[tuple[str, str]]):
+    def work(token: int, members: list[_Ready]):
+        started[token] = time.time()
+        return _run_chunk(spark, members, out_dir, timeout_ms, strict_null)
+
+    def submit(members: list[_Ready]):
         t = next(tokens)
-        f = pool.submit(work, t, db_id, items)
-        futures[f] = (t, db_id, items)
+        f = pool.submit(work, t, members)
+        futures[f] = (t, members)
         return f
 
-    for db_id, items in chunks:
-        submit(db_id, items)
-    pending = set(futures)
+    pending = {submit(g) for g in groups}
     limit_s = timeout_ms / 1000.0 + CANCEL_GRACE_S
-    try:
-        while pending:
-            done, pending = wait(pending, timeout=1.0, return_when=FIRST_COMPLETED)
-            for f in done:
-                decided, retry = f.result()
-                rows.extend(decided)
-                _, db_id, _ = futures[f]
-                for item in retry:          # split chunk: one job per member
-                    pending.add(submit(db_id, [item]))
-            now = time.time()
-            for f in list(pending):
-                token, db_id, items = futures[f]
-                if token in started and now - started[token] > limit_s:
-                    # Outer limit: the job ignored its cancel; stop waiting for it.
-                    pending.discard(f)
-                    if len(items) > 1:
-                        for item in items:  # split the stuck chunk: one job per member
-                            pending.add(submit(db_id, [item]))
-                    else:
-                        run_id, sql = items[0]
-                        rows.append(_log(run_id, db_id, sql, False,
-                                         f"statement timeout: canceled after {timeout_ms} ms", "TIMEOUT",
-                                         True, ms=int((now - started[token]) * 1000)))
-    finally:
-        pool.shutdown(wait=False, cancel_futures=True)
-    log = spark.createDataFrame(rows, EXECUTION_SCHEMA)
-    log.write.mode("overwrite").parquet(f"{out_dir}/executions")
-    executions = spark.read.parquet(f"{out_dir}/executions")
-    return RunResult(executions, read_results(spark, out_dir, executions), out_dir)
+    while pending:
+        done, pending = wait(pending, timeout=1.0, return_when=FIRST_COMPLETED)
+        for f in done:
+            decided, retry = f.result()
+            rows.extend(decided)
+            for m in retry:                 # split chunk: one job per member
+                pending.add(submit([m]))
+        now = time.time()
+        for f in list(pending):
+            token, members = futures[f]
+            if token in started and now - started[token] > limit_s:
+                # Outer limit: the job ignored its cancel; stop waiting for it.
+                pending.discard(f)
+                if len(members) > 1:
+                    for m in members:       # split the stuck chunk
+                        pending.add(submit([m]))
+                else:
+                    m = members[0]
+                    rows.append(_log(m.run_id, m.db_id, m.sql, False,
+                                     f"statement timeout: canceled after {timeout_ms} ms", "TIMEOUT",
+                                     True, ms=int((now - started[token]) * 1000)))
+    return rows
 
 
 RESULT_SCHEMA = T.StructType([

@@ -141,17 +141,18 @@ def test_outer_limit_when_cancel_is_ignored(spark, tmp_path, monkeypatch):
     import time as _time
     real = X._run_one
 
-    def stuck(spark_, sessions, db_id, run_id, sql, *a):
-        if run_id == "stuck":
+    def stuck(spark_, r, *a):
+        if r.run_id == "stuck":
             _time.sleep(20)       # a job that never honours its cancel
-        return real(spark_, sessions, db_id, run_id, sql, *a)
+        return real(spark_, r, *a)
 
     monkeypatch.setattr(X, "_run_one", stuck)
     monkeypatch.setattr(X, "CANCEL_GRACE_S", 0.5)
     db = parquet_dir_database(SF, name="shop")
     runs = _runs(spark, [("stuck", "shop", "SELECT 1"), ("fine", "shop", "SELECT 2")])
     t0 = _time.time()
-    rr = X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "r"), timeout_ms=200)
+    rr = X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "r"), timeout_ms=200,
+                     chunk_size=1)
     ex = {r["run_id"]: r for r in rr.executions.collect()}
     assert _time.time() - t0 < 15
     assert ex["stuck"]["timed_out"] and ex["stuck"]["error_class"] == "TIMEOUT"
