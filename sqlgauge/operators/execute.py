@@ -95,7 +95,7 @@ def positional(df: DataFrame) -> DataFrame:
 def sql_frame(spark: SparkSession, db: Database, sql: str,
               allow_qualified: bool = False) -> DataFrame:
     """G1 for one query: read-only check, then the lazy result DataFrame."""
-    return guard.guarded_sql(run_session(spark, db), sql, allow_qualified)
+    return guard.guarded_sql(run_session(spark, db), sql, allow_qualified, db)
 
 
 def _first_line(exc: BaseException) -> str:
@@ -164,11 +164,12 @@ def _failure(run_id, db_id, sql, exc: BaseException, ms: int) -> tuple:
     return _log(run_id, db_id, sql, False, _first_line(exc), _error_class(exc), ms=ms)
 
 
-def _prepare(session: SparkSession, sql: str, allow_qualified: bool) -> DataFrame:
+def _prepare(session: SparkSession, sql: str, allow_qualified: bool,
+             db: Database | None = None) -> DataFrame:
     """Parse, guard and analyse one statement (no job runs)."""
     guard.check_parsed(session, sql, allow_qualified)
     df = session.sql(sql)
-    guard.check_analyzed(df)
+    guard.check_analyzed(df, None if (allow_qualified or db is None) else guard.scope_of(db))
     return df
 
 
@@ -231,7 +232,7 @@ def _prepare_run(sessions, run_id: str, db_id: str, sql: str, allow_qualified: b
         # No statement, no result set: success with no rows.
         return _log(run_id, db_id, sql, True, columns=[], n_rows=0)
     try:
-        df = _prepare(sessions[db_id], text, allow_qualified)
+        df = _prepare(sessions[db_id], text, allow_qualified, sessions.databases[db_id])
         return _Ready(run_id, db_id, sql, df, input_bytes(df))
     except Exception as exc:  # noqa: BLE001 - a failed query is data (G4)
         return _failure(run_id, db_id, sql, exc, int((time.time() - started) * 1000))

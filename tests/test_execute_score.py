@@ -25,21 +25,31 @@ REFUSE = [
     "SELECT * FROM parquet.`/root/testdata/sf0.001/orders.parquet`",
     "USE default", "DELETE FROM orders WHERE 1 = 1", "ANALYZE TABLE orders COMPUTE STATISTICS",
     "REFRESH TABLE orders", "SHOW TABLES", "EXPLAIN SELECT 1",
+    "SELECT * FROM IDENTIFIER('parquet.`/root/testdata/sf0.001/region.parquet`')",
+    "SELECT * FROM orders WHERE o_custkey IN (SELECT r_regionkey FROM "
+    "IDENTIFIER('parquet.`/root/testdata/sf0.001/region.parquet`'))",
+    "DECLARE x INT", "SET VAR x = 1", "CREATE TEMPORARY VIEW v AS SELECT 1",
+    "LOAD DATA LOCAL INPATH '/tmp/x' INTO TABLE orders",
 ]
 
 
 @pytest.mark.parametrize("sql", REFUSE)
 def test_guard_refuses(spark, sql):
-    s = X.run_session(spark, parquet_dir_database(SF))
+    db = parquet_dir_database(SF, tables=["orders", "customer"])
+    s = X.run_session(spark, db)
     with pytest.raises(guard.GuardError):
-        guard.guarded_sql(s, sql)
+        guard.guarded_sql(s, sql, db=db)
 
 
 def test_guard_allows_queries(spark):
-    s = X.run_session(spark, parquet_dir_database(SF))
+    db = parquet_dir_database(SF, tables=["orders", "customer"])
+    s = X.run_session(spark, db)
     for q in ["SELECT * FROM orders", "WITH x AS (SELECT o_orderkey FROM orders) SELECT count(*) FROM x",
-              "SELECT o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"]:
-        guard.guarded_sql(s, q)
+              "SELECT o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)",
+              "SELECT count(*) FROM IDENTIFIER('orders')", "SELECT * FROM range(3)",
+              "SELECT * FROM VALUES (1), (2)", "SELECT * FROM orders TABLESAMPLE (10 PERCENT)",
+              "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT * FROM r"]:
+        guard.guarded_sql(s, q, db=db)
 
 
 def _runs(spark, rows):

@@ -89,10 +89,11 @@ def test_catalog_namespaces(spark, loaded, tmp_path):
         got = {tuple(json.loads(r["row"])) for r in rr.results.where("run_id = 'g0'").collect()}
         assert got == ANSWERS[0]
         # a run session stays inside its namespace: other databases are refused
-        bad = spark.createDataFrame([("x", "college_1", "SELECT * FROM sg_pets_1.pet")],
+        bad = spark.createDataFrame([("x", "college_1", "SELECT * FROM sg_pets_1.pet"),
+                                     ("y", "college_1", "SELECT * FROM IDENTIFIER('sg_pets_1.pet')")],
                                     "run_id string, db_id string, sql string")
-        r = X.run_batch(spark, bad, cat, out_dir=str(tmp_path / "b")).executions.first()
-        assert r["error_class"] == "READ_ONLY"
+        ex = X.run_batch(spark, bad, cat, out_dir=str(tmp_path / "b")).executions.collect()
+        assert {r["run_id"]: r["error_class"] for r in ex} == {"x": "READ_ONLY", "y": "READ_ONLY"}
         assert spark.catalog.currentDatabase() == "default"
     finally:
         for n in dbs:
