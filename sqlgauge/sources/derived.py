@@ -155,3 +155,13 @@ def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_events(spark, sf_dir, raw_names_sql())
+
+
+def query_log_copies(spark: SparkSession, sf_dir: str, copies: int = 10) -> DataFrame:
+    """A larger derived log: every event yields ``copies`` entries, each with
+    its own id (event_id * copies + j) run through the same templates."""
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    grown = events.selectExpr(
+        f"explode(sequence(event_id * {copies}, event_id * {copies} + {copies - 1})) AS event_id",
+        "event_type")
+    return spark.sql(query_log_sql().replace("FROM events", "FROM {events}"), events=grown)

@@ -152,3 +152,11 @@ def test_derived_corpus_tiers(spark):
     log = derived.query_log(spark, "/root/testdata/sf0.001")
     rows = Q.with_complexity(log).where("log_id < 12").orderBy("log_id").collect()
     assert [r["tier"] for r in rows] == [1, 2, 2, 3, 4, 4, 5, 5, 5, 1, 2, 1]
+
+
+def test_derived_copies(spark):
+    from sqlgauge.sources import derived
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    big = derived.query_log_copies(spark, sf, 10)
+    assert big.count() == 10 * n and big.select("log_id").distinct().count() == 10 * n
