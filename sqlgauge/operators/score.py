@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sqlgauge.session import ensure_checkpoint_dir
+
 # Pair lists up to this many rows join results by broadcast; beyond, by shuffle.
 PAIR_BROADCAST_LIMIT = 200_000
 
@@ -41,6 +43,7 @@ def _join_pairs(results: DataFrame, pairs: DataFrame, key: str, n_pairs: int) ->
 
 def compare_runs(run_pairs: DataFrame, results: DataFrame) -> DataFrame:
     """(gold_run_id, gen_run_id, equal) for each distinct pair of runs."""
+    ensure_checkpoint_dir(results.sparkSession)
     pairs = run_pairs.select("gold_run_id", "gen_run_id").distinct()
     fp = fingerprints(results)
     zero = {"fp_n": 0, "fp_a": 0, "fp_b": 0}
@@ -55,10 +58,13 @@ def compare_runs(run_pairs: DataFrame, results: DataFrame) -> DataFrame:
     same_fp = F.lit(True)
     for c in zero:
         same_fp = same_fp & (F.col("g_" + c) == F.col("n_" + c))
+    # One row per pair: checkpointed (in the shared checkpoint folder) so the
+    # fingerprints are computed once, pin no executor memory, survive
+    # executor loss, and the exact step below sees a short lineage.
     cand = cand.select("gold_run_id", "gen_run_id",
                        (F.col("gold_run_id") == F.col("gen_run_id")).alias("same_run"),
                        same_fp.alias("same_fp"),
-                       (F.col("g_fp_n") == 0).alias("empty")).persist()
+                       (F.col("g_fp_n") == 0).alias("empty")).checkpoint(eager=True)
     # Exact check only where fingerprints agree, rows exist and runs differ.
     todo = cand.where("same_fp AND NOT same_run AND NOT empty").select("gold_run_id", "gen_run_id")
     n_todo = todo.count()
