@@ -20,6 +20,11 @@ TYPE_RULES = [
     (("BOOL",), "BOOLEAN"),
 ]
 FALLBACK_TYPE = "TEXT"                 # anything else, DATE and DATETIME included
+# Identifier cleaning: characters kept, name for an empty result, prefix
+# for a leading digit.
+IDENT_KEEP = "a-z0-9_"
+EMPTY_IDENT = "col"
+DIGIT_PREFIX = "_"
 # ---- end of fixed values ----
 
 # Target type name -> Spark type.  NUMERIC is unbounded in the source model;
@@ -56,8 +61,8 @@ def spark_type_name(target: Column) -> Column:
 def sanitize(name: Column) -> Column:
     """B2: strip, lower-case, every char outside [a-z0-9_] -> '_';
     empty -> 'col'; a leading digit gets a '_' prefix.  NULL stays NULL."""
-    s = F.regexp_replace(F.lower(strip_ws(name)), "[^a-z0-9_]", "_")
+    s = F.regexp_replace(F.lower(strip_ws(name)), f"[^{IDENT_KEEP}]", "_")
     return (F.when(name.isNull(), F.lit(None).cast("string"))
-            .when(s == "", F.lit("col"))
-            .when(s.rlike("^[0-9]"), F.concat(F.lit("_"), s))
+            .when(s == "", F.lit(EMPTY_IDENT))
+            .when(s.rlike("^[0-9]"), F.concat(F.lit(DIGIT_PREFIX), s))
             .otherwise(s))

@@ -17,8 +17,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqlgauge.functions.text import render
 from sqlgauge.sources.tables import Database
 
+# ---- fixed values: schema-text formats ----
+DDL_TEMPLATE = "CREATE TABLE {table} (\n{body}\n);"
+COLUMN_TEMPLATE = "  {name} {type}{not_null}"
+NOT_NULL = " NOT NULL"
+PRIMARY_KEY_TEMPLATE = "  PRIMARY KEY ({columns})"
+FOREIGN_KEY_TEMPLATE = "  FOREIGN KEY ({columns}) REFERENCES {ref_table} ({ref_columns})"
+DDL_LINE_SEP = ",\n"
+KEY_COLUMN_SEP = ", "
+SAMPLE_TEMPLATE = "/* {n} example row(s):\n{header}\n{body}\n*/"
+CELL_SEP = " | "
+SAMPLE_ROW_SEP = "\n"
+NULL_TEXT = "None"
+DDL_SAMPLE_SEP = "\n"
+TABLE_SEP = "\n\n"
+MIN_TEMPLATE = "{table}({columns})"
+MIN_COLUMN_SEP = ", "
+MIN_LINE_SEP = "\n"
+# ---- end of fixed values ----
+
 COLUMN_SCHEMA = T.StructType([
     T.StructField("db_id", T.StringType(), False),
     T.StructField("table_name", T.StringType(), False),
@@ -105,7 +125,7 @@ def samples(spark: SparkSession, db: Database, limit: int = 3,
     parts = []
     for t in sorted(db.paths):
         df = db.read(spark, t)
-        cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in df.columns])
+        cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit(NULL_TEXT)) for c in df.columns])
         if order_by_key:
             pk = db.keys.primary_keys.get(t, ())
             picked = df.orderBy(*_order_cols(df, pk)).limit(limit)
@@ -133,26 +153,25 @@ def ddl_text(spark: SparkSession, db: Database, cols: DataFrame | None = None) -
     cols = columns(spark, db) if cols is None else cols
     col_lines = cols.select(
         "db_id", "table_name", F.col("ordinal").alias("o"),
-        F.concat(F.lit("  "), F.col("column_name"), F.lit(" "), F.upper("data_type"),
-                 F.when(~F.col("is_nullable"), F.lit(" NOT NULL")).otherwise(F.lit("")))
+        render(COLUMN_TEMPLATE, name=F.col("column_name"), type=F.upper("data_type"),
+               not_null=F.when(~F.col("is_nullable"), F.lit(NOT_NULL)).otherwise(F.lit("")))
         .alias("line"))
     pk = (cols.where(F.col("pk_position").isNotNull())
           .groupBy("db_id", "table_name")
-          .agg(_ordered_join("pk_position", "column_name", ", ").alias("k"))
+          .agg(_ordered_join("pk_position", "column_name", KEY_COLUMN_SEP).alias("k"))
           .select("db_id", "table_name", F.lit(100000).alias("o"),
-                  F.concat(F.lit("  PRIMARY KEY ("), F.col("k"), F.lit(")")).alias("line")))
+                  render(PRIMARY_KEY_TEMPLATE, columns=F.col("k")).alias("line")))
     fks = foreign_keys(spark, db)
     fk_rank = F.row_number().over(Window.partitionBy("db_id", "table_name").orderBy("fk_name"))
     fk_lines = fks.select(
         "db_id", "table_name", (F.lit(200000) + fk_rank).alias("o"),
-        F.concat(F.lit("  FOREIGN KEY ("), F.array_join("columns", ", "), F.lit(") REFERENCES "),
-                 F.col("ref_table"), F.lit(" ("), F.array_join("ref_columns", ", "), F.lit(")"))
+        render(FOREIGN_KEY_TEMPLATE, columns=F.array_join("columns", KEY_COLUMN_SEP),
+               ref_table=F.col("ref_table"), ref_columns=F.array_join("ref_columns", KEY_COLUMN_SEP))
         .alias("line"))
     lines = col_lines.unionByName(pk).unionByName(fk_lines.select("db_id", "table_name", "o", "line"))
-    body = lines.groupBy("db_id", "table_name").agg(_ordered_join("o", "line", ",\n").alias("b"))
-    return body.select("db_id", "table_name", F.concat(
-        F.lit("CREATE TABLE "), F.col("table_name"), F.lit(" (\n"), F.col("b"),
-        F.lit("\n);")).alias("ddl"))
+    body = lines.groupBy("db_id", "table_name").agg(_ordered_join("o", "line", DDL_LINE_SEP).alias("b"))
+    return body.select("db_id", "table_name",
+                       render(DDL_TEMPLATE, table=F.col("table_name"), body=F.col("b")).alias("ddl"))
 
 
 def sample_text(spark: SparkSession, db: Database, limit: int = 3,
@@ -160,16 +179,16 @@ def sample_text(spark: SparkSession, db: Database, limit: int = 3,
     """C11: (db_id, table_name, sample_block); tables without rows are absent."""
     cols = columns(spark, db) if cols is None else cols
     header = (cols.groupBy("db_id", "table_name")
-              .agg(_ordered_join("ordinal", "column_name", " | ").alias("header")))
+              .agg(_ordered_join("ordinal", "column_name", CELL_SEP).alias("header")))
     rows = samples(spark, db, limit, order_by_key).select(
-        "db_id", "table_name", "sample_pos", F.array_join("cells", " | ").alias("row_text"))
+        "db_id", "table_name", "sample_pos", F.array_join("cells", CELL_SEP).alias("row_text"))
     body = (rows.groupBy("db_id", "table_name")
             .agg(F.count(F.lit(1)).alias("n"),
-                 _ordered_join("sample_pos", "row_text", "\n").alias("body")))
+                 _ordered_join("sample_pos", "row_text", SAMPLE_ROW_SEP).alias("body")))
     return body.join(header, ["db_id", "table_name"]).select(
         "db_id", "table_name",
-        F.concat(F.lit("/* "), F.col("n").cast("string"), F.lit(" example row(s):\n"),
-                 F.col("header"), F.lit("\n"), F.col("body"), F.lit("\n*/")).alias("sample_block"))
+        render(SAMPLE_TEMPLATE, n=F.col("n").cast("string"), header=F.col("header"),
+               body=F.col("body")).alias("sample_block"))
 
 
 def schema_text(spark: SparkSession, db: Database, include_samples: bool = True,
@@ -183,24 +202,24 @@ def schema_text(spark: SparkSession, db: Database, include_samples: bool = True,
         ddl = ddl.join(smp, ["db_id", "table_name"], "left").select(
             "db_id", "table_name",
             F.when(F.col("sample_block").isNotNull(),
-                   F.concat(F.col("ddl"), F.lit("\n"), F.col("sample_block")))
+                   F.concat(F.col("ddl"), F.lit(DDL_SAMPLE_SEP), F.col("sample_block")))
             .otherwise(F.col("ddl")).alias("block"))
     else:
         ddl = ddl.select("db_id", "table_name", F.col("ddl").alias("block"))
     return ddl.groupBy("db_id").agg(
-        _ordered_join("table_name", "block", "\n\n").alias("schema_text"))
+        _ordered_join("table_name", "block", TABLE_SEP).alias("schema_text"))
 
 
 def schema_text_min(spark: SparkSession, db: Database, cols: DataFrame | None = None) -> DataFrame:
     """(db_id, schema_text_min): ``table(col, col)`` per line."""
     cols = columns(spark, db) if cols is None else cols
     per_table = cols.groupBy("db_id", "table_name").agg(
-        _ordered_join("ordinal", "column_name", ", ").alias("c"))
+        _ordered_join("ordinal", "column_name", MIN_COLUMN_SEP).alias("c"))
     lines = per_table.select("db_id", "table_name",
-                             F.concat(F.col("table_name"), F.lit("("), F.col("c"), F.lit(")"))
+                             render(MIN_TEMPLATE, table=F.col("table_name"), columns=F.col("c"))
                              .alias("line"))
     return lines.groupBy("db_id").agg(
-        _ordered_join("table_name", "line", "\n").alias("schema_text_min"))
+        _ordered_join("table_name", "line", MIN_LINE_SEP).alias("schema_text_min"))
 
 
 def profile(spark: SparkSession, db: Database, sample_limit: int = 3,

@@ -249,9 +249,11 @@ def register_in_catalog(spark: SparkSession, db: Database, namespace: str | None
 def sanitize_text(name: str) -> str:
     """The B2 rule for one identifier on the driver (table and database names)."""
     import re
-    s = re.sub(r"[^a-z0-9_]", "_", name.strip().lower())
+
+    from sqlgauge.functions.names import DIGIT_PREFIX, EMPTY_IDENT, IDENT_KEEP
+    s = re.sub(f"[^{IDENT_KEEP}]", "_", name.strip().lower())
     if not s:
-        s = "col"
+        s = EMPTY_IDENT
     if s[0].isdigit():
-        s = "_" + s
+        s = DIGIT_PREFIX + s
     return s

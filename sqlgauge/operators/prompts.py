@@ -11,7 +11,6 @@ database) are joined by ``db_id``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -19,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlgauge.functions import text
+
 DEFAULT_MAX_TOKENS = 512
 COT_MAX_TOKENS = 900
 DIALECT = "Spark SQL"
@@ -35,7 +36,6 @@ FEW_SHOT_EXAMPLES = [
     ("Which categories occur?", "SELECT DISTINCT category FROM some_table"),
 ]
 SLOTS = ("question", "schema_min", "schema_full")
-_SLOT_RX = re.compile(r"\{(" + "|".join(SLOTS) + r")\}")
 
 
 @dataclass(frozen=True)
@@ -48,19 +48,10 @@ class Template:
 
     def parts(self) -> list[tuple[bool, str]]:
         """(is_slot, text) pieces of the user template, in order."""
-        out, pos = [], 0
-        for m in _SLOT_RX.finditer(self.user):
-            if m.start() > pos:
-                out.append((False, self.user[pos:m.start()]))
-            out.append((True, m.group(1)))
-            pos = m.end()
-        if pos < len(self.user):
-            out.append((False, self.user[pos:]))
-        return out
+        return text.parts(self.user)
 
     def __call__(self, q: Column, minimal: Column, full: Column):
-        slots = {"question": q, "schema_min": minimal, "schema_full": full}
-        user = F.concat(*[slots[t] if is_slot else F.lit(t) for is_slot, t in self.parts()])
+        user = text.render(self.user, question=q, schema_min=minimal, schema_full=full)
         mx = F.lit(self.max_tokens) if self.max_tokens else F.lit(None).cast("int")
         return F.lit(self.system), user, mx
 

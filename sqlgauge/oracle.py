@@ -131,9 +131,10 @@ def map_type_sql(x: str) -> str:
 
 
 def sanitize_sql(x: str) -> str:
-    s = f"regexp_replace(lower(trim({x}, {python_ws_lit()})), '[^a-z0-9_]', '_', 'g')"
-    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {s} = '' THEN 'col' "
-            f"WHEN regexp_matches({s}, '^[0-9]') THEN '_' || {s} ELSE {s} END")
+    from sqlgauge.functions.names import DIGIT_PREFIX, EMPTY_IDENT, IDENT_KEEP
+    s = f"regexp_replace(lower(trim({x}, {python_ws_lit()})), {lit('[^' + IDENT_KEEP + ']')}, '_', 'g')"
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {s} = '' THEN {lit(EMPTY_IDENT)} "
+            f"WHEN regexp_matches({s}, '^[0-9]') THEN {lit(DIGIT_PREFIX)} || {s} ELSE {s} END")
 
 
 def map_types() -> str:
@@ -271,52 +272,69 @@ def _meta_ctes(db_name: str, tables: list[str], keys) -> str:
 
 
 def _ddl_cte(db_name: str) -> str:
+    from sqlgauge.functions.text import render_sql, sql_literal
+    from sqlgauge.operators import catalog as C
+    col_line = render_sql(C.COLUMN_TEMPLATE, name="c.column_name", type="c.ty",
+                          not_null=f"CASE WHEN pk.pos IS NOT NULL THEN {lit(C.NOT_NULL)} ELSE '' END")
+    pk_line = render_sql(C.PRIMARY_KEY_TEMPLATE,
+                         columns=f"string_agg(column_name, {lit(C.KEY_COLUMN_SEP)} ORDER BY pos)")
+    fk_line = render_sql(C.FOREIGN_KEY_TEMPLATE, columns="cols", ref_table="ref_table",
+                         ref_columns="ref_cols")
+    ddl = render_sql(C.DDL_TEMPLATE, table="table_name",
+                     body=f"string_agg(line, {sql_literal(C.DDL_LINE_SEP)} ORDER BY o)")
     return (
         "lines AS ("
-        "SELECT c.table_name, c.o, '  ' || c.column_name || ' ' || c.ty || "
-        "CASE WHEN pk.pos IS NOT NULL THEN ' NOT NULL' ELSE '' END AS line "
+        f"SELECT c.table_name, c.o, {col_line} AS line "
         "FROM cols c LEFT JOIN pk ON pk.table_name = c.table_name AND pk.column_name = c.column_name "
-        "UNION ALL SELECT table_name, 100000, '  PRIMARY KEY (' || string_agg(column_name, ', ' ORDER BY pos) "
-        "|| ')' FROM pk GROUP BY table_name "
+        f"UNION ALL SELECT table_name, 100000, {pk_line} FROM pk GROUP BY table_name "
         "UNION ALL SELECT table_name, 200000 + row_number() OVER (PARTITION BY table_name ORDER BY fk_name), "
-        "'  FOREIGN KEY (' || cols || ') REFERENCES ' || ref_table || ' (' || ref_cols || ')' FROM fk), "
-        f"ddl AS (SELECT {lit(db_name)} AS db_id, table_name, 'CREATE TABLE ' || table_name || ' (' || chr(10) "
-        "|| string_agg(line, ',' || chr(10) ORDER BY o) || chr(10) || ');' AS ddl FROM lines GROUP BY table_name)")
+        f"{fk_line} FROM fk), "
+        f"ddl AS (SELECT {lit(db_name)} AS db_id, table_name, {ddl} AS ddl FROM lines GROUP BY table_name)")
 
 
 def _samples_cte(db_name: str, tables: list[str], keys, limit: int) -> str:
+    from sqlgauge.operators import catalog as C
     parts = []
     for t in sorted(tables):
         cols = table_columns(t)
         pk = list(keys.primary_keys.get(t, ()))
         order = ", ".join(f"{c} ASC NULLS LAST" for c in pk + [c for c in cols if c not in pk])
-        cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'None')" for c in cols)
+        cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), {lit(C.NULL_TEXT)})" for c in cols)
         parts.append(
             f"SELECT {lit(db_name)} AS db_id, {lit(t)} AS table_name, "
             f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS sample_pos, "
-            f"concat_ws(' | ', {cells}) AS row_text FROM (SELECT * FROM {t} ORDER BY {order} LIMIT {limit}) s")
+            f"concat_ws({lit(C.CELL_SEP)}, {cells}) AS row_text "
+            f"FROM (SELECT * FROM {t} ORDER BY {order} LIMIT {limit}) s")
     return "smp AS (" + " UNION ALL ".join(parts) + ")"
 
 
 def _blocks_cte(db_name: str) -> str:
+    from sqlgauge.functions.text import render_sql, sql_literal
+    from sqlgauge.operators import catalog as C
+    block = render_sql(C.SAMPLE_TEMPLATE, n="CAST(n AS VARCHAR)", header="header", body="b")
     return (
-        "hdr AS (SELECT table_name, string_agg(column_name, ' | ' ORDER BY o) AS header FROM cols GROUP BY table_name), "
-        "body AS (SELECT db_id, table_name, count(*) AS n, string_agg(row_text, chr(10) ORDER BY sample_pos) AS b "
-        "FROM smp GROUP BY db_id, table_name), "
-        "sblock AS (SELECT body.db_id, body.table_name, '/* ' || CAST(n AS VARCHAR) || ' example row(s):' || chr(10) "
-        "|| header || chr(10) || b || chr(10) || '*/' AS sample_block FROM body JOIN hdr ON hdr.table_name = body.table_name)")
+        f"hdr AS (SELECT table_name, string_agg(column_name, {lit(C.CELL_SEP)} ORDER BY o) AS header "
+        "FROM cols GROUP BY table_name), "
+        f"body AS (SELECT db_id, table_name, count(*) AS n, string_agg(row_text, "
+        f"{sql_literal(C.SAMPLE_ROW_SEP)} ORDER BY sample_pos) AS b FROM smp GROUP BY db_id, table_name), "
+        f"sblock AS (SELECT body.db_id, body.table_name, {block} AS sample_block "
+        "FROM body JOIN hdr ON hdr.table_name = body.table_name)")
 
 
 def catalog_with(db_name: str, tables: list[str], keys, limit: int = 3) -> str:
+    from sqlgauge.functions.text import render_sql, sql_literal
+    from sqlgauge.operators import catalog as C
+    min_line = render_sql(C.MIN_TEMPLATE, table="table_name",
+                          columns=f"string_agg(column_name, {lit(C.MIN_COLUMN_SEP)} ORDER BY o)")
     return ("WITH " + _meta_ctes(db_name, tables, keys) + ", " + _ddl_cte(db_name) + ", "
             + _samples_cte(db_name, tables, keys, limit) + ", " + _blocks_cte(db_name) + ", "
             "full_text AS (SELECT ddl.db_id, string_agg(CASE WHEN sample_block IS NULL THEN ddl "
-            "ELSE ddl || chr(10) || sample_block END, chr(10) || chr(10) ORDER BY ddl.table_name) AS schema_text "
+            f"ELSE ddl || {sql_literal(C.DDL_SAMPLE_SEP)} || sample_block END, {sql_literal(C.TABLE_SEP)} "
+            "ORDER BY ddl.table_name) AS schema_text "
             "FROM ddl LEFT JOIN sblock ON sblock.table_name = ddl.table_name GROUP BY ddl.db_id), "
-            "min_lines AS (SELECT table_name, table_name || '(' || string_agg(column_name, ', ' ORDER BY o) "
-            "|| ')' AS line FROM cols GROUP BY table_name), "
-            f"min_text AS (SELECT {lit(db_name)} AS db_id, string_agg(line, chr(10) ORDER BY table_name) "
-            "AS schema_text_min FROM min_lines) ")
+            f"min_lines AS (SELECT table_name, {min_line} AS line FROM cols GROUP BY table_name), "
+            f"min_text AS (SELECT {lit(db_name)} AS db_id, string_agg(line, {sql_literal(C.MIN_LINE_SEP)} "
+            "ORDER BY table_name) AS schema_text_min FROM min_lines) ")
 
 
 def cat_row_counts(db_name: str, tables: list[str]) -> str:
