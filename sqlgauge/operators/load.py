@@ -230,17 +230,20 @@ def load_databases(spark: SparkSession, databases: list[Database], target: str,
 
 
 def register_in_catalog(spark: SparkSession, db: Database, namespace: str | None = None,
-                        replace: bool = False) -> Database:
+                        replace: bool = False, location: str | None = None) -> Database:
     """Make a loaded database one catalog namespace (one per db_id): each table
-    an external parquet table at its loaded path.  Recreating an existing
-    namespace drops it, so that needs ``replace=True``."""
+    an external parquet table at its loaded path.  The namespace lives in the
+    database's own folder (not the working directory's warehouse) unless
+    ``location`` says otherwise.  Recreating an existing namespace drops it,
+    so that needs ``replace=True``."""
     ns = namespace or db.name
+    loc = location or sorted(db.paths.values())[0].rstrip("/").rsplit("/", 1)[0]
     exists = ns in [d.name for d in spark.catalog.listDatabases()]
     if exists and not replace:
         raise FileExistsError(f"namespace {ns} exists; pass replace=True to recreate it")
     if exists:
         spark.sql(f"DROP DATABASE `{ns}` CASCADE")
-    spark.sql(f"CREATE DATABASE `{ns}`")
+    spark.sql(f"CREATE DATABASE `{ns}` LOCATION '{loc}'")
     for t, path in sorted(db.paths.items()):
         spark.sql(f"CREATE TABLE `{ns}`.`{t}` USING parquet LOCATION '{path}'")
     return Database(ns, {t: f"{ns}.{t}" for t in db.paths}, db.keys, namespace=ns)
