@@ -436,6 +436,17 @@ def generate_replay(db_name, tables, keys) -> str:
         "SELECT example_id, strategy, model, sql, input_tokens, output_tokens FROM gen"
 
 
+def token_cost(db_name, tables, keys, models: list[str]) -> str:
+    from sqlgauge.operators import generate as GN
+    prices = _values(GN.DEFAULT_PRICES)
+    model_rows = " UNION ALL ".join(f"SELECT {lit(m)} AS model" for m in models)
+    return benchmark_with(db_name, tables, keys) + (
+        "SELECT g.example_id, g.strategy, m.model, g.input_tokens, g.output_tokens, "
+        "round(coalesce(g.input_tokens / 1e6 * p.input_rate + g.output_tokens / 1e6 * p.output_rate, 0.0), 10) "
+        f"AS cost_usd FROM gen g, ({model_rows}) m LEFT JOIN (VALUES {prices}) p(model, input_rate, output_rate) "
+        "ON p.model = m.model")
+
+
 def score_rows(db_name, tables, keys) -> str:
     return benchmark_with(db_name, tables, keys) + "SELECT example_id, strategy, eq AS equal FROM scored"
 

@@ -227,6 +227,20 @@ def q_score_rows(spark, sf):
     return benchmark(spark, sf).scored.select("example_id", "strategy", "equal")
 
 
+COST_MODELS = [m for m, _, _ in GN.DEFAULT_PRICES] + ["model-unpriced"]
+
+
+def q_token_cost(spark, sf):
+    """every replayed generation priced under each model class (an
+    unpriced one costs 0.0); a union of one projection per model."""
+    from functools import reduce as _reduce
+    g = benchmark(spark, sf).generations.select("example_id", "strategy", "input_tokens", "output_tokens")
+    per_model = [g.withColumn("model", F.lit(m)) for m in COST_MODELS]
+    priced = GN.with_cost(_reduce(DataFrame.unionByName, per_model), GN.price_table(spark))
+    return priced.select("example_id", "strategy", "model", "input_tokens", "output_tokens",
+                         F.round("cost_usd", 10).alias("cost_usd"))
+
+
 def q_guard_report(spark, sf):
     ex = benchmark(spark, sf).executions
     return ex.where("error_class = 'READ_ONLY'").select("run_id", "sql", "error")
@@ -353,6 +367,7 @@ def queries() -> dict[str, Query]:
         "bench_examples": q_bench_examples,
         "prompt_set": q_prompt_set,
         "generate_replay": q_generate_replay,
+        "token_cost": q_token_cost,
         "run_errors": q_run_errors,
         "score_verdict": q_score_verdict,
         "score_rows": q_score_rows,
@@ -383,6 +398,7 @@ def oracle_sql() -> dict[str, str]:
         **{f"run_gold_{g.key}": g.oracle("sql") for g in GOLD},
         "prompt_set": oracle.prompt_set("shop", SHOP_TABLES, TEST_KEYS),
         "generate_replay": oracle.generate_replay("shop", SHOP_TABLES, TEST_KEYS),
+        "token_cost": oracle.token_cost("shop", SHOP_TABLES, TEST_KEYS, COST_MODELS),
         "score_rows": oracle.score_rows("shop", SHOP_TABLES, TEST_KEYS),
         "score_verdict": oracle.score_verdict("shop", SHOP_TABLES, TEST_KEYS),
         "strategy_report": oracle.strategy_report("shop", SHOP_TABLES, TEST_KEYS),
