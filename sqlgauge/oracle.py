@@ -343,6 +343,14 @@ def cat_row_counts(db_name: str, tables: list[str]) -> str:
         for t in sorted(tables))
 
 
+def cat_columns(db_name, tables, keys) -> str:
+    return ("WITH " + _meta_ctes(db_name, tables, keys) + " "
+            f"SELECT {lit(db_name)} AS db_id, c.table_name, c.column_name, c.ty AS data_type, "
+            "pk.pos IS NULL AS is_nullable, CAST(c.o AS INTEGER) AS ordinal, "
+            "CAST(pk.pos AS INTEGER) AS pk_position FROM cols c LEFT JOIN pk "
+            "ON pk.table_name = c.table_name AND pk.column_name = c.column_name")
+
+
 def cat_samples(db_name, tables, keys, limit=3) -> str:
     return catalog_with(db_name, tables, keys, limit) + "SELECT db_id, table_name, sample_pos, row_text FROM smp"
 

@@ -168,6 +168,12 @@ def q_cat_keys(spark, sf):
     return CT.foreign_keys(spark, shop_db(sf))
 
 
+def q_cat_columns(spark, sf):
+    """Every column of the shop tables with type, nullability and key position."""
+    return CT.columns(spark, shop_db(sf)).select(
+        "db_id", "table_name", "column_name", "data_type", "is_nullable", "ordinal", "pk_position")
+
+
 def q_cat_profile(spark, sf):
     p = CT.profile(spark, shop_db(sf), 3, True, order_by_key=True)
     return p.select("db_id", "table_name", F.size("columns").alias("n_columns"),
@@ -356,6 +362,7 @@ def queries() -> dict[str, Query]:
         "schema_text": q_schema_text,
         "schema_text_min": q_schema_text_min,
         "cat_profile": q_cat_profile,
+        "cat_columns": q_cat_columns,
         "map_types": q_map_types,
         "sanitize_names": q_sanitize_names,
         "name_collisions": q_name_collisions,
@@ -417,6 +424,7 @@ def oracle_sql() -> dict[str, str]:
         "sample_text": oracle.sample_text("shop", SHOP_TABLES, TEST_KEYS),
         "schema_text": oracle.schema_text("shop", SHOP_TABLES, TEST_KEYS),
         "schema_text_min": oracle.schema_text_min("shop", SHOP_TABLES, TEST_KEYS),
+        "cat_columns": oracle.cat_columns("shop", SHOP_TABLES, TEST_KEYS),
         "map_types": oracle.map_types(),
         "sanitize_names": oracle.sanitize_names(),
         "name_collisions": oracle.name_collisions(),
