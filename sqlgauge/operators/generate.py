@@ -89,10 +89,17 @@ def generate(prompts: DataFrame, client_factory: Callable[[], object], model: st
     return src.mapInPandas(call, GENERATED_SCHEMA)
 
 
+CALLS_PER_TASK = 200
+
+
 def generate_once(spark: SparkSession, prompts: DataFrame, client_factory, model: str,
                   path: str, partitions: int | None = None) -> DataFrame:
     """F1 with resume: call only for keys without a good answer under ``path``
-    (never answered, or failed), append them; the latest answer per key wins."""
+    (never answered, or failed), append them; the latest answer per key wins.
+
+    A lost executor makes Spark rerun its tasks, repeating their calls, so by
+    default each task holds at most ``CALLS_PER_TASK`` prompts.
+    """
     todo = prompts
     try:
         done = (spark.read.parquet(path).where(F.col("error").isNull())
@@ -101,6 +108,8 @@ def generate_once(spark: SparkSession, prompts: DataFrame, client_factory, model
             done, ["example_id", "strategy", "model"], "left_anti").drop("model")
     except Exception:  # noqa: BLE001 - nothing written yet
         pass
+    if partitions is None:
+        partitions = max(1, -(-todo.count() // CALLS_PER_TASK))
     generate(todo, client_factory, model, partitions).write.mode("append").parquet(path)
     out = spark.read.parquet(path).where(F.col("model") == model)
     # A key answered after earlier failures keeps only its good answer.
