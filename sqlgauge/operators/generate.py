@@ -2,9 +2,11 @@
 
 F1 calls a model for every prompt inside ``mapInPandas``: each task builds
 one client from a user-supplied factory and streams Arrow batches through
-it; ``partitions`` bounds concurrent calls.  Model calls cost money, so
-outputs are written once, keyed by (example, strategy, model), and a rerun
-only calls for keys that are not written yet (``left_anti``).
+it, a few calls at a time; the number of partitions bounds how many tasks
+call at once.  A failed call is a row with an error, not a failed task.
+Model calls cost money, so outputs are written once, keyed by (example,
+strategy, model), and a rerun only calls for keys without a good answer
+(``left_anti``).
 
 For tests and the registered queries a replay table stands in for the model
 and is joined on (example_id, strategy).
