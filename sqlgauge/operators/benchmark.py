@@ -1,8 +1,9 @@
 """The benchmark run: examples -> prompts -> generations -> runs -> scores.
 
-One lineage per stage; the two expensive stages write their output once
-under the shared checkpoint folder: model answers (calls cost money) and
-query runs (one Spark job each).  Scoring over all runs is one job.
+One lineage per stage; the expensive stages write their output once under
+the shared checkpoint folder: schema texts, generations (model calls cost
+money) and query runs (small runs share jobs, large ones get their own).
+Scoring over all runs is one job (plus the exact check of candidate pairs).
 """
 
 from __future__ import annotations
