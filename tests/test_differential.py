@@ -53,3 +53,27 @@ def test_spark_equals_duckdb(spark):
     theirs = {r[0]: tuple(r[1:]) for r in con.execute(sql).fetchall()}
     bad = [(i, texts[i], mine[i], theirs[i]) for i in mine if mine[i] != theirs[i]]
     assert not bad, bad[:3]
+
+
+NAME_BITS = ["a", "B", "z", "9", "0", "_", "-", ".", " ", "\t", "\n", "É", "ü", "€", "ß", "$", "(", ")",
+             "Order", "ID", "naïve", "x1", "__"]
+DECL_BITS = ["INT", "int", "CHAR", "var", "CLOB", "TEXT", "BLOB", "REAL", "FLOA", "DOUB", "NUMERIC",
+             "DECIMAL", "MONEY", "BOOL", "DATE", "(", ")", "10", ",", " ", "unsigned", "point"]
+
+
+def test_names_and_types_equal_duckdb(spark):
+    import pandas as pd
+    from sqlgauge.functions.names import map_type, sanitize
+    rnd = random.Random(5)
+    names = ["".join(rnd.choice(NAME_BITS) for _ in range(rnd.randint(0, 6))) for _ in range(3000)]
+    decls = ["".join(rnd.choice(DECL_BITS) for _ in range(rnd.randint(0, 4))) for _ in range(3000)]
+    rows = [(i, names[i], decls[i] if i % 17 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, raw string, decl string")
+    mine = {r["i"]: (r["c"], r["t"]) for r in
+            df.select("i", sanitize(F.col("raw")).alias("c"), map_type(F.col("decl")).alias("t")).collect()}
+    con = duckdb.connect()
+    con.register("src_df", pd.DataFrame(rows, columns=["i", "raw", "decl"]))
+    theirs = {r[0]: (r[1], r[2]) for r in con.execute(
+        f"SELECT i, {oracle.sanitize_sql('raw')}, {oracle.map_type_sql('decl')} FROM src_df").fetchall()}
+    bad = [(i, rows[i][1:], mine[i], theirs[i]) for i in mine if mine[i] != theirs[i]]
+    assert not bad, bad[:3]
