@@ -61,13 +61,20 @@ def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 5,
     (counted first); more queries mean more chunks, never a bigger broadcast.
     Ties in score are broken by corpus id.
     """
+    from sqlgauge.operators.report import running_sums
+    from sqlgauge.session import ensure_checkpoint_dir
+
     spark = queries.sparkSession
+    ensure_checkpoint_dir(spark)
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("qvec"))
-    n_q = q.count()
-    chunk_ids = q.select("qid").orderBy("qid")
-    ranked = chunk_ids.withColumn("_chunk", F.floor((F.row_number().over(Window.orderBy("qid")) - 1)
-                                                    / max_broadcast_queries))
-    n_chunks = max(1, -(-n_q // max_broadcast_queries))
+    # Number the query ids 1..n with a distributed prefix sum (no single-task
+    # window), then cut them into chunks of at most max_broadcast_queries.
+    ones = q.select("qid", F.lit(0).alias("_g"), F.lit(1).alias("_one"))
+    ranked = (running_sums(ones, "_g", "qid", ["_one"])
+              .select("qid", F.floor((F.col("running__one") - 1) / max_broadcast_queries)
+                      .cast("long").alias("_chunk"))
+              .checkpoint(eager=True))
+    n_chunks = max(1, (ranked.agg(F.max("_chunk")).first()[0] or 0) + 1)
     parts = []
     c = corpus.select(F.col(corpus_id).alias("cid"), F.col(corpus_vec).alias("cvec"))
     for ch in range(n_chunks):
