@@ -129,6 +129,7 @@ def samples(spark: SparkSession, db: Database, limit: int = 3,
         if order_by_key:
             pk = db.keys.primary_keys.get(t, ())
             picked = df.orderBy(*_order_cols(df, pk)).limit(limit)
+            # The numbering windows below see at most ``limit`` rows.
             picked = picked.select(cells.alias("cells"),
                                    F.row_number().over(Window.orderBy(*_order_cols(df, pk)))
                                    .alias("sample_pos"))

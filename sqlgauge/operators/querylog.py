@@ -26,6 +26,7 @@ def tier_histogram(classified: DataFrame, tier_col: str = "tier") -> DataFrame:
     tiers = spark.range(1, 6).select(F.col("id").cast("int").alias("tier"))
     hist = tiers.join(F.broadcast(counts), "tier", "left").select(
         "tier", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
+    # A window over the whole frame: at most five rows (one per tier).
     total = F.greatest(F.sum("n").over(Window.partitionBy()), F.lit(1))
     bar = F.expr("repeat('#', CAST(floor(%d * n / total) AS INT))" % BAR_WIDTH)
     return hist.withColumn("total", total).select("tier", "n", bar.alias("bar"))

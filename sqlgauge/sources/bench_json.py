@@ -79,7 +79,7 @@ def database_structure(dbs: DataFrame, show: int = 2) -> DataFrame:
                  .alias("t")))), lambda s: s["t"]), "\n").alias("listing"))
     base = dbs.select("db_id", "file_pos", F.size("table_names_original").alias("n_tables"),
                       F.coalesce(F.size("foreign_keys"), F.lit(0)).alias("n_foreign_keys"))
-    rank = F.row_number().over(Window.orderBy("file_pos"))
+    rank = F.row_number().over(Window.orderBy("file_pos"))   # one row per database: metadata
     out = base.join(listing, "db_id", "left").withColumn("pos", rank)
     return out.select("db_id", "n_tables", "n_foreign_keys",
                       F.when(F.col("pos") <= show, F.col("listing")).alias("listing"), "pos")
