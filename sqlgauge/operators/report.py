@@ -28,13 +28,16 @@ def overall_report(scored: DataFrame) -> DataFrame:
     ).withColumn("accuracy_pct", _acc(F.col("n_correct"), F.col("n")))
 
 
-def question_report(scored: DataFrame) -> DataFrame:
-    """PASS/FAIL per question, generated and gold SQL, reason when failed."""
-    return scored.select(
-        "example_id", "strategy",
-        F.when(F.col("correct"), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("mark"),
-        F.col("sql").alias("generated_sql"), "gold_sql",
-        F.when(~F.col("correct"), F.col("verdict")).alias("why"))
+def question_report(scored: DataFrame, with_reason: bool = True) -> DataFrame:
+    """PASS/FAIL per question, generated and gold SQL, and on failure the
+    verdict (``why``) and the full reason text (error first line included)."""
+    cols = ["example_id", "strategy",
+            F.when(F.col("correct"), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("mark"),
+            F.col("sql").alias("generated_sql"), "gold_sql",
+            F.when(~F.col("correct"), F.col("verdict")).alias("why")]
+    if with_reason and "reason" in scored.columns:
+        cols.append(F.when(~F.col("correct"), F.col("reason")).alias("reason"))
+    return scored.select(*cols)
 
 
 def running_sums(df: DataFrame, group: str, order: str, cols: list[str],

@@ -56,3 +56,12 @@ def test_repair_gain(spark, scored):
     g = {r["strategy"]: r for r in X.repair_gain(scored, after).collect()}
     assert (g["zero_shot"]["correct_before"], g["zero_shot"]["correct_after"], g["zero_shot"]["gain"]) == (1, 2, 1)
     assert g["few_shot"]["gain"] == 0
+
+
+def test_question_report_reason(spark):
+    df = spark.createDataFrame(
+        [("e1", "s", False, "x", "g", "generated_failed", "generated query failed: boom")],
+        "example_id string, strategy string, correct boolean, sql string, gold_sql string, "
+        "verdict string, reason string")
+    r = R.question_report(df).first()
+    assert (r["mark"], r["why"], r["reason"]) == ("FAIL", "generated_failed", "generated query failed: boom")
