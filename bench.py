@@ -19,7 +19,6 @@ sys.path.insert(0, ROOT)
 from pyspark.sql import functions as F  # noqa: E402
 
 from sqlgauge import registry as R  # noqa: E402
-from sqlgauge.operators import benchmark as BM  # noqa: E402
 from sqlgauge.operators import execute as EX  # noqa: E402
 from sqlgauge.operators import score as SC  # noqa: E402
 from sqlgauge.session import env_cpus, local_session  # noqa: E402

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from sqlgauge.operators import execute as X
 from sqlgauge.operators import score as S

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 from sqlgauge.operators import generate as G
 from sqlgauge.operators import prompts as P
