@@ -11,7 +11,10 @@ while planning.  ``part`` picks what is read:
   of every table, values as text the way a loader receives them
 
 Rows are split into input partitions by (file, table, rowid range of
-``chunk_rows``), so a large table is read by many tasks.  Files open
+``chunk_rows``), so a large table is read by many tasks.  With
+``spark.sql.python.filterPushdown.enabled`` on, filters on ``db_id`` /
+``table_name`` (equality, IN) are pushed down: files and tables they exclude
+are never planned.  Files open
 read-only by URI.  Each task reads its own file; the path must be visible to
 executors (a shared mount), like any file source.
 """
@@ -22,7 +25,7 @@ import os
 import sqlite3
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 SCHEMAS = {
     "tables": "db_id string, table_name string, n_rows bigint",
@@ -86,15 +89,21 @@ class SqliteDirReader(DataSourceReader):
         self.only = options.get("only")
         self.limit = int(options["limit"]) if options.get("limit") else None
         self.chunk = int(options.get("chunk_rows", 1_000_000))
+        self.keep = {"db_id": None, "table_name": None}   # pushed-down value sets
+
+    def _kept(self, key: str, value: str) -> bool:
+        return self.keep[key] is None or value in self.keep[key]
 
     def partitions(self):
-        files = list_files(self.path, self.only, self.limit)
+        files = [(d, f) for d, f in list_files(self.path, self.only, self.limit) if self._kept("db_id", d)]
         if self.part != "rows":
             return [_Part(d, f) for d, f in files] or [_Part("", "")]
         parts = []
         for d, f in files:
             with connect(f) as conn:
                 for t in user_tables(conn):
+                    if not self._kept("table_name", t):
+                        continue
                     try:
                         lo, hi = conn.execute(f"SELECT min(rowid), max(rowid) FROM {_q(t)}").fetchone()
                     except sqlite3.OperationalError:      # WITHOUT ROWID table
@@ -144,6 +153,20 @@ class SqliteDirReader(DataSourceReader):
             yield (p.db_id, p.table, r[0], [cell_text(v) for v in r[1:]])
 
 
+class SqliteDirPushdownReader(SqliteDirReader):
+    """The reader with filter pushdown (used when the session enables it)."""
+
+    def pushFilters(self, filters):
+        """Equality / IN on db_id and table_name prune files and tables while
+        planning; Spark still applies every filter after the scan."""
+        for f in filters:
+            col = f.attribute[0] if len(f.attribute) == 1 else None
+            if col in self.keep and isinstance(f, (EqualTo, In)):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.keep[col] = values if self.keep[col] is None else self.keep[col] & values
+            yield f
+
+
 class SqliteDirSource(DataSource):
     """``spark.read.format("sqlite_dir").option("part", ...).load(path)``."""
 
@@ -155,7 +178,10 @@ class SqliteDirSource(DataSource):
         return SCHEMAS[self.options.get("part", "rows")]
 
     def reader(self, schema) -> DataSourceReader:
-        return SqliteDirReader(dict(self.options))
+        opts = dict(self.options)
+        if opts.get("pushdown", "false").lower() == "true":
+            return SqliteDirPushdownReader(opts)
+        return SqliteDirReader(opts)
 
 
 def register(spark) -> None:
@@ -167,7 +193,9 @@ def register(spark) -> None:
 def read(spark, path: str, part: str = "rows", only: str | None = None,
          limit: int | None = None, chunk_rows: int | None = None):
     register(spark)
-    r = spark.read.format("sqlite_dir").option("part", part)
+    # Spark accepts a reader with pushFilters only when this is enabled.
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    r = spark.read.format("sqlite_dir").option("part", part).option("pushdown", pushdown)
     if only:
         r = r.option("only", only)
     if limit:

@@ -142,3 +142,20 @@ def test_fk_without_target_columns_uses_parent_key(spark, tmp_path):
     assert (fk["columns"], fk["ref_columns"]) == ("x, y", "a, b")
     # (1,3) has no parent; (NULL, 9) passes (MATCH SIMPLE)
     assert (fk["n_child_rows"], fk["n_checked"], fk["n_orphan_rows"], fk["status"]) == (3, 2, 1, "skipped")
+
+
+def test_filter_pushdown_prunes_partitions(spark, sample_dir):
+    from pyspark.sql import functions as F
+    key = "spark.sql.python.filterPushdown.enabled"
+    old = spark.conf.get(key)
+    try:
+        plain = S.read(spark, sample_dir, "rows", chunk_rows=2)
+        n_all = plain.rdd.getNumPartitions()
+        assert plain.where(F.col("db_id") == "pets_1").count() == 6      # works without pushdown
+        spark.conf.set(key, "true")
+        rows = S.read(spark, sample_dir, "rows", chunk_rows=2)
+        one = rows.where((F.col("db_id") == "pets_1") & F.col("table_name").isin("pet"))
+        assert one.count() == 4
+        assert one.rdd.getNumPartitions() < n_all
+    finally:
+        spark.conf.set(key, old)
