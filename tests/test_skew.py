@@ -61,3 +61,33 @@ def test_running_sums_hot_group(spark):
         for _, o, x in items:
             total += x
             assert got[(g, o)] == total
+
+
+def test_scoring_matches_multiset_definition(spark):
+    """compare_runs agrees with Counter equality on random small results."""
+    import json
+    import random
+    from collections import Counter
+    rnd = random.Random(3)
+    alphabet = [("a",), ("b",), ("a", "b"), (None,), ("None",), ("1",), ("1.0",), ()]
+    rows, pairs, want = [], [], {}
+    for k in range(60):
+        gold = [rnd.choice(alphabet) for _ in range(rnd.randint(0, 6))]
+        kind = rnd.random()
+        if kind < 0.4:
+            gen = gold[:]
+            rnd.shuffle(gen)
+        elif kind < 0.7:
+            gen = gold + [rnd.choice(alphabet)] if gold else [rnd.choice(alphabet)]
+            rnd.shuffle(gen)
+            gen = gen[1:] if rnd.random() < 0.5 else gen
+        else:
+            gen = [rnd.choice(alphabet) for _ in range(rnd.randint(0, 6))]
+        g, n = f"g{k}", f"n{k}"
+        rows += [(g, json.dumps(list(r))) for r in gold] + [(n, json.dumps(list(r))) for r in gen]
+        pairs.append((g, n))
+        want[(g, n)] = Counter(map(tuple, gold)) == Counter(map(tuple, gen))
+    results = spark.createDataFrame(rows, "run_id string, row string")
+    p = spark.createDataFrame(pairs, "gold_run_id string, gen_run_id string")
+    got = {(r["gold_run_id"], r["gen_run_id"]): r["equal"] for r in S.compare_runs(p, results).collect()}
+    assert got == want
