@@ -9,6 +9,10 @@ from sqlgauge.sources.tables import parquet_dir_database
 
 SF = "/root/testdata/sf0.001"
 
+# Generous statement limit for tests that are not about timeouts
+# (a busy machine must not turn a verdict into a timeout).
+LIMIT = 120_000
+
 
 def test_two_databases(spark, tmp_path):
     shop = parquet_dir_database(SF, name="shop", tables=["orders", "customer"])
@@ -25,7 +29,7 @@ def test_two_databases(spark, tmp_path):
         ("c2", "zero_shot", "SELECT 1"),
     ], "example_id string, strategy string, response string")
     res = B.run_benchmark(spark, {"shop": shop, "corpus": corpus}, ex, responses=resp,
-                          out_dir=str(tmp_path / "b"))
+                          out_dir=str(tmp_path / "b"), timeout_ms=LIMIT)
     prompts = {r["example_id"]: r["user"] for r in res.prompts.where("strategy = 'zero_shot'").collect()}
     assert "orders(" in prompts["s1"] and "documents(" not in prompts["s1"]
     assert "labels(" in prompts["c1"] and "orders(" not in prompts["c1"]
@@ -47,7 +51,7 @@ def test_failed_generation_is_reported(spark, tmp_path):
     ps = P.build_prompts(ex, texts, ["zero_shot"])
     gen = spark.createDataFrame([("s1", "zero_shot", "model-s", None, None, None, "rate limited")],
                                 G.GENERATED_SCHEMA)
-    res = B.score_generated(spark, {"shop": shop}, ex, ps, gen, out_dir=str(tmp_path / "b"))
+    res = B.score_generated(spark, {"shop": shop}, ex, ps, gen, out_dir=str(tmp_path / "b"), timeout_ms=LIMIT)
     r = res.scored.first()
     assert not r["correct"] and r["verdict"] == "generation_failed"
     assert r["reason"] == "generation failed: rate limited" and r["cost_usd"] == 0.0

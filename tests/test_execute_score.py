@@ -31,6 +31,10 @@ REFUSE = [
     "LOAD DATA LOCAL INPATH '/tmp/x' INTO TABLE orders",
 ]
 
+# Generous statement limit for tests that are not about timeouts
+# (a busy machine must not turn a verdict into a timeout).
+LIMIT = 120_000
+
 
 @pytest.mark.parametrize("sql", REFUSE)
 def test_guard_refuses(spark, sql):
@@ -63,7 +67,7 @@ def test_run_batch_errors_and_empty(spark, tmp_path):
                          ("ro", "shop", "DROP TABLE orders"),
                          ("nodb", "other", "SELECT 1"),
                          ("div", "shop", "SELECT 1 / (o_orderkey - o_orderkey) FROM orders")])
-    rr = X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "r"))
+    rr = X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "r"), timeout_ms=LIMIT)
     ex = {r["run_id"]: r for r in rr.executions.collect()}
     assert ex["ok"]["success"] and ex["ok"]["n_rows"] == 1
     assert not ex["bad"]["success"] and "\n" not in ex["bad"]["error"]
@@ -129,7 +133,7 @@ def test_failure_verdicts(spark, tmp_path):
     db = parquet_dir_database(SF, name="shop")
     runs = _runs(spark, [("g_ok", "shop", "SELECT 1"), ("g_bad", "shop", "SELECT nope FROM orders"),
                          ("n_bad", "shop", "SELECT nada FROM orders")])
-    rr = X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "r"))
+    rr = X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "r"), timeout_ms=LIMIT)
     p = spark.createDataFrame([("a", "g_bad", "g_ok"), ("b", "g_ok", "n_bad")],
                               "example_id string, gold_run_id string, gen_run_id string")
     got = {r["example_id"]: r for r in S.verdicts(p, rr.executions, rr.results).collect()}
@@ -176,7 +180,7 @@ def test_dialect_hints(spark, tmp_path):
         ("d3", "shop", "SELECT * FROM orders FETCH FIRST 3 ROWS ONLY"),
         ("d4", "shop", "SELECT * FROM generate_series(1, 3)"),
         ("ok", "shop", "SELECT 1")])
-    rr = X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "r"))
+    rr = X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "r"), timeout_ms=LIMIT)
     got = {r["run_id"]: r["dialect_hint"] for r in X.with_dialect_hints(rr.executions).collect()}
     assert got["d1"].startswith("DISTINCT ON") and got["d2"].startswith("regex operator")
     assert got["d3"].startswith("FETCH FIRST") and got["d4"].startswith("generate_series")

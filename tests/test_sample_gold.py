@@ -29,6 +29,10 @@ TIERS = [(1, []), (3, ["aggregate"]), (2, ["join"]), (3, ["join", "aggregate", "
          (4, ["aggregate", "subquery"]), (1, []), (3, ["join", "aggregate", "group_by"]),
          (5, ["window_function"])]
 
+# Generous statement limit for tests that are not about timeouts
+# (a busy machine must not turn a verdict into a timeout).
+LIMIT = 120_000
+
 
 @pytest.fixture(scope="module")
 def loaded(spark, sample_dir, tmp_path_factory):
@@ -42,7 +46,7 @@ def _rows(spark, result_rows):
 def test_gold_answers(spark, loaded, tmp_path):
     runs = spark.createDataFrame([(f"g{i}", db, q) for i, (db, _, q) in enumerate(SAMPLE_EXAMPLES)],
                                  "run_id string, db_id string, sql string")
-    rr = X.run_batch(spark, runs, loaded.databases, out_dir=str(tmp_path / "r"))
+    rr = X.run_batch(spark, runs, loaded.databases, out_dir=str(tmp_path / "r"), timeout_ms=LIMIT)
     assert rr.executions.where("NOT success").count() == 0
     res = rr.results.collect()
     for i, want in enumerate(ANSWERS):
@@ -64,7 +68,7 @@ def test_reordered_answers_score_correct(spark, loaded, tmp_path):
         runs += [(f"g{i}", db, q), (f"r{i}", db, f"SELECT * FROM ({q}) t ORDER BY 1 DESC")]
         pairs.append((f"e{i}", f"g{i}", f"r{i}"))
     rr = X.run_batch(spark, spark.createDataFrame(runs, "run_id string, db_id string, sql string"),
-                     loaded.databases, out_dir=str(tmp_path / "r"))
+                     loaded.databases, out_dir=str(tmp_path / "r"), timeout_ms=LIMIT)
     p = spark.createDataFrame(pairs, "example_id string, gold_run_id string, gen_run_id string")
     v = S.verdicts(p, rr.executions, rr.results)
     assert v.where(~F.col("correct")).count() == 0
@@ -84,7 +88,7 @@ def test_catalog_namespaces(spark, loaded, tmp_path):
         cat = {n: catalog_database(spark, f"sg_{n}", d.keys) for n, d in dbs.items()}
         runs = spark.createDataFrame([(f"g{i}", db, q) for i, (db, _, q) in enumerate(SAMPLE_EXAMPLES)],
                                      "run_id string, db_id string, sql string")
-        rr = X.run_batch(spark, runs, cat, out_dir=str(tmp_path / "r"))
+        rr = X.run_batch(spark, runs, cat, out_dir=str(tmp_path / "r"), timeout_ms=LIMIT)
         assert rr.executions.where("NOT success").count() == 0
         got = {tuple(json.loads(r["row"])) for r in rr.results.where("run_id = 'g0'").collect()}
         assert got == ANSWERS[0]
@@ -92,7 +96,7 @@ def test_catalog_namespaces(spark, loaded, tmp_path):
         bad = spark.createDataFrame([("x", "college_1", "SELECT * FROM sg_pets_1.pet"),
                                      ("y", "college_1", "SELECT * FROM IDENTIFIER('sg_pets_1.pet')")],
                                     "run_id string, db_id string, sql string")
-        ex = X.run_batch(spark, bad, cat, out_dir=str(tmp_path / "b")).executions.collect()
+        ex = X.run_batch(spark, bad, cat, out_dir=str(tmp_path / "b"), timeout_ms=LIMIT).executions.collect()
         assert {r["run_id"]: r["error_class"] for r in ex} == {"x": "READ_ONLY", "y": "READ_ONLY"}
         assert spark.catalog.currentDatabase() == "default"
     finally:
