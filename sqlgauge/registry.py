@@ -323,12 +323,20 @@ def q_history(spark, sf):
                                                F.sum(F.col("correct").cast("bigint")).alias("n_correct"))
 
 
+def _write_stream_source(spark, sf, path, files: int = 4) -> None:
+    """The derived log as several source files (no shuffle: the writer splits
+    its output by record count)."""
+    log = derived.query_log(spark, sf)
+    n = log.count()
+    log.write.option("maxRecordsPerFile", max(1, -(-n // files))).parquet(path)
+
+
 def q_stream_classify(spark, sf):
     """The classifier as a file stream: the whole derived log arrives as
     several files, one micro-batch each, into a parquet sink."""
     from sqlgauge.streaming import querylog as SQ
     src, sink = work_path(spark, "stream-src"), work_path(spark, "stream-sink")
-    derived.query_log(spark, sf).repartition(4).write.parquet(src)
+    _write_stream_source(spark, sf, src)
     q = SQ.start_classifier(spark, src, sink, work_path(spark, "stream-ckpt"),
                             available_now=True, max_files_per_trigger=1)
     q.awaitTermination()
@@ -342,7 +350,7 @@ def q_stream_tier_counts(spark, sf):
 
     from sqlgauge.streaming import querylog as SQ
     src = work_path(spark, "stream-src")
-    derived.query_log(spark, sf).repartition(4).write.parquet(src)
+    _write_stream_source(spark, sf, src)
     name = f"tier_counts_{uuid.uuid4().hex[:8]}"
     q = SQ.start_tier_counts(spark, src, name, work_path(spark, "stream-ckpt"), available_now=True)
     q.awaitTermination()
