@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from sqlgauge.session import work_path
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have (in any letter case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
     path = work_path(df.sparkSession, name)

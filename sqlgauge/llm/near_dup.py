@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqlgauge.llm import textvec as V
-from sqlgauge.llm.graph import components, written
+from sqlgauge.llm.graph import components, fresh, written
 
 CHUNKS, WIDTH, ERRORS, BITS = 12, 5, 1, 16
 SLOTS = CHUNKS * WIDTH
@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
     """``docs`` without the rows of documents that another of their group stands for."""
+    name = fresh(docs, "_gone")
     gone = (near_duplicates(docs, words, percent, id_col, text_col).where("NOT kept")
-            .select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, docs[id_col].cast("bigint") == F.col("_gone"), "left_anti")
+            .select(F.col("doc_id").alias(name)))
+    return docs.join(gone, F.col(id_col).cast("bigint") == F.col(name), "left_anti")

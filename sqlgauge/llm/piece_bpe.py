@@ -256,8 +256,8 @@ def with_pieces(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
     return coded.withColumn(decoded_col, decode(F.col(ids_col), path))
 
 
-def digests(coded: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded") -> dict[str, Column]:
-    """n_tokens, ids_sha256 and decoded_sha256 of coded rows."""
+def digests(ids_col: str = "ids", decoded_col: str = "decoded") -> dict[str, Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 of rows of ``with_pieces``."""
     decimal = F.array_join(F.col(ids_col).cast("array<string>"), ",")
     return {"n_tokens": F.size(ids_col).cast("bigint"), "ids_sha256": F.sha2(decimal, 256),
             "decoded_sha256": F.sha2(F.col(decoded_col), 256)}

@@ -28,7 +28,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers = {"up": np.ones(1, dtype=_U), "down": np.ones(1, dtype=_U)}
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def power(kind: str, n: int) -> np.ndarray:
     """Powers 0..n-1 of the base ("up") or its inverse ("down"), grown as needed."""
     have = _powers[kind]
     if len(have) < n:
@@ -48,6 +48,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def place_keys(n: int) -> np.ndarray:
+    """Fixed odd 64-bit factors, one per place of an n-gram."""
+    return mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, row offsets) of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -76,22 +81,30 @@ def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
     """Running polynomial sums mod 2^64, from which any span's hash follows."""
     pre = np.zeros(len(data) + 1, dtype=_U)
     if len(data):
-        np.cumsum((_LOWER_TABLE if lower else _TABLE)[data] * _power("up", len(data)), out=pre[1:])
+        np.cumsum((_LOWER_TABLE if lower else _TABLE)[data] * power("up", len(data)), out=pre[1:])
     return pre
 
 
 def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
-    h = (pre[end] - pre[start]) * _power("down", len(pre))[start]
+    h = (pre[end] - pre[start]) * power("down", len(pre))[start]
     return mix(h + (end - start).astype(_U) * _U(0xA24BAED4963EE407))
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of ``[^\\x20\\x09-\\x0D]+`` inside each row: (start, end, words before each row)."""
+#: Every ASCII byte but letters and digits; other bytes belong to words.
+ASCII_GAPS = np.zeros(256, dtype=bool)
+ASCII_GAPS[:128] = True
+ASCII_GAPS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
+
+
+def words(data: np.ndarray, off: np.ndarray,
+          gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans between ``gaps`` (default: ``[^\\x20\\x09-\\x0D]+``) inside each row:
+    (start, end, words before each row)."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~gaps[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[off] = True
     first = solid & cut[:n]
