@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 _rng = np.random.RandomState(20240607)
@@ -32,7 +32,7 @@ def power(kind: str, n: int) -> np.ndarray:
     """Powers 0..n-1 of the base ("up") or its inverse ("down"), grown as needed."""
     have = _powers[kind]
     if len(have) < n:
-        size = max(n, 2 * len(have), 1 << 16)
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         base = _U(_BASE if kind == "up" else _BASE_INV)
         have = np.concatenate([np.ones(1, dtype=_U), np.cumprod(np.full(size - 1, base, dtype=_U))])
         _powers[kind] = have
