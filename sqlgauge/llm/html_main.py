@@ -52,6 +52,8 @@ AROUND = frozenset(
     "discussion skip login alert".split())
 COMMENTS = frozenset("comment comments disqus replies reply respond discussion".split())
 NOT_OF = frozenset("with has no without".split())
+#: Blocks that hold their own text; the text of others counts for what they stand in.
+HOLDERS = frozenset("html body article section main div".split())
 LEVELS = 10  # ancestors that a block gives points to
 KEEPS = frozenset("html body article main".split())
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>")
@@ -257,7 +259,7 @@ def _measure(root: Node) -> list[Node]:
         points = (1 + own.count(",") + min(len(own) / 100, 3)) * (1 - linked / len(own))
         if node.tag in HEADINGS:
             points /= 2
-        at, level = (node if node.tag not in ("p", *HEADINGS) else node.parent) or node, 0
+        at, level = (node if node.tag in HOLDERS else node.parent) or node, 0
         node.text += len(own)
         node.linked += linked
         while at is not None and level < LEVELS:
@@ -344,10 +346,10 @@ def main_text(html: str | None) -> str:
         siblings = [c for c in top.parent.children if isinstance(c, Node) and c.tag in ARTICLE]
     else:
         siblings = [c for c in top.parent.children if isinstance(c, Node)]
-    least = max(10.0, 0.2 * _value(best))
+    least = 0.2 * _value(best)
     kept = [c for c in siblings if c is top or not c.cut and (
-        c.tag != "article" and _value(c) >= least
-        or c.tag == "p" and c.text > 80 and _density(c) < 0.25
+        c.tag != "article" and _value(c) >= max(least, 0.5)
+        or c.tag == "p" and _density(c) < 0.25
         or c.tag in HEADINGS and top.tag not in ARTICLE and _density(c) < 0.25)]
     return _blocks_of(kept)
 
