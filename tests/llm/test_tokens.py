@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
+from llm_samples import documents  # noqa: F401
 from sqlgauge.llm import piece_bpe as PB
 from sqlgauge.llm import storage
 from sqlgauge.llm import token_counts as TC
