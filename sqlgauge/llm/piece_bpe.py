@@ -244,7 +244,8 @@ def decode(ids: Column, path: str) -> Column:
     """The text of each id array (null: empty)."""
     def run(column: pa.Array) -> pa.Array:
         c = coder(path)
-        return pa.array([c.decode(x or []) for x in column.to_pylist()], pa.string())
+        at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        return pa.array([c.decode(flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:])], pa.string())
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "string")(ids)
 
