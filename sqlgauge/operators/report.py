@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqlgauge.session import written
+
 
 def _acc(n_correct, n):
     return F.when(n > 0, F.round(F.lit(100.0) * n_correct / n, 2)).otherwise(F.lit(0.0))
@@ -46,26 +48,29 @@ def running_sums(df: DataFrame, group: str, order: str, cols: list[str],
 
     A window partitioned by a low-cardinality group (a handful of strategies)
     would put each group's rows into one task.  Instead: range-partition by
-    (group, order), take local running sums inside each partition, add the
-    totals of all earlier partitions of the same group (a small table: one row
-    per group and partition), done.  ``order`` must be unique within a group.
+    (group, order) and write that once, with each row's partition; take local
+    running sums inside each partition, and add the totals of all earlier
+    partitions of the same group (one row per group and partition).  Both
+    branches read the written partitions, so they cannot disagree about the
+    bounds.  ``order`` must be unique within a group; a null group is a group.
     """
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, group, order).withColumn("_pid", F.spark_partition_id())
+    ranged = written(df.repartitionByRange(n, group, order).withColumn("_pid", F.spark_partition_id()),
+                     "ranged")
     local_w = (Window.partitionBy(group, "_pid").orderBy(order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.select("*", *[F.sum(c).over(local_w).alias(f"_loc_{c}") for c in cols])
     totals = ranged.groupBy(group, "_pid").agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
     before = (Window.partitionBy(group).orderBy("_pid")
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(group, "_pid", *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0))
-                                             .alias(f"_off_{c}") for c in cols])
-    # offsets: one row per (group, partition) -- bounded, broadcast.
-    out = local.join(F.broadcast(offsets), [group, "_pid"])
+    offsets = totals.select(F.col(group).alias("_group"), F.col("_pid").alias("_part"),
+                            *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}")
+                              for c in cols])
+    out = local.join(offsets, (F.col("_pid") == F.col("_part")) & F.col(group).eqNullSafe(F.col("_group")))
     for c in cols:
         out = out.withColumn(f"running_{c}", F.col(f"_loc_{c}") + F.col(f"_off_{c}"))
-    return out.drop("_pid", *[f"_loc_{c}" for c in cols], *[f"_off_{c}" for c in cols])
+    return out.drop("_pid", "_part", "_group", *[f"_loc_{c}" for c in cols], *[f"_off_{c}" for c in cols])
 
 
 def cost_report(scored: DataFrame) -> DataFrame:

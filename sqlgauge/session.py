@@ -33,11 +33,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (``local``, ``local[n]``, not ``local-cluster``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, S3...);
-    we read it from the session and never replace it.
+    we read it from the session and never replace it.  Without one, a cluster
+    session is refused: a folder of the driver's machine is not shared.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,7 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        # Only reached in local runs (tests): a fresh scratch folder of our own.
+        if not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # A local run (tests): a fresh scratch folder of our own.
         configured = tempfile.mkdtemp(prefix="sqlgauge-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -60,6 +68,37 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     return f"{base}/{tail}/{leaf}".rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any store that Spark reads exists."""
+    fs, jpath = _hadoop(spark, path)
+    return bool(fs.exists(jpath))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a path of any store (nothing to do if it is absent)."""
+    fs, jpath = _hadoop(spark, path)
+    fs.delete(jpath, True)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly under a folder of any store (none if it is absent)."""
+    fs, jpath = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(jpath)) if fs.exists(jpath) else []
+
+
+def written(df, name: str):
+    """``df`` as a table under the shared folder, read back: computed once, with
+    a short lineage that survives lost executors."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def env_cpus(default: int = 8) -> int:
     try:
         return int(os.environ.get("BENCH_CPUS", default))

@@ -65,3 +65,31 @@ def test_question_report_reason(spark):
         "verdict string, reason string")
     r = R.question_report(df).first()
     assert (r["mark"], r["why"], r["reason"]) == ("FAIL", "generated_failed", "generated query failed: boom")
+
+
+def test_running_sums_at_scale_with_extra_columns_and_a_projection(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    df = (spark.range(600_000).select(
+        F.when(F.col("id") % 7 != 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("grp"),
+        F.xxhash64("id").alias("pos"), (F.col("id") % 101).alias("v"),
+        F.repeat(F.lit("x"), 40).alias("extra")))
+    w = Window.partitionBy("grp").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = df.select("grp", "pos", F.sum("v").over(w).alias("want"))
+    got = R.running_sums(df, "grp", "pos", ["v"], parts=13).select("grp", "pos", "running_v")
+    both = want.join(got, want.grp.eqNullSafe(got.grp) & (want.pos == got.pos))
+    assert both.count() == 600_000
+    assert both.where("want <> running_v").count() == 0
+
+
+def test_cost_report_at_scale_keeps_totals_under_projection(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(500_000).select(
+        F.concat(F.lit("s"), F.col("id") % 4).alias("strategy"), F.format_string("e%08d", "id").alias("example_id"),
+        F.lit("note").alias("note"), (F.col("id") % 50).alias("input_tokens"), F.lit(2).cast("bigint").alias("output_tokens"),
+        (F.col("id") % 8 / 8).alias("cost_usd"))
+    r = R.cost_report(df).select("strategy", "example_id", "running_output_tokens")
+    top = {x["strategy"]: x["m"] for x in r.groupBy("strategy").agg(F.max("running_output_tokens").alias("m")).collect()}
+    assert top == {f"s{k}": 250_000 for k in range(4)}
+    first = r.where("example_id < 'e00000004'").collect()
+    assert {x["running_output_tokens"] for x in first} == {2}
