@@ -2,7 +2,7 @@
 
 One lineage per stage; the expensive stages write their output once under
 the shared checkpoint folder: schema texts, generations (model calls cost
-money) and query runs (small runs share jobs, large ones get their own).
+money) and query runs (one job each).
 Scoring over all runs is one job (plus the exact check of candidate pairs).
 """
 
@@ -21,7 +21,7 @@ from sqlgauge.sources.tables import Database
 
 def run_id(db_col, sql_col):
     """Deterministic id of a (database, statement) pair: identical runs dedupe."""
-    return F.substring(F.sha2(F.concat_ws("\u001f", db_col, F.coalesce(sql_col, F.lit(""))), 256), 1, 20)
+    return F.sha2(F.concat_ws("\u001f", db_col, F.coalesce(sql_col, F.lit(""))), 256)
 
 
 def gold_examples(spark: SparkSession, db_id: str) -> DataFrame:
@@ -94,7 +94,7 @@ def run_benchmark(spark: SparkSession, databases: dict[str, Database], examples:
                   prices: DataFrame | None = None, sample_limit: int = 3,
                   timeout_ms: int | None = None, parallelism: int = 8,
                   out_dir: str | None = None,
-                  sample_order_by_key: bool = False, chunk_size: int = 16) -> BenchmarkResult:
+                  sample_order_by_key: bool = False) -> BenchmarkResult:
     """Score every (example, strategy) answer against its gold query.
 
     Give either ``generated`` (F1 output) or ``responses`` (a replay table).
@@ -112,13 +112,13 @@ def run_benchmark(spark: SparkSession, databases: dict[str, Database], examples:
     if generated is None:
         generated = generate.replay(ps, responses)
     return score_generated(spark, databases, examples, ps, generated, prices, timeout_ms,
-                           parallelism, out_dir, chunk_size)
+                           parallelism, out_dir)
 
 
 def score_generated(spark: SparkSession, databases: dict[str, Database], examples: DataFrame,
                     ps: DataFrame, generated: DataFrame, prices: DataFrame | None = None,
                     timeout_ms: int | None = None, parallelism: int = 8,
-                    out_dir: str | None = None, chunk_size: int = 16) -> BenchmarkResult:
+                    out_dir: str | None = None) -> BenchmarkResult:
     """F3 -> G: clean and cost the answers, run gold and generated SQL, score."""
     out_dir = out_dir or work_path(spark, "benchmark")
     prices = prices if prices is not None else generate.price_table(spark)
@@ -133,7 +133,7 @@ def score_generated(spark: SparkSession, databases: dict[str, Database], example
             .unionByName(gens.where(F.col("error").isNull())
                          .select(F.col("gen_run_id").alias("run_id"), "db_id", "sql")))
     rr = execute.run_batch(spark, runs, databases, out_dir=f"{out_dir}/runs",
-                           timeout_ms=timeout_ms, parallelism=parallelism, chunk_size=chunk_size)
+                           timeout_ms=timeout_ms, parallelism=parallelism)
     scored = score.verdicts(gens, rr.executions, rr.results)
     scored.write.mode("overwrite").parquet(f"{out_dir}/scored")
     scored = spark.read.parquet(f"{out_dir}/scored")

@@ -1,43 +1,45 @@
 """Batch execution of SQL runs: read-only, timed out, failures as data.
 
 Each distinct (database, SQL) pair is one run.  Every statement is parsed,
-guarded and analysed on its own (errors there cost no job).  Runs are then
-executed in chunks of one database: one Spark job under one job tag writes
-the rows of all members, and a timer cancels exactly that job.  A chunk that
-finishes within one statement timeout proves each member did (no member did
-more work than the whole job); a chunk that fails or runs long is split and
-its members run one job each, so verdicts, errors and timeouts stay exact
-per run while small queries share one job's overhead.
+guarded and analysed on its own (errors there cost no job) and then runs as a
+Spark job of its own, under its own job tag and its own clock.  A watchdog
+cancels the tag when the deadline passes and goes on cancelling until the
+write returns, so a job that starts late is stopped too; what a late write may
+still have committed is deleted.  A run that ignores its cancel is given up:
+its thread is left alone and its place goes to the next run.
 
 A run's rows never reach the driver: they are rendered to string cells (one
-JSON text per row) and written under the shared checkpoint folder, one
-folder per job (concurrent writers never share a path); the commit protocol
-publishes a folder only when its job succeeds.  The driver keeps one small
-log row per run: success, first error line, columns, row count,
-milliseconds (the job's, for chunk members) and where its rows are.
+JSON text per row) and written under one root, ``results/run_id=<id>``.  The
+row count and the multiset fingerprint are observed during that write, so
+scoring does not read the rows again to get them.  The driver keeps one small
+log row per run.
 """
 
 from __future__ import annotations
 
+import queue
 import threading
 import time
 import uuid
-from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlgauge.plans import guard
-from sqlgauge.session import work_path
+from sqlgauge.session import delete_path, work_path
 from sqlgauge.sources.tables import Database
 
 DEFAULT_TIMEOUT_MS = 5000
 # After a run's deadline, how long to wait for its job to honour the cancel
 # before giving up on it (a job that ignores cancels must not hang the batch).
 CANCEL_GRACE_S = 30.0
+# How often a passed deadline is enforced again.
+CANCEL_AGAIN_S = 0.1
+LOG_ROWS = 1000
 NULL_TEXT = "None"
 
 EXECUTION_SCHEMA = T.StructType([
@@ -52,6 +54,8 @@ EXECUTION_SCHEMA = T.StructType([
     T.StructField("n_rows", T.LongType(), True),
     T.StructField("ms", T.LongType(), True),
     T.StructField("result_path", T.StringType(), True),
+    T.StructField("fp_a", T.DecimalType(38, 0), True),
+    T.StructField("fp_b", T.DecimalType(38, 0), True),
 ])
 
 
@@ -154,8 +158,8 @@ class RunResult:
 
 
 def _log(run_id, db_id, sql, ok, error=None, error_class=None, timed_out=False,
-         columns=None, n_rows=None, ms=0, path=None) -> tuple:
-    return (run_id, db_id, sql, ok, error, error_class, timed_out, columns, n_rows, ms, path)
+         columns=None, n_rows=None, ms=0, path=None, fp=(None, None)) -> tuple:
+    return (run_id, db_id, sql, ok, error, error_class, timed_out, columns, n_rows, ms, path, *fp)
 
 
 def _failure(run_id, db_id, sql, exc: BaseException, ms: int) -> tuple:
@@ -173,46 +177,49 @@ def _prepare(session: SparkSession, sql: str, allow_qualified: bool,
     return df
 
 
-def _rows_frame(run_id: str, df: DataFrame, strict_null: bool) -> DataFrame:
+def row_frame(df: DataFrame, strict_null: bool = False) -> DataFrame:
+    """A result as one column ``row`` of rendered rows."""
     pos = positional(df)
-    return pos.select(F.lit(run_id).alias("run_id"), row_key(pos, strict_null).alias("row"))
+    return pos.select(row_key(pos, strict_null).alias("row"))
 
 
-def _timed_write(spark: SparkSession, out: DataFrame, path: str, timeout_ms: int) -> bool:
-    """Write under a job tag with a cancel timer; True when the deadline passed."""
+def fingerprint_columns() -> list[Column]:
+    """n, fp_a, fp_b over ``row``: a count and two order-free hash sums."""
+    return [F.count(F.lit(1)).alias("fp_n"),
+            F.coalesce(F.sum(F.xxhash64("row").cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias("fp_a"),
+            F.coalesce(F.sum(F.hash("row").cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias("fp_b")]
+
+
+def timed_write(spark: SparkSession, out: DataFrame, path: str, timeout_ms: int) -> bool:
+    """Write under a job tag; True when the deadline passed (then nothing is left at ``path``)."""
     sc = spark.sparkContext
     tag = f"sqlgauge-run-{uuid.uuid4().hex}"
-    timed_out = threading.Event()
+    ended, late = threading.Event(), threading.Event()
 
-    def cancel() -> None:
-        timed_out.set()
-        sc.cancelJobsWithTag(tag)
+    def watch() -> None:
+        if ended.wait(timeout_ms / 1000.0):
+            return
+        late.set()
+        while True:  # a job that starts after the first cancel needs another
+            sc.cancelJobsWithTag(tag)
+            if ended.wait(CANCEL_AGAIN_S):
+                return
 
-    timer = threading.Timer(timeout_ms / 1000.0, cancel)
     sc.addJobTag(tag)
-    timer.start()
+    dog = threading.Thread(target=watch, daemon=True)
+    dog.start()
     try:
         out.write.mode("overwrite").parquet(path)
     except Exception:
-        if timed_out.is_set():
-            return True
-        raise
+        if not late.is_set():
+            raise
     finally:
-        timer.cancel()
+        ended.set()
+        dog.join()
         sc.removeJobTag(tag)
-    # The deadline may pass before the job ends (or before it starts, so the
-    # cancel found nothing): still a timeout, as a statement timeout is.
-    return timed_out.is_set()
-
-
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of everything the query reads (no job)."""
-    it = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-    total = 0
-    while it.hasNext():
-        v = it.next().stats().sizeInBytes()
-        total += int(v if isinstance(v, int) else v.toString())
-    return total
+    if late.is_set():
+        delete_path(spark, path)
+    return late.is_set()
 
 
 @dataclass
@@ -221,172 +228,130 @@ class _Ready:
     db_id: str
     sql: str
     df: DataFrame
-    size: int
 
 
 def _prepare_run(sessions, run_id: str, db_id: str, sql: str, allow_qualified: bool):
-    """A decided log row (empty, refused, analysis error) or a ready run."""
+    """A decided log row (unknown database, empty, refused, analysis error) or a ready run."""
     started = time.time()
+    if db_id not in sessions.databases:
+        return _log(run_id, db_id, sql, False, f"database {db_id} does not exist", "SCHEMA_NOT_FOUND")
     text = (sql or "").strip()
     if not text:
         # No statement, no result set: success with no rows.
-        return _log(run_id, db_id, sql, True, columns=[], n_rows=0)
+        return _log(run_id, db_id, sql, True, columns=[], n_rows=0, fp=(Decimal(0), Decimal(0)))
     try:
         df = _prepare(sessions[db_id], text, allow_qualified, sessions.databases[db_id])
-        return _Ready(run_id, db_id, sql, df, input_bytes(df))
+        return _Ready(run_id, db_id, sql, df)
     except Exception as exc:  # noqa: BLE001 - a failed query is data (G4)
         return _failure(run_id, db_id, sql, exc, int((time.time() - started) * 1000))
 
 
+def _timeout_log(r: _Ready, timeout_ms: int, ms: int) -> tuple:
+    return _log(r.run_id, r.db_id, r.sql, False, f"statement timeout: canceled after {timeout_ms} ms",
+                "TIMEOUT", True, ms=ms)
+
+
 def _run_one(spark: SparkSession, r: _Ready, out_dir: str, timeout_ms: int,
              strict_null: bool) -> tuple:
     """One prepared run as its own job."""
     started = time.time()
     try:
-        obs = Observation(f"n_{r.run_id}_{uuid.uuid4().hex[:6]}")
-        out = _rows_frame(r.run_id, r.df, strict_null).observe(obs, F.count(F.lit(1)).alias("n"))
-        path = f"{out_dir}/results/run/{r.run_id}"
-        late = _timed_write(spark, out, path, timeout_ms)
+        obs = Observation(f"run_{uuid.uuid4().hex}")
+        out = row_frame(r.df, strict_null).observe(obs, *fingerprint_columns())
+        path = f"{out_dir}/results/run_id={r.run_id}"
+        late = timed_write(spark, out, path, timeout_ms)
         ms = int((time.time() - started) * 1000)
         if late:
-            return _log(r.run_id, r.db_id, r.sql, False,
-                        f"statement timeout: canceled after {timeout_ms} ms", "TIMEOUT", True, ms=ms)
-        return _log(r.run_id, r.db_id, r.sql, True, columns=list(r.df.columns),
-                    n_rows=int(obs.get.get("n", 0)), ms=ms, path=path)
+            return _timeout_log(r, timeout_ms, ms)
+        got = obs.get
+        return _log(r.run_id, r.db_id, r.sql, True, columns=list(r.df.columns), n_rows=int(got["fp_n"]),
+                    ms=ms, path=path, fp=(got["fp_a"], got["fp_b"]))
     except Exception as exc:  # noqa: BLE001 - a failed query is data (G4)
         return _failure(r.run_id, r.db_id, r.sql, exc, int((time.time() - started) * 1000))
 
 
-def _run_chunk(spark: SparkSession, members: list[_Ready], out_dir: str, timeout_ms: int,
-               strict_null: bool) -> tuple[list[tuple], list[_Ready]]:
-    """Several small runs of one database as one job.
-
-    Returns the log rows, or -- when the job failed or passed the deadline --
-    no rows and the members to run one job each.
-    """
-    if len(members) == 1:
-        return [_run_one(spark, members[0], out_dir, timeout_ms, strict_null)], []
-    started = time.time()
-    union = reduce(DataFrame.unionByName, [_rows_frame(m.run_id, m.df, strict_null) for m in members])
-    obs = Observation(f"chunk_{uuid.uuid4().hex[:12]}")
-    counts = [F.count_if(F.col("run_id") == F.lit(m.run_id)).alias(f"n{i}") for i, m in enumerate(members)]
-    path = f"{out_dir}/results/chunk/{uuid.uuid4().hex}"
-    try:
-        late = _timed_write(spark, union.observe(obs, *counts), path, timeout_ms)
-    except Exception:  # noqa: BLE001 - some member fails at run time: split
-        late = True
-    if late:
-        return [], members
-    ms = int((time.time() - started) * 1000)
-    got = obs.get
-    return [_log(m.run_id, m.db_id, m.sql, True, columns=list(m.df.columns),
-                 n_rows=int(got.get(f"n{i}", 0)), ms=ms, path=path)
-            for i, m in enumerate(members)], []
-
-
 def run_batch(spark: SparkSession, runs: DataFrame, databases: dict[str, Database],
               *, out_dir: str | None = None, timeout_ms: int | None = None,
               parallelism: int = 8, strict_null: bool = False,
-              allow_qualified: bool = False, chunk_size: int = 16,
-              chunk_max_input_bytes: int = 2 * 1024 * 1024) -> RunResult:
+              allow_qualified: bool = False) -> RunResult:
     """Run every (run_id, db_id, sql) row; return the run log and result cells.
 
-    ``runs`` is a list of statements (metadata, one row per run), gathered
-    on the driver to submit jobs; result rows stay on executors.
-    ``timeout_ms`` of 0/None falls back to the 5000 ms default (G3).
-    Runs whose estimated input is at most ``chunk_max_input_bytes`` share
-    jobs, up to ``chunk_size`` per job; larger runs get a job each (a chunk
-    member waits for the slowest member, which only pays off for small ones).
+    Statements stream through the driver, which submits ``parallelism`` jobs at
+    a time; result rows stay on executors.  ``timeout_ms`` of 0/None falls back
+    to the 5000 ms default (G3).
     """
     timeout_ms = timeout_ms or DEFAULT_TIMEOUT_MS
     out_dir = out_dir or work_path(spark, "runs")
-    plan = [(r["run_id"], r["db_id"], r["sql"])
-            for r in runs.select("run_id", "db_id", "sql").distinct().orderBy("db_id", "run_id").collect()]
+    plan = runs.select("run_id", "db_id", "sql").distinct().orderBy("db_id", "run_id").toLocalIterator()
     sessions = _LazySessions(spark, databases)
     rows: list[tuple] = []
-    for run_id, db_id, sql in plan:
-        if db_id not in databases:
-            rows.append(_log(run_id, db_id, sql, False, f"database {db_id} does not exist",
-                             "SCHEMA_NOT_FOUND"))
-    todo = [p for p in plan if p[1] in databases]
-    pool = ThreadPoolExecutor(max_workers=max(1, parallelism))
-    try:
-        # 1. Parse, guard, analyse and size every statement (no jobs).
-        ready: list[_Ready] = []
-        for out in pool.map(lambda p: _prepare_run(sessions, p[0], p[1], p[2], allow_qualified), todo):
-            (ready.append if isinstance(out, _Ready) else rows.append)(out)
-        # 2. Small runs share jobs, per database; every other run is alone.
-        small = [r for r in ready if r.size <= chunk_max_input_bytes]
-        size = max(1, min(chunk_size, -(-len(small) // max(1, parallelism))))
-        groups: list[list[_Ready]] = [[r] for r in ready if r.size > chunk_max_input_bytes]
-        by_db: dict[str, list[_Ready]] = {}
-        for r in small:
-            by_db.setdefault(r.db_id, []).append(r)
-        groups += [items[i:i + size] for items in by_db.values() for i in range(0, len(items), size)]
-        # 3. Execute, with an outer limit for jobs that ignore their cancel.
-        rows += _execute_groups(spark, pool, groups, out_dir, timeout_ms, strict_null)
-    finally:
-        pool.shutdown(wait=False, cancel_futures=True)
-    log = spark.createDataFrame(rows, EXECUTION_SCHEMA)
-    log.write.mode("overwrite").parquet(f"{out_dir}/executions")
-    executions = spark.read.parquet(f"{out_dir}/executions")
+    path = f"{out_dir}/executions"
+    delete_path(spark, path)
+
+    def flush() -> None:
+        spark.createDataFrame(rows, EXECUTION_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        rows.clear()
+
+    work = ((r["run_id"], r["db_id"], r["sql"]) for r in plan)
+    for row in _executed(spark, work, sessions, out_dir, timeout_ms, parallelism, strict_null, allow_qualified):
+        rows.append(row)
+        if len(rows) >= LOG_ROWS:
+            flush()
+    flush()
+    executions = spark.read.schema(EXECUTION_SCHEMA).parquet(path)
     return RunResult(executions, read_results(spark, out_dir, executions), out_dir)
 
 
-def _execute_groups(spark: SparkSession, pool: ThreadPoolExecutor, groups: list[list[_Ready]],
-                    out_dir: str, timeout_ms: int, strict_null: bool) -> list[tuple]:
-    rows: list[tuple] = []
-    started: dict[int, float] = {}
-    futures: dict = {}
-    tokens = iter(range(1 << 62))
-
-    def work(token: int, members: list[_Ready]):
-        started[token] = time.time()
-        return _run_chunk(spark, members, out_dir, timeout_ms, strict_null)
-
-    def submit(members: list[_Ready]):
-        t = next(tokens)
-        f = pool.submit(work, t, members)
-        futures[f] = (t, members)
-        return f
-
-    pending = {submit(g) for g in groups}
+def _executed(spark: SparkSession, work: Iterator[tuple], sessions, out_dir: str, timeout_ms: int,
+              parallelism: int, strict_null: bool, allow_qualified: bool) -> Iterator[tuple]:
+    """Log rows as runs end.  A run past its outer limit is logged as timed out and
+    no longer counted; its thread may end whenever its job does."""
+    done: queue.Queue = queue.Queue()
+    active: dict[int, dict] = {}
     limit_s = timeout_ms / 1000.0 + CANCEL_GRACE_S
-    while pending:
-        done, pending = wait(pending, timeout=1.0, return_when=FIRST_COMPLETED)
-        for f in done:
-            decided, retry = f.result()
-            rows.extend(decided)
-            for m in retry:                 # split chunk: one job per member
-                pending.add(submit([m]))
+
+    def run(token: int, item: tuple, state: dict) -> None:
+        out = _prepare_run(sessions, *item, allow_qualified)
+        if isinstance(out, _Ready):
+            state["ready"], state["started"] = out, time.time()
+            out = _run_one(spark, out, out_dir, timeout_ms, strict_null)
+        done.put((token, out))
+
+    token, left = 0, True
+    while left or active:
+        while left and len(active) < max(1, parallelism):
+            item = next(work, None)
+            if item is None:
+                left = False
+                break
+            token += 1
+            active[token] = {}
+            threading.Thread(target=run, args=(token, item, active[token]), daemon=True).start()
+        if not active:
+            break
+        try:
+            ended, row = done.get(timeout=0.2)
+            if active.pop(ended, None) is not None:  # else it was given up before
+                yield row
+        except queue.Empty:
+            pass
         now = time.time()
-        for f in list(pending):
-            token, members = futures[f]
-            if token in started and now - started[token] > limit_s:
-                # Outer limit: the job ignored its cancel; stop waiting for it.
-                pending.discard(f)
-                if len(members) > 1:
-                    for m in members:       # split the stuck chunk
-                        pending.add(submit([m]))
-                else:
-                    m = members[0]
-                    rows.append(_log(m.run_id, m.db_id, m.sql, False,
-                                     f"statement timeout: canceled after {timeout_ms} ms", "TIMEOUT",
-                                     True, ms=int((now - started[token]) * 1000)))
-    return rows
+        for t, state in list(active.items()):
+            if "started" in state and now - state["started"] > limit_s:
+                del active[t]
+                yield _timeout_log(state["ready"], timeout_ms, int((now - state["started"]) * 1000))
 
 
 RESULT_SCHEMA = T.StructType([
-    T.StructField("run_id", T.StringType(), True),
     T.StructField("row", T.StringType(), True),
+    T.StructField("run_id", T.StringType(), True),
 ])
 
 
 def read_results(spark: SparkSession, out_dir: str, executions: DataFrame) -> DataFrame:
-    """Result rows of successful runs: only the folders their log rows name
-    (a folder is one run or one chunk whose members all succeeded)."""
-    paths = sorted({r["result_path"] for r in executions.where("success AND n_rows > 0")
-                    .select("result_path").distinct().collect()})
-    if not paths:
-        return spark.createDataFrame([], RESULT_SCHEMA)
-    return spark.read.schema(RESULT_SCHEMA).parquet(*paths).select("run_id", "row")
+    """Result rows (run_id, row) of successful runs, from the one root they are written to."""
+    ok = executions.where("success AND n_rows > 0").select("run_id")
+    if not ok.limit(1).count():
+        return spark.createDataFrame([], RESULT_SCHEMA).select("run_id", "row")
+    rows = spark.read.schema(RESULT_SCHEMA).parquet(f"{out_dir}/results")
+    return rows.join(ok, "run_id", "left_semi").select("run_id", "row")

@@ -6,14 +6,14 @@ two empty results are equal.
 
 Plan, for N (gold run, generated run) pairs:
 
-1. One aggregate per run gives a multiset fingerprint (row count and two
-   sums of independent row hashes).  Equal multisets always have equal
-   fingerprints, so pairs whose fingerprints differ are settled as "differ"
-   without moving their rows.
-2. Only pairs with equal fingerprints are compared exactly: rows of both
-   sides tagged +1/-1, summed per (pair, row), equal iff every sum is 0.
-   This is a hash aggregate with map-side partials, keyed by row, so one
-   huge result or many duplicate rows spread over all partitions.
+1. A fingerprint per run (row count and two sums of independent row hashes),
+   observed while the run was written or aggregated here.  Equal multisets
+   always have equal fingerprints, so pairs whose fingerprints differ are
+   settled as "differ" without moving their rows.
+2. Runs of the other pairs are aggregated once to (run, row) -> count, with
+   map-side partials, so duplicates and one huge result spread over all
+   partitions.  Only these counts are paired: +n for the gold run, -n for the
+   generated one, summed per (pair, row); equal iff every sum is 0.
 """
 
 from __future__ import annotations
@@ -21,63 +21,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sqlgauge.operators.execute import fingerprint_columns
 from sqlgauge.session import ensure_checkpoint_dir
 
-# Pair lists up to this many rows join results by broadcast; beyond, by shuffle.
-PAIR_BROADCAST_LIMIT = 200_000
-
 
 def fingerprints(results: DataFrame) -> DataFrame:
     """(run_id, fp_n, fp_a, fp_b): row count and two order-free hash sums."""
-    return results.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("fp_n"),
-        F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("fp_a"),
-        F.sum(F.hash("row").cast("decimal(38,0)")).alias("fp_b"),
-    )
-
+    return results.groupBy("run_id").agg(*fingerprint_columns())
 
-def _join_pairs(results: DataFrame, pairs: DataFrame, key: str, n_pairs: int) -> DataFrame:
-    p = F.broadcast(pairs) if n_pairs <= PAIR_BROADCAST_LIMIT else pairs
-    return results.join(p, results["run_id"] == p[key], "inner")
 
+def compare_runs(run_pairs: DataFrame, results: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(gold_run_id, gen_run_id, equal) for each distinct pair of runs.
 
-def compare_runs(run_pairs: DataFrame, results: DataFrame) -> DataFrame:
-    """(gold_run_id, gen_run_id, equal) for each distinct pair of runs."""
+    ``known`` holds fingerprints (run_id, fp_n, fp_a, fp_b) that need not be computed.
+    """
     ensure_checkpoint_dir(results.sparkSession)
     pairs = run_pairs.select("gold_run_id", "gen_run_id").distinct()
-    fp = fingerprints(results)
-    zero = {"fp_n": 0, "fp_a": 0, "fp_b": 0}
-    g = fp.select(F.col("run_id").alias("gold_run_id"),
-                  *[F.col(c).alias("g_" + c) for c in zero])
-    n = fp.select(F.col("run_id").alias("gen_run_id"),
-                  *[F.col(c).alias("n_" + c) for c in zero])
+    fp = fingerprints(results) if known is None else known.select("run_id", "fp_n", "fp_a", "fp_b")
+    names = ["fp_n", "fp_a", "fp_b"]
+    g = fp.select(F.col("run_id").alias("gold_run_id"), *[F.col(c).alias("g_" + c) for c in names])
+    n = fp.select(F.col("run_id").alias("gen_run_id"), *[F.col(c).alias("n_" + c) for c in names])
     cand = (pairs.join(g, "gold_run_id", "left").join(n, "gen_run_id", "left"))
-    for c in zero:
-        cand = cand.withColumn("g_" + c, F.coalesce(F.col("g_" + c), F.lit(0)))
-        cand = cand.withColumn("n_" + c, F.coalesce(F.col("n_" + c), F.lit(0)))
     same_fp = F.lit(True)
-    for c in zero:
-        same_fp = same_fp & (F.col("g_" + c) == F.col("n_" + c))
+    for c in names:
+        same_fp = same_fp & (F.coalesce(F.col("g_" + c), F.lit(0)) == F.coalesce(F.col("n_" + c), F.lit(0)))
     # One row per pair: checkpointed (in the shared checkpoint folder) so the
     # fingerprints are computed once, pin no executor memory, survive
     # executor loss, and the exact step below sees a short lineage.
     cand = cand.select("gold_run_id", "gen_run_id",
                        (F.col("gold_run_id") == F.col("gen_run_id")).alias("same_run"),
                        same_fp.alias("same_fp"),
-                       (F.col("g_fp_n") == 0).alias("empty")).checkpoint(eager=True)
+                       (F.coalesce("g_fp_n", F.lit(0)) == 0).alias("empty")).checkpoint(eager=True)
     # Exact check only where fingerprints agree, rows exist and runs differ.
     todo = cand.where("same_fp AND NOT same_run AND NOT empty").select("gold_run_id", "gen_run_id")
-    n_todo = todo.count()
-    if n_todo:
-        plus = _join_pairs(results, todo, "gold_run_id", n_todo).select(
-            "gold_run_id", "gen_run_id", "row", F.lit(1).alias("sign"))
-        minus = _join_pairs(results, todo, "gen_run_id", n_todo).select(
-            "gold_run_id", "gen_run_id", "row", F.lit(-1).alias("sign"))
-        exact = (plus.unionByName(minus)
-                 .groupBy("gold_run_id", "gen_run_id", "row").agg(F.sum("sign").alias("d"))
-                 .groupBy("gold_run_id", "gen_run_id").agg(F.bool_and(F.col("d") == 0).alias("exact")))
-    else:
-        exact = todo.withColumn("exact", F.lit(True))
+    used = (todo.select(F.col("gold_run_id").alias("run_id"))
+            .unionByName(todo.select(F.col("gen_run_id").alias("run_id"))).distinct())
+    counts = results.join(used, "run_id", "left_semi").groupBy("run_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    plus = (todo.join(counts.withColumnRenamed("run_id", "gold_run_id"), "gold_run_id")
+            .select("gold_run_id", "gen_run_id", "row", "n"))
+    minus = (todo.join(counts.withColumnRenamed("run_id", "gen_run_id"), "gen_run_id")
+             .select("gold_run_id", "gen_run_id", "row", (-F.col("n")).alias("n")))
+    exact = (plus.unionByName(minus)
+             .groupBy("gold_run_id", "gen_run_id", "row").agg(F.sum("n").alias("d"))
+             .groupBy("gold_run_id", "gen_run_id").agg(F.bool_and(F.col("d") == 0).alias("exact")))
     out = cand.join(exact, ["gold_run_id", "gen_run_id"], "left").select(
         "gold_run_id", "gen_run_id",
         (F.col("same_run") | (F.col("same_fp") & (F.col("empty") | F.coalesce(F.col("exact"), F.lit(False)))))
@@ -91,7 +77,10 @@ def verdicts(pairs: DataFrame, executions: DataFrame, results: DataFrame) -> Dat
     Order of reasons: gold failed (the generated query still ran), then
     generated failed, then match / differ.
     """
-    eq = compare_runs(pairs, results)
+    known = None
+    if "fp_a" in executions.columns:
+        known = executions.where("success").select("run_id", F.col("n_rows").alias("fp_n"), "fp_a", "fp_b")
+    eq = compare_runs(pairs, results, known)
     g = executions.select(F.col("run_id").alias("gold_run_id"),
                           F.col("success").alias("gold_ok"), F.col("error").alias("gold_error"),
                           F.col("n_rows").alias("gold_rows"))

@@ -150,26 +150,50 @@ def test_strict_null_rendering(spark):
     assert strict[0] is None
 
 
-def test_outer_limit_when_cancel_is_ignored(spark, tmp_path, monkeypatch):
+def test_a_stuck_run_blocks_nothing(spark, tmp_path, monkeypatch):
     import time as _time
     real = X._run_one
 
     def stuck(spark_, r, *a):
-        if r.run_id == "stuck":
-            _time.sleep(20)       # a job that never honours its cancel
+        if r.run_id.startswith("stuck"):
+            _time.sleep(40)       # a job that never honours its cancel
         return real(spark_, r, *a)
 
     monkeypatch.setattr(X, "_run_one", stuck)
     monkeypatch.setattr(X, "CANCEL_GRACE_S", 0.5)
     db = parquet_dir_database(SF, name="shop")
-    runs = _runs(spark, [("stuck", "shop", "SELECT 1"), ("fine", "shop", "SELECT 2")])
+    runs = _runs(spark, [(f"stuck{k}", "shop", "SELECT 1") for k in range(3)] + [("z_fine", "shop", "SELECT 2")])
     t0 = _time.time()
-    rr = X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "r"), timeout_ms=200,
-                     chunk_size=1)
+    rr = X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "r"), timeout_ms=3000, parallelism=1)
     ex = {r["run_id"]: r for r in rr.executions.collect()}
-    assert _time.time() - t0 < 15
-    assert ex["stuck"]["timed_out"] and ex["stuck"]["error_class"] == "TIMEOUT"
-    assert ex["fine"]["success"]
+    assert _time.time() - t0 < 35
+    assert all(ex[f"stuck{k}"]["timed_out"] and ex[f"stuck{k}"]["error_class"] == "TIMEOUT" for k in range(3))
+    assert ex["z_fine"]["success"]
+
+
+def test_a_late_job_is_stopped_and_commits_nothing(spark, tmp_path):
+    import os
+    import time as _time
+    sc = spark.sparkContext
+    slow = spark.range(400).repartition(400).mapInPandas(_sleepy, "row string")
+    for limit in (1, 1500):
+        path = str(tmp_path / f"late{limit}")
+        t0 = _time.time()
+        assert X.timed_write(spark, slow, path, limit)
+        assert _time.time() - t0 < 25          # the whole job takes 400 x 0.5 s on 8 cores
+        assert not os.path.exists(path)
+        deadline = _time.time() + 10
+        while sc.statusTracker().getActiveJobsIds() and _time.time() < deadline:
+            _time.sleep(0.2)
+        assert not sc.statusTracker().getActiveJobsIds()
+    assert not X.timed_write(spark, spark.range(3).selectExpr("string(id) AS row"), str(tmp_path / "ok"), LIMIT)
+
+
+def _sleepy(batches):
+    import time as _time
+    for b in batches:
+        _time.sleep(0.5)
+        yield b.rename(columns={"id": "row"}).astype(str)
 
 
 def test_dialect_hints(spark, tmp_path):
@@ -187,34 +211,44 @@ def test_dialect_hints(spark, tmp_path):
     assert got["ok"] is None
 
 
-def test_chunked_runs_split_on_failure(spark, tmp_path):
-    """Runs share one job; a member failing at run time splits the chunk so
-    every run still gets its own exact outcome."""
+def test_every_run_has_its_own_time_and_outcome(spark, tmp_path):
     db = parquet_dir_database(SF, name="shop")
     good = [(f"g{i}", "shop", f"SELECT o_orderkey + {i} AS k FROM orders WHERE o_orderkey % 5 = {i}")
             for i in range(5)]
     runs = good + [("boom", "shop", "SELECT 1 / (o_orderkey - o_orderkey) FROM orders"),
                    ("bad", "shop", "SELECT nope FROM orders"), ("empty", "shop", "")]
     rr = X.run_batch(spark, _runs(spark, runs), {"shop": db}, out_dir=str(tmp_path / "r"),
-                     parallelism=1, chunk_size=16, timeout_ms=120_000)
+                     parallelism=2, timeout_ms=LIMIT)
     ex = {r["run_id"]: r for r in rr.executions.collect()}
     assert not ex["boom"]["success"] and not ex["bad"]["success"] and ex["empty"]["success"]
     n_orders = spark.read.parquet(f"{SF}/orders.parquet").count()
     assert sum(ex[f"g{i}"]["n_rows"] for i in range(5)) == n_orders
-    assert {ex[f"g{i}"]["result_path"] for i in range(5)} and all(ex[f"g{i}"]["success"] for i in range(5))
+    assert len({ex[f"g{i}"]["result_path"] for i in range(5)}) == 5 and all(ex[f"g{i}"]["ms"] > 0 for i in range(5))
     got = rr.results.groupBy("run_id").count().collect()
     assert {r["run_id"]: r["count"] for r in got} == {f"g{i}": ex[f"g{i}"]["n_rows"] for i in range(5)
                                                       if ex[f"g{i}"]["n_rows"]}
+    fp = {r["run_id"]: r for r in S.fingerprints(rr.results).collect()}
+    assert all((fp[k]["fp_a"], fp[k]["fp_b"]) == (ex[k]["fp_a"], ex[k]["fp_b"]) for k in fp)
 
 
-def test_chunk_shares_one_job(spark, tmp_path):
+def test_log_rows_are_flushed_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "LOG_ROWS", 2)
     db = parquet_dir_database(SF, name="shop")
-    runs = [(f"g{i}", "shop", f"SELECT {i} AS x") for i in range(6)]
-    rr = X.run_batch(spark, _runs(spark, runs), {"shop": db}, out_dir=str(tmp_path / "r"),
-                     parallelism=1, chunk_size=16, timeout_ms=120_000)
-    paths = {r["result_path"] for r in rr.executions.collect()}
-    assert len(paths) == 1 and "/results/chunk/" in paths.pop()
-    assert sorted(json_rows(rr.results)) == [[str(i)] for i in range(6)]
+    runs = [(f"g{i}", "shop", f"SELECT {i} AS x") for i in range(5)]
+    rr = X.run_batch(spark, _runs(spark, runs), {"shop": db}, out_dir=str(tmp_path / "r"), timeout_ms=LIMIT)
+    assert rr.executions.count() == 5
+    assert sorted(json_rows(rr.results)) == [[str(i)] for i in range(5)]
+
+
+def test_scoring_moves_counted_rows_only(spark):
+    """Raw rows are aggregated per run before any pairing."""
+    res = spark.createDataFrame([("a", "x"), ("b", "x")], "run_id string, row string")
+    pairs = spark.createDataFrame([("a", "b")], "gold_run_id string, gen_run_id string")
+    df = S.compare_runs(pairs, res)
+    assert df.first()["equal"]
+    logical = df._jdf.queryExecution().optimizedPlan().toString()
+    # Below each pair join on rows there is an aggregate keyed by (run_id, row).
+    assert logical.count("Aggregate [run_id") + logical.count("Aggregate [gold_run_id") >= 2
 
 
 def json_rows(df):
