@@ -12,7 +12,8 @@ one in nine million; more similar pairs far less often.
 Candidates are confirmed on the full shingle sets. Groups of copies never expand
 into pairs: equal sets are one node; entries are first linked to one centre each
 (a star, in a few rounds with other centres), and only entries that still hold
-several components compare the rest, pair by pair, in a join.
+several components compare the rest: pair by pair where an entry has at most HOT
+sets, else as matrix products of blocks of sets, from which only links come back.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text
 shorter than the shingle is one shingle; null, empty and blank texts have no
@@ -33,7 +34,11 @@ from sqlgauge.llm.graph import components, fresh, written
 
 CHUNKS, WIDTH, ERRORS, BITS = 12, 5, 1, 16
 SLOTS = CHUNKS * WIDTH
+DISTANCE = 30      # pairs of similarity 0.8 lie farther apart once in ten million
 STAR_ROUNDS = 2
+HOT = 32           # entries with more sets are compared in blocks, with the same result
+BLOCK = 128        # sets of a block, about
+COLUMNS = 16_384   # shared shingles of two blocks that are multiplied at a time
 
 _U = np.uint64
 _seeds = np.random.RandomState(77).randint(0, 2**31, size=(4, SLOTS)).astype(_U)
@@ -152,6 +157,24 @@ def entries(signature: Column) -> Column:
     return F.arrow_udf(run, "array<bigint>")(signature)
 
 
+def slots_apart(x: Column, y: Column) -> Column:
+    """In how many slots two signatures differ."""
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        a, b = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint16).reshape(len(c), SLOTS)
+                for c in (left, right))
+        return pa.array((a != b).sum(axis=1).astype(np.int32))
+    run.__annotations__ = {"left": pa.Array, "right": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "int")(x, y)
+
+
+def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures are within DISTANCE."""
+    left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("ga"))
+    right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("gb"))
+    return (pairs.join(left, "a").join(right, "b")
+            .where(slots_apart(F.col("ga"), F.col("gb")) <= DISTANCE).select("a", "b"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -167,6 +190,89 @@ def _ratio(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
 
+def _flat(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes, components, set offsets, shingles) of each row of packed blocks."""
+    out = []
+    for k in range(len(column)):
+        block = column[k].values
+        sets = block.field("shingles")
+        off = sets.offsets.to_numpy()
+        out.append((block.field("node").to_numpy(), block.field("component").to_numpy(), off - off[0],
+                    sets.flatten().to_numpy()))
+    return out
+
+
+def _common(x: tuple, y: tuple) -> np.ndarray:
+    """Sizes of the intersections of all sets of block x with all of block y."""
+    shared = np.intersect1d(x[3], y[3])
+    total = np.zeros((len(x[0]), len(y[0])), dtype=np.float32)
+
+    def parts(block, lo, hi):
+        token = np.searchsorted(shared, block[3])
+        inside = token < len(shared)
+        inside[inside] = shared[token[inside]] == block[3][inside]
+        inside &= (token >= lo) & (token < hi)
+        row = np.repeat(np.arange(len(block[0])), np.diff(block[2]))
+        m = np.zeros((len(block[0]), hi - lo), dtype=np.float32)
+        m[row[inside], token[inside] - lo] = 1
+        return m
+
+    for lo in range(0, len(shared), COLUMNS):
+        hi = min(len(shared), lo + COLUMNS)
+        total += parts(x, lo, hi) @ parts(y, lo, hi).T
+    return total.astype(np.int64)
+
+
+def block_links(left: Column, right: Column, percent: int) -> Column:
+    """array<struct<a, b>>: links between sets of two blocks that lie in different components."""
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for p, q in zip(_flat(x), _flat(y)):
+            both = _common(p, q)
+            n = np.diff(p[2])[:, None] + np.diff(q[2])[None, :] - both
+            i, j = np.nonzero((100 * both >= percent * n) & (p[1][:, None] != q[1][None, :]))
+            out.append([{"a": int(min(a, b)), "b": int(max(a, b))} for a, b in zip(p[0][i], q[0][j])])
+        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+    run.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<a: bigint, b: bigint>>")(left, right)
+
+
+def _hot_links(hot: DataFrame, at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside entries with many sets, compared block by block.
+
+    Entries that share sets form a group. A group's sets are dealt into blocks of
+    about BLOCK; those of its largest component apart from the others, so blocks of
+    one and the same component are never compared. Only links leave a comparison.
+    """
+    rows = at.join(hot.select("entry"), "entry")
+    group = components(rows.select(F.col("node").alias("a"), F.col("lo").alias("b")))
+    placed = (rows.select("node", "component").distinct()
+              .join(group.withColumnRenamed("component", "g"), "node"))
+    shares = placed.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = shares.groupBy("g").agg(F.max(F.struct("n", "component")).alias("m"),
+                                   F.sum("n").alias("total")).select("g", "m.n", "m.component", "total")
+    main = main.withColumnRenamed("component", "main")
+    rest = F.col("component") != F.col("main")
+    count = F.when(rest, F.col("total") - F.col("n")).otherwise(F.col("n"))
+    deal = F.pmod(F.xxhash64("node"), F.ceil(count / BLOCK).cast("bigint"))
+    dealt = placed.join(main, "g").select(
+        "g", "node", "component", rest.alias("rest"), deal.alias("block"),
+        F.ceil(F.col("n") / BLOCK).cast("bigint").alias("main_blocks"),
+        F.ceil((F.col("total") - F.col("n")) / BLOCK).cast("bigint").alias("rest_blocks"))
+    # Blocks 0.. hold the main component, the following ones the rest.
+    dealt = dealt.withColumn("block", F.col("block") + F.when(F.col("rest"), F.col("main_blocks")).otherwise(0))
+    packed = written(dealt.join(sets, "node").groupBy("g", "block")
+                     .agg(F.collect_list(F.struct("node", "component", "shingles")).alias("sets"),
+                          F.first("main_blocks").alias("main_blocks"),
+                          F.first("rest_blocks").alias("rest_blocks")), "blocks")
+    # Every block of the rest meets each block before it and itself.
+    left = (packed.where(F.col("block") >= F.col("main_blocks"))
+            .select("g", F.col("sets").alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), "block")).alias("block")))
+    right = packed.select("g", "block", F.col("sets").alias("y"))
+    return (left.join(right, ["g", "block"])
+            .select(F.explode(block_links(F.col("x"), F.col("y"), percent)).alias("l")).select("l.a", "l.b").distinct())
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
@@ -181,48 +287,58 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                     .agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature")), "nodes")
 
     index = nodes.select("node", F.explode(entries(F.col("signature"))).alias("entry"))
-    shared = index.groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    shared = (index.groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
+                                         F.count(F.lit(1)).alias("size")).where("lo < hi"))
     sizes = nodes.select("node", F.col("n_shingles").alias("n"))
-    members = written(index.join(shared.select("entry"), "entry").join(sizes, "node")
-                      .select("entry", "node", "n"), "members")
+    members = written(index.join(shared.select("entry", "lo", "size"), "entry").join(sizes, "node")
+                      .select("entry", "node", "n", "lo", "size"), "members")
     ids = members.select("node").distinct()
     sets = written(base.join(ids, F.col("doc_id") == F.col("node"), "left_semi")
                    .dropDuplicates(["doc_id"])
                    .select(F.col("doc_id").alias("node"),
                            shingle_sets(F.col("_text"), words).alias("shingles")), "sets")
 
-    links, tested, labels = None, None, None
-    for round_ in range(STAR_ROUNDS + 1):
-        at = members
-        if labels is not None:
-            at = (members.join(labels, "node", "left")
-                  .withColumn("component", F.coalesce("component", "node")))
-        else:
-            at = members.withColumn("component", F.col("node"))
-        mixed = (at.groupBy("entry")
-                 .agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"),
-                      F.min(F.struct(F.xxhash64("node", F.lit(round_)), F.col("node").alias("centre"),
-                                     F.col("n").alias("centre_n"), F.col("component").alias("centre_c")))
-                      .alias("m")).where("c_lo < c_hi").select("entry", "m.centre", "m.centre_n", "m.centre_c"))
-        if round_ < STAR_ROUNDS:
-            found = at.join(mixed, "entry").where(
-                (F.col("component") != F.col("centre_c")) & _ratio("n", "centre_n", percent))
-            pairs = found.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        else:
-            rest = at.join(mixed.select("entry"), "entry")
-            other = rest.select("entry", F.col("node").alias("b"), F.col("n").alias("n_b"),
-                                F.col("component").alias("c_b"))
-            pairs = (rest.select("entry", F.col("node").alias("a"), "n", "component").join(other, "entry")
-                     .where((F.col("component") < F.col("c_b")) & _ratio("n", "n_b", percent))
-                     .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        pairs = pairs.distinct()
+    links, tested, at = None, None, members.withColumn("component", F.col("node"))
+
+    def test(pairs: DataFrame) -> DataFrame:
+        nonlocal tested
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        new = written(_confirmed(pairs, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = components(links)
+        return written(_confirmed(_near(pairs, nodes), sets, percent), "links")
+
+    def relabel(new: DataFrame) -> DataFrame:
+        nonlocal links
+        links = new if links is None else links.unionByName(new)
+        return components(links)
+
+    for round_ in range(STAR_ROUNDS):
+        centres = (at.groupBy("entry").agg(
+            F.min("component").alias("c_lo"), F.max("component").alias("c_hi"),
+            F.min(F.struct(F.xxhash64("node", F.lit(round_)), F.col("node").alias("centre"),
+                           F.col("n").alias("centre_n"), F.col("component").alias("centre_c"))).alias("m"))
+            .where("c_lo < c_hi").select("entry", "m.centre", "m.centre_n", "m.centre_c"))
+        found = at.join(centres, "entry").where(
+            (F.col("component") != F.col("centre_c")) & _ratio("n", "centre_n", percent))
+        labels = relabel(test(found.select(F.least("node", "centre").alias("a"),
+                                           F.greatest("node", "centre").alias("b")).distinct()))
+        at = (members.join(labels, "node", "left")
+              .withColumn("component", F.coalesce("component", "node")))
+
+    # What still holds several components: all pairs, in a join or in blocks.
+    at = written(at, "labelled")
+    mixed = written(at.groupBy("entry").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"),
+                                            F.first("size").alias("size"))
+                    .where("c_lo < c_hi").select("entry", "size"), "mixed")
+    few = at.join(mixed.where(F.col("size") <= HOT).select("entry"), "entry")
+    other = few.select("entry", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
+    pairs = (few.select("entry", F.col("node").alias("x"), "n", "component").join(other, "entry")
+             .where((F.col("component") < F.col("c_y")) & _ratio("n", "n_y", percent))
+             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    new = test(pairs)
+    hot = written(_hot_links(mixed.where(F.col("size") > HOT), at, sets, percent), "links")
+    labels = relabel(new.unionByName(hot))
 
     named = nodes.join(labels, "node", "left").select(
         *ident, F.coalesce("component", "node").alias("component_id"))
