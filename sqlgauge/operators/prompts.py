@@ -24,16 +24,17 @@ DEFAULT_MAX_TOKENS = 512
 COT_MAX_TOKENS = 900
 DIALECT = "Spark SQL"
 
-SYSTEM = (f"You write {DIALECT} for questions asked in plain language. "
-          "Answer with one SQL query over the tables and columns listed, "
-          "and nothing else: no explanation, no markdown.")
-SYSTEM_COT = (f"You write {DIALECT} for questions asked in plain language. "
-              "Think it through step by step, then give the final query "
-              "in a ```sql code block.")
-# Two generic, schema-free examples for the few-shot strategy.
+_ROLE = (f"Act as the query desk of a data team that runs {DIALECT}. Each request brings a catalog "
+         "extract; names outside it do not exist.")
+SYSTEM = _ROLE + " Reply with a runnable statement only, since the reply is executed as it stands."
+SYSTEM_COT = _ROLE + (" Reason on paper first. Only the fenced block marked sql at the end of the reply "
+                      "is executed.")
+# Two solved requests on invented tables, for the few-shot strategy.
 FEW_SHOT_EXAMPLES = [
-    ("How many rows does the table hold?", "SELECT COUNT(*) FROM some_table"),
-    ("Which categories occur?", "SELECT DISTINCT category FROM some_table"),
+    ("What did the heaviest parcel of each depot weigh?",
+     "SELECT depot_id, max(weight_kg) FROM parcel GROUP BY depot_id"),
+    ("Depots that sent nothing in 2021?",
+     "SELECT d.town FROM depot d LEFT ANTI JOIN parcel p ON p.depot_id = d.depot_id AND year(p.sent_on) = 2021"),
 ]
 SLOTS = ("question", "schema_min", "schema_full")
 
@@ -56,24 +57,22 @@ class Template:
         return F.lit(self.system), user, mx
 
 
-_SHOTS = "\n".join(f"Q: {a}\nSQL: {b}" for a, b in FEW_SHOT_EXAMPLES)
+_SHOTS = "\n\n".join(f"Request: {a}\nStatement: {b}" for a, b in FEW_SHOT_EXAMPLES)
 
 Builder = Callable[[Column, Column, Column], tuple[Column, Column, Column]]
 
 STRATEGIES: dict[str, Builder] = {
     "zero_shot": Template(
-        SYSTEM, "Tables:\n{schema_min}\n\nQuestion: {question}\n\n"
-                f"Write one {DIALECT} query."),
+        SYSTEM, "Request: {question}\n\nCatalog (names only):\n{schema_min}\n\nStatement:"),
     "schema_aware": Template(
-        SYSTEM, "Database schema:\n{schema_full}\n\nQuestion: {question}\n\n"
-                f"Write one {DIALECT} query that answers the question."),
+        SYSTEM, "Request: {question}\n\nCatalog (declarations and sample rows):\n{schema_full}\n\nStatement:"),
     "few_shot": Template(
-        SYSTEM, "Database schema:\n{schema_full}\n\nExamples:\n" + _SHOTS
-                + "\n\nQ: {question}\nSQL:"),
+        SYSTEM, "Earlier requests, on another catalog:\n\n" + _SHOTS
+                + "\n\nCatalog of the next request:\n{schema_full}\n\nRequest: {question}\nStatement:"),
     "chain_of_thought": Template(
-        SYSTEM_COT, "Database schema:\n{schema_full}\n\nQuestion: {question}\n\n"
-                    "Work step by step: find the tables involved, the joins between them "
-                    f"and any filters or grouping, then write the final {DIALECT} query.",
+        SYSTEM_COT, "Request: {question}\n\nCatalog (declarations and sample rows):\n{schema_full}\n\n"
+                    "On paper: 1. columns that the answer shows; 2. tables that hold them and how rows pair up; "
+                    "3. conditions; 4. grouping and order. Then the sql block.",
         COT_MAX_TOKENS),
 }
 

@@ -15,29 +15,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# ---- fixed values: query templates (FIXTURES §4); {n} is the event id ----
+# Query templates of every tier and of the odd shapes; {n} is the event id.
 QUERY_TEMPLATES = [
-    "SELECT name FROM t WHERE k = {n}",
-    "SELECT * FROM a, b WHERE a.id = b.id AND a.k = {n}",
-    "SELECT a.x FROM a JOIN b ON a.id = b.id",
-    "SELECT g, count(*) FROM t GROUP BY g HAVING count(*) > {n}",
-    "SELECT x FROM t WHERE v > (SELECT avg(v) FROM t)",
-    "SELECT x FROM a UNION SELECT x FROM b",
-    "SELECT x FROM a UNION SELECT x FROM b UNION SELECT x FROM c",
-    "SELECT x, rank() OVER (PARTITION BY g ORDER BY x) FROM t",
-    "WITH c AS (SELECT 1 AS x) SELECT * FROM c",
-    "SELECT * FROM t WHERE note = 'please join, it''s over (now)'",
-    "SELECT x FROM t LIMIT 1, {n}",
-    "   ",
+    "SELECT crate_no, colour FROM crate WHERE crate_no < {n}",
+    "SELECT p.slot, q.slot FROM rack p, rack q WHERE q.floor_no = p.floor_no AND p.slot > {n}",
+    "SELECT d.town, r.km FROM depot d RIGHT JOIN route r ON r.depot_id = d.depot_id",
+    "SELECT shift, min(load_kg) FROM trip GROUP BY shift HAVING min(load_kg) < {n}",
+    "SELECT driver FROM trip WHERE trip_id IN (SELECT trip_id FROM fine)",
+    "SELECT town FROM depot EXCEPT SELECT town FROM closed_depot",
+    "SELECT town FROM depot INTERSECT SELECT town FROM fair EXCEPT SELECT town FROM closed_depot",
+    "SELECT trip_id, row_number() OVER (PARTITION BY shift ORDER BY load_kg) FROM trip",
+    "WITH late AS (SELECT trip_id FROM trip WHERE delay_min > {n}) SELECT trip_id FROM late",
+    "SELECT body FROM memo WHERE body = 'count(x), union or having: that''s all'",
+    "SELECT driver FROM trip LIMIT 3, {n}",
+    "     ",
 ]
 # Response wrappers; {q} is the query, \n a newline.
 RESPONSE_WRAPPERS = [
     "{q}",
     "```sql\n{q};\n```",
-    "Here it is:\n```\n{q}\n```\nDone.",
+    "The statement, as asked:\n```\n{q}\n```\nIt scans each table once.",
     "{q};;",
     "```SQL\n{q}",
-    "```sqlite\n{q}\n```",
+    "```sqlx\n{q}\n```",
 ]
 # Declared column types, in SQLite style; the last slot is NULL.
 DECLARED_TYPES = [
@@ -51,7 +51,6 @@ NAME_SHAPES = [
     "{e}_id", " {E} Name ", "{n}{e}", "{e}-{n}", "Order Total ($)", "", "   ",
     "{E}.{e}", "Prix {e} €", "_{e}_",
 ]
-# ---- end of fixed values ----
 
 
 def _sql_text(template: str, subs: dict[str, str]) -> str:

@@ -1,5 +1,5 @@
 """The sample databases end to end: load, run the eight gold queries, check
-the answers (FIXTURES.md section 2), classify them, score reorderings."""
+the answers, classify them, score reorderings."""
 
 from __future__ import annotations
 
@@ -15,18 +15,18 @@ from sqlgauge.operators import score as S
 from sqlgauge.operators.load import load_sqlite_dir
 
 ANSWERS = [
-    {("Alice",), ("Bob",), ("Carol",), ("Dan",)},
-    {("2",)},
-    {("Alice", "Databases"), ("Alice", "Algorithms"), ("Bob", "Databases"),
-     ("Carol", "Algorithms"), ("Carol", "Calculus"), ("Dan", "Calculus")},
-    {("Algorithms", 3.8), ("Calculus", 3.25), ("Databases", 3.55)},
-    {("Alice",), ("Carol",)},
-    {("cat",), ("dog",)},
-    {("Eve", "2"), ("Frank", "2")},
-    {("1", "cat", "3", "1"), ("3", "cat", "2", "2"), ("4", "dog", "7", "1"), ("2", "dog", "5", "2")},
+    [("HJUK",), ("LMKA",), ("QEEV",)],
+    [("FI", "1"), ("NO", "2"), ("PT", "2")],
+    [("fuel pier", "3"), ("fuel pier", "40"), ("fuel pier", "6"), ("north quay", "12"), ("north quay", "21"),
+     ("slip", "5"), ("slip", "8")],
+    [("fuel pier", "40"), ("north quay", "21")],
+    [("slip",)],
+    [("pear",)],
+    [("clay", "5.5"), ("loam", "4.5"), ("loam", "6.0")],
+    [("1", "2"), ("2", "1"), ("3", "2"), ("4", "3"), ("5", "1")],
 ]
-TIERS = [(1, []), (3, ["aggregate"]), (2, ["join"]), (3, ["join", "aggregate", "group_by", "having"]),
-         (4, ["aggregate", "subquery"]), (1, []), (3, ["join", "aggregate", "group_by"]),
+TIERS = [(1, []), (3, ["aggregate", "group_by"]), (2, ["join"]), (3, ["join", "aggregate", "group_by", "having"]),
+         (4, ["subquery"]), (4, ["subquery", "set_operation"]), (5, ["join", "cte"]),
          (5, ["window_function"])]
 
 # Generous statement limit for tests that are not about timeouts
@@ -51,9 +51,7 @@ def test_gold_answers(spark, loaded, tmp_path):
     res = rr.results.collect()
     for i, want in enumerate(ANSWERS):
         got = _rows(spark, [r for r in res if r["run_id"] == f"g{i}"])
-        if i == 3:   # averages: compare numerically
-            got = {(t, round(float(v), 2)) for t, v in got}
-        assert set(got) == want and len(got) == len(want), i
+        assert sorted(got) == want, i
 
 
 def test_gold_tiers(spark):
@@ -83,18 +81,18 @@ def test_catalog_namespaces(spark, loaded, tmp_path):
     try:
         for name, db in loaded.databases.items():
             dbs[name] = register_in_catalog(spark, db, f"sg_{name}", replace=True)
-        assert {"sg_college_1", "sg_pets_1"} <= {r["schema_name"] for r in C.list_schemas(spark).collect()}
-        assert [r["table_name"] for r in C.list_tables(spark, "sg_pets_1").collect()] == ["owner", "pet"]
+        assert {"sg_harbor", "sg_orchard"} <= {r["schema_name"] for r in C.list_schemas(spark).collect()}
+        assert [r["table_name"] for r in C.list_tables(spark, "sg_orchard").collect()] == ["plot", "tree"]
         cat = {n: catalog_database(spark, f"sg_{n}", d.keys) for n, d in dbs.items()}
         runs = spark.createDataFrame([(f"g{i}", db, q) for i, (db, _, q) in enumerate(SAMPLE_EXAMPLES)],
                                      "run_id string, db_id string, sql string")
         rr = X.run_batch(spark, runs, cat, out_dir=str(tmp_path / "r"), timeout_ms=LIMIT)
         assert rr.executions.where("NOT success").count() == 0
-        got = {tuple(json.loads(r["row"])) for r in rr.results.where("run_id = 'g0'").collect()}
-        assert got == ANSWERS[0]
+        got = [tuple(json.loads(r["row"])) for r in rr.results.where("run_id = 'g0'").collect()]
+        assert sorted(got) == ANSWERS[0]
         # a run session stays inside its namespace: other databases are refused
-        bad = spark.createDataFrame([("x", "college_1", "SELECT * FROM sg_pets_1.pet"),
-                                     ("y", "college_1", "SELECT * FROM IDENTIFIER('sg_pets_1.pet')")],
+        bad = spark.createDataFrame([("x", "harbor", "SELECT * FROM sg_orchard.tree"),
+                                     ("y", "harbor", "SELECT * FROM IDENTIFIER('sg_orchard.tree')")],
                                     "run_id string, db_id string, sql string")
         ex = X.run_batch(spark, bad, cat, out_dir=str(tmp_path / "b"), timeout_ms=LIMIT).executions.collect()
         assert {r["run_id"]: r["error_class"] for r in ex} == {"x": "READ_ONLY", "y": "READ_ONLY"}
