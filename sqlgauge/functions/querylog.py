@@ -46,6 +46,7 @@ FROM_TERMINATORS = ["where", "group", "order", "having"]
 # ---- end of fixed values ----
 
 _MARK = "\u0001"  # stands in for one removed literal between the two steps
+_ESCAPE = "\u0002"
 
 
 def _word(w: str) -> str:
@@ -96,10 +97,18 @@ def strip_literals(sql: Column) -> Column:
 
     Step 1 marks every ``'...'`` run without inner quotes; step 2 folds a run
     of adjacent marks (one doubled-quote literal) into a single ``''``.  The
-    same is then done for double quotes.  Input holding U+0001 itself next to
-    a literal would fold too; that character does not occur in SQL text.
-    Text without a quote character skips the regexes.
+    same is then done for double quotes.  A text that holds the mark itself is
+    escaped before and unescaped after.  Text without a quote character skips
+    the regexes.
     """
+    escaped = F.replace(F.replace(sql, F.lit(_ESCAPE), F.lit(_ESCAPE + "a")), F.lit(_MARK), F.lit(_ESCAPE + "b"))
+    stripped = _strip_unmarked(escaped)
+    restored = F.replace(F.replace(stripped, F.lit(_ESCAPE + "b"), F.lit(_MARK)), F.lit(_ESCAPE + "a"), F.lit(_ESCAPE))
+    return F.when(sql.contains(_MARK), restored).otherwise(_strip_unmarked(sql))
+
+
+def _strip_unmarked(sql: Column) -> Column:
+    """``strip_literals`` of a text without the mark."""
     s1 = F.regexp_replace(F.regexp_replace(sql, "'[^']*'", _MARK), _MARK + "+", "''")
     s = F.when(sql.contains("'"), s1).otherwise(sql)
     s2 = F.regexp_replace(F.regexp_replace(s, '"[^"]*"', _MARK), _MARK + "+", '""')

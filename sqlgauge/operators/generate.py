@@ -20,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlgauge.session import path_exists
 from sqlgauge.functions.querylog import extract_sql, strip_ws
 
 GENERATED_SCHEMA = ("example_id string, strategy string, model string, response string, "
                     "input_tokens bigint, output_tokens bigint, error string")
+STORED_SCHEMA = GENERATED_SCHEMA + ", called_at timestamp"
 
 # ---- fixed values: USD per million tokens (input, output) per model class ----
 DEFAULT_PRICES = [
@@ -103,23 +105,21 @@ def generate_once(spark: SparkSession, prompts: DataFrame, client_factory, model
     default each task holds at most ``CALLS_PER_TASK`` prompts.
     """
     todo = prompts
-    try:
-        done = (spark.read.parquet(path).where(F.col("error").isNull())
+    if path_exists(spark, path):  # any other failure to read must not repeat paid calls
+        done = (spark.read.schema(STORED_SCHEMA).parquet(path).where(F.col("error").isNull())
                 .select("example_id", "strategy", "model"))
         todo = prompts.withColumn("model", F.lit(model)).join(
             done, ["example_id", "strategy", "model"], "left_anti").drop("model")
-    except Exception:  # noqa: BLE001 - nothing written yet
-        pass
     if partitions is None:
         partitions = max(1, -(-todo.count() // CALLS_PER_TASK))
-    generate(todo, client_factory, model, partitions).write.mode("append").parquet(path)
-    out = spark.read.parquet(path).where(F.col("model") == model)
-    # A key answered after earlier failures keeps only its good answer.
-    good = out.where(F.col("error").isNull())
-    failed = out.where(F.col("error").isNotNull()).join(
-        good.select("example_id", "strategy"), ["example_id", "strategy"], "left_anti").dropDuplicates(
-        ["example_id", "strategy"])
-    return good.unionByName(failed)
+    (generate(todo, client_factory, model, partitions).withColumn("called_at", F.current_timestamp())
+     .write.mode("append").parquet(path))
+    # Per key: a good answer before a failed one, then the latest.
+    out = spark.read.schema(STORED_SCHEMA).parquet(path).where(F.col("model") == model)
+    names = [c for c in out.columns if c not in ("example_id", "strategy", "called_at")]
+    latest = out.groupBy("example_id", "strategy").agg(F.max_by(
+        F.struct(*names), F.struct(F.col("error").isNull(), F.col("called_at"), "response")).alias("r"))
+    return latest.select("example_id", "strategy", *[f"r.{c}" for c in names])
 
 
 def approx_tokens(text) -> object:

@@ -21,7 +21,6 @@ target already exists.
 
 from __future__ import annotations
 
-import os
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -29,9 +28,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sqlgauge.functions.names import SPARK_TYPES, map_type, sanitize
+from sqlgauge.functions.names import map_type, sanitize, spark_type_name
 from sqlgauge.operators import validate
-from sqlgauge.session import work_path
+from sqlgauge.session import child_names, delete_path, work_path
 from sqlgauge.sources import sqlite
 from sqlgauge.sources.tables import Database, ForeignKey, KeyMetadata
 
@@ -47,8 +46,7 @@ class LoadResult:
 def column_plan(columns: DataFrame) -> DataFrame:
     """Columns with cleaned names and target types (B1, B2)."""
     target = map_type(F.col("declared"))
-    spark_type = F.create_map(*[x for k, v in SPARK_TYPES.items()
-                                for x in (F.lit(k), F.lit(v.simpleString()))])[target]
+    spark_type = spark_type_name(target)
     return columns.select(
         "db_id", "table_name", sanitize(F.col("table_name")).alias("clean_table"), "cid",
         "column_name", sanitize(F.col("column_name")).alias("clean_name"), "declared",
@@ -73,14 +71,18 @@ def resolve_foreign_keys(fks: DataFrame, columns: DataFrame) -> DataFrame:
 def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str | None = None,
                     limit: int | None = None, replace: bool = False,
                     chunk_rows: int | None = None, parallelism: int = 8) -> LoadResult:
-    if os.path.exists(target) and os.listdir(target) and not replace:
-        raise FileExistsError(f"{target} exists; pass replace=True to reload")
+    refuse_existing(spark, target, replace)
     cols = column_plan(sqlite.read(spark, path, "columns", only, limit)).persist()
     fks_raw = sqlite.read(spark, path, "foreign_keys", only, limit)
     stage = work_path(spark, "load-stage")
     (sqlite.read(spark, path, "rows", only, limit, chunk_rows)
      .write.mode("overwrite").partitionBy("db_id", "table_name").parquet(stage))
-    staged = spark.read.parquet(stage)
+    staged = spark.read.schema(STAGE_SCHEMA).parquet(stage)
+    # Files that cannot be read, or broke while they were: one message per database.
+    unreadable = sqlite.read(spark, path, "errors", only, limit).select("db_id", "error").unionByName(
+        staged.where(F.col("table_name").isNull()).select("db_id", F.col("cells")[0].alias("error")))
+    broken = {r["db_id"]: r["error"] for r in
+              unreadable.groupBy("db_id").agg(F.min("error").alias("error")).collect()}
 
     meta = cols.orderBy("db_id", "table_name", "cid").collect()   # column metadata: small
     by_table: dict[tuple[str, str], list] = {}
@@ -98,14 +100,16 @@ def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str |
 
     def typed(db_id: str, table: str) -> DataFrame:
         part = staged.where((F.col("db_id") == db_id) & (F.col("table_name") == table))
-        return part.select(*[F.expr(f"try_cast(cells[{c['cid']}] AS {c['spark_type']})")
-                             .alias(c["clean_name"]) for c in by_table[(db_id, table)]])
+        return part.select(*[typed_cell(c["cid"], c["spark_type"]).alias(c["clean_name"])
+                             for c in by_table[(db_id, table)]])
 
     def load_one(db_id: str):
         """Check and write one database; returns (log row, Database or None)."""
         tables = sorted(t for d, t in by_table if d == db_id)
         error = None
-        if db_id in bad_names:
+        if db_id in broken:
+            error = f"cannot be read: {broken[db_id]}"
+        elif db_id in bad_names:
             error = "column or table names collide after cleaning"
         frames, keys = {}, KeyMetadata()
         if error is None:
@@ -130,7 +134,7 @@ def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str |
             error = first_key_error(frames, keys)
         if error is not None:
             return (db_id, False, 0, 0, error), None
-        paths, n_rows = write_tables(frames, target, db_id)
+        paths, n_rows = write_tables(spark, frames, target, db_id)
         for r in fk_rows:
             if r["db_id"] == db_id:
                 keys.foreign_keys.append(ForeignKey(
@@ -142,9 +146,9 @@ def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str |
     # One database per worker thread: each submits its own small jobs, so many
     # databases load at once; a failure stays inside its database.
     logs, loaded = [], {}
-    dbs = sorted({k[0] for k in by_table})
+    dbs = sorted({k[0] for k in by_table} | set(broken))
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        for db_id, (row, db) in zip(dbs, pool.map(load_one, dbs)):
+        for db_id, (row, db) in zip(dbs, pool.map(isolated(load_one, lambda d: d), dbs)):
             logs.append(row)
             if db is not None:
                 loaded[db_id] = db
@@ -157,9 +161,36 @@ def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str |
     return LoadResult(log, validate.load_stats(log), fks, loaded)
 
 
+STAGE_SCHEMA = "row_id bigint, cells array<string>, db_id string, table_name string"
 LOG_SCHEMA = "db_id string, ok boolean, tables bigint, rows bigint, error string"
 
 
+def refuse_existing(spark: SparkSession, target: str, replace: bool) -> None:
+    """Loading replaces what a target holds, in any store, only when told to."""
+    if not replace and child_names(spark, target):
+        raise FileExistsError(f"{target} exists; pass replace=True to reload")
+
+
+def isolated(load_one, name_of):
+    """``load_one`` with any error turned into the database's log row."""
+    def run(db):
+        try:
+            return load_one(db)
+        except Exception as exc:  # noqa: BLE001 - one database must not end the load
+            text = str(exc).strip()
+            return (name_of(db), False, 0, 0, text.splitlines()[0] if text else type(exc).__name__), None
+    return run
+
+
+def typed_cell(cid: int, spark_type: str):
+    """A text cell as its column's type; bytes arrive as ``\\x`` and hex."""
+    cell = F.col("cells")[cid]
+    if spark_type == "binary":
+        return F.when(cell.startswith("\\x"), F.unhex(F.expr(f"substr(cells[{cid}], 3)"))).otherwise(
+            F.encode(cell, "UTF-8"))
+    return F.expr(f"try_cast(cells[{cid}] AS {spark_type})")
+
+
 def first_key_error(frames: dict[str, DataFrame], keys: KeyMetadata) -> str | None:
     """The first table (by name) whose primary key is violated, as an error text."""
     if not keys.primary_keys:
@@ -169,9 +200,12 @@ def first_key_error(frames: dict[str, DataFrame], keys: KeyMetadata) -> str | No
     return f"{bad[0]['table_name']}: primary key {bad[0]['verdict']}" if bad else None
 
 
-def write_tables(frames: dict[str, DataFrame], target: str, db_id: str) -> tuple[dict, int]:
-    """Write every table of one database; row counts come from ``observe``."""
+def write_tables(spark: SparkSession, frames: dict[str, DataFrame], target: str,
+                 db_id: str) -> tuple[dict, int]:
+    """Write every table of one database anew (tables of an earlier load that
+    the source no longer has go away); row counts come from ``observe``."""
     db_path = f"{target.rstrip('/')}/{sanitize_text(db_id)}"
+    delete_path(spark, db_path)
     n_rows, paths = 0, {}
     for t in sorted(frames):
         clean_t = sanitize_text(t)
@@ -191,8 +225,7 @@ def load_databases(spark: SparkSession, databases: list[Database], target: str,
     keys checked (B5); a failing database is reported and not written, the
     others load in parallel; foreign keys are checked after the writes (B6).
     """
-    if os.path.exists(target) and os.listdir(target) and not replace:
-        raise FileExistsError(f"{target} exists; pass replace=True to reload")
+    refuse_existing(spark, target, replace)
 
     def load_one(db: Database):
         tables = db.tables(spark)
@@ -206,7 +239,7 @@ def load_databases(spark: SparkSession, databases: list[Database], target: str,
         if error is not None:
             return (db.name, False, 0, 0, error), None
         frames = {t: df.toDF(*[sanitize_text(c) for c in df.columns]) for t, df in tables.items()}
-        paths, n_rows = write_tables(frames, target, db.name)
+        paths, n_rows = write_tables(spark, frames, target, db.name)
         keys = KeyMetadata(
             {sanitize_text(t): tuple(sanitize_text(c) for c in v) for t, v in db.keys.primary_keys.items()
              if t in tables},
@@ -217,7 +250,7 @@ def load_databases(spark: SparkSession, databases: list[Database], target: str,
 
     logs, loaded = [], {}
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        for db, (row, out) in zip(databases, pool.map(load_one, databases)):
+        for db, (row, out) in zip(databases, pool.map(isolated(load_one, lambda d: d.name), databases)):
             logs.append(row)
             if out is not None:
                 loaded[db.name] = out

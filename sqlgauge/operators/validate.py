@@ -91,7 +91,8 @@ def pk_check(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]]) ->
 def _fk_row(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
     cols, refs = list(fk.columns), list(fk.ref_columns)
     c = child.groupBy(*cols).agg(F.count(F.lit(1)).alias("cn"))
-    p = parent.groupBy(*refs).agg(F.count(F.lit(1)).alias("pn"))
+    # A key with a NULL part is no key: it is neither found nor a duplicate.
+    p = parent.dropna(subset=refs).groupBy(*refs).agg(F.count(F.lit(1)).alias("pn"))
     p = p.select(*[F.col(r).alias(f"__ref_{i}") for i, r in enumerate(refs)], "pn")
     cond = reduce(lambda a, b: a & b, [F.col(cc) == F.col(f"__ref_{i}") for i, cc in enumerate(cols)])
     # Both sides are distinct by key after their aggregates, so in the full

@@ -186,27 +186,30 @@ def pk_check(keys: dict[str, tuple[str, ...]], tables: list[str]) -> str:
             f"THEN 'duplicate key' ELSE 'ok' END AS verdict FROM ({body}) x")
 
 
-def fk_check(fks, tables: list[str]) -> str:
+def fk_check(fks, tables: list[str], derived: dict[str, str] | None = None) -> str:
+    """From the rule: a child row whose key parts are all set needs a parent row with
+    these values; a parent key (no part NULL) that occurs twice is not unique."""
+    source = {t: t for t in tables} | {t: f"({sql})" for t, sql in (derived or {}).items()}
     parts = []
     for fk in fks:
-        if fk.table not in tables or fk.ref_table not in tables:
+        if fk.table not in source or fk.ref_table not in source:
             continue
-        cols, refs = list(fk.columns), list(fk.ref_columns)
-        cond = " AND ".join(f"c.{a} = p.r{i}" for i, a in enumerate(cols))
-        allset = " AND ".join(f"c.{a} IS NOT NULL" for a in cols)
-        orphan = f"(c.cn IS NOT NULL AND {allset} AND p.pn IS NULL)"
+        child, parent = source[fk.table], source[fk.ref_table]
+        complete = " AND ".join(f"c.{a} IS NOT NULL" for a in fk.columns)
+        match = " AND ".join(f"p.{r} = c.{a}" for a, r in zip(fk.columns, fk.ref_columns))
+        orphans = f"FROM {child} c WHERE {complete} AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE {match})"
+        cols, refs = ", ".join(fk.columns), ", ".join(fk.ref_columns)
+        whole = " AND ".join(f"{r} IS NOT NULL" for r in fk.ref_columns)
         parts.append(
             f"SELECT {lit(fk.name)} AS fk_name, {lit(fk.table)} AS table_name, "
-            f"{lit(', '.join(cols))} AS columns, {lit(fk.ref_table)} AS ref_table, "
-            f"{lit(', '.join(refs))} AS ref_columns, "
-            "CAST(coalesce(sum(c.cn), 0) AS BIGINT) AS n_child_rows, "
-            f"CAST(coalesce(sum(CASE WHEN {allset} THEN c.cn END), 0) AS BIGINT) AS n_checked, "
-            f"CAST(coalesce(sum(CASE WHEN {orphan} THEN c.cn END), 0) AS BIGINT) AS n_orphan_rows, "
-            f"CAST(count(CASE WHEN {orphan} THEN 1 END) AS BIGINT) AS n_orphan_keys, "
-            "CAST(count(CASE WHEN p.pn > 1 THEN 1 END) AS BIGINT) AS n_parent_dup_keys "
-            f"FROM (SELECT {', '.join(cols)}, count(*) AS cn FROM {fk.table} GROUP BY {', '.join(cols)}) c "
-            f"FULL OUTER JOIN (SELECT {', '.join(f'{r} AS r{i}' for i, r in enumerate(refs))}, count(*) AS pn "
-            f"FROM {fk.ref_table} GROUP BY {', '.join(refs)}) p ON {cond}")
+            f"{lit(', '.join(fk.columns))} AS columns, {lit(fk.ref_table)} AS ref_table, "
+            f"{lit(', '.join(fk.ref_columns))} AS ref_columns, "
+            f"(SELECT count(*) FROM {child} c) AS n_child_rows, "
+            f"(SELECT count(*) FROM {child} c WHERE {complete}) AS n_checked, "
+            f"(SELECT count(*) {orphans}) AS n_orphan_rows, "
+            f"(SELECT count(*) FROM (SELECT DISTINCT {cols} {orphans}) o) AS n_orphan_keys, "
+            f"(SELECT count(*) FROM (SELECT {refs} FROM {parent} q WHERE {whole} GROUP BY {refs} "
+            "HAVING count(*) > 1) d) AS n_parent_dup_keys")
     body = " UNION ALL ".join(parts)
     return ("SELECT *, CASE WHEN n_parent_dup_keys > 0 OR n_orphan_rows > 0 THEN 'skipped' "
             "ELSE 'accepted' END AS status, CASE WHEN n_parent_dup_keys > 0 THEN "
@@ -232,6 +235,16 @@ def load_stats(dbs: list[tuple[str, list[str]]], keys: dict[str, tuple[str, ...]
             f"FROM ({body}) d")
 
 
+def running_costs(scored_sql: str) -> str:
+    """G12 as window sums over any scored table."""
+    w = "OVER (PARTITION BY strategy ORDER BY example_id ROWS UNBOUNDED PRECEDING)"
+    return ("SELECT strategy, example_id, CAST(input_tokens AS BIGINT) AS input_tokens, "
+            "CAST(output_tokens AS BIGINT) AS output_tokens, round(cost_usd, 8) AS cost_usd, "
+            f"CAST(sum(input_tokens) {w} AS BIGINT) AS running_input_tokens, "
+            f"CAST(sum(output_tokens) {w} AS BIGINT) AS running_output_tokens, "
+            f"round(sum(cost_usd) {w}, 8) AS running_cost_usd FROM ({scored_sql}) s")
+
+
 # ---- C keys (catalog profile of one database) ----
 
 DUCK_TO_SPARK_TYPE = {"BIGINT": "BIGINT", "INTEGER": "INT", "VARCHAR": "STRING", "DOUBLE": "DOUBLE",

@@ -25,7 +25,7 @@ from sqlgauge.session import work_path
 from sqlgauge.operators import validate as VD
 from sqlgauge.plans.gold import GOLD
 from sqlgauge.sources import derived
-from sqlgauge.sources.tables import TABLE_NAMES, TEST_KEYS, parquet_dir_database
+from sqlgauge.sources.tables import TABLE_NAMES, TEST_KEYS, ForeignKey, parquet_dir_database
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,8 +107,23 @@ def q_pk_check(spark, sf):
     return VD.pk_check(_all_tables(spark, sf), TEST_KEYS.primary_keys)
 
 
+# Parents and children with NULL key parts, derived from given tables.
+NULL_KEY_TABLES = {
+    "known_customer": "SELECT CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS k, c_nationkey AS n FROM customer",
+    "known_order": "SELECT CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END AS k, o_orderkey FROM orders",
+    "any_order": "SELECT o_custkey AS k, o_orderkey FROM orders",
+}
+NULL_KEY_FKS = [ForeignKey("known_order", ("k",), "known_customer", ("k",)),
+                ForeignKey("any_order", ("k",), "known_customer", ("k",)),
+                ForeignKey("known_customer", ("k",), "known_order", ("k",))]
+
+
 def q_fk_check(spark, sf):
-    return VD.fk_check(_all_tables(spark, sf), TEST_KEYS.foreign_keys)
+    tables = _all_tables(spark, sf)
+    for name, sql in NULL_KEY_TABLES.items():
+        source = sql.rpartition(" ")[2]
+        tables[name] = spark.sql(sql.removesuffix(source) + "{t}", t=tables[source])
+    return VD.fk_check(tables, TEST_KEYS.foreign_keys + NULL_KEY_FKS)
 
 
 def test_databases(sf):
@@ -160,14 +175,6 @@ def q_schema_text_min(spark, sf):
     return CT.schema_text_min(spark, shop_db(sf))
 
 
-def q_cat_columns(spark, sf):
-    return CT.columns(spark, shop_db(sf))
-
-
-def q_cat_keys(spark, sf):
-    return CT.foreign_keys(spark, shop_db(sf))
-
-
 def q_cat_columns(spark, sf):
     """Every column of the shop tables with type, nullability and key position."""
     return CT.columns(spark, shop_db(sf)).select(
@@ -227,6 +234,19 @@ def q_cost_report(spark, sf):
     return RP.cost_report(benchmark(spark, sf).scored)
 
 
+# A scored table of every event: each event type a strategy, each event a question.
+EVENT_SCORES = ("SELECT event_type AS strategy, lpad(CAST(event_id AS {s}), 12, '0') AS example_id, "
+                "user_id % 997 AS input_tokens, event_id % 61 AS output_tokens, "
+                "CAST(event_id % 64 AS DOUBLE) / 64 AS cost_usd FROM {t}")
+
+
+def q_cost_report_events(spark, sf):
+    """G12 over a scored table derived from all of ``events``."""
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    scored = spark.sql(EVENT_SCORES.format(s="STRING", t="{ev}"), ev=ev)
+    return RP.cost_report(scored)
+
+
 def q_score_verdict(spark, sf):
     return benchmark(spark, sf).scored.select("example_id", "strategy", "correct", "verdict")
 
@@ -401,6 +421,7 @@ def queries() -> dict[str, Query]:
         "overall_report": q_overall_report,
         "question_report": q_question_report,
         "cost_report": q_cost_report,
+        "cost_report_events": q_cost_report_events,
         "strip_literals": q_strip_literals,
         "select_count": q_select_count,
         "classify": q_classify,
@@ -422,6 +443,7 @@ def oracle_sql() -> dict[str, str]:
         "overall_report": oracle.overall_report("shop", SHOP_TABLES, TEST_KEYS),
         "question_report": oracle.question_report("shop", SHOP_TABLES, TEST_KEYS),
         "cost_report": oracle.cost_report("shop", SHOP_TABLES, TEST_KEYS),
+        "cost_report_events": oracle.running_costs(EVENT_SCORES.format(s="VARCHAR", t="events")),
         "normalise_rows": oracle.normalise_rows(NORMALISE_SQL),
         "stream_classify": oracle.classify(),
         "stream_tier_counts": oracle.tier_counts(),
@@ -440,7 +462,7 @@ def oracle_sql() -> dict[str, str]:
         "name_collisions": oracle.name_collisions(),
         "cast_audit": oracle.cast_audit("events", EVENTS_AUDIT_SRC, EVENTS_AUDIT),
         "pk_check": oracle.pk_check(TEST_KEYS.primary_keys, TABLE_NAMES),
-        "fk_check": oracle.fk_check(TEST_KEYS.foreign_keys, TABLE_NAMES),
+        "fk_check": oracle.fk_check(TEST_KEYS.foreign_keys + NULL_KEY_FKS, TABLE_NAMES, NULL_KEY_TABLES),
         "load_stats": oracle.load_stats([("shop", SHOP_TABLES), ("corpus", CORPUS_TABLES)],
                                         TEST_KEYS.primary_keys),
         "load_databases": oracle.load_log([("shop", SHOP_TABLES), ("corpus", CORPUS_TABLES)],

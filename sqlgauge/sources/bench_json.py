@@ -7,12 +7,11 @@ index -1 is the synthetic ``*`` column.  Examples: ``{db_id, question, query}``.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sqlgauge.functions.querylog import with_complexity
+from sqlgauge.session import path_exists
 
 EXAMPLE_SCHEMA = "db_id string, question string, query string"
 
@@ -41,10 +40,10 @@ def schema_columns(dbs: DataFrame) -> DataFrame:
 
 
 def read_examples(spark: SparkSession, dev_path: str | None, train_path: str | None) -> DataFrame:
-    """A5: dev examples then train examples; a missing file is empty."""
+    """A5: dev examples then train examples; a missing file (of any store) is empty."""
     parts = []
     for split, p in (("dev", dev_path), ("train", train_path)):
-        if p and os.path.exists(p):
+        if p and path_exists(spark, p):
             df = spark.read.option("multiLine", True).schema(EXAMPLE_SCHEMA).json(p)
         else:
             df = spark.createDataFrame([], EXAMPLE_SCHEMA)

@@ -1,17 +1,20 @@
 """A Spark data source over a directory of SQLite databases (A1-A3).
 
-Layout: ``<path>/<db_id>/<db_id>.sqlite``.  Files are taken in sorted order;
-``only`` keeps one database id, ``limit`` the first N files -- both applied
-while planning.  ``part`` picks what is read:
+Layout: ``<path>/<folder>/<db_id>.sqlite``, any number of files per folder.
+Files are taken in sorted order; ``only`` keeps one database id, ``limit`` the
+first N files -- both applied while planning.  ``part`` picks what is read:
 
 * ``tables``       -- (db_id, table_name, n_rows): user tables, ``sqlite_%`` excluded
 * ``columns``      -- (db_id, table_name, cid, column_name, declared, not_null, default, pk_position)
 * ``foreign_keys`` -- (db_id, table_name, fk_id, seq, column_name, ref_table, ref_column)
 * ``rows``         -- (db_id, table_name, row_id, cells array<string>): every row
   of every table, values as text the way a loader receives them
+* ``errors``       -- (db_id, error): files that cannot be read as a database
 
-Rows are split into input partitions by (file, table, rowid range of
-``chunk_rows``), so a large table is read by many tasks.  With
+A file that cannot be read gives no rows in the other parts; one that breaks
+while its rows are read gives a row without table name, with the error as its
+only cell.  Rows are split into input partitions by (file, table, ``chunk_rows``
+rows in rowid order), so a large table is read by many tasks.  With
 ``spark.sql.python.filterPushdown.enabled`` on, filters on ``db_id`` /
 ``table_name`` (equality, IN) are pushed down: files and tables they exclude
 are never planned.  Files open
@@ -34,6 +37,7 @@ SCHEMAS = {
     "foreign_keys": ("db_id string, table_name string, fk_id int, seq int, column_name string, "
                      "ref_table string, ref_column string"),
     "rows": "db_id string, table_name string, row_id bigint, cells array<string>",
+    "errors": "db_id string, error string",
 }
 
 
@@ -42,9 +46,10 @@ def list_files(path: str, only: str | None = None, limit: int | None = None) ->
     out = []
     if os.path.isdir(path):
         for d in sorted(os.listdir(path)):
-            f = os.path.join(path, d, f"{d}.sqlite")
-            if os.path.isfile(f):
-                out.append((d, f))
+            folder = os.path.join(path, d)
+            if os.path.isdir(folder):
+                out += [(f.removesuffix(".sqlite"), os.path.join(folder, f))
+                        for f in sorted(os.listdir(folder)) if f.endswith(".sqlite")]
     if only:
         out = [p for p in out if p[0] == only]
     if limit:
@@ -67,14 +72,25 @@ def _q(name: str) -> str:
 
 
 def cell_text(v) -> str | None:
-    """A stored value as loader text: NULL stays NULL, bytes as hex."""
+    """A stored value as loader text: NULL stays NULL, bytes as ``\\x`` and hex."""
     if v is None:
         return None
     if isinstance(v, bytes):
-        return v.hex()
+        return "\\x" + v.hex()
     return str(v)
 
 
+def chunk_starts(conn: sqlite3.Connection, table: str, chunk: int) -> list[int]:
+    """The rowid of every ``chunk``-th row: cuts by rows, however wide the ids spread."""
+    q, starts = _q(table), []
+    row = conn.execute(f"SELECT min(rowid) FROM {q}").fetchone()
+    while row is not None and row[0] is not None:
+        starts.append(row[0])
+        row = conn.execute(f"SELECT rowid FROM {q} WHERE rowid >= ? ORDER BY rowid LIMIT 1 OFFSET ?",
+                           (row[0], chunk)).fetchone()
+    return starts
+
+
 class _Part(InputPartition):
     def __init__(self, db_id: str, file: str, table: str | None = None,
                  lo: int | None = None, hi: int | None = None):
@@ -100,31 +116,41 @@ class SqliteDirReader(DataSourceReader):
             return [_Part(d, f) for d, f in files] or [_Part("", "")]
         parts = []
         for d, f in files:
-            with connect(f) as conn:
-                for t in user_tables(conn):
-                    if not self._kept("table_name", t):
-                        continue
-                    try:
-                        lo, hi = conn.execute(f"SELECT min(rowid), max(rowid) FROM {_q(t)}").fetchone()
-                    except sqlite3.OperationalError:      # WITHOUT ROWID table
-                        parts.append(_Part(d, f, t))
-                        continue
-                    if lo is None:
-                        continue
-                    start = lo
-                    while start <= hi:
-                        parts.append(_Part(d, f, t, start, start + self.chunk - 1))
-                        start += self.chunk
+            try:
+                with connect(f) as conn:
+                    for t in user_tables(conn):
+                        if not self._kept("table_name", t):
+                            continue
+                        try:
+                            starts = chunk_starts(conn, t, self.chunk)
+                        except sqlite3.OperationalError:      # WITHOUT ROWID table
+                            parts.append(_Part(d, f, t))
+                            continue
+                        parts += [_Part(d, f, t, a, b) for a, b in zip(starts, [*starts[1:], None])]
+            except sqlite3.DatabaseError:  # told by the ``errors`` part
+                continue
         return parts or [_Part("", "")]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         if not partition.file:
             return
-        conn = connect(partition.file)
+        conn = None
         try:
+            conn = connect(partition.file)
             yield from getattr(self, "_" + self.part)(conn, partition)
+        except sqlite3.DatabaseError as exc:
+            if self.part == "rows":
+                yield (partition.db_id, None, None, [str(exc)])
         finally:
-            conn.close()
+            if conn is not None:
+                conn.close()
+
+    def _errors(self, conn, p):
+        try:
+            for t in user_tables(conn):
+                conn.execute(f"PRAGMA table_info({_q(t)})").fetchall()
+        except sqlite3.DatabaseError as exc:
+            yield (p.db_id, str(exc))
 
     def _tables(self, conn, p):
         for t in user_tables(conn):
@@ -147,8 +173,10 @@ class SqliteDirReader(DataSourceReader):
         t = _q(p.table)
         if p.lo is None:
             cur = conn.execute(f"SELECT NULL, * FROM {t}")
+        elif p.hi is None:
+            cur = conn.execute(f"SELECT rowid, * FROM {t} WHERE rowid >= ?", (p.lo,))
         else:
-            cur = conn.execute(f"SELECT rowid, * FROM {t} WHERE rowid BETWEEN ? AND ?", (p.lo, p.hi))
+            cur = conn.execute(f"SELECT rowid, * FROM {t} WHERE rowid >= ? AND rowid < ?", (p.lo, p.hi))
         for r in cur:
             yield (p.db_id, p.table, r[0], [cell_text(v) for v in r[1:]])
 

@@ -8,6 +8,7 @@ import sqlite3
 import pytest
 
 from sqlgauge.operators import catalog as C
+from sqlgauge.operators import load as L
 from sqlgauge.operators.load import load_sqlite_dir
 from sqlgauge.sources import sqlite as S
 
@@ -15,45 +16,43 @@ from sqlgauge.sources import sqlite as S
 def test_source_parts(spark, sample_dir):
     tables = S.read(spark, sample_dir, "tables").orderBy("db_id", "table_name").collect()
     assert [(r["db_id"], r["table_name"], r["n_rows"]) for r in tables] == [
-        ("college_1", "course", 3), ("college_1", "enrollment", 6), ("college_1", "student", 4),
-        ("pets_1", "owner", 2), ("pets_1", "pet", 4)]
-    assert S.read(spark, sample_dir, "rows").count() == 19
-    only = S.read(spark, sample_dir, "tables", only="pets_1").count()
+        ("harbor", "berth", 3), ("harbor", "docking", 7), ("harbor", "vessel", 5),
+        ("orchard", "plot", 3), ("orchard", "tree", 5)]
+    assert S.read(spark, sample_dir, "rows").count() == 23
+    only = S.read(spark, sample_dir, "tables", only="orchard").count()
     first = S.read(spark, sample_dir, "tables", limit=1).count()
     assert (only, first) == (2, 3)
-    cols = S.read(spark, sample_dir, "columns").where("table_name = 'student'").orderBy("cid").collect()
+    cols = S.read(spark, sample_dir, "columns").where("table_name = 'berth'").orderBy("cid").collect()
     assert [(c["column_name"], c["declared"], c["pk_position"]) for c in cols] == [
-        ("student_id", "INTEGER", 1), ("name", "TEXT", None), ("gpa", "REAL", None)]
+        ("berth_no", "INTEGER", 1), ("label", "TEXT", None), ("depth_m", "REAL", None)]
     fks = S.read(spark, sample_dir, "foreign_keys").collect()
     assert sorted((r["table_name"], r["column_name"], r["ref_table"]) for r in fks) == [
-        ("enrollment", "course_id", "course"), ("enrollment", "student_id", "student"),
-        ("pet", "owner_id", "owner")]
+        ("docking", "berth_no", "berth"), ("docking", "vessel_no", "vessel"), ("tree", "plot_no", "plot")]
 
 
 def test_rowid_chunks(spark, sample_dir):
     df = S.read(spark, sample_dir, "rows", chunk_rows=2)
     assert df.rdd.getNumPartitions() >= 9
-    assert sorted(r["row_id"] for r in df.where("table_name = 'enrollment'").collect()) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r["row_id"] for r in df.where("table_name = 'docking'").collect()) == list(range(101, 108))
 
 
 def test_load_and_profile(spark, sample_dir, tmp_path):
     res = load_sqlite_dir(spark, sample_dir, str(tmp_path / "wh"))
     log = {r["db_id"]: r for r in res.log.collect()}
-    assert log["college_1"]["ok"] and log["college_1"]["rows"] == 13 and log["pets_1"]["rows"] == 6
+    assert log["harbor"]["ok"] and log["harbor"]["rows"] == 15 and log["orchard"]["rows"] == 8
     st = res.stats.first()
-    assert (st["databases"], st["failed"], st["tables"], st["rows"]) == (2, 0, 5, 19)
+    assert (st["databases"], st["failed"], st["tables"], st["rows"]) == (2, 0, 5, 23)
     assert {r["status"] for r in res.foreign_keys.collect()} == {"accepted"}
-    college = res.databases["college_1"]
-    student = college.read(spark, "student")
-    assert dict(student.dtypes) == {"student_id": "bigint", "name": "string", "gpa": "double"}
-    prof = {r["table_name"]: r for r in C.profile(spark, college, 2).collect()}
-    assert list(prof["student"]["primary_key"]) == ["student_id"]
-    refs = {(tuple(fk["columns"]), fk["ref_table"]) for fk in prof["enrollment"]["foreign_keys"]}
-    assert (("student_id",), "student") in refs and (("course_id",), "course") in refs
-    assert prof["student"]["row_count"] == 4 and len(prof["student"]["sample_rows"]) == 2
-    text = C.schema_text(spark, college, True, 3).first()["schema_text"]
-    assert "CREATE TABLE student" in text and "FOREIGN KEY" in text and "example row" in text
-    assert C.samples(spark, college, 0).count() == 0
+    harbor = res.databases["harbor"]
+    assert dict(harbor.read(spark, "berth").dtypes) == {"berth_no": "bigint", "label": "string", "depth_m": "double"}
+    prof = {r["table_name"]: r for r in C.profile(spark, harbor, 2).collect()}
+    assert list(prof["vessel"]["primary_key"]) == ["vessel_no"]
+    refs = {(tuple(fk["columns"]), fk["ref_table"]) for fk in prof["docking"]["foreign_keys"]}
+    assert refs == {(("vessel_no",), "vessel"), (("berth_no",), "berth")}
+    assert prof["vessel"]["row_count"] == 5 and len(prof["vessel"]["sample_rows"]) == 2
+    text = C.schema_text(spark, harbor, True, 3).first()["schema_text"]
+    assert "CREATE TABLE vessel" in text and "FOREIGN KEY" in text and "example row" in text
+    assert C.samples(spark, harbor, 0).count() == 0
 
 
 def test_failing_database_is_isolated(spark, tmp_path):
@@ -151,11 +150,83 @@ def test_filter_pushdown_prunes_partitions(spark, sample_dir):
     try:
         plain = S.read(spark, sample_dir, "rows", chunk_rows=2)
         n_all = plain.rdd.getNumPartitions()
-        assert plain.where(F.col("db_id") == "pets_1").count() == 6      # works without pushdown
+        assert plain.where(F.col("db_id") == "orchard").count() == 8      # works without pushdown
         spark.conf.set(key, "true")
         rows = S.read(spark, sample_dir, "rows", chunk_rows=2)
-        one = rows.where((F.col("db_id") == "pets_1") & F.col("table_name").isin("pet"))
-        assert one.count() == 4
+        one = rows.where((F.col("db_id") == "orchard") & F.col("table_name").isin("tree"))
+        assert one.count() == 5
         assert one.rdd.getNumPartitions() < n_all
     finally:
         spark.conf.set(key, old)
+
+
+# ---- nothing is lost ----
+
+def _db(root, folder, name, script, rows=()):
+    (root / folder).mkdir(exist_ok=True)
+    conn = sqlite3.connect(root / folder / f"{name}.sqlite")
+    conn.executescript(script)
+    for sql, values in rows:
+        conn.execute(sql, values)
+    conn.commit()
+    conn.close()
+
+
+def test_every_file_of_a_folder_is_listed(tmp_path):
+    _db(tmp_path, "a", "one", "CREATE TABLE t (x INTEGER)")
+    _db(tmp_path, "a", "two", "CREATE TABLE t (x INTEGER)")
+    (tmp_path / "a" / "notes.txt").write_text("no database")
+    assert [d for d, _ in S.list_files(str(tmp_path))] == ["one", "two"]
+
+
+def test_partitions_follow_rows_not_ids(tmp_path):
+    _db(tmp_path, "a", "a", "CREATE TABLE t (id INTEGER PRIMARY KEY)",
+        [("INSERT INTO t VALUES (?)", (i,)) for i in (1, 2, 3, 50_000_000_000)])
+    reader = S.SqliteDirReader({"path": str(tmp_path), "chunk_rows": "2"})
+    parts = reader.partitions()
+    assert len(parts) == 2
+    assert sorted(r[2] for p in parts for r in reader.read(p)) == [1, 2, 3, 50_000_000_000]
+
+
+def test_blobs_keep_their_bytes(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    _db(src, "a", "a", "CREATE TABLE t (id INTEGER PRIMARY KEY, b BLOB)",
+        [("INSERT INTO t VALUES (?, ?)", v) for v in ((1, b"\x00\xff"), (2, None), (3, "text"), (4, b""))])
+    res = L.load_sqlite_dir(spark, str(src), str(tmp_path / "out"))
+    got = {r["id"]: None if r["b"] is None else bytes(r["b"]) for r in res.databases["a"].tables(spark)["t"].collect()}
+    assert got == {1: b"\x00\xff", 2: None, 3: b"text", 4: b""}
+
+
+def test_an_unreadable_file_is_one_failed_database(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    _db(src, "good", "good", "CREATE TABLE t (x INTEGER); INSERT INTO t VALUES (1)")
+    (src / "bad").mkdir()
+    (src / "bad" / "bad.sqlite").write_bytes(b"this is no database file at all" * 100)
+    res = L.load_sqlite_dir(spark, str(src), str(tmp_path / "out"))
+    log = {r["db_id"]: r for r in res.log.collect()}
+    assert log["good"]["ok"] and log["good"]["rows"] == 1
+    assert not log["bad"]["ok"] and log["bad"]["error"].startswith("cannot be read")
+
+
+def test_any_error_stays_in_its_database(spark, tmp_path, monkeypatch):
+    from sqlgauge.sources.tables import parquet_dir_database
+    sf = "/root/testdata/sf0.001"
+    good = parquet_dir_database(sf, name="good", tables=["region"])
+    bad = parquet_dir_database(sf, name="bad", tables=["nation"])
+    bad.paths["nation"] = f"{tmp_path}/nowhere"
+    res = L.load_databases(spark, [bad, good], str(tmp_path / "out"))
+    log = {r["db_id"]: r for r in res.log.collect()}
+    assert log["good"]["ok"] and not log["bad"]["ok"] and log["bad"]["error"]
+
+
+def test_reload_needs_replace_and_drops_stale_tables(spark, tmp_path):
+    from sqlgauge.sources.tables import parquet_dir_database
+    sf, out = "/root/testdata/sf0.001", f"file:{tmp_path}/out"
+    L.load_databases(spark, [parquet_dir_database(sf, name="d", tables=["region", "nation"])], out)
+    one = parquet_dir_database(sf, name="d", tables=["region"])
+    with pytest.raises(FileExistsError):
+        L.load_databases(spark, [one], out)
+    L.load_databases(spark, [one], out, replace=True)
+    assert sorted(p.name for p in (tmp_path / "out" / "d").iterdir()) == ["region"]
