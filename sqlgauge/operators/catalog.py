@@ -110,6 +110,22 @@ def _order_cols(df: DataFrame, pk: tuple[str, ...]) -> list:
             if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
 
 
+def _smallest_keys(df: DataFrame, pk: tuple[str, ...], limit: int) -> DataFrame:
+    """The rows of the ``limit`` smallest keys.
+
+    The keys are found on the key columns alone; as literals in the filter they
+    reach the scan, which then reads the other columns where they can stand.
+    """
+    if not pk:
+        return df
+    keys = df.select(*pk).orderBy(*[F.col(c).asc_nulls_last() for c in pk]).limit(limit).distinct().collect()
+    hit = F.lit(False)
+    for k in keys:  # at most ``limit``
+        hit = hit | reduce(lambda a, b: a & b, [
+            F.col(c).isNull() if k[c] is None else F.col(c) == F.lit(k[c]) for c in pk])
+    return df.where(hit)
+
+
 def samples(spark: SparkSession, db: Database, limit: int = 3,
             order_by_key: bool = False) -> DataFrame:
     """Up to ``limit`` rows per table as text cells; limit <= 0 gives none.
@@ -128,7 +144,7 @@ def samples(spark: SparkSession, db: Database, limit: int = 3,
         cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit(NULL_TEXT)) for c in df.columns])
         if order_by_key:
             pk = db.keys.primary_keys.get(t, ())
-            picked = df.orderBy(*_order_cols(df, pk)).limit(limit)
+            picked = _smallest_keys(df, pk, limit).orderBy(*_order_cols(df, pk)).limit(limit)
             # The numbering windows below see at most ``limit`` rows.
             picked = picked.select(cells.alias("cells"),
                                    F.row_number().over(Window.orderBy(*_order_cols(df, pk)))

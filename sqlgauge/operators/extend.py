@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,94 +40,93 @@ def benchmark_cube(scored: DataFrame, executions: DataFrame | None = None) -> Da
 
 # ------------------------------------------------------- P2: similar top-k
 
-def _unit(m: np.ndarray) -> np.ndarray:
+CHUNK_VECTORS = 65_536   # corpus vectors that a task holds at once
+TILE_VECTORS = 2_048     # of these, scored together
+
+
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    """A matrix of unit-length rows (a zero vector stays zero)."""
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     n = np.linalg.norm(m, axis=1, keepdims=True)
     n[n == 0] = 1.0
     return m / n
 
 
+def best_of_tiles(q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of each query's k best rows of ``m``; ``ids`` ascend, so a
+    stable sort breaks ties by id."""
+    best_i, best_s = np.zeros((len(q), 0), dtype=np.int64), np.zeros((len(q), 0))
+    for lo in range(0, len(ids), TILE_VECTORS):
+        scores = q @ m[lo:lo + TILE_VECTORS].T
+        at = np.broadcast_to(np.arange(lo, lo + scores.shape[1]), scores.shape)
+        i, s = np.concatenate([best_i, at], axis=1), np.concatenate([best_s, scores], axis=1)
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        best_i, best_s = np.take_along_axis(i, order, axis=1), np.take_along_axis(s, order, axis=1)
+    return ids[best_i], best_s
+
+
 def top_k_similar(queries: DataFrame, corpus: DataFrame, k: int = 5,
                   query_id: str = "qid", query_vec: str = "qvec",
                   corpus_id: str = "id", corpus_vec: str = "vec",
-                  max_broadcast_queries: int = 4096) -> DataFrame:
-    """Exact cosine top-k corpus rows for every query vector.
-
-    The corpus streams through ``mapInPandas`` once per query chunk; each
-    Arrow batch scores against the chunk's queries (one matrix product) and
-    each task keeps a running top-k per query, so at most k x tasks
-    candidates per query reach the final ``row_number`` -- never all pairs.  Queries are
-    shipped to tasks in chunks of at most ``max_broadcast_queries`` rows
-    (counted first); more queries mean more chunks, never a bigger broadcast.
-    Ties in score are broken by corpus id.
+                  query_block: int = 1024) -> DataFrame:
+    """Exact cosine top-k corpus rows for every query vector, in one corpus pass.
+
+    The queries are written once under the shared folder.  Each task holds one
+    chunk of its corpus partition and reads the queries block by block (a matrix
+    product per block and tile), so neither side is gathered anywhere and any
+    number of queries costs one scan.  A task emits k rows per query and chunk;
+    ``row_number`` with a limit, which Spark applies before the shuffle as well,
+    keeps the best.  Ties in score are broken by corpus id.
     """
-    from sqlgauge.operators.report import running_sums
-    from sqlgauge.session import ensure_checkpoint_dir
+    from sqlgauge.session import child_names, ship_package, work_path
 
     spark = queries.sparkSession
-    ensure_checkpoint_dir(spark)
-    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("qvec"))
-    # Number the query ids 1..n with a distributed prefix sum (no single-task
-    # window), then cut them into chunks of at most max_broadcast_queries.
-    ones = q.select("qid", F.lit(0).alias("_g"), F.lit(1).alias("_one"))
-    ranked = (running_sums(ones, "_g", "qid", ["_one"])
-              .select("qid", F.floor((F.col("running__one") - 1) / max_broadcast_queries)
-                      .cast("long").alias("_chunk"))
-              .checkpoint(eager=True))
-    n_chunks = max(1, (ranked.agg(F.max("_chunk")).first()[0] or 0) + 1)
-    parts = []
-    c = corpus.select(F.col(corpus_id).alias("cid"), F.col(corpus_vec).alias("cvec"))
-    for ch in range(n_chunks):
-        rows = (q.join(ranked.where(F.col("_chunk") == ch).select("qid"), "qid")
-                .collect())  # one bounded chunk of query vectors
-        qids = [r["qid"] for r in rows]
-        qmat = _unit(np.array([np.asarray(r["qvec"], dtype=np.float64) for r in rows]))
-        bq = spark.sparkContext.broadcast((qids, qmat))
-
-        def score(batches: Iterator[pd.DataFrame], bq=bq, k=k) -> Iterator[pd.DataFrame]:
-            # A running top-k per query over all batches of this task: the task
-            # emits k rows per query, not k per batch.  Self-contained (only
-            # numpy/pandas), so workers need no copy of this package.
-            import numpy as np
-            import pandas as pd
-
-            def _unit(m):
-                n = np.linalg.norm(m, axis=1, keepdims=True)
-                n[n == 0] = 1.0
-                return m / n
-
-            ids, qm = bq.value
-            best_c = [np.empty(0, dtype=np.int64) for _ in ids]
-            best_s = [np.empty(0) for _ in ids]
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                cm = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in pdf["cvec"]]))
-                sims = qm @ cm.T                         # (queries, batch)
-                cids = pdf["cid"].to_numpy()
-                for i in range(len(ids)):
-                    row, cand = sims[i], np.arange(sims.shape[1])
-                    if row.shape[0] > k:
-                        # k best by argpartition, plus every tie with the k-th score
-                        part = np.argpartition(-row, k - 1)[:k]
-                        cand = np.nonzero(row >= row[part].min())[0]
-                    s_all = np.concatenate([best_s[i], row[cand]])
-                    c_all = np.concatenate([best_c[i], cids[cand]])
-                    # score desc, then id asc (lexsort: last key is primary)
-                    order = np.lexsort((c_all, -s_all))[:k]
-                    best_s[i], best_c[i] = s_all[order], c_all[order]
-            out_q = [qid for i, qid in enumerate(ids) for _ in range(len(best_c[i]))]
-            if out_q:
-                yield pd.DataFrame({"qid": out_q, "cid": np.concatenate(best_c),
-                                    "score": np.concatenate(best_s)})
-
-        parts.append(c.mapInPandas(score, f"qid {q.schema['qid'].dataType.simpleString()}, "
-                                          f"cid {c.schema['cid'].dataType.simpleString()}, score double"))
-    cand = reduce(DataFrame.unionByName, parts)
+    ship_package(spark)
+    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).cast("array<double>").alias("qvec"))
+    folder = work_path(spark, "query-vectors")
+    q.where(F.col("qvec").isNotNull()).write.parquet(folder)
+    files = [f"{folder}/{n}" for n in child_names(spark, folder) if n.endswith(".parquet")]
+    c = corpus.select(F.col(corpus_id).alias("cid"), F.col(corpus_vec).alias("cvec")).dropna(subset=["cvec"])
+    kinds = f"qid {q.schema['qid'].dataType.simpleString()}, cid {c.schema['cid'].dataType.simpleString()}"
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for pdf in batches:
+            if len(pdf):
+                held.append(pdf)
+                rows += len(pdf)
+            if rows >= CHUNK_VECTORS:
+                yield from search_chunk(pd.concat(held), files, k, query_block)
+                held, rows = [], 0
+        if rows:
+            yield from search_chunk(pd.concat(held), files, k, query_block)
+
+    cand = c.mapInPandas(score, f"{kinds}, score double")
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("cid").asc())
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(F.col("qid").alias(query_id), "rank", F.col("cid").alias(corpus_id), "score"))
 
 
+def search_chunk(corpus: pd.DataFrame, files: list[str], k: int, query_block: int) -> Iterator[pd.DataFrame]:
+    """The best rows of one chunk for every query of the files."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    corpus = corpus.sort_values("cid", kind="stable")
+    ids, m = corpus["cid"].to_numpy(), unit_rows(corpus["cvec"])
+    for uri in files:
+        system, path = fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else
+                                              "file://" + uri[len("file:"):])
+        with system.open_input_file(path) as f:
+            for block in pq.ParquetFile(f).iter_batches(query_block):
+                pdf = block.to_pandas()
+                if not len(pdf):
+                    continue
+                best, scores = best_of_tiles(unit_rows(pdf["qvec"]), ids, m, k)
+                yield pd.DataFrame({"qid": np.repeat(pdf["qid"].to_numpy(), best.shape[1]),
+                                    "cid": best.ravel(), "score": scores.ravel()})
+
+
 def label_centroids(df: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
     """Mean vector per label with Spark ML's ``Summarizer``: a JVM aggregate
     over whole vectors with map-side partials -- no explode into one row per

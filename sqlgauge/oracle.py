@@ -252,10 +252,10 @@ DUCK_TO_SPARK_TYPE = {"BIGINT": "BIGINT", "INTEGER": "INT", "VARCHAR": "STRING",
                       "BOOLEAN": "BOOLEAN", "DATE": "DATE"}
 
 
-def table_columns(table: str, sf_dir: str = "/root/testdata/sf0.01") -> list[str]:
-    """Column names of a test table, read from its parquet footer."""
-    import pyarrow.parquet as pq
-    return list(pq.read_schema(f"{sf_dir}/{table}.parquet").names)
+def table_columns(table: str) -> list[str]:
+    """Column names of a test table."""
+    from sqlgauge.sources.tables import TEST_COLUMNS
+    return list(TEST_COLUMNS[table])
 
 
 def _values(rows: list[tuple]) -> str:
@@ -364,6 +364,26 @@ def cat_columns(db_name, tables, keys) -> str:
             "ON pk.table_name = c.table_name AND pk.column_name = c.column_name")
 
 
+def each(parts: list[str]) -> str:
+    """The rows of several queries (each may have its own WITH)."""
+    return " UNION ALL ".join(f"SELECT * FROM ({q}) q{i}" for i, q in enumerate(parts))
+
+
+def cat_profile(db_name, tables, keys, limit=3) -> str:
+    """C8/C9 from the catalog, the declared keys and plain counts."""
+    parts = []
+    for t in sorted(tables):
+        n_fk = sum(fk.table == t and fk.ref_table in tables for fk in keys.foreign_keys)
+        parts.append(
+            f"SELECT {lit(db_name)} AS db_id, {lit(t)} AS table_name, "
+            "CAST((SELECT count(DISTINCT column_name) FROM information_schema.columns "
+            f"WHERE table_name = {lit(t)}) AS INTEGER) AS n_columns, "
+            f"{lit(', '.join(keys.primary_keys.get(t, ())))} AS primary_key, "
+            f"CAST({n_fk} AS INTEGER) AS n_foreign_keys, count(*) AS row_count, "
+            f"CAST(least(count(*), {limit}) AS INTEGER) AS n_samples FROM {t}")
+    return " UNION ALL ".join(parts)
+
+
 def cat_samples(db_name, tables, keys, limit=3) -> str:
     return catalog_with(db_name, tables, keys, limit) + "SELECT db_id, table_name, sample_pos, row_text FROM smp"
 
@@ -516,6 +536,23 @@ def normalise_rows(sql: str) -> str:
             f"({sql}) q) r")
 
 
+def cube_of_log() -> str:
+    """The cube with latencies over the whole derived log (see the query's docstring)."""
+    return ("WITH sc AS (SELECT tier, source AS strategy, 'm' || CAST(log_id % 3 AS VARCHAR) AS model, "
+            "log_id % 4 <> 1 AS correct, CAST(log_id % 16 AS DOUBLE) / 16 AS cost_usd, "
+            f"log_id * 7919 % 1000 AS ms FROM ({classify()}) c) "
+            "SELECT model, strategy, tier, CAST(GROUPING(model, strategy, tier) AS BIGINT) AS level, "
+            "count(*) AS n, CAST(sum(CAST(correct AS BIGINT)) AS BIGINT) AS n_correct, "
+            "CAST(round(100.0 * sum(CAST(correct AS BIGINT)) / count(*), 2) AS DOUBLE) AS accuracy_pct, "
+            "round(sum(cost_usd), 6) AS cost_usd, CAST(quantile_cont(ms, 0.5) AS DOUBLE) AS p50_ms, "
+            "CAST(quantile_cont(ms, 0.95) AS DOUBLE) AS p95_ms FROM sc GROUP BY CUBE (model, strategy, tier)")
+
+
+def history(db_name, tables, keys) -> str:
+    """The second of two appended runs: the scores as they are."""
+    return (f"SELECT 'round_2' AS run_id, strategy, n, n_correct FROM ({strategy_report(db_name, tables, keys)}) r")
+
+
 def benchmark_cube(db_name, tables, keys) -> str:
     src = "SELECT example_id AS g_example_id, gold_sql AS query FROM ex"
     cls = classify_cte(src, "query")

@@ -150,39 +150,38 @@ def q_bench_examples(spark, sf):
 
 # ---- C: catalog profiling of the shop database ----
 
-def q_cat_row_counts(spark, sf):
-    return CT.row_counts(spark, shop_db(sf))
+# Sample cells of ``embeddings`` are long float arrays, which engines print differently.
+SAMPLED_TABLES = [t for t in CORPUS_TABLES if t != "embeddings"]
 
 
-def q_cat_samples(spark, sf):
-    s = CT.samples(spark, shop_db(sf), 3, order_by_key=True)
-    return s.select("db_id", "table_name", "sample_pos", F.array_join("cells", " | ").alias("row_text"))
+def _of_each(frames) -> DataFrame:
+    from functools import reduce as _reduce
+    return _reduce(DataFrame.unionByName, frames)
 
 
-def q_ddl_text(spark, sf):
-    return CT.ddl_text(spark, shop_db(sf))
+def sampled_dbs(sf: str):
+    return [shop_db(sf), parquet_dir_database(sf, name="corpus", tables=SAMPLED_TABLES)]
 
 
-def q_sample_text(spark, sf):
-    return CT.sample_text(spark, shop_db(sf), 3, order_by_key=True)
+def q_cat_row_counts(spark, sf):
+    return _of_each([CT.row_counts(spark, db) for db in test_databases(sf)])
 
 
-def q_schema_text(spark, sf):
-    return CT.schema_text(spark, shop_db(sf), True, 3, order_by_key=True)
+def q_cat_samples(spark, sf):
+    s = _of_each([CT.samples(spark, db, 3, order_by_key=True) for db in sampled_dbs(sf)])
+    return s.select("db_id", "table_name", "sample_pos", F.array_join("cells", " | ").alias("row_text"))
 
 
-def q_schema_text_min(spark, sf):
-    return CT.schema_text_min(spark, shop_db(sf))
+def q_sample_text(spark, sf):
+    return _of_each([CT.sample_text(spark, db, 3, order_by_key=True) for db in sampled_dbs(sf)])
 
 
-def q_cat_columns(spark, sf):
-    """Every column of the shop tables with type, nullability and key position."""
-    return CT.columns(spark, shop_db(sf)).select(
-        "db_id", "table_name", "column_name", "data_type", "is_nullable", "ordinal", "pk_position")
+def q_schema_text(spark, sf):
+    return _of_each([CT.schema_text(spark, db, True, 3, order_by_key=True) for db in sampled_dbs(sf)])
 
 
 def q_cat_profile(spark, sf):
-    p = CT.profile(spark, shop_db(sf), 3, True, order_by_key=True)
+    p = _of_each([CT.profile(spark, db, 3, True, order_by_key=True) for db in test_databases(sf)])
     return p.select("db_id", "table_name", F.size("columns").alias("n_columns"),
                     F.array_join("primary_key", ", ").alias("primary_key"),
                     F.size("foreign_keys").alias("n_foreign_keys"), "row_count",
@@ -269,21 +268,11 @@ def q_token_cost(spark, sf):
                          F.round("cost_usd", 10).alias("cost_usd"))
 
 
-def q_guard_report(spark, sf):
-    ex = benchmark(spark, sf).executions
-    return ex.where("error_class = 'READ_ONLY'").select("run_id", "sql", "error")
-
-
 def q_generate_replay(spark, sf):
     return benchmark(spark, sf).generations.select(
         "example_id", "strategy", "model", "sql", "input_tokens", "output_tokens")
 
 
-def q_run_errors(spark, sf):
-    ex = EX.with_dialect_hints(benchmark(spark, sf).executions)
-    return ex.where("NOT success").select("run_id", "sql", "error_class", "timed_out", "dialect_hint")
-
-
 def q_prompt_set(spark, sf):
     return benchmark(spark, sf).prompts.select(
         "example_id", "strategy", "system", "user", "max_tokens")
@@ -299,15 +288,6 @@ NORMALISE_SQL = ("SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status, o_tot
                  "o_orderdate FROM orders")
 
 
-def q_run_timeout(spark, sf):
-    """Every gold query under a 1 ms statement timeout: all must time out."""
-    runs = BM.gold_examples(spark, "shop").select(
-        BM.run_id(F.col("db_id"), F.col("gold_sql")).alias("run_id"), "db_id",
-        F.col("gold_sql").alias("sql"))
-    rr = EX.run_batch(spark, runs, {"shop": shop_db(sf)}, timeout_ms=1)
-    return rr.executions.select("run_id", "success", "timed_out", "error_class")
-
-
 def q_benchmark_cube(spark, sf):
     b = benchmark(spark, sf)
     cube = XT.benchmark_cube(b.scored, b.executions)
@@ -315,6 +295,20 @@ def q_benchmark_cube(spark, sf):
                        "n", "n_correct", "accuracy_pct", "cost_usd")
 
 
+def q_benchmark_cube_log(spark, sf):
+    """P1 with latencies: the whole derived log as one scored run per query, with
+    model, outcome, cost and milliseconds computed from its id."""
+    log = derived.query_log(spark, sf)
+    scored = log.select(F.concat(F.lit("m"), F.col("log_id") % 3).alias("model"), F.col("source").alias("strategy"),
+                        F.col("query").alias("gold_sql"), (F.col("log_id") % 4 != 1).alias("correct"),
+                        (F.col("log_id") % 16 / 16).alias("cost_usd"),
+                        F.col("log_id").cast("string").alias("gen_run_id"))
+    runs = log.select(F.col("log_id").cast("string").alias("run_id"), (F.col("log_id") * 7919 % 1000).alias("ms"))
+    cube = XT.benchmark_cube(scored, runs)
+    return cube.select("model", "strategy", "tier", F.col("level").cast("bigint").alias("level"), "n", "n_correct",
+                       "accuracy_pct", "cost_usd", "p50_ms", "p95_ms")
+
+
 def q_similar_topk(spark, sf):
     emb = spark.read.parquet(f"{sf}/embeddings.parquet")
     cents = XT.label_centroids(emb)
@@ -387,12 +381,9 @@ def queries() -> dict[str, Query]:
         **gold,
         "cat_row_counts": q_cat_row_counts,
         "cat_samples": q_cat_samples,
-        "ddl_text": q_ddl_text,
         "sample_text": q_sample_text,
         "schema_text": q_schema_text,
-        "schema_text_min": q_schema_text_min,
         "cat_profile": q_cat_profile,
-        "cat_columns": q_cat_columns,
         "map_types": q_map_types,
         "sanitize_names": q_sanitize_names,
         "name_collisions": q_name_collisions,
@@ -405,18 +396,16 @@ def queries() -> dict[str, Query]:
         "prompt_set": q_prompt_set,
         "generate_replay": q_generate_replay,
         "token_cost": q_token_cost,
-        "run_errors": q_run_errors,
         "score_verdict": q_score_verdict,
         "score_rows": q_score_rows,
         "normalise_rows": q_normalise_rows,
-        "run_timeout": q_run_timeout,
         "benchmark_cube": q_benchmark_cube,
+        "benchmark_cube_log": q_benchmark_cube_log,
         "similar_topk": q_similar_topk,
         "repair_gain": q_repair_gain,
         "history": q_history,
         "stream_classify": q_stream_classify,
         "stream_tier_counts": q_stream_tier_counts,
-        "guard_report": q_guard_report,
         "strategy_report": q_strategy_report,
         "overall_report": q_overall_report,
         "question_report": q_question_report,
@@ -432,6 +421,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    both = [("shop", SHOP_TABLES), ("corpus", CORPUS_TABLES)]
+    sampled = [("shop", SHOP_TABLES), ("corpus", SAMPLED_TABLES)]
     return {
         **{f"run_gold_{g.key}": g.oracle("sql") for g in GOLD},
         "prompt_set": oracle.prompt_set("shop", SHOP_TABLES, TEST_KEYS),
@@ -450,13 +441,13 @@ def oracle_sql() -> dict[str, str]:
         "benchmark_cube": oracle.benchmark_cube("shop", SHOP_TABLES, TEST_KEYS),
         "similar_topk": oracle.similar_topk(5),
         "repair_gain": oracle.repair_gain("shop", SHOP_TABLES, TEST_KEYS),
-        "cat_row_counts": oracle.cat_row_counts("shop", SHOP_TABLES),
-        "cat_samples": oracle.cat_samples("shop", SHOP_TABLES, TEST_KEYS),
-        "ddl_text": oracle.ddl_text("shop", SHOP_TABLES, TEST_KEYS),
-        "sample_text": oracle.sample_text("shop", SHOP_TABLES, TEST_KEYS),
-        "schema_text": oracle.schema_text("shop", SHOP_TABLES, TEST_KEYS),
-        "schema_text_min": oracle.schema_text_min("shop", SHOP_TABLES, TEST_KEYS),
-        "cat_columns": oracle.cat_columns("shop", SHOP_TABLES, TEST_KEYS),
+        "cat_row_counts": oracle.each([oracle.cat_row_counts(d, t) for d, t in both]),
+        "cat_profile": oracle.each([oracle.cat_profile(d, t, TEST_KEYS) for d, t in both]),
+        "history": oracle.history("shop", SHOP_TABLES, TEST_KEYS),
+        "benchmark_cube_log": oracle.cube_of_log(),
+        "cat_samples": oracle.each([oracle.cat_samples(d, t, TEST_KEYS) for d, t in sampled]),
+        "sample_text": oracle.each([oracle.sample_text(d, t, TEST_KEYS) for d, t in sampled]),
+        "schema_text": oracle.each([oracle.schema_text(d, t, TEST_KEYS) for d, t in sampled]),
         "map_types": oracle.map_types(),
         "sanitize_names": oracle.sanitize_names(),
         "name_collisions": oracle.name_collisions(),

@@ -28,7 +28,7 @@ def test_every_query_runs(spark):
 
 
 FAST = ["classify", "extract_sql", "map_types", "sanitize_names", "pk_check", "fk_check",
-        "run_gold_string_agg", "run_gold_window_frames", "ddl_text", "schema_text", "similar_topk"]
+        "run_gold_string_agg", "run_gold_window_frames", "cat_profile", "schema_text", "similar_topk"]
 
 
 @pytest.mark.parametrize("name", FAST)
