@@ -165,23 +165,28 @@ def _ordered_join(order_col: str, text_col: str, sep: str):
         F.struct(F.col(order_col).alias("o"), F.col(text_col).alias("t")))), lambda x: x["t"]), sep)
 
 
+def _place(kind: int, position):
+    """Sort position of a line: columns, then the key, then foreign keys."""
+    return F.struct(F.lit(kind).alias("kind"), position.cast("int").alias("position")).alias("o")
+
+
 def ddl_text(spark: SparkSession, db: Database, cols: DataFrame | None = None) -> DataFrame:
     """(db_id, table_name, ddl) -- CREATE TABLE text per table."""
     cols = columns(spark, db) if cols is None else cols
     col_lines = cols.select(
-        "db_id", "table_name", F.col("ordinal").alias("o"),
+        "db_id", "table_name", _place(0, F.col("ordinal")),
         render(COLUMN_TEMPLATE, name=F.col("column_name"), type=F.upper("data_type"),
                not_null=F.when(~F.col("is_nullable"), F.lit(NOT_NULL)).otherwise(F.lit("")))
         .alias("line"))
     pk = (cols.where(F.col("pk_position").isNotNull())
           .groupBy("db_id", "table_name")
           .agg(_ordered_join("pk_position", "column_name", KEY_COLUMN_SEP).alias("k"))
-          .select("db_id", "table_name", F.lit(100000).alias("o"),
+          .select("db_id", "table_name", _place(1, F.lit(0)),
                   render(PRIMARY_KEY_TEMPLATE, columns=F.col("k")).alias("line")))
     fks = foreign_keys(spark, db)
     fk_rank = F.row_number().over(Window.partitionBy("db_id", "table_name").orderBy("fk_name"))
     fk_lines = fks.select(
-        "db_id", "table_name", (F.lit(200000) + fk_rank).alias("o"),
+        "db_id", "table_name", _place(2, fk_rank),
         render(FOREIGN_KEY_TEMPLATE, columns=F.array_join("columns", KEY_COLUMN_SEP),
                ref_table=F.col("ref_table"), ref_columns=F.array_join("ref_columns", KEY_COLUMN_SEP))
         .alias("line"))

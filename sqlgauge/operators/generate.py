@@ -45,12 +45,11 @@ def price_table(spark: SparkSession, prices=None) -> DataFrame:
 def with_cost(df: DataFrame, prices: DataFrame) -> DataFrame:
     """F2: cost_usd = in/1e6*rate_in + out/1e6*rate_out; unknown model -> 0.0.
 
-    The price table is a handful of rows: broadcast.
+    The caller's price table may have any size; Spark broadcasts it if it is small.
     """
-    p = F.broadcast(prices)
     cost = (F.col("input_tokens") / F.lit(1e6) * F.col("input_rate")
             + F.col("output_tokens") / F.lit(1e6) * F.col("output_rate"))
-    return (df.join(p, "model", "left")
+    return (df.join(prices, "model", "left")
             .withColumn("cost_usd", F.coalesce(cost, F.lit(0.0)))
             .drop("input_rate", "output_rate"))
 
