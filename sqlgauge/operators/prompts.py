@@ -114,3 +114,44 @@ def build_prompts(examples: DataFrame, schema_texts: DataFrame,
                                  system.alias("system"), user.alias("user"),
                                  F.coalesce(mx, F.lit(DEFAULT_MAX_TOKENS)).alias("max_tokens")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def question_vectors(df: DataFrame, id_col: str, dims: int = 512) -> DataFrame:
+    """(id, vec): hashed word counts of ``question``."""
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+    text_df = df.select(F.col(id_col).alias("id"), F.coalesce("question", F.lit("")).alias("question"))
+    words = RegexTokenizer(inputCol="question", outputCol="words", pattern="[^\\p{L}\\p{N}]+").transform(text_df)
+    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=dims).transform(words)
+    return hashed.select("id", vector_to_array("tf").alias("vec"))
+
+
+def similar_shots(examples: DataFrame, solved: DataFrame, k: int = 2) -> DataFrame:
+    """(example_id, shots): the ``k`` solved examples whose questions are most alike.
+
+    ``solved``: example_id, question, gold_sql.  An example is never its own shot;
+    one without any shot has an empty text.
+    """
+    from sqlgauge.operators.extend import top_k_similar
+    hits = top_k_similar(
+        question_vectors(examples, "example_id").toDF("example_id", "qvec"),
+        question_vectors(solved, "example_id").toDF("shot_id", "cvec"), k=k + 1,
+        query_id="example_id", query_vec="qvec", corpus_id="shot_id", corpus_vec="cvec")
+    texts = solved.select(F.col("example_id").alias("shot_id"), F.concat(
+        F.lit("Request: "), F.col("question"), F.lit("\nStatement: "), F.col("gold_sql")).alias("shot"))
+    found = (hits.where("example_id <> shot_id").join(texts, "shot_id").groupBy("example_id")
+             .agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "shot"))), 1, k).alias("s")))
+    return (examples.select("example_id").join(found, "example_id", "left")
+            .select("example_id", F.coalesce(F.array_join(F.col("s.shot"), "\n\n"), F.lit("")).alias("shots")))
+
+
+def build_similar_prompts(examples: DataFrame, schema_texts: DataFrame, solved: DataFrame,
+                          k: int = 2) -> DataFrame:
+    """Prompts like ``build_prompts``, strategy ``similar_shot``: shots chosen per question."""
+    base = (examples.join(_maybe_broadcast(schema_texts), "db_id", "left")
+            .join(similar_shots(examples, solved, k), "example_id"))
+    user = F.concat(F.lit("Earlier requests, on other data:\n\n"), F.col("shots"),
+                    F.lit("\n\nCatalog of the next request:\n"), F.coalesce("schema_text", F.lit("")),
+                    F.lit("\n\nRequest: "), F.col("question"), F.lit("\nStatement:"))
+    return base.select(*examples.columns, F.lit("similar_shot").alias("strategy"), F.lit(SYSTEM).alias("system"),
+                       user.alias("user"), F.lit(DEFAULT_MAX_TOKENS).alias("max_tokens"))

@@ -24,7 +24,7 @@ def test_prompt_set(spark):
     assert "t(a)" in z["user"] and "CREATE TABLE" not in z["user"] and "How many?" in z["user"]
     assert z["max_tokens"] == 512 and z["system"] == P.SYSTEM
     f = ps[("e1", "few_shot")]
-    assert f["user"].endswith("Q: How many?\nSQL:") and "SELECT DISTINCT category" in f["user"]
+    assert f["user"].endswith("Request: How many?\nStatement:") and "SELECT DISTINCT category" in f["user"]
     c = ps[("e2", "chain_of_thought")]
     assert c["max_tokens"] == 900 and c["system"] == P.SYSTEM_COT and "CREATE TABLE" in c["user"]
 
@@ -104,3 +104,20 @@ def test_failed_calls_are_data_and_resume(spark, tmp_path):
     open(marker, "w").close()          # the upstream recovers
     second = G.generate_once(spark, ps, factory, "model-s", path, partitions=2).collect()
     assert len(second) == 8 and not [r for r in second if r["error"]]
+
+
+def test_similar_shots_come_from_the_most_similar_questions(spark):
+    from sqlgauge.operators import prompts as PR
+    solved = spark.createDataFrame([
+        ("a", "How tall are the plum trees?", "SQL_A"), ("b", "Plum trees by plot", "SQL_B"),
+        ("c", "Which vessels docked in the night?", "SQL_C"), ("d", "Docked vessels per berth?", "SQL_D")],
+        "example_id string, question string, gold_sql string")
+    asked = spark.createDataFrame([("a", "db", "How tall are the plum trees?"), ("x", "db", "vessels that docked"),
+                                   ("y", None, None)], "example_id string, db_id string, question string")
+    got = {r["example_id"]: r["shots"] for r in PR.similar_shots(asked, solved, 1).collect()}
+    assert got["a"].endswith("SQL_B") and got["x"].endswith("SQL_D") and set(got) == {"a", "x", "y"}
+    texts = spark.createDataFrame([("db", "CREATE TABLE t (x)", "t(x)")],
+                                  "db_id string, schema_text string, schema_text_min string")
+    ps = {r["example_id"]: r for r in PR.build_similar_prompts(asked, texts, solved, 2).collect()}
+    assert len(ps) == 3 and ps["x"]["strategy"] == "similar_shot"
+    assert "SQL_C" in ps["x"]["user"] and "CREATE TABLE t (x)" in ps["x"]["user"]
