@@ -24,7 +24,7 @@ def test_prompt_set(spark):
     assert "t(a)" in z["user"] and "CREATE TABLE" not in z["user"] and "How many?" in z["user"]
     assert z["max_tokens"] == 512 and z["system"] == P.SYSTEM
     f = ps[("e1", "few_shot")]
-    assert f["user"].endswith("Request: How many?\nStatement:") and "SELECT DISTINCT category" in f["user"]
+    assert f["user"].endswith("Request: How many?\nStatement:") and "LEFT ANTI JOIN parcel" in f["user"]
     c = ps[("e2", "chain_of_thought")]
     assert c["max_tokens"] == 900 and c["system"] == P.SYSTEM_COT and "CREATE TABLE" in c["user"]
 
