@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sqlgauge.session import work_path
@@ -26,13 +26,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``links``; component is its smallest node.
 
-    Each round takes the smallest label among a node's neighbours (aggregated
-    before the shuffle) and then the label of that label, so paths shrink by
-    doubling. Rounds end when nothing changes.
+    ``links`` is read in every round, so it should be a written table. Each round
+    takes the smallest label among a node's neighbours (aggregated before the
+    shuffle) and then the label of that label, so paths shrink by doubling. The
+    write of a round observes whether anything changed; rounds end when nothing did.
     """
     edges = (links.select(F.col(a).alias("src"), F.col(b).alias("dst"))
-             .unionByName(links.select(F.col(b).alias("src"), F.col(a).alias("dst"))).distinct())
-    edges = written(edges, "links")
+             .unionByName(links.select(F.col(b).alias("src"), F.col(a).alias("dst"))))
     labels = written(edges.groupBy(F.col("src").alias("node"))
                      .agg(F.least(F.col("node"), F.min("dst")).alias("component")), "labels")
     while True:
@@ -42,9 +42,27 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 .select("node", F.col("component").alias("old"),
                         F.least("component", "near").alias("via")))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
-        after = written(step.join(jump, "via").select(
-            "node", F.least("via", "far").alias("component"), "old"), "labels")
-        changed = after.where("component <> old").limit(1).count()
-        labels = after.drop("old")
-        if not changed:
+        changed = Observation()
+        after = (step.join(jump, "via").select("node", F.least("via", "far").alias("component"), "old")
+                 .observe(changed, F.count_if(F.col("component") != F.col("old")).alias("n")).drop("old"))
+        labels = written(after, "labels")
+        if not changed.get["n"]:
             return labels
+
+
+def merge_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component; None: nothing linked so far) after more ``links`` (a, b).
+
+    Links are first mapped to the components they join, so only these are walked.
+    """
+    if labels is None:
+        return components(links)
+    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    joined = (links.join(of_a, "a", "left").join(of_b, "b", "left")
+              .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+              .where("a <> b").distinct())
+    roots = components(written(joined, "joined"))
+    moved = labels.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")),
+                        "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return written(moved.unionByName(roots.join(labels, "node", "left_anti")), "labels")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqlgauge.llm import textvec as V
-from sqlgauge.llm.graph import components, fresh, written
+from sqlgauge.llm.graph import components, fresh, merge_components, written
 
 CHUNKS, WIDTH, ERRORS, BITS = 12, 5, 1, 16
 SLOTS = CHUNKS * WIDTH
@@ -224,13 +224,16 @@ def _common(x: tuple, y: tuple) -> np.ndarray:
 
 
 def block_links(left: Column, right: Column, percent: int) -> Column:
-    """array<struct<a, b>>: links between sets of two blocks that lie in different components."""
+    """array<struct<a, b>>: a link for each two components that sets of two blocks join."""
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
         out = []
         for p, q in zip(_flat(x), _flat(y)):
             both = _common(p, q)
             n = np.diff(p[2])[:, None] + np.diff(q[2])[None, :] - both
             i, j = np.nonzero((100 * both >= percent * n) & (p[1][:, None] != q[1][None, :]))
+            # One link joins two components, however many there are.
+            _, one = np.unique(np.stack([p[1][i], q[1][j]]), axis=1, return_index=True)
+            i, j = i[one], j[one]
             out.append([{"a": int(min(a, b)), "b": int(max(a, b))} for a, b in zip(p[0][i], q[0][j])])
         return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
     run.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
@@ -244,8 +247,8 @@ def _hot_links(hot: DataFrame, at: DataFrame, sets: DataFrame, percent: int) ->
     about BLOCK; those of its largest component apart from the others, so blocks of
     one and the same component are never compared. Only links leave a comparison.
     """
-    rows = at.join(hot.select("entry"), "entry")
-    group = components(rows.select(F.col("node").alias("a"), F.col("lo").alias("b")))
+    rows = written(at.join(hot.select("entry"), "entry").select("node", "component", "lo").distinct(), "hot")
+    group = components(rows, "node", "lo")
     placed = (rows.select("node", "component").distinct()
               .join(group.withColumnRenamed("component", "g"), "node"))
     shares = placed.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -298,7 +301,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                    .select(F.col("doc_id").alias("node"),
                            shingle_sets(F.col("_text"), words).alias("shingles")), "sets")
 
-    links, tested, at = None, None, members.withColumn("component", F.col("node"))
+    labels, tested, at = None, None, members.withColumn("component", F.col("node"))
 
     def test(pairs: DataFrame) -> DataFrame:
         nonlocal tested
@@ -308,11 +311,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         tested = pairs if tested is None else tested.unionByName(pairs)
         return written(_confirmed(_near(pairs, nodes), sets, percent), "links")
 
-    def relabel(new: DataFrame) -> DataFrame:
-        nonlocal links
-        links = new if links is None else links.unionByName(new)
-        return components(links)
-
     for round_ in range(STAR_ROUNDS):
         centres = (at.groupBy("entry").agg(
             F.min("component").alias("c_lo"), F.max("component").alias("c_hi"),
@@ -321,8 +319,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             .where("c_lo < c_hi").select("entry", "m.centre", "m.centre_n", "m.centre_c"))
         found = at.join(centres, "entry").where(
             (F.col("component") != F.col("centre_c")) & _ratio("n", "centre_n", percent))
-        labels = relabel(test(found.select(F.least("node", "centre").alias("a"),
-                                           F.greatest("node", "centre").alias("b")).distinct()))
+        new = test(found.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+                   .distinct())
+        labels = merge_components(labels, new)
         at = (members.join(labels, "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
 
@@ -338,7 +337,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     new = test(pairs)
     hot = written(_hot_links(mixed.where(F.col("size") > HOT), at, sets, percent), "links")
-    labels = relabel(new.unionByName(hot))
+    labels = merge_components(labels, new.unionByName(hot))
 
     named = nodes.join(labels, "node", "left").select(
         *ident, F.coalesce("component", "node").alias("component_id"))

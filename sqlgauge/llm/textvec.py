@@ -69,6 +69,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts sum to at most ``limit`` bytes (a longer text alone)."""
+    pa.default_memory_pool().release_unused()  # what earlier batches of the worker have left
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = int(np.searchsorted(off, off[lo] + limit, side="right")) - 1

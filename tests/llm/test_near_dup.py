@@ -146,3 +146,14 @@ def test_components_of_chains_stars_and_rings(spark):
 def test_no_plan_has_a_cross_join(documents, rows):
     plan = ND.near_duplicates(documents(rows[:40]))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_merging_components_equals_walking_all_links(spark):
+    rng = random.Random(11)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    kind = "a bigint, b bigint"
+    whole = {r.node: r.component for r in graph.components(spark.createDataFrame(links, kind)).collect()}
+    labels = None
+    for k in range(0, 220, 55):
+        labels = graph.merge_components(labels, spark.createDataFrame(links[k:k + 55], kind))
+    assert {r.node: r.component for r in labels.collect()} == whole
