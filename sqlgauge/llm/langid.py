@@ -147,14 +147,20 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
 
 
 def fit(labels: list[str], tf: np.ndarray, clusters: int = CLUSTERS, slack: float = SLACK) -> Model:
-    """A model from labelled count vectors."""
+    """A model from labelled count vectors (which are overwritten)."""
     has = tf.any(axis=1) if len(tf) else np.zeros(0, dtype=bool)
     labels = [x for x, h in zip(labels, has) if h]
-    tf = tf[has]
     if not labels:
         return Model([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
-    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = _unit(np.log1p(tf) * idf)
+    x = tf if has.all() else tf[has]
+    seen = np.zeros(DIMS, dtype=np.int64)
+    for row in x:
+        seen += row > 0
+    idf = (np.log((1 + len(x)) / (1 + seen)) + 1).astype(np.float32)
+    # In place: the training vectors are the driver's largest array.
+    np.log1p(x, out=x)
+    x *= idf
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
     names, centres, least = [], [], []
     label = np.array(labels)
     for name in sorted(set(labels)):
@@ -188,7 +194,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                       & ~held_out(F.col(id_col)))
     sizes = (rows.groupBy(F.col(lang_col).alias("lang")).count()
              .orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-    labels, vectors = [], []
+    labels: list[str] = []
+    vectors = np.empty((sum(min(train_docs, r["count"]) for r in sizes), DIMS), dtype=np.float32)
     # The smallest id hashes of each language; a hash range that holds about twice
     # as many keeps the sort small, whatever the language's share.
     for r in sizes:
@@ -199,9 +206,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         pick = (part.orderBy(F.pmod(F.xxhash64(ids), F.lit(1 << 30)), ids).limit(train_docs)
                 .select(F.col(text_col).alias("text")))
         for v in pick.select(count_vectors(F.col("text")).alias("v")).toLocalIterator():
+            vectors[len(labels)] = np.frombuffer(v["v"], dtype=np.float32)
             labels.append(r["lang"])
-            vectors.append(np.frombuffer(v["v"], dtype=np.float32))
-    return fit(labels, np.stack(vectors) if vectors else np.zeros((0, DIMS), np.float32))
+    return fit(labels, vectors[:len(labels)])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "language") -> DataFrame:
