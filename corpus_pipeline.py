@@ -13,8 +13,7 @@ from __future__ import annotations
 
 from sqlgauge.llm import decontam, langid, near_dup, piece_bpe
 from sqlgauge.llm.graph import written
-from sqlgauge.llm.queries import tokenizer_path
-from sqlgauge.session import ship_package
+from sqlgauge.llm.queries import prepare, tokenizer_path
 
 #: Near-duplicates: word 5-shingles, similarity 0.8.
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
@@ -23,25 +22,25 @@ PIECE_MODEL = "piece_bpe_32k.model"
 
 def language_stage(spark, docs, sf_dir):
     """Documents whose language is recognised; the model learns from the labels of ``docs``."""
-    ship_package(spark)
+    prepare(spark)
     return langid.accepted(docs, langid.train(docs))
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
     """One document of each group of near-duplicates: the smallest doc_id."""
-    ship_package(spark)
+    prepare(spark)
     return near_dup.drop_near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
 
 
 def leak_stage(spark, docs, sf_dir):
     """Documents that leak no benchmark item."""
-    ship_package(spark)
+    prepare(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def piece_stage(spark, docs, sf_dir):
     """All documents with their piece ids, the ids' number and whether they decode to the text."""
-    ship_package(spark)
+    prepare(spark)
     coded = piece_bpe.with_pieces(docs, tokenizer_path(PIECE_MODEL))
     facts = piece_bpe.digests()
     return (coded.withColumn("n_tokens", facts["n_tokens"])

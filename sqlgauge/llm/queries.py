@@ -25,8 +25,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _table(spark, sf: str, name: str):
+#: Rows of an Arrow batch; texts are long, and a task holds a few batches at once.
+ARROW_ROWS = 2000
+
+
+def prepare(spark) -> None:
+    """Make the package importable on executors and keep Arrow batches small."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+def _table(spark, sf: str, name: str):
+    prepare(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
