@@ -138,33 +138,31 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     centres = x[picks].copy()
     for _ in range(rounds):
         owner = (x @ centres.T).argmax(axis=1)
-        moved = _unit(np.stack([x[owner == c].sum(axis=0) if (owner == c).any() else centres[c]
-                                for c in range(len(centres))]))
+        member = (owner[None, :] == np.arange(len(centres))[:, None]).astype(x.dtype)
+        sums = member @ x
+        moved = _unit(np.where(member.any(axis=1)[:, None], sums, centres))
         if np.allclose(moved, centres, atol=1e-6):
             break
         centres = moved
     return centres
 
 
-def fit(labels: list[str], tf: np.ndarray, clusters: int = CLUSTERS, slack: float = SLACK) -> Model:
-    """A model from labelled count vectors (which are overwritten)."""
-    has = tf.any(axis=1) if len(tf) else np.zeros(0, dtype=bool)
-    labels = [x for x, h in zip(labels, has) if h]
-    if not labels:
+def fit(labels: list[str], damped: np.ndarray, clusters: int = CLUSTERS, slack: float = SLACK) -> Model:
+    """A model from labelled vectors of damped counts (any float type)."""
+    has = damped.any(axis=1) if len(damped) else np.zeros(0, dtype=bool)
+    if not has.any():
         return Model([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
-    x = tf if has.all() else tf[has]
     seen = np.zeros(DIMS, dtype=np.int64)
-    for row in x:
+    for row in damped:
         seen += row > 0
-    idf = (np.log((1 + len(x)) / (1 + seen)) + 1).astype(np.float32)
-    # In place: the training vectors are the driver's largest array.
-    np.log1p(x, out=x)
-    x *= idf
-    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-    names, centres, least = [], [], []
+    idf = (np.log((1 + int(has.sum())) / (1 + seen)) + 1).astype(np.float32)
     label = np.array(labels)
-    for name in sorted(set(labels)):
-        own = x[label == name]
+    names, centres, least = [], [], []
+    for name in sorted(set(label[has].tolist())):
+        # One language at a time: the training vectors are the driver's largest array.
+        own = damped[has & (label == name)].astype(np.float32)
+        own *= idf
+        own /= np.sqrt(np.einsum("ij,ij->i", own, own))[:, None]
         c = _k_means(own, clusters)
         lowest = float((own @ c.T).max(axis=1).min())
         names += [name] * len(c)
@@ -178,10 +176,11 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def count_vectors(text: Column) -> Column:
-    """binary: the hashed n-gram counts of each text, float32."""
+def damped_vectors(text: Column) -> Column:
+    """binary: the damped hashed n-gram counts of each text, float16."""
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([row.tobytes() for _, _, tf in counts(column) for row in tf], pa.binary())
+        return pa.array([row.tobytes() for _, _, tf in counts(column)
+                         for row in np.log1p(tf).astype(np.float16)], pa.binary())
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "binary")(text)
 
@@ -195,7 +194,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = (rows.groupBy(F.col(lang_col).alias("lang")).count()
              .orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
     labels: list[str] = []
-    vectors = np.empty((sum(min(train_docs, r["count"]) for r in sizes), DIMS), dtype=np.float32)
+    vectors = np.empty((sum(min(train_docs, r["count"]) for r in sizes), DIMS), dtype=np.float16)
     # The smallest id hashes of each language; a hash range that holds about twice
     # as many keeps the sort small, whatever the language's share.
     for r in sizes:
@@ -205,8 +204,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             part = part.where(F.pmod(F.xxhash64(ids), F.lit(1 << 30)) < int(share * (1 << 30)))
         pick = (part.orderBy(F.pmod(F.xxhash64(ids), F.lit(1 << 30)), ids).limit(train_docs)
                 .select(F.col(text_col).alias("text")))
-        for v in pick.select(count_vectors(F.col("text")).alias("v")).toLocalIterator():
-            vectors[len(labels)] = np.frombuffer(v["v"], dtype=np.float32)
+        for v in pick.select(damped_vectors(F.col("text")).alias("v")).toLocalIterator():
+            vectors[len(labels)] = np.frombuffer(v["v"], dtype=np.float16)
             labels.append(r["lang"])
     return fit(labels, vectors[:len(labels)])
 
