@@ -1,8 +1,12 @@
 """Operator 9: licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences (line ends, or closing punctuation before white
-space) and each is normalised to lower-case words and digits. Known licence
-sentences map to identifiers; everything else drops out. The identifiers of a
+Texts are normalised to lower-case words and digits. A sentence ends at closing
+punctuation before white space and at blank lines. It may end, or go on, at a
+line end (with or without comment leaders), at ':' before a capital or list mark, after a
+list number, and before the capitalised opening of a long notice: hard-wrapped
+and flattened licences read like those of one sentence per line, and the longest
+known sentence is taken. Known licence sentences map to identifiers; everything
+else drops out. The identifiers of a
 document, in order, are matched against rules in rule order: a rule names a
 licence and a run of identifiers, and the runs it matches are used up, so that a
 later, shorter rule does not claim them again. Identifiers that no rule used are
@@ -138,12 +142,13 @@ RULES = [
 ]
 #: Every known sentence has one of these; texts without any have no sentence to look up.
 MARKS = ("licens", "copyright", "permi", "warrant", "redistribut", "liable", "software", "public")
-SENTENCE_END = r"[.!?;]+([ \t\r\n\f]|\z)"
-NOT_WORD = r"[^a-z0-9\n]+"
+#: Ends of a sentence in a ``laid_out`` text: certain ones, and places that may lie inside one.
+HARD, SOFT = "\x01", "\x02"
+LONG = 12  # a capitalised notice of more words opens a sentence anywhere in a line
 
 
 def normalise(sentence: str) -> str:
-    """The normal form of one sentence, as ``sentences`` makes it."""
+    """The normal form of one sentence: its lower-case words and digits."""
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
@@ -174,11 +179,35 @@ def rule_patterns() -> list[tuple[str, str]]:
     return [(name, "".join(map(spell, run))) for name, run in RULES]
 
 
-def sentences(text: Column) -> Column:
-    """array<string>: the normalised sentences of a text (no empty ones)."""
-    cut = F.regexp_replace(F.lower(text), SENTENCE_END, "\n")
-    plain = F.regexp_replace(F.regexp_replace(cut, r"[\r\f]", "\n"), NOT_WORD, " ")
-    return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+def _openings() -> str:
+    """Regex: the first words of long notices, written like the start of a sentence."""
+    found = []
+    for texts in SENTENCES.values():
+        for text in texts:
+            if len(normalise(text).split()) > LONG and text[0].isupper():
+                found.append(r"\s+".join(map(re.escape, text.split()[:3])))
+    return "|".join(dict.fromkeys(found))
+
+
+def known_pattern() -> str:
+    """Regex: a whole known sentence of a ``laid_out`` text, longer ones first."""
+    runs = sorted(known_parts(), key=lambda p: (-len(p), p))
+    words = "|".join(p.replace(" ", f"[ {SOFT}]") for p in runs)
+    return f"(?<![^{HARD}{SOFT}])(?:{words})(?![^{HARD}{SOFT}])"
+
+
+def laid_out(text: Column) -> Column:
+    """Lower-case words parted by a blank, SOFT (a sentence may end here) or HARD (it does)."""
+    out = F.translate(text, HARD + SOFT, "##")
+    out = F.regexp_replace(out, r"\r\n?|\f", "\n")
+    for before in (r"(?<=:)[ \t]+(?=[^a-z \t]|[a-z]\))", rf"[ \t]+(?={_openings()})",
+                   r"(?<=\s\(?(?:[0-9]{1,2}|[a-z])\))[ \t]"):
+        out = F.regexp_replace(out, before, SOFT)
+    out = F.regexp_replace(F.lower(out), rf"[.!?;]+([ \t\n{SOFT}]|\z)", HARD)
+    for pattern, mark in ((rf"[^a-z0-9\n{HARD}{SOFT}]+", " "), (rf"\n[ {SOFT}\n]*\n", HARD),
+                          (rf"[ {SOFT}\n]*[{SOFT}\n][ {SOFT}\n]*", SOFT), (f" ?{HARD} ?", HARD)):
+        out = F.regexp_replace(out, pattern, mark)
+    return F.trim(out)
 
 
 def sentence_ids(text: Column) -> Column:
@@ -188,7 +217,8 @@ def sentence_ids(text: Column) -> Column:
     marked = None
     for m in MARKS:
         marked = low.contains(m) if marked is None else marked | low.contains(m)
-    found = F.filter(F.transform(sentences(text), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    runs = F.regexp_extract_all(laid_out(text), F.lit(known_pattern()), F.lit(0))
+    found = F.transform(runs, lambda s: F.try_element_at(known, F.translate(s, SOFT, " ")))
     return F.when(marked, found).otherwise(F.array().cast("array<string>"))
 
 
@@ -230,7 +260,7 @@ def licensed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def oracle(table: str = "documents") -> str:
-    """The same rows in DuckDB SQL."""
+    """The same rows in DuckDB SQL, for texts of one sentence per line (it joins no wrapped lines)."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(p)}, {quote(i)})" for p, i in known_parts().items())
     steps, last = [], "s0"

@@ -1,6 +1,7 @@
 """Operators 8 and 9: pages with known articles, texts with known licences."""
 
 import re
+import textwrap
 from html import unescape
 
 import duckdb
@@ -127,6 +128,48 @@ def test_sql_gives_the_same_rows(texts):
     assert sorted(map(str, map(tuple, LS.licensed_documents(texts).collect()))) == sorted(map(str, want))
 
 
+def _wrapped(paragraphs, lead="", width=78):
+    return f"\n{lead.rstrip()}\n".join(
+        "\n".join(lead + line for line in textwrap.wrap(p, width)) for p in paragraphs)
+
+
+def _licence_files():
+    say = lambda *names: [LS.SENTENCES[n][-1] for n in names]
+    grant, notice, as_is, liable = say("MIT_GRANT", "MIT_NOTICE", "MIT_AS_IS", "MIT_LIABLE")
+    mit = ["MIT License", "Copyright (c) 2024 Jo Doe", grant, notice + ".", f"{as_is}. {liable}."]
+    redist, source, binary, endorse, as_is = say("BSD_REDIST", "BSD_SOURCE", "BSD_BINARY", "BSD_ENDORSE", "BSD_AS_IS")
+    bsd = ["Copyright 2024, Jo Doe", redist, f"1. {source}.", f"2. {binary}.", f"3. {endorse}.", as_is + "."]
+    paren = [bsd[0], redist, f"a) {source};", f"b) {binary};", f"c) {endorse}.", as_is + "."]
+    isc = ["Copyright (c) 2024 Jo Doe", *(x + "." for x in say("ISC_GRANT", "ISC_AS_IS"))]
+    gpl = [". ".join(say("GPL_FREE", "GPL_HOPE", "GPL_SEE")) + "."]
+    gpl2 = [". ".join(say("GPL2_FREE", "GPL_HOPE", "GPL_SEE")) + "."]
+    short, comply, copy, basis, see = (LS.SENTENCES[n] for n in (
+        "APACHE2_SHORT", "APACHE2_COMPLY", "APACHE2_COPY", "APACHE2_BASIS", "APACHE2_SEE"))
+    apache = [f"{short[1]}; {comply[0]}. {copy[0]}", "http://www.apache.org/licenses/LICENSE-2.0",
+              f"{basis[0]}. {see[0]}."]
+    return [(mit, "MIT"), (bsd, "BSD-3-Clause"), (paren, "BSD-3-Clause"), (isc, "ISC"), (gpl, "GPL-3.0-or-later"),
+            (gpl2, "GPL-2.0-or-later"), (apache, "Apache-2.0")]
+
+
+def test_wrapped_and_flattened_licence_files(spark):
+    rows = []
+    for paragraphs, name in _licence_files():
+        for lead in ("", "# ", " * ", "// ", "    "):
+            rows += [(name, _wrapped(paragraphs, lead)), (name, _wrapped(paragraphs, lead, 50).replace("\n", "\r\n"))]
+        rows += [(name, " ".join(paragraphs)), (name, "\n".join(paragraphs))]
+    df = spark.createDataFrame(rows, "want string, text string")
+    for r in LS.with_licenses(df).collect():
+        assert r.licenses == [r.want], r.text
+
+
+def test_wrapped_lines_join_no_other_sentences(spark):
+    rows = [("Permission is hereby granted, free of charge, to any person\nobtaining a copy of something.",),
+            ("Released under\n\nthe Lesser License",), ("\n" * 200_000 + " : " * 200_000 + "license",),
+            ("Released under the MIT License,\nreally.",)]
+    out = LS.with_licenses(spark.createDataFrame(rows, "text string")).collect()
+    assert [r.licenses for r in out] == [[], [], [], ["MIT"]]
+
+
 def test_plan_has_no_python_and_no_shuffle(texts):
     plan = LS.licensed_documents(texts)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange|Join", plan)
