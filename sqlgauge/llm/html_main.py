@@ -5,8 +5,10 @@ menus, page headers and footers, side columns, notices, adverts, comments) is
 cut off. Every block with text of its own gives points to its ancestors: one, one
 more per comma and per hundred characters (three at most), shared out so that
 nearer ancestors get more. A candidate's points are discounted by its link
-density; the best container wins, grows to the article element around it, and
-takes along siblings that score well or read like prose.
+density; the best container wins and grows to the article element around it.
+Without one it takes along the blocks of text beside it and beside its ancestors:
+those with few links and enough text, of the same class, quoted or preformatted,
+or siblings that score well.
 
 Defined results: a null, empty or text-free page gives an empty text; text
 outside any element belongs to the page's body; unclosed elements end with their
@@ -54,6 +56,9 @@ COMMENTS = frozenset("comment comments disqus replies reply respond discussion".
 NOT_OF = frozenset("with has no without".split())
 #: Blocks that hold their own text; the text of others counts for what they stand in.
 HOLDERS = frozenset("html body article section main div".split())
+#: Blocks that are content at any length.
+QUOTED = frozenset("pre blockquote".split())
+PROSE, LINKED = 100, 0.25  # characters out of links, and share of text in links, of a block of text
 LEVELS = 10  # ancestors that a block gives points to
 KEEPS = frozenset("html body article main".split())
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>")
@@ -343,15 +348,51 @@ def main_text(html: str | None) -> str:
     if top.parent is None:
         return _blocks_of([top])
     if top.tag in ARTICLE:
-        siblings = [c for c in top.parent.children if isinstance(c, Node) and c.tag in ARTICLE]
-    else:
-        siblings = [c for c in top.parent.children if isinstance(c, Node)]
-    least = 0.2 * _value(best)
-    kept = [c for c in siblings if c is top or not c.cut and (
-        c.tag != "article" and _value(c) >= max(least, 0.5)
-        or c.tag == "p" and _density(c) < 0.25
-        or c.tag in HEADINGS and top.tag not in ARTICLE and _density(c) < 0.25)]
-    return _blocks_of(kept)
+        least = max(0.2 * _value(best), 0.5)
+        return _blocks_of([c for c in top.parent.children if c is top or isinstance(c, Node) and c.tag in ARTICLE
+                           and not c.cut and c.tag != "article" and _value(c) >= least])
+    return _blocks_of([_with_company(top, 0.2 * _value(best))])
+
+
+def _reads_like_text(node: Node, beside: Node) -> bool:
+    """Whether a block at the side of a kept one holds text rather than links."""
+    if node.text == 0 or _density(node) >= LINKED:
+        return False
+    if node.text - node.linked >= PROSE or node.tag in QUOTED:
+        return True
+    name = _attributes(node.attributes).get("class")
+    return bool(name) and node.tag == beside.tag and name == _attributes(beside.attributes).get("class")
+
+
+def _with_company(top: Node, least: float) -> Node:
+    """The lowest element around ``top`` and all blocks of text beside it or what it
+    stands in; children on the way that are no such blocks are left out of the tree."""
+    levels, last = [], 1
+    at = top
+    while at.parent is not None:
+        up, first = at.parent, at is top
+        own, linked = len(_own_text(up)), _link_text(up)
+        direct = own >= PROSE and linked < LINKED * own
+        kept, more = [], direct
+        for c in up.children:
+            if c is at:
+                kept.append(c)
+            elif isinstance(c, str) or not c.cut and c.tag not in BLOCK and c.text == 0:
+                if direct:
+                    kept.append(c)
+            elif c.cut or c.tag == "article":
+                continue
+            elif _reads_like_text(c, at) or first and _value(c) >= max(least, 0.5):
+                kept.append(c)
+                more = True
+            elif (c.tag == "p" or c.tag in HEADINGS) and _density(c) < LINKED:
+                kept.append(c)
+        levels.append((up, kept))
+        last = len(levels) if more else last
+        at = up
+    for up, kept in levels[:last]:
+        up.children = kept
+    return levels[last - 1][0]
 
 
 def extract(html: Column) -> Column:

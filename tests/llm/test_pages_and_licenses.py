@@ -60,6 +60,29 @@ def test_siblings_that_read_like_prose_come_along():
     assert HM.main_text(page) == " ".join([LONG.strip()] * 3)
 
 
+@pytest.mark.parametrize("k", [2, 3, 5, 6, 9])
+def test_all_sections_of_a_page_without_article_stay(k):
+    inner = "<div class=sec><h2>Part %d</h2><div class=inner><p>%s</p><p>%s</p></div></div>"
+    links = "<ul>" + "<li><a href=x>Some page elsewhere</a></li>" * 9 + "</ul>"
+    page = f"<body>{links}<div id=content>%s<div class=sec><p>End.</p></div></div>{links}</body>"
+    want = " ".join(f"Part {i} {LONG.strip()} {LONG.strip()}" for i in range(k)) + " End."
+    assert HM.main_text(page % "".join(inner % (i, LONG, LONG) for i in range(k))) == want
+
+
+def test_one_long_section_does_not_drop_the_others():
+    body = "<div><div><p>%s</p></div></div>" % (LONG * 9) + "<div><div><p>%s</p></div></div>" % LONG
+    want = (LONG * 10).strip()
+    assert HM.main_text(f"<body><div id=content>{body}</div></body>") == want
+
+
+@pytest.mark.parametrize("tag", ["pre", "blockquote", "table"])
+def test_text_of_other_blocks_beside_the_container_stays(tag):
+    text = "x = 1 and more of the same, " * 5
+    cell = text if tag != "table" else f"<tr><td>{text}</td></tr>"
+    page = f"<body><div><p>{LONG}</p><p>{LONG}</p></div><{tag}>{cell}</{tag}><div><p>{LONG}</p></div></body>"
+    assert HM.main_text(page) == " ".join([LONG.strip()] * 2 + [text.strip(), LONG.strip()])
+
+
 def test_every_given_page(spark):
     pages = spark.read.parquet(f"{SF_CHECK}/pages.parquet").withColumn("text", F.lit("x"))
     html = {r.page_id: r.html for r in pages.collect()}
