@@ -2,7 +2,8 @@
 
 The page becomes a tree. What never belongs to an article (scripts, forms,
 menus, page headers and footers, side columns, notices, adverts, comments) is
-cut off. Every block with text of its own gives points to its ancestors: one, one
+cut off, but no form or marked block that holds the article, most of the page's
+text or a section of prose. Every block with text of its own gives points to its ancestors: one, one
 more per comma and per hundred characters (three at most), shared out so that
 nearer ancestors get more. A candidate's points are discounted by its link
 density; the best container wins and grows to the article element around it.
@@ -53,11 +54,18 @@ AROUND = frozenset(
     "social widget widgets pagination pager comment comments disqus replies reply respond "
     "discussion skip login alert".split())
 COMMENTS = frozenset("comment comments disqus replies reply respond discussion".split())
+#: Marks that may also be the subject of a section, and words that deny it.
+TOPICS = frozenset(
+    "discussion related recommend recommended recommendations notice notices alert header bottom promotion "
+    "advertising consent social navigation respond subscription sharing".split())
+TEASERS = frozenset("post posts article articles story stories news link links item items product products "
+                    "video videos page pages reading content".split())
 NOT_OF = frozenset("with has no without".split())
 #: Blocks that hold their own text; the text of others counts for what they stand in.
 HOLDERS = frozenset("html body article section main div".split())
 #: Blocks that are content at any length.
 QUOTED = frozenset("pre blockquote".split())
+SECTION = 200  # characters out of links of a section of prose
 PROSE, LINKED = 100, 0.25  # characters out of links, and share of text in links, of a block of text
 LEVELS = 10  # ancestors that a block gives points to
 KEEPS = frozenset("html body article main".split())
@@ -70,12 +78,14 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attributes", "score", "text", "linked", "holds", "cut")
+    __slots__ = ("tag", "parent", "children", "attributes", "score", "text", "linked", "holds", "cut",
+                 "prose", "links", "clean", "said", "most")
 
     def __init__(self, tag: str, parent: "Node | None", attributes: str = ""):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.children: list[Node | str] = []
         self.score, self.text, self.linked, self.holds, self.cut = 0.0, 0, 0, False, False
+        self.prose, self.links, self.clean, self.said, self.most = 0, 0, 0, False, False
 
 
 def parse(html: str) -> Node:
@@ -198,9 +208,9 @@ ARTICLE = frozenset(("article", "main"))
 
 
 def _is_cut(node: Node) -> bool:
-    """Whether an element is no part of the article (``holds``: it contains one)."""
+    """Whether an element is no part of the article (``holds``: it contains one; ``most``: most text)."""
     tag = node.tag
-    if tag in DROP:
+    if tag in DROP and not (tag == "form" and (node.holds or node.most)):
         return True
     if tag == "header":
         return not _own_header(node)
@@ -211,10 +221,63 @@ def _is_cut(node: Node) -> bool:
     a = _attributes(node.attributes)
     if "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style", "")):
         return True
+    if node.holds or node.most:
+        return False
     if a.get("role", "").lower() in DROP_ROLE:
-        return not node.holds
+        return True
     marks = _marks(node)
-    return bool(marks) and not node.holds and not (marks == {"header"} and _own_header(node))
+    return bool(marks) and not (marks == {"header"} and _own_header(node)) and not _is_section(node, marks)
+
+
+def _is_section(node: Node, marks: set[str]) -> bool:
+    """Whether a marked block is a section of prose, such as a paper's discussion."""
+    if not (marks <= TOPICS and node.prose >= SECTION and node.links < LINKED * (node.prose + node.links)):
+        return False
+    if not (_inside(node, ARTICLE) or node.tag == "section"):
+        return False
+    a = _attributes(node.attributes)
+    words = {w.lower() for w in WORD.findall(f"{a.get('class', '')} {a.get('id', '')}")}
+    # Neither teasers of other pages nor what readers wrote.
+    return not words & TEASERS and not any(x is not node and (x.tag == "form" or _marks(x) & COMMENTS)
+                                           for x in _walk(node))
+
+
+def _measure_raw(root: Node) -> None:
+    """Text out of and in links of every element, before anything but scripts, menus and
+    hidden parts is cut; marks the elements that hold most of the page's text."""
+    order, stack = [], [(root, False)]
+    while stack:
+        at, in_link = stack.pop()
+        if at is not root:
+            if at.tag in DROP and at.tag != "form":
+                continue
+            if at.attributes:
+                a = _attributes(at.attributes)
+                if "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style", "")):
+                    continue
+        at.said = bool(_marks(at) & COMMENTS)
+        order.append(at)
+        in_link = in_link or at.tag == "a"
+        for c in at.children:
+            if isinstance(c, Node):
+                stack.append((c, in_link))
+            elif in_link:
+                at.links += len(" ".join(c.split()))
+            else:
+                at.prose += len(" ".join(c.split()))
+                at.clean = at.prose
+    for at in reversed(order):  # children before parents
+        if at.parent is not None:
+            at.parent.prose += at.prose
+            at.parent.links += at.links
+            at.parent.clean += 0 if at.said else at.clean
+    # What readers wrote is no measure, unless the page holds nothing else.
+    for at in order:
+        few_links = at.links < LINKED * (at.prose + at.links)
+        if at.said:
+            at.most = few_links and at.prose >= SECTION > root.clean and 2 * at.prose > root.prose
+        else:
+            at.most = few_links and 2 * at.clean > root.clean
 
 
 def _walk(node: Node):
@@ -329,6 +392,7 @@ def main_text(html: str | None) -> str:
                     while up is not None and not up.holds:
                         up.holds, up = True, up.parent
                 stack.append(c)
+    _measure_raw(root)
     stack = [root]
     while stack:
         at = stack.pop()

@@ -83,6 +83,29 @@ def test_text_of_other_blocks_beside_the_container_stays(tag):
     assert HM.main_text(page) == " ".join([LONG.strip()] * 2 + [text.strip(), LONG.strip()])
 
 
+@pytest.mark.parametrize("open_, close", [
+    ("<form id=aspnetForm action=x>", "</form>"), ("<div class='page-header-fixed'>", "</div>"),
+    ("<div class='sidebar-right'>", "</div>"), ("<div class=nav-open><form>", "</form></div>"),
+    ("<div role=banner>", "</div>"),
+])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div>{}</div>"])
+def test_wrappers_of_the_page_are_not_cut(open_, close, wrap):
+    body = f"<p>{LONG}</p><p>{LONG}</p>"
+    around = "<div class=menu><a href=/>Home</a></div>{}<section class=comments><p>%s</p></section>" % (LONG * 5)
+    page = f"<body>{open_}{around.format(wrap.format(body))}{close}</body>"
+    assert HM.main_text(page) == " ".join([LONG.strip()] * 2)
+
+
+@pytest.mark.parametrize("section", ["<section id='discussion'>{}</section>", "<div class='related-work'>{}</div>"])
+def test_sections_of_prose_named_like_surroundings_stay(section):
+    part = section.format(f"<h2>On it</h2><p>{LONG}</p>")
+    page = f"<article><p>{LONG}</p>{part}<p>{LONG}</p><form><p>Send us mail, please.</p></form></article>"
+    assert HM.main_text(page) == f"{LONG.strip()} On it {LONG}{LONG.strip()}"
+    said = "<section id='discussion'><div class=comment><p>%s</p></div></section>" % LONG
+    teasers = "<div class='related-posts'><p>%s</p></div>" % LONG
+    assert HM.main_text(f"<article><p>{LONG}</p>{said}{teasers}</article>") == LONG.strip()
+
+
 def test_every_given_page(spark):
     pages = spark.read.parquet(f"{SF_CHECK}/pages.parquet").withColumn("text", F.lit("x"))
     html = {r.page_id: r.html for r in pages.collect()}
