@@ -4,8 +4,10 @@ A text becomes a vector of its lower-case letter 1- to 3-grams (other characters
 are one blank), hashed into DIMS places, with damped counts, inverse document
 frequencies and unit length. Each language has several centroids (spherical
 k-means of its training vectors). A text gets the language of the centroid with
-the highest cosine; it is rejected when that cosine is below the lowest one that
-the language's training texts have, times SLACK.
+the highest cosine; it is rejected when that cosine is below the one that all but
+a share LOW of the language's training texts reach, times SLACK. Clusters of less
+than a share FEW of a language's texts are left out, so a few wrong labels neither
+lower that cosine nor have centroids.
 
 The model is fitted on at most TRAIN_DOCS labelled documents per language (those
 with the smallest id hashes, up to sampling), for at most MAX_LANGUAGES
@@ -38,6 +40,7 @@ TRAIN_DOCS = 1500
 MAX_LANGUAGES = 200
 CLUSTERS = 3
 SLACK = 0.5
+FEW, LOW = 0.02, 0.03
 ROWS = 512  # vectors held at once
 
 _PLACE = (V.place_keys(2 * GRAMS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -128,12 +131,13 @@ class Model:
 
 
 def _k_means(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
-    """Spherical k-means; starts from the mean's nearest vector and then the farthest ones."""
+    """Spherical k-means; starts from the mean's nearest vector and then the farthest ones
+    but a share FEW, which may be odd."""
     first = int((x @ x.mean(axis=0)).argmax())
     picks = [first]
-    near = x @ x[first]
+    near, odd = x @ x[first], int(FEW * len(x))
     while len(picks) < min(k, len(x)):
-        picks.append(int(near.argmin()))
+        picks.append(int(np.argsort(near, kind="stable")[odd]))
         near = np.maximum(near, x @ x[picks[-1]])
     centres = x[picks].copy()
     for _ in range(rounds):
@@ -147,6 +151,15 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     return centres
 
 
+def _centroids(x: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+    """The centroids of a language, and the cosine that all but a share LOW of its texts reach."""
+    centres = _k_means(x, k)
+    size = np.bincount((x @ centres.T).argmax(axis=1), minlength=len(centres))
+    centres = centres[size >= min(FEW * len(x), size.max())]
+    reached = np.sort((x @ centres.T).max(axis=1))
+    return centres, float(reached[int(LOW * len(reached))])
+
+
 def fit(labels: list[str], damped: np.ndarray, clusters: int = CLUSTERS, slack: float = SLACK) -> Model:
     """A model from labelled vectors of damped counts (any float type)."""
     has = damped.any(axis=1) if len(damped) else np.zeros(0, dtype=bool)
@@ -163,8 +176,7 @@ def fit(labels: list[str], damped: np.ndarray, clusters: int = CLUSTERS, slack:
         own = damped[has & (label == name)].astype(np.float32)
         own *= idf
         own /= np.sqrt(np.einsum("ij,ij->i", own, own))[:, None]
-        c = _k_means(own, clusters)
-        lowest = float((own @ c.T).max(axis=1).min())
+        c, lowest = _centroids(own, clusters)
         names += [name] * len(c)
         centres.append(c)
         least += [slack * lowest] * len(c)

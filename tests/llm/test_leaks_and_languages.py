@@ -1,5 +1,6 @@
 """Operators 1 and 2: brute force, planted cases, held-out accuracy."""
 
+import base64
 import random
 import zlib
 
@@ -154,6 +155,28 @@ def test_training_is_bounded_and_repeatable(corpus):
     assert a.languages == b.languages and np.allclose(a.centroids, b.centroids)
 
 
+ODD = ["Это предложение на русском языке.", "这是一个中文句子。", "한국어 문장입니다.", "ข้อความภาษาไทย", "x", "ok", "η ελληνική", "zzz"]
+
+
+def _strange(rng):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return ([base64.b64encode(rng.randbytes(600)).decode() for _ in range(20)]
+            + ["".join(rng.choices(letters, k=300)) for _ in range(20)]
+            + [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(60)) for _ in range(20)]
+            + ["for (int i = 0; i < n; ++i) { struct foo *p = malloc(sizeof(*p)); p->next = head; }" * 2]
+            + [x * 9 for x in ODD])
+
+
+@pytest.mark.parametrize("odd", [0, 8])
+def test_a_few_wrong_labels_do_not_switch_rejection_off(spark, corpus, odd):
+    wrong = [(10**9 + k, ODD[k % len(ODD)] * 3, "en") for k in range(odd * 2) if zlib.crc32(str(10**9 + k).encode()) % 5]
+    docs = corpus.select("doc_id", "text", "lang")
+    model = LI.train(docs.unionByName(spark.createDataFrame(wrong[:odd], docs.schema)) if odd else docs)
+    assert model.predict(pa.array(_strange(random.Random(3))))[2].all()
+    kept = LI.predict(corpus, model).where(LI.held_out(corpus.doc_id)).toPandas().language
+    assert np.mean([r["rejected"] for r in kept]) < 0.01
+
+
 def test_blocks_do_not_change_vectors():
     texts = ["Äpfel und Birnen", "", None, "a", "x1y2 z", "the  THE the"]
     whole = np.concatenate([t for _, _, t in LI.counts(pa.array(texts))])
