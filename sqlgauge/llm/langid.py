@@ -10,8 +10,8 @@ than a share FEW of a language's texts are left out, so a few wrong labels neith
 lower that cosine nor have centroids.
 
 The model is fitted on at most TRAIN_DOCS labelled documents per language (those
-with the smallest id hashes, up to sampling), for at most MAX_LANGUAGES
-languages (the most frequent ones); it predicts every whole text.
+with the smallest id hashes, up to sampling), for every language; it predicts every
+whole text. Each language is fitted in a task of its own.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0
 and rejected; with no labelled document at all every text is ``und``; ties go to
@@ -28,20 +28,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlgauge.llm import textvec as V
-from sqlgauge.llm.graph import fresh
+from sqlgauge.llm.graph import fresh, written
 
 DIMS = 4096
 GRAMS = 3
 TRAIN_DOCS = 1500
-MAX_LANGUAGES = 200
 CLUSTERS = 3
 SLACK = 0.5
 FEW, LOW = 0.02, 0.03
 ROWS = 512  # vectors held at once
+_FITTED = pa.schema([("lang", pa.string()), ("centroids", pa.binary()), ("least", pa.float64())])
 
 _PLACE = (V.place_keys(2 * GRAMS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SPREAD = np.uint32(0x9E3779B1)
@@ -160,26 +160,14 @@ def _centroids(x: np.ndarray, k: int) -> tuple[np.ndarray, float]:
     return centres, float(reached[int(LOW * len(reached))])
 
 
-def fit(labels: list[str], damped: np.ndarray, clusters: int = CLUSTERS, slack: float = SLACK) -> Model:
-    """A model from labelled vectors of damped counts (any float type)."""
-    has = damped.any(axis=1) if len(damped) else np.zeros(0, dtype=bool)
-    if not has.any():
-        return Model([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
-    seen = np.zeros(DIMS, dtype=np.int64)
-    for row in damped:
-        seen += row > 0
-    idf = (np.log((1 + int(has.sum())) / (1 + seen)) + 1).astype(np.float32)
-    label = np.array(labels)
-    names, centres, least = [], [], []
-    for name in sorted(set(label[has].tolist())):
-        # One language at a time: the training vectors are the driver's largest array.
-        own = damped[has & (label == name)].astype(np.float32)
-        own *= idf
-        own /= np.sqrt(np.einsum("ij,ij->i", own, own))[:, None]
-        c, lowest = _centroids(own, clusters)
+def model(rows: list[tuple[str, bytes, float]], idf: np.ndarray) -> Model:
+    """The model of (language, float32 centroids, rejection cosine) rows."""
+    names, centres, least = [], [np.zeros((0, DIMS), np.float32)], []
+    for name, raw, cosine in sorted(rows, key=lambda r: r[0]):
+        c = np.frombuffer(raw, dtype=np.float32).reshape(-1, DIMS)
         names += [name] * len(c)
         centres.append(c)
-        least += [slack * lowest] * len(c)
+        least += [cosine] * len(c)
     return Model(names, np.concatenate(centres), idf, np.array(least))
 
 
@@ -197,34 +185,74 @@ def damped_vectors(text: Column) -> Column:
     return F.arrow_udf(run, "binary")(text)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on the labelled documents that are not held out (``train_docs`` per language at most)."""
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int) -> DataFrame:
+    """lang, at, v: the damped vectors of the training texts of all languages, by place in their language."""
     ids = F.col(id_col).cast("string")
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
-                      & ~held_out(F.col(id_col)))
-    sizes = (rows.groupBy(F.col(lang_col).alias("lang")).count()
-             .orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-    labels: list[str] = []
-    vectors = np.empty((sum(min(train_docs, r["count"]) for r in sizes), DIMS), dtype=np.float16)
-    # The smallest id hashes of each language; a hash range that holds about twice
-    # as many keeps the sort small, whatever the language's share.
-    for r in sizes:
-        part = rows.where(F.col(lang_col) == r["lang"])
-        if r["count"] > 2 * train_docs:
-            share = 2 * train_docs / r["count"] + 0.0005
-            part = part.where(F.pmod(F.xxhash64(ids), F.lit(1 << 30)) < int(share * (1 << 30)))
-        pick = (part.orderBy(F.pmod(F.xxhash64(ids), F.lit(1 << 30)), ids).limit(train_docs)
-                .select(F.col(text_col).alias("text")))
-        for v in pick.select(damped_vectors(F.col("text")).alias("v")).toLocalIterator():
-            vectors[len(labels)] = np.frombuffer(v["v"], dtype=np.float16)
-            labels.append(r["lang"])
-    return fit(labels, vectors[:len(labels)])
+    key = F.pmod(F.xxhash64(ids), F.lit(1 << 30))
+    rows = (docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+                       & ~held_out(F.col(id_col)))
+            .select(F.col(lang_col).alias("lang"), key.alias("key"), ids.alias("id"), F.col(text_col).alias("text")))
+    # The smallest id hashes of each language. Of the large ones, a hash range that holds
+    # about twice as many keeps the sort small; there is one such row per 2 * train_docs texts at most.
+    large = (rows.groupBy("lang").count().where(F.col("count") > 2 * train_docs)
+             .select("lang", (((2 * train_docs + 100) / F.col("count")) * (1 << 30)).alias("below")))
+    rows = (rows.join(F.broadcast(large), "lang", "left")
+            .where(F.col("below").isNull() | (F.col("key") < F.col("below"))))
+    at = F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))
+    return (rows.withColumn("at", at).where(F.col("at") <= train_docs)
+            .select("lang", "at", damped_vectors(F.col("text")).alias("v")))
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, texts with it) of a task's vectors; place -1 counts the vectors that are not zero."""
+    seen, total = np.zeros(DIMS, dtype=np.int64), 0
+    for batch in batches:
+        for v in batch.column(0):
+            row = np.frombuffer(v.as_py(), dtype=np.float16) > 0
+            seen += row
+            total += bool(row.any())
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()),
+                                      pa.array(np.append(seen[at], total), pa.int64())], ["place", "n"])
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+          train_docs: int = TRAIN_DOCS, clusters: int = CLUSTERS, slack: float = SLACK) -> Model:
+    """Fit on the labelled documents that are not held out (``train_docs`` per language at most).
+
+    Each language is fitted in a task of its own; the driver gets the centroids."""
+    rows = written(sample(docs, id_col, text_col, lang_col, train_docs), "language-sample")
+    seen, total = np.zeros(DIMS, dtype=np.int64), 0
+    for r in rows.select("v").mapInArrow(_seen, "place bigint, n bigint").groupBy("place").sum("n").collect():
+        if r["place"] < 0:
+            total = r["sum(n)"]
+        else:
+            seen[r["place"]] = r["sum(n)"]
+    if not total:
+        return model([], np.ones(DIMS, np.float32))
+    idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        own = np.empty((len(group), DIMS), dtype=np.float32)
+        for k, v in enumerate(group.column("v")):
+            own[k] = np.frombuffer(v.as_py(), dtype=np.float16)
+        own = own[own.any(axis=1)]
+        if not len(own):
+            return pa.table({"lang": [], "centroids": [], "least": []}, schema=_FITTED)
+        own *= idf
+        own /= np.sqrt(np.einsum("ij,ij->i", own, own))[:, None]
+        c, reached = _centroids(own, clusters)
+        return pa.table({"lang": group.column("lang")[:1], "centroids": [c.astype(np.float32).tobytes()],
+                         "least": [slack * reached]}, schema=_FITTED)
+
+    fitted = rows.groupBy("lang").applyInArrow(fit, "lang string, centroids binary, least double").collect()
+    return model([(r["lang"], r["centroids"], r["least"]) for r in fitted], idf)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "language") -> DataFrame:
     """``docs`` with a struct column of lang, score and rejected."""
-    # The model is MAX_LANGUAGES * CLUSTERS centroids at most (10 MB), whatever the corpus.
+    # CLUSTERS centroids (48 KB) per language, whatever the corpus.
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(column: pa.Array) -> pa.Array:

@@ -177,6 +177,20 @@ def test_a_few_wrong_labels_do_not_switch_rejection_off(spark, corpus, odd):
     assert np.mean([r["rejected"] for r in kept]) < 0.01
 
 
+def test_every_label_is_learned(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(230):  # languages of their own alphabets
+        low = 0x4E00 + 20 * k
+        word = lambda: "".join(chr(low + rng.randrange(20)) for _ in range(rng.randint(2, 6)))
+        rows += [(10 * k + j, " ".join(word() for _ in range(40)), f"l{k:03}") for j in range(7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = LI.train(df)
+    assert set(model.languages) == {r[2] for r in rows}
+    got = LI.predict(df, model).collect()
+    assert np.mean([r.lang == r.language.lang for r in got]) > 0.95
+
+
 def test_blocks_do_not_change_vectors():
     texts = ["Äpfel und Birnen", "", None, "a", "x1y2 z", "the  THE the"]
     whole = np.concatenate([t for _, _, t in LI.counts(pa.array(texts))])
