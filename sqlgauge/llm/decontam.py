@@ -1,6 +1,7 @@
 """Operator 1: benchmark decontamination by greedy string tiling.
 
-Texts become lower-case word tokens (ASCII punctuation separates them). Documents
+Texts become lower-case word tokens: runs of letters, marks and digits of Unicode, and each
+character of a script without blanks (Chinese, Japanese, Thai, ...). Documents
 are joined with benchmark items on shared seeds of MIN_MATCH tokens. Each joined
 pair is tiled: Karp-Rabin hashes of all unmarked windows find matches, the longest
 ones are marked first and never overlap, and the window length is halved until
@@ -43,7 +44,7 @@ def tokens(column: pa.Array, limit: int = V.BLOCK_BYTES) -> Iterator[tuple[int,
     raw, off = V.text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
     for lo, hi in V.blocks(off, limit):
         data, o = raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
-        start, end, before = V.words(data, o, V.ASCII_GAPS)
+        start, end, before = V.unicode_words(data, o)
         yield lo, hi, V.span_hash(V.prefix_hash(data), start, end), before
 
 
@@ -139,9 +140,8 @@ class ItemBlock:
 
     def __init__(self, ids: list, texts: list, least: int):
         self.ids, self.least = ids, least
-        parts = [(t, b) for _, _, t, b in tokens(pa.array(texts, pa.string()), 1 << 62)]
-        token, before = parts[0] if parts else (np.zeros(0, _U), np.zeros(1, np.int64))
-        self.items = [token[a:b] for a, b in zip(before[:-1], before[1:])]
+        self.items = [token[a:b] for _, _, token, before in tokens(pa.array(texts, pa.string()))
+                      for a, b in zip(before[:-1], before[1:])]
         self.sizes = sorted({min(least, len(x)) for x in self.items if len(x)})
         self.seeds = {}
         for size in self.sizes:

@@ -7,6 +7,7 @@ never the partition.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,44 @@ ASCII_GAPS[:128] = True
 ASCII_GAPS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 
 
+#: Scripts written without blanks between words; each of their characters is a word.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF),
+             (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31BF),
+             (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF),
+             (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
+_kinds: np.ndarray | None = None
+
+
+def _kind_table() -> np.ndarray:
+    """Of each code point: 0 separates, 1 belongs to a word, 2 is a word. Letters, digits, marks
+    and characters that Unicode leaves open belong to words."""
+    global _kinds
+    if _kinds is None:
+        said = np.fromiter((unicodedata.category(chr(c))[0] in "LNM" or unicodedata.category(chr(c)) in ("Cn", "Co")
+                            for c in range(0x110000)), dtype=bool, count=0x110000)
+        kinds = said.astype(np.uint8)
+        for lo, hi in _UNSPACED:
+            kinds[lo:hi + 1] *= 2
+        _kinds = kinds
+    return _kinds
+
+
+def unicode_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``words`` by Unicode class: runs of letters, marks and digits, and single characters
+    of scripts without blanks."""
+    if not (data >= 0x80).any():
+        return words(data, off, ASCII_GAPS)
+    cp, at = code_points(data)
+    kind = _kind_table()[cp]
+    starts = np.zeros(len(cp) + 1, dtype=bool)  # of rows, in code points
+    starts[np.searchsorted(at, off)] = True
+    # A word goes on between two characters of kind 1 in a row's text.
+    apart = np.ones(len(cp) + 1, dtype=bool)
+    apart[1:-1] = starts[1:-1] | (kind[1:] != 1) | (kind[:-1] != 1)
+    start, end = at[:-1][(kind > 0) & apart[:-1]], at[1:][(kind > 0) & apart[1:]]
+    return start, end, np.searchsorted(start, off)
+
+
 def words(data: np.ndarray, off: np.ndarray,
           gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans between ``gaps`` (default: ``[^\\x20\\x09-\\x0D]+``) inside each row:

@@ -11,6 +11,7 @@ import pytest
 from llm_samples import SF_CHECK, documents, prose  # noqa: F401
 from sqlgauge.llm import decontam as DC
 from sqlgauge.llm import langid as LI
+from sqlgauge.llm import textvec as V
 
 
 # ---- greedy string tiling ----
@@ -102,6 +103,35 @@ def test_seed_bound_and_positions():
     assert [(f[0], f[1], f[3], f[5]) for f in found] == [(1, 7, 10, [(0, 2, 10)])]
 
 
+ZH = "请计算从一加到一百的所有整数之和，并说明你使用的方法。"
+JA = "次の文章を読んで、主人公の気持ちを五十字以内で説明しなさい。"
+TH = "จงหาผลรวมของจำนวนเต็มทั้งหมดตั้งแต่หนึ่งถึงหนึ่งร้อย"
+EN = "how many red apples are left when seven of the twelve are eaten"
+
+
+@pytest.mark.parametrize("item, doc, leaks", [
+    (ZH, "前面有一些别的话" + ZH.rstrip("。") + "后面还有一些", True), (ZH, "今天天气很好，我们去公园散步。", False),
+    (ZH, "说明你使用的方法" + "其他" + "请计算从一加到一百的所有整数之和", True),
+    (JA, "これは前文です" + JA.rstrip("。") + "と書いてあった", True), (JA, "今日は天気がいいので散歩に行きましょう", False),
+    (JA, "主人公の気持ちを五十字以内で説明しなさい　次の文章を読んで", True),
+    (TH, "ข้อความก่อนหน้า" + TH + "ข้อความถัดไป", True), (TH, "วันนี้อากาศดีมาก", False),
+    (EN, "x—" + EN.replace(" ", "\u00a0") + "—y", True), (EN, "“" + EN.replace(" ", "—") + "”", True),
+    (EN, "a\u3000" + EN.replace(" ", "\u3000"), True), ("Über Größe é naïve Ñandú cœur", "x über…größe é, naïve ñandú cœur!", True),
+])
+def test_leaks_in_other_scripts_and_punctuation(item, doc, leaks):
+    found = list(DC.scan(DC.ItemBlock([7], [item], 5), pa.array([1]), pa.array([doc]), 0.5))
+    assert bool(found) == leaks
+
+
+def test_unicode_words():
+    texts = ["ab é", "x中文y1", "", "ไทย", "éa —b", "हिन्दी शब्द"]
+    raw, off = V.text_bytes(pa.array(texts))
+    start, end, before = V.unicode_words(raw, off)
+    got = [raw[s:e].tobytes().decode() for s, e in zip(start, end)]
+    assert [got[a:b] for a, b in zip(before, before[1:])] == [
+        ["ab", "é"], ["x", "中", "文", "y1"], [], list("ไทย"), ["éa", "b"], ["हिन्दी", "शब्द"]]
+
+
 # ---- languages ----
 
 @pytest.fixture(scope="module")
