@@ -20,6 +20,7 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ def tokens(column: pa.Array, limit: int = V.BLOCK_BYTES) -> Iterator[tuple[int,
     for lo, hi in V.blocks(off, limit):
         data, o = raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
         start, end, before = V.unicode_words(data, o)
-        yield lo, hi, V.span_hash(V.prefix_hash(data), start, end), before
+        yield lo, hi, V.byte_hash(data, start, end), before
 
 
 def grams(token: np.ndarray, size: int) -> np.ndarray:
@@ -94,16 +95,26 @@ def greedy_tiles(item: np.ndarray, doc: np.ndarray, least: int = MIN_MATCH) -> l
         size *= 2
     tiles: list[tuple[int, int, int]] = []
     while True:
-        found = _matches(item, doc, in_item, in_doc, roll_item, roll_doc, size)
-        marked = False
+        found = [(-length, i, d) for length, i, d in
+                 _matches(item, doc, in_item, in_doc, roll_item, roll_doc, size)]
+        marked, several = False, len(found) > 1
         # Longest first; what an earlier tile of this pass has cut is searched again.
-        for length, i, d in found:
+        while found:
+            length, i, d = heappop(found)  # a sorted list is a heap
+            length = -length
             if not in_item[i:i + length].any() and not in_doc[d:d + length].any():
+                same = item[i:i + length] == doc[d:d + length]
+                if not same.all():  # windows that only share a hash: what matches of them
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], same, [0]])))
+                    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                        if b - a >= size:
+                            heappush(found, (a - b, i + a, d + a))
+                    continue
                 in_item[i:i + length] = True
                 in_doc[d:d + length] = True
                 tiles.append((i, d, length))
                 marked = True
-                if len(found) > 1 and length > size:
+                if several and length > size:
                     break
         if not marked:
             if size == least:

@@ -56,7 +56,7 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray,
     cut = np.concatenate([[0], np.cumsum(count)])
     if cut[-1] == 0:
         return np.zeros(0, _U), np.zeros(rows + 1, np.int64)
-    word = V.span_hash(V.prefix_hash(data, lower=True), start, end)
+    word = V.byte_hash(data, start, end, lower=True)
     first = V.ranges(before[:-1], count)
     length = np.repeat(np.minimum(n_words, size), count)
     total = length.astype(_U)

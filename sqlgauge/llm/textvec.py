@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,6 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 2**64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOWER_TABLE = _TABLE[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers = {"up": np.ones(1, dtype=_U), "down": np.ones(1, dtype=_U)}
@@ -79,16 +79,18 @@ def blocks(off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
+def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running polynomial sums mod 2^64, from which any span's hash follows."""
     pre = np.zeros(len(data) + 1, dtype=_U)
     if len(data):
-        np.cumsum((_LOWER_TABLE if lower else _TABLE)[data] * power("up", len(data)), out=pre[1:])
+        np.cumsum(_TABLE[data] * power("up", len(data)), out=pre[1:])
     return pre
 
 
 def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
+    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand.
+
+    Other bytes may share a hash (some long texts do for every base): compare them."""
     h = (pre[end] - pre[start]) * power("down", len(pre))[start]
     return mix(h + (end - start).astype(_U) * _U(0xA24BAED4963EE407))
 
@@ -178,8 +180,10 @@ class SpanBank:
 
     ``lookup`` takes spans of one block and returns, for each, where its values
     lie in ``self.values``. Unknown spans are computed once by ``compute``
-    (list of bytes -> list of sequences). When the bank holds more than
-    ``limit`` spans it starts anew: it is a cache, never a filter.
+    (list of bytes -> list of sequences). Spans are found by hash and compared byte
+    by byte with the span that the bank holds under it; those that only share its
+    hash are kept apart by their bytes. When the bank holds more than ``limit``
+    spans it starts anew: it is a cache, never a filter.
     """
 
     def __init__(self, compute, limit: int = 1_000_000):
@@ -190,25 +194,36 @@ class SpanBank:
         self.keys = np.zeros(0, dtype=_U)
         self.start = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
-        self._store = np.zeros(1 << 16, dtype=np.int32)
-        self._used = 0
+        self.byte_start = np.zeros(0, dtype=np.int64)
+        self.byte_size = np.zeros(0, dtype=np.int64)
+        self._store = Growing(np.int32)
+        self._bytes = Growing(np.uint8)
+        self._clashes: dict[bytes, tuple[int, int]] = {}
 
     @property
     def values(self) -> np.ndarray:
-        return self._store[:self._used]
+        return self._store.values
 
     def _append(self, rows: list) -> tuple[np.ndarray, np.ndarray]:
         size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
         flat = np.fromiter((x for r in rows for x in r), dtype=np.int32, count=int(size.sum()))
-        need = self._used + len(flat)
-        if need > len(self._store):
-            grown = np.zeros(max(need, len(self._store) * 3 // 2), dtype=np.int32)
-            grown[:self._used] = self.values
-            self._store = grown
-        self._store[self._used:need] = flat
-        start = self._used + np.cumsum(size) - size
-        self._used = need
-        return start, size
+        return self._store.add(flat) + np.cumsum(size) - size, size
+
+    def _differing(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Positions of the spans whose bytes are not those kept at ``at``."""
+        size = end - start
+        wrong = size != self.byte_size[at]
+        total = np.cumsum(size)
+        lo = 0
+        while lo < len(at):  # a bounded number of bytes at a time
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + BLOCK_BYTES, side="right")))
+            rows = lo + np.flatnonzero(~wrong[lo:hi])
+            n = size[rows]
+            other = data[ranges(start[rows], n)] != self._bytes.values[ranges(self.byte_start[at[rows]], n)]
+            if other.any():
+                wrong[rows[np.searchsorted(np.cumsum(n), np.flatnonzero(other), side="right")]] = True
+            lo = hi
+        return np.flatnonzero(wrong)
 
     def lookup(self, data: np.ndarray, pre: np.ndarray, start: np.ndarray,
                end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +231,7 @@ class SpanBank:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         keys, first, inverse = np.unique(span_hash(pre, start, end), return_index=True,
                                          return_inverse=True)
-        if len(self.keys) + len(keys) > self.limit:
+        if len(self.keys) + len(self._clashes) + len(keys) > self.limit:
             self._clear()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)
@@ -224,12 +239,65 @@ class SpanBank:
         known[inside] = self.keys[at[inside]] == keys[inside]
         if not known.all():
             new = np.flatnonzero(~known)
+            from_, to = start[first[new]], end[first[new]]
             raw = data.tobytes()
-            spans = [raw[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist())]
+            spans = [raw[s:e] for s, e in zip(from_.tolist(), to.tolist())]
             s, n = self._append(self.compute(spans))
+            size = to - from_
+            b = self._bytes.add(np.frombuffer(b"".join(spans), dtype=np.uint8)) + np.cumsum(size) - size
             where = at[new]
             self.keys = np.insert(self.keys, where, keys[new])
             self.start = np.insert(self.start, where, s)
             self.size = np.insert(self.size, where, n)
+            self.byte_start = np.insert(self.byte_start, where, b)
+            self.byte_size = np.insert(self.byte_size, where, size)
             at = np.searchsorted(self.keys, keys)
-        return self.start[at][inverse], self.size[at][inverse]
+        at = at[inverse]
+        out_start, out_size = self.start[at], self.size[at]
+        wrong = self._differing(data, start, end, at)
+        if len(wrong):
+            spans = [data[start[k]:end[k]].tobytes() for k in wrong]
+            new_spans = list(dict.fromkeys(x for x in spans if x not in self._clashes))
+            for span, s, n in zip(new_spans, *(x.tolist() for x in self._append(self.compute(new_spans)))):
+                self._clashes[span] = s, n
+            out_start[wrong], out_size[wrong] = np.array([self._clashes[x] for x in spans]).T
+        return out_start, out_size
+
+
+class Growing:
+    """An array that is appended to."""
+
+    def __init__(self, kind):
+        self._data, self._used = np.zeros(1 << 16, dtype=kind), 0
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._data[:self._used]
+
+    def add(self, more: np.ndarray) -> int:
+        """Where ``more`` now starts."""
+        start, need = self._used, self._used + len(more)
+        if need > len(self._data):
+            grown = np.zeros(max(need, len(self._data) * 3 // 2), dtype=self._data.dtype)
+            grown[:start] = self.values
+            self._data = grown
+        self._data[start:need] = more
+        self._used = need
+        return start
+
+
+def _digests(spans: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(blake2b(s, digest_size=8).digest(), dtype="<i4") for s in spans]
+
+
+_hashed = SpanBank(_digests, limit=400_000)
+
+
+def byte_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit BLAKE2 hashes of byte spans (A-Z lower-cased if ``lower``); each distinct span is
+    hashed once. Unlike ``span_hash``, no two families of texts collide by their build."""
+    if lower:
+        data = _LOWER[data]
+    at, _ = _hashed.lookup(data, prefix_hash(data), start, end)
+    pairs = _hashed.values[np.stack([at, at + 1], axis=1)]
+    return np.ascontiguousarray(pairs).view(_U)[:, 0]

@@ -5,12 +5,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 from llm_samples import documents  # noqa: F401
 from sqlgauge.llm import piece_bpe as PB
 from sqlgauge.llm import storage
+from sqlgauge.llm import textvec as V
 from sqlgauge.llm import token_counts as TC
 from sqlgauge.llm import token_store as TS
 
@@ -50,6 +52,41 @@ def test_pieces_equal_the_library(spark, documents, rows):
         assert r.decoded_sha256 == hashlib.sha256(sp.decode(want).encode()).hexdigest()
 
 
+def thue_morse(a, b):
+    """1,024 letters and their complement: one polynomial hash mod 2**64 for every base."""
+    return ["".join((a, b)[(bin(k).count("1") + flip) % 2] for k in range(1024)) for flip in (0, 1)]
+
+
+@pytest.mark.parametrize("letters", ["ab", "et", "in", "os"])
+def test_spans_of_one_hash_keep_their_own_values(letters):
+    import sentencepiece
+    from tokenizers import Tokenizer
+    texts = thue_morse(*letters) * 2
+    piece = sentencepiece.SentencePieceProcessor(model_file=PIECE).encode(texts)
+    byte = [e.ids for e in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
+    column = pa.array(texts)
+    ids, cuts = PB.coder(PIECE).encode_column(column)
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == piece
+    raw, off = V.text_bytes(column)
+    assert [x.tolist() for x in TS.encoder(BYTE).encode(raw, off)] == byte
+    for t, want in zip(texts, byte):  # one block each: the bank knows the other span
+        one = np.frombuffer(t.encode(), dtype=np.uint8)
+        assert TC.counter(BYTE).block_counts(one, np.array([0, len(one)]))[1].tolist() == [len(want)]
+
+
+def test_a_bank_that_starts_anew_gives_the_same():
+    calls = []
+    bank = V.SpanBank(lambda spans: calls.append(len(spans)) or [[len(s), s[0]] for s in spans], limit=3)
+    data = np.frombuffer(b"aabbbccddd" + thue_morse("a", "b")[0].encode() + thue_morse("a", "b")[1].encode(),
+                         dtype=np.uint8)
+    start = np.array([0, 2, 5, 7, 10, 1034])
+    end = np.array([2, 5, 7, 10, 1034, 2058])
+    for lo, hi in ((0, 2), (1, 4), (0, 6), (3, 6)):
+        at, size = bank.lookup(data, V.prefix_hash(data), start[lo:hi], end[lo:hi])
+        got = [bank.values[a:a + n].tolist() for a, n in zip(at, size)]
+        assert got == [[e - s, data[s]] for s, e in zip(start[lo:hi], end[lo:hi])]
+
+
 def test_pieces_decode_any_ids():
     c = PB.coder(PIECE)
     rng = random.Random(2)
