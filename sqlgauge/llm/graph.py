@@ -26,28 +26,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``links``; component is its smallest node.
 
-    ``links`` is read in every round, so it should be a written table. Each round
-    takes the smallest label among a node's neighbours (aggregated before the
-    shuffle) and then the label of that label, so paths shrink by doubling. The
-    write of a round observes whether anything changed; rounds end when nothing did.
+    ``links`` is read twice, so it should be a written table. In each round every
+    node moves to the neighbour (or itself) of the smallest hash, aggregated before
+    the shuffle, and edges are rewritten to where their ends have moved; loops and
+    repeated edges go. A group of any size that hangs on a few nodes so shrinks to
+    these at once, and later rounds read only what is left. At the end the moves are
+    joined in reverse order, smallest tables first.
     """
-    edges = (links.select(F.col(a).alias("src"), F.col(b).alias("dst"))
-             .unionByName(links.select(F.col(b).alias("src"), F.col(a).alias("dst"))))
-    labels = written(edges.groupBy(F.col("src").alias("node"))
-                     .agg(F.least(F.col("node"), F.min("dst")).alias("component")), "labels")
+    edges = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    moves: list[DataFrame] = []
     while True:
-        near = (edges.join(labels.withColumnRenamed("node", "dst"), "dst")
-                .groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near")))
-        step = (labels.join(near, "node")
-                .select("node", F.col("component").alias("old"),
-                        F.least("component", "near").alias("via")))
-        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
-        changed = Observation()
-        after = (step.join(jump, "via").select("node", F.least("via", "far").alias("component"), "old")
-                 .observe(changed, F.count_if(F.col("component") != F.col("old")).alias("n")).drop("old"))
-        labels = written(after, "labels")
-        if not changed.get["n"]:
-            return labels
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(
+            edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("to"))
+        move = written(both.groupBy("node").agg(F.min(ranked("near")).alias("m"))
+                       .select("node", F.least("m", ranked("node"))["to"].alias("to")), "moves")
+        moves.append(move)
+        ends = [move.select(F.col("node").alias(e), F.col("to").alias("to_" + e)) for e in "ab"]
+        left = Observation()
+        edges = written(edges.where("a <> b").join(ends[0], "a").join(ends[1], "b").where("to_a <> to_b")
+                        .select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+                        .distinct().observe(left, F.count(F.lit(1)).alias("n")), "edges")
+        if not left.get["n"]:
+            break
+    label = moves.pop()
+    while moves:
+        further = label.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        label = (moves.pop().join(further, "to", "left")
+                 .select("node", F.coalesce("root", "to").alias("to")))
+    label = written(label, "roots")
+    least = label.groupBy("to").agg(F.min("node").alias("component"))
+    return written(label.join(least, "to").select("node", "component"), "labels")
 
 
 def merge_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ each. The signature is split into CHUNKS of WIDTH slots. If two signatures diffe
 in at most CHUNKS * (ERRORS + 1) - 1 slots, some chunk differs in at most ERRORS
 (pigeonhole), so each chunk is indexed once per choice of ERRORS slots left out,
 by the b-bit values of the others. Sets that share an index entry are candidates:
-all pairs within that distance, and most beyond it. With 12 chunks of 5 slots and
-one error a pair of similarity 0.8 is missed with probability 0.263 ** 12, about
-one in nine million; more similar pairs far less often.
+all pairs within that distance. The join's threshold is that distance, 31 of 80
+slots: a pair of similarity 0.8 exactly lies farther apart about three times in
+100,000, one of 0.83 once in a million.
 
 Candidates are confirmed on the full shingle sets. Groups of copies never expand
 into pairs: equal sets are one node; entries are first linked to one centre each
@@ -24,27 +24,31 @@ and has a null component; other columns are never read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlgauge.llm import storage
 from sqlgauge.llm import textvec as V
-from sqlgauge.llm.graph import components, fresh, merge_components, written
+from sqlgauge.llm.graph import fresh, merge_components, written
 
-CHUNKS, WIDTH, ERRORS, BITS = 12, 5, 1, 16
+CHUNKS, WIDTH, ERRORS, BITS = 16, 5, 1, 16
 SLOTS = CHUNKS * WIDTH
-DISTANCE = 30      # pairs of similarity 0.8 lie farther apart once in ten million
+DISTANCE = CHUNKS * (ERRORS + 1) - 1  # the farthest at which two signatures surely share an entry
 STAR_ROUNDS = 2
 HOT = 32           # entries with more sets are compared in blocks, with the same result
 BLOCK = 128        # sets of a block, about
+BLOCK_SHINGLES = 1 << 20  # and their shingles together, about
 COLUMNS = 16_384   # shared shingles of two blocks that are multiplied at a time
 
 _U = np.uint64
 _seeds = np.random.RandomState(77).randint(0, 2**31, size=(4, SLOTS)).astype(_U)
 _MULTIPLY = (_seeds[0] << _U(33)) | (_seeds[1] << _U(2)) | _U(1)
 _FLIP = (_seeds[2] << _U(33)) | (_seeds[3] << _U(1))
-_PLACE = V.mix(np.arange(1, 65, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
+_PLACE = V.place_keys(128)
 
 
 def shingles(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +121,7 @@ def signed_text(text: Column, size: int) -> Column:
             if len(full) == 0:
                 continue
             starts = np.append(cut[:-1][full], cut[-1])
-            for k, s in enumerate((sets, V.mix(sets + _PLACE[60]))):
+            for k, s in enumerate((sets, V.mix(sets + _PLACE[120]))):
                 ident[k, lo + full] = np.add.reduceat(V.mix(s ^ _PLACE[k]), starts[:-1])
             for r, row in zip(full.tolist(), signatures(sets, starts)):
                 sig[lo + r] = row.tobytes()
@@ -190,18 +194,6 @@ def _ratio(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
 
-def _flat(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(nodes, components, set offsets, shingles) of each row of packed blocks."""
-    out = []
-    for k in range(len(column)):
-        block = column[k].values
-        sets = block.field("shingles")
-        off = sets.offsets.to_numpy()
-        out.append((block.field("node").to_numpy(), block.field("component").to_numpy(), off - off[0],
-                    sets.flatten().to_numpy()))
-    return out
-
-
 def _common(x: tuple, y: tuple) -> np.ndarray:
     """Sizes of the intersections of all sets of block x with all of block y."""
     shared = np.intersect1d(x[3], y[3])
@@ -223,57 +215,108 @@ def _common(x: tuple, y: tuple) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def block_links(left: Column, right: Column, percent: int) -> Column:
-    """array<struct<a, b>>: a link for each two components that sets of two blocks join."""
-    def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(_flat(x), _flat(y)):
-            both = _common(p, q)
-            n = np.diff(p[2])[:, None] + np.diff(q[2])[None, :] - both
-            i, j = np.nonzero((100 * both >= percent * n) & (p[1][:, None] != q[1][None, :]))
-            # One link joins two components, however many there are.
-            _, one = np.unique(np.stack([p[1][i], q[1][j]]), axis=1, return_index=True)
-            i, j = i[one], j[one]
-            out.append([{"a": int(min(a, b)), "b": int(max(a, b))} for a, b in zip(p[0][i], q[0][j])])
-        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-    run.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<struct<a: bigint, b: bigint>>")(left, right)
+def spanning(left: np.ndarray, right: np.ndarray) -> list[int]:
+    """Positions of the links (left, right) that join components not yet joined before them."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for k, (p, q) in enumerate(zip(left.tolist(), right.tolist())):
+        p, q = find(p), find(q)
+        if p != q:
+            root[p] = q
+            kept.append(k)
+    return kept
+
+
+def block_links(x: tuple, y: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between the sets of two blocks: a spanning forest of the components they join."""
+    both = _common(x, y)
+    either = np.diff(x[2])[:, None] + np.diff(y[2])[None, :] - both
+    i, j = np.nonzero((100 * both >= percent * either) & (x[1][:, None] != y[1][None, :]))
+    one = spanning(x[1][i], y[1][j])
+    return x[0][i[one]], y[0][j[one]]
+
+
+def _write_blocks(folder: str):
+    """Each row (block, sets) becomes a file of the shared folder; its name is listed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uris = []
+            for k in range(batch.num_rows):
+                block = batch.column(1)[k].values
+                sets = block.field("shingles")
+                off = sets.offsets.to_numpy().astype("<i8")
+                parts = [np.array([len(block)], "<i8"), block.field("node").to_numpy(),
+                         block.field("component").to_numpy(), off - off[0], sets.flatten().to_numpy()]
+                uris.append(storage.task_file(folder, "block", ".bin"))
+                storage.write_bytes(uris[-1], b"".join(p.astype("<i8").tobytes() for p in parts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(uris, pa.string())], ["block", "uri"])
+    return run
+
+
+def _read_block(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, components, set offsets, shingles)."""
+    flat = np.frombuffer(storage.read_bytes(uri), dtype="<i8")
+    n = int(flat[0])
+    return flat[1:n + 1], flat[n + 1:2 * n + 1], flat[2 * n + 1:3 * n + 2], flat[3 * n + 2:]
+
+
+def _meet(percent: int):
+    """Rows (x, y) of block files -> links between their sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[str, tuple] | None = None
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held is None or held[0] != x:
+                    held = x, _read_block(x)
+                a, b = block_links(held[1], held[1] if x == y else _read_block(y), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))],
+                                                 ["a", "b"])
+    return run
 
 
 def _hot_links(hot: DataFrame, at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links inside entries with many sets, compared block by block.
 
-    Entries that share sets form a group. A group's sets are dealt into blocks of
-    about BLOCK; those of its largest component apart from the others, so blocks of
-    one and the same component are never compared. Only links leave a comparison.
+    A set belongs to one block, of the sets with the same smallest entry; those of
+    an entry's largest component stand in blocks apart from the others. Two blocks
+    meet if they share an entry and are not both of that entry's largest component,
+    so a large group is compared with what is not in it, never with itself. Blocks
+    are files; only their names are joined, and only links leave a comparison.
     """
-    rows = written(at.join(hot.select("entry"), "entry").select("node", "component", "lo").distinct(), "hot")
-    group = components(rows, "node", "lo")
-    placed = (rows.select("node", "component").distinct()
-              .join(group.withColumnRenamed("component", "g"), "node"))
-    shares = placed.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = shares.groupBy("g").agg(F.max(F.struct("n", "component")).alias("m"),
-                                   F.sum("n").alias("total")).select("g", "m.n", "m.component", "total")
-    main = main.withColumnRenamed("component", "main")
-    rest = F.col("component") != F.col("main")
-    count = F.when(rest, F.col("total") - F.col("n")).otherwise(F.col("n"))
-    deal = F.pmod(F.xxhash64("node"), F.ceil(count / BLOCK).cast("bigint"))
-    dealt = placed.join(main, "g").select(
-        "g", "node", "component", rest.alias("rest"), deal.alias("block"),
-        F.ceil(F.col("n") / BLOCK).cast("bigint").alias("main_blocks"),
-        F.ceil((F.col("total") - F.col("n")) / BLOCK).cast("bigint").alias("rest_blocks"))
-    # Blocks 0.. hold the main component, the following ones the rest.
-    dealt = dealt.withColumn("block", F.col("block") + F.when(F.col("rest"), F.col("main_blocks")).otherwise(0))
-    packed = written(dealt.join(sets, "node").groupBy("g", "block")
-                     .agg(F.collect_list(F.struct("node", "component", "shingles")).alias("sets"),
-                          F.first("main_blocks").alias("main_blocks"),
-                          F.first("rest_blocks").alias("rest_blocks")), "blocks")
-    # Every block of the rest meets each block before it and itself.
-    left = (packed.where(F.col("block") >= F.col("main_blocks"))
-            .select("g", F.col("sets").alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), "block")).alias("block")))
-    right = packed.select("g", "block", F.col("sets").alias("y"))
-    return (left.join(right, ["g", "block"])
-            .select(F.explode(block_links(F.col("x"), F.col("y"), percent)).alias("l")).select("l.a", "l.b").distinct())
+    spark = at.sparkSession
+    rows = at.join(hot.select("entry"), "entry").select("entry", "node", "component", "n")
+    shares = rows.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = written(shares.groupBy("entry").agg(F.max(F.struct("k", "component")).alias("m"))
+                   .select("entry", F.col("m.component").alias("main")), "main")
+    rows = written(rows.join(main, "entry"), "hot")
+    home = rows.groupBy("node").agg(F.min(F.struct("entry", "main")).alias("home"),
+                                    F.first("component").alias("component"), F.first("n").alias("n"))
+    home = written(home.select("node", "component", "n", F.col("home.entry").alias("home"),
+                               (F.col("component") == F.col("home.main")).alias("is_main")), "homes")
+    sizes = home.groupBy("home", "is_main").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("bigint")
+    block = F.struct("home", "is_main", F.pmod(F.xxhash64("node"), blocks).alias("part"))
+    dealt = written(home.join(sizes, ["home", "is_main"]).select("node", "component", block.alias("block")), "dealt")
+    folder = storage.base_folder(spark, "near-blocks")
+    files = written(dealt.join(sets, "node").groupBy("block")
+                    .agg(F.collect_list(F.struct("node", "component", "shingles")).alias("sets"))
+                    .mapInArrow(_write_blocks(folder), "block struct<home: bigint, is_main: boolean, part: bigint>,"
+                                                       " uri string"), "block-files")
+    # Of each entry and block: whether all of the block's sets here are of the entry's largest component.
+    there = written(rows.join(dealt.select("node", "block"), "node").groupBy("entry", "block")
+                    .agg(F.min(F.col("component") == F.col("main")).alias("of_main"))
+                    .join(files, "block").select("entry", "of_main", "uri"), "block-entries")
+    met = (there.where("NOT of_main").select("entry", F.col("uri").alias("p"))
+           .join(there.select("entry", F.col("uri").alias("q")), "entry")
+           .select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct())
+    return met.mapInArrow(_meet(percent), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",

@@ -143,6 +143,60 @@ def test_components_of_chains_stars_and_rings(spark):
     assert graph.components(empty).count() == 0
 
 
+def test_words_that_share_a_polynomial_hash_stay_apart(documents):
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    two = "".join("ba"[bin(k).count("1") % 2] for k in range(1024))
+    raw, off = V.text_bytes(pa.array([one, two]))
+    pre = V.prefix_hash(raw)
+    assert len(set(V.span_hash(pre, off[:-1], off[1:]).tolist())) == 1  # what the test is about
+    assert len(set(V.byte_hash(raw, off[:-1], off[1:]).tolist())) == 2
+    rows = [(1, one), (2, two), (3, f"{one} {two}"), (4, f"{two} {one} {two} {one}"), (5, one.upper())]
+    got = ND.near_duplicates(documents(rows), words=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 2)
+
+
+def test_planted_pairs_near_the_threshold_share_an_entry_within_the_distance():
+    rng = np.random.RandomState(8)
+    found = 0
+    for k in range(2000):  # 400 shared of 500 shingles: similarity 0.8
+        pool = rng.randint(0, 2**63, 500, dtype=np.int64).astype(np.uint64)
+        x, y = np.sort(pool[:450]), np.sort(np.concatenate([pool[:400], pool[450:]]))
+        a, b = ND.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+        shares = (ND.index_entries(a[None]) == ND.index_entries(b[None])).any()
+        assert shares or (a != b).sum() > ND.DISTANCE
+        found += bool(shares and (a != b).sum() <= ND.DISTANCE)
+    assert found >= 1995
+
+
+def test_links_grow_in_proportion_to_a_group_of_near_copies(spark, documents, monkeypatch):
+    """Near copies of one text: rows that are walked grow with the group, not with its square."""
+    walked = []
+    real = graph.written
+
+    def counting(df, name):
+        out = real(df, name)
+        if name in ("edges", "moves", "joined"):
+            walked.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counting)
+    totals = []
+    for n in (250, 1000):
+        rng = random.Random(4)
+        base = prose(rng, 100).split()
+        rows = [(k, " ".join(edited(rng, base, rng.randint(1, 8)))) for k in range(n)]
+        walked.clear()
+        got = ND.near_duplicates(documents(rows), words=2).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 2)
+        totals.append(sum(walked))
+    assert totals[1] <= 6 * totals[0], totals
+
+
+def test_spanning_links_join_all_and_no_more():
+    left, right = np.array([1, 1, 2, 3, 5]), np.array([2, 2, 3, 1, 6])
+    assert ND.spanning(left, right) == [0, 2, 4]
+
+
 def test_no_plan_has_a_cross_join(documents, rows):
     plan = ND.near_duplicates(documents(rows[:40]))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
