@@ -160,6 +160,14 @@ class PieceCoder:
         first[1:] |= cut
         return at[:-1][first]
 
+    def encode_spaced(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each row's end) of rows as they are, the leading space included."""
+        starts = self.cuts(data, off)
+        ends = np.append(starts[1:], len(data))
+        at, size = self.bank.lookup(data, V.prefix_hash(data), starts, ends)
+        running = np.concatenate([[0], np.cumsum(size)])
+        return self.bank.values[V.ranges(at, size)], running[np.searchsorted(starts, off[1:])]
+
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, id offsets of each text)."""
         raw, off = V.text_bytes(column)
@@ -178,13 +186,9 @@ class PieceCoder:
             if len(data) == 0:
                 cuts.append(np.full(hi - lo, total, dtype=np.int64))
                 continue
-            starts = self.cuts(data, o)
-            ends = np.append(starts[1:], len(data))
-            at, size = self.bank.lookup(data, V.prefix_hash(data), starts, ends)
-            ids = self.bank.values[V.ranges(at, size)]
+            ids, ends = self.encode_spaced(data, o)
             parts.append(ids)
-            running = np.concatenate([[0], np.cumsum(size)])
-            cuts.append(total + running[np.searchsorted(starts, o[1:])])
+            cuts.append(total + ends)
             total += len(ids)
         return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate(cuts)
 

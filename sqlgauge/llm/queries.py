@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sqlgauge.llm import decontam as DC
+from sqlgauge.llm import exact_dedup as ED
 from sqlgauge.llm import exact_topk as TK
+from sqlgauge.llm import hard_negatives as HN
 from sqlgauge.llm import html_main as HM
 from sqlgauge.llm import langid as LI
 from sqlgauge.llm import license_scan as LS
 from sqlgauge.llm import near_dup as ND
 from sqlgauge.llm import piece_bpe as PB
+from sqlgauge.llm import token_align as TA
 from sqlgauge.llm import token_counts as TC
 from sqlgauge.llm import token_store as TS
 from sqlgauge.llm import warc_zip as WZ
@@ -98,6 +101,21 @@ def op10_near_duplicates(spark, sf):
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_exact_duplicates(spark, sf):
+    return ED.exact_duplicates(_table(spark, sf, "documents"))
+
+
+def op12_token_alignment(spark, sf):
+    docs = _table(spark, sf, "documents")
+    return TA.cross_alignment(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark, sf):
+    rows = _table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return HN.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
@@ -110,6 +128,9 @@ def queries() -> dict:
         "op8_main_text": op8_main_text,
         "op9_license_scan": op9_license_scan,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_exact_duplicates": op11_exact_duplicates,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -170,10 +191,47 @@ FROM n JOIN reach r ON r.node = n.doc_id GROUP BY n.doc_id, n.n_shingles
 """
 
 
+HARD_NEGATIVE_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e)
+  WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS slot
+  FROM s WHERE same QUALIFY slot <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score,
+         s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.slot ORDER BY s.score DESC, s.vec_id) AS n
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+       AND 100 * s.score BETWEEN 30 * p.score AND 90 * p.score)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE n <= 10
+"""
+
+EXACT_SQL = """
+WITH t AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                  'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
+g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
+             count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, keep_id IS NULL) AS kept, text_sha256 FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_exact_top_k": TOP_K_SQL,
         "op7_warc_packages": WARC_SQL,
         "op9_license_scan": LS.oracle(),
         "op10_near_duplicates": NEAR_DUP_SQL,
+        "op11_exact_duplicates": EXACT_SQL,
+        "op13_hard_negatives": HARD_NEGATIVE_SQL,
     }
