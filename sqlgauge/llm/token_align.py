@@ -49,6 +49,7 @@ RANGE_BYTES = 1 << 13    # byte range of a fragment
 FAN = 16
 TABLE_PAIRS = 4_000_000  # pairs of the summed table that a task reads whole (64 MB)
 HELD_PAIRS = 1_000_000   # distinct pairs that a task gathers before it hands them on
+BANK_SPANS = 400_000     # spans of each tokenizer that a worker keeps
 
 Open = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # ids and end offsets of A, of B
 
@@ -152,8 +153,9 @@ class Aligner:
         self.library.no_truncation()
         self.library.no_padding()
         self.library.encode_special_tokens = True
-        self.bank = V.SpanBank(self._spans)
+        self.bank = V.SpanBank(self._spans, limit=BANK_SPANS)
         self.coder = PB.coder(path_b)
+        self.coder.bank.limit = min(self.coder.bank.limit, BANK_SPANS)
         if not (self.coder.prefix and self.coder.breaks_at_space):
             raise ValueError(f"{path_b}: needs a model that puts a space before texts and never merges across one")
         letters = byte_alphabet()
@@ -272,7 +274,7 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 
 ALIGNED = ("row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
-           "groups_sha256 string, keys array<bigint>, counts array<bigint>")
+           "groups_sha256 string, links binary")
 _ALIGNED = [f.split()[0] for f in ALIGNED.split(", ")]
 
 
@@ -281,14 +283,34 @@ def sha(text: str) -> str:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    whole, lists = pa.int64(), pa.list_(pa.int64())
-    kinds = [whole] * 6 + [pa.string(), lists, lists]
+    kinds = [pa.int64()] * 6 + [pa.string(), pa.binary()]
     cols = list(zip(*rows)) or [[]] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], _ALIGNED)
 
 
 def row_of(row: int, doc_id: int | None, c: Closed, show) -> tuple:
-    return row, doc_id, c.n_a, c.n_b, c.n_groups, int(c.counts.sum()), show(c.text), c.keys, c.counts
+    return row, doc_id, c.n_a, c.n_b, c.n_groups, int(c.counts.sum()), show(c.text), packed(c.keys, c.counts)
+
+
+def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Pairs and their counts, compressed."""
+    import zstandard
+    body = np.concatenate([np.diff(keys, prepend=0), counts]).astype("<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, counts, where each row's start and end) of a column of packed links."""
+    import zstandard
+    unpack = zstandard.ZstdDecompressor().decompress
+    keys, counts, cut = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
+    for body in column.to_pylist():
+        flat = np.frombuffer(unpack(body), dtype="<i8")
+        n = len(flat) // 2
+        keys.append(np.cumsum(flat[:n]))
+        counts.append(flat[n:])
+        cut.append(cut[-1] + n)
+    return np.concatenate(keys), np.concatenate(counts), np.array(cut)
 
 
 def _align_short(path_a: str, path_b: str, show):
@@ -417,8 +439,8 @@ def _align_long(long: DataFrame, path_a: str, path_b: str, show) -> DataFrame:
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text",
           with_groups: bool = False) -> DataFrame:
-    """One row per row of ``docs``, written: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and the
-    distinct linked pairs (keys, with counts); ``row`` is unique.
+    """One row per row of ``docs``, written: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and
+    ``links``, the distinct linked pairs with their counts (``unpacked``); ``row`` is unique.
 
     ``with_groups`` gives the groups' text in place of its digest.
     """
@@ -428,18 +450,18 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     out = rows.where(~is_long).mapInArrow(_align_short(path_a, path_b, show), ALIGNED)
     out = out.unionByName(_align_long(rows.where(is_long), path_a, path_b, show))
     path = work_path(docs.sparkSession, "aligned")
-    out.write.option("compression", "zstd").parquet(path)
+    out.write.parquet(path)
     return docs.sparkSession.read.schema(ALIGNED).parquet(path)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of (keys, counts) of some rows at a time."""
+    """Sums of the links of some rows at a time."""
     def put(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["pair", "n"])
 
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        more = [batch.column(c).flatten().to_numpy() for c in (0, 1)]
+        more = unpacked(batch.column(0))
         keys, counts = add_counts(np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]]))
         if len(keys) >= HELD_PAIRS:
             yield put(keys, counts)
@@ -450,7 +472,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pair_counts(aligned: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """pair, a_id, b_id, n (links that hold the pair), best (the most of its B id), written."""
     n_b = aligner(path_a, path_b).n_b
-    sums = written(aligned.select("keys", "counts").mapInArrow(_sums, "pair bigint, n bigint")
+    sums = written(aligned.select("links").mapInArrow(_sums, "pair bigint, n bigint")
                    .groupBy("pair").agg(F.sum("n").alias("n"))
                    .select("pair", F.expr(f"pair div {n_b}").alias("a_id"), F.expr(f"pair % {n_b}").alias("b_id"), "n"),
                    "pair-sums")
@@ -475,8 +497,7 @@ def _score(uris: list[str]):
         order = np.argsort(pairs)
         pairs, n, best = pairs[order], table["n"].to_numpy()[order], table["best"].to_numpy()[order]
         for batch in batches:
-            keys, counts = (batch.column(c).flatten().to_numpy() for c in ("keys", "counts"))
-            cut = np.concatenate([[0], np.cumsum(batch.column("keys").value_lengths().to_numpy())])
+            keys, counts, cut = unpacked(batch.column("links"))
             at = np.searchsorted(pairs, keys)
             total, good = (np.concatenate([[0], np.cumsum(x)])[cut] for x in (counts * n[at], counts * best[at]))
             extra = {"n_best": pa.array(np.diff(good)), "count_sum": pa.array(np.diff(total))}
@@ -484,6 +505,14 @@ def _score(uris: list[str]):
     return run
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per pair of each row's links."""
+    for batch in batches:
+        keys, counts, cut = unpacked(batch.column(1))
+        row = np.repeat(batch.column(0).to_numpy(), np.diff(cut))
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(keys), pa.array(counts)], ["row", "pair", "counts"])
+
+
 def cross_alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
@@ -496,8 +525,7 @@ def cross_alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     if pairs.count() <= TABLE_PAIRS:
         uris = [f"{path}/{name}" for name in child_names(spark, path) if name.endswith(".parquet")]
         return aligned.mapInArrow(_score(uris), SCORED)
-    linked = aligned.select("row", F.explode(F.arrays_zip("keys", "counts")).alias("l")).select(
-        "row", F.col("l.keys").alias("pair"), "l.counts")
+    linked = aligned.select("row", "links").mapInArrow(_spread, "row bigint, pair bigint, counts bigint")
     scores = (linked.join(pairs.select("pair", "n", "best"), "pair").groupBy("row")
               .agg(F.sum(F.when(F.col("best"), F.col("counts"))).alias("n_best"),
                    F.sum(F.col("counts") * F.col("n")).alias("count_sum")))
