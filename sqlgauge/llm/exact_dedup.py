@@ -44,7 +44,8 @@ from sqlgauge.session import work_path
 BUCKET = 4             # fingerprints of a bucket
 FIRST_BUCKETS = 1024   # of a new filter
 MAX_KICKS = 200
-SHARD_ROWS = 65_536    # digests of a shard, about
+SHARD_ROWS = 65_536    # digests of a shard, about; fewer while there are not MANY_SHARDS
+SMALL_SHARD, MANY_SHARDS = 8_192, 10_000
 HELD_BYTES = 32 << 20  # compressed texts that a task gathers before it hands them on
 HELD_ROWS = 20_000
 LEVEL = 1
@@ -414,9 +415,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     digests = _digest_rows(docs, id_col, text_col)
     rows = spark.read.schema(DIGESTS).parquet(digests).where("count IS NOT NULL").count()
-    shards = max(spark.sparkContext.defaultParallelism, -(-rows // SHARD_ROWS))
+    shards = max(spark.sparkContext.defaultParallelism, min(MANY_SHARDS, -(-rows // SMALL_SHARD)),
+                 -(-rows // SHARD_ROWS))
     index = empty_index(spark, shards)._insert(digests)
-    return (index.documents().join(index.keys(), "digest")
+    # Written, so that Spark joins by the table's true size.
+    return (index.documents().join(written(index.keys(), "dedup-keys"), "digest")
             .select("doc_id", "keep_id", "group_size",
                     F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
                     F.lower(F.hex("digest")).alias("text_sha256")))
