@@ -348,7 +348,7 @@ class Index:
     def _changed(self, rows: DataFrame, change: str, members: tuple[str, ...]) -> Index:
         # File names of the shards: as many as there are tasks.
         uris = {r.shard: r.uri for r in self.listed().select("shard", "uri").toLocalIterator()}
-        dealt = rows.repartition(self.shards, "shard").sortWithinPartitions("shard", "digest")
+        dealt = rows.repartitionById(self.shards, F.col("shard")).sortWithinPartitions("shard", "digest")
         new = dealt.mapInArrow(_apply(self.folder, uris, change), LISTING)
         if uris:
             new = written(new, "dedup-changed")

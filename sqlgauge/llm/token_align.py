@@ -7,7 +7,9 @@ the last common end); without a common end all tokens are head. Fragments compos
 tail of the left and the head of the right make one group. The operation is associative,
 so fragments of neighbouring ranges are joined in any grouping.
 
-Texts of at most LONG_BYTES are aligned many at a time. A longer one is cut into pieces at
+Both libraries encode; texts are cut where no token of either can cross, and each
+distinct span is encoded once and reused. Texts of at most LONG_BYTES are aligned many
+at a time. A longer one is cut into pieces at
 places where both tokenizers surely have a boundary (before a space between two words);
 the pieces are dealt to all tasks, each becomes fragments of RANGE_BYTES, and these are
 composed inside the task and then across tasks in a tree of FAN neighbours a level.
@@ -49,7 +51,7 @@ RANGE_BYTES = 1 << 13    # byte range of a fragment
 FAN = 16
 TABLE_PAIRS = 4_000_000  # pairs of the summed table that a task reads whole (64 MB)
 HELD_PAIRS = 1_000_000   # distinct pairs that a task gathers before it hands them on
-BANK_SPANS = 400_000     # spans of each tokenizer that a worker keeps
+BANK_SPANS = 300_000     # spans of each tokenizer that a worker keeps
 
 Open = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # ids and end offsets of A, of B
 
@@ -155,7 +157,7 @@ class Aligner:
         self.library.encode_special_tokens = True
         self.bank = V.SpanBank(self._spans, limit=BANK_SPANS)
         self.coder = PB.coder(path_b)
-        self.coder.bank.limit = min(self.coder.bank.limit, BANK_SPANS)
+        self.bank_b = V.SpanBank(self._spans_b, limit=BANK_SPANS)
         if not (self.coder.prefix and self.coder.breaks_at_space):
             raise ValueError(f"{path_b}: needs a model that puts a space before texts and never merges across one")
         letters = byte_alphabet()
@@ -177,15 +179,23 @@ class Aligner:
         got = self.library.encode_batch_fast([s.decode() for s in spans], add_special_tokens=False)
         return [e.ids for e in got]
 
+    def _spans_b(self, spans: list[bytes]) -> list[list[int]]:
+        """The library's ids of spans, each after a character that merges with none of them."""
+        c = self.coder
+        return [ids[c.skip:] for ids in c.library.encode([c.context + s.decode() for s in spans], num_threads=1)]
+
     def tokens(self, data: np.ndarray, off: np.ndarray) -> tuple[Open, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens of all rows, A tokens before each row, B tokens before each row, rows whose
         joined tokens are their bytes). Rows hold their leading space and no U+2581."""
         starts, ends, before, _, _ = self.splitter.cut(data, off, added=False)
-        at, size = self.bank.lookup(data, V.prefix_hash(data), starts, ends)
+        pre = V.prefix_hash(data)
+        at, size = self.bank.lookup(data, pre, starts, ends)
         a = self.bank.values[V.ranges(at, size)].astype(np.int64)
         cut_a = np.concatenate([[0], np.cumsum(size)])[before]
-        b, cut_b = self.coder.encode_spaced(data, off)
-        b, cut_b = b.astype(np.int64), np.concatenate([[0], cut_b])
+        starts = self.coder.cuts(data, off)
+        at, size = self.bank_b.lookup(data, pre, starts, np.append(starts[1:], len(data)))
+        b = self.bank_b.values[V.ranges(at, size)].astype(np.int64)
+        cut_b = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, off)]
         valid = np.ones(len(off) - 1, dtype=bool)
         out = []
         for ids, cut, (flat, first, length) in zip((a, b), (cut_a, cut_b), self.surfaces):
