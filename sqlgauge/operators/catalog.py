@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlgauge.functions.text import render
+from sqlgauge.functions.text import cell_text, render
 from sqlgauge.sources.tables import Database
 
 # ---- fixed values: schema-text formats ----
@@ -130,7 +130,8 @@ def samples(spark: SparkSession, db: Database, limit: int = 3,
             order_by_key: bool = False) -> DataFrame:
     """Up to ``limit`` rows per table as text cells; limit <= 0 gives none.
 
-    Cells render like Python's ``str()`` of a fetched value for NULL ('None').
+    Cells render like Python's ``str()`` of a fetched value for NULL ('None') and
+    for lists of floats.
     ``order_by_key`` sorts by primary key, then every other column, so the
     choice is repeatable even when the key has duplicates.
     """
@@ -141,7 +142,7 @@ def samples(spark: SparkSession, db: Database, limit: int = 3,
     parts = []
     for t in sorted(db.paths):
         df = db.read(spark, t)
-        cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit(NULL_TEXT)) for c in df.columns])
+        cells = F.array(*[cell_text(F.col(f.name), f.dataType, NULL_TEXT) for f in df.schema.fields])
         if order_by_key:
             pk = db.keys.primary_keys.get(t, ())
             picked = _smallest_keys(df, pk, limit).orderBy(*_order_cols(df, pk)).limit(limit)

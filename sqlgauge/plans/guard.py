@@ -79,18 +79,25 @@ class _Scope:
 
 
 class _Walker:
+    """Walks plans, nested plans and expressions with a stack of its own, so any depth will do."""
+
     def __init__(self, spark: SparkSession, allow_qualified: bool, scope: _Scope | None = None):
-        jvm = spark.sparkContext._jvm
-        self.command = jvm.java.lang.Class.forName(
-            "org.apache.spark.sql.catalyst.plans.logical.Command")
-        self.subquery = jvm.java.lang.Class.forName(
-            "org.apache.spark.sql.catalyst.expressions.SubqueryExpression")
+        kind = spark.sparkContext._jvm.java.lang.Class.forName
+        catalyst = "org.apache.spark.sql.catalyst."
+        self.command = kind(catalyst + "plans.logical.Command")
+        self.logical = kind(catalyst + "plans.logical.LogicalPlan")
+        self.subquery = kind(catalyst + "expressions.SubqueryExpression")
         self.allow_qualified = allow_qualified
         self.scope = scope
 
-    def plan(self, node, depth: int = 0) -> None:
-        if depth > 2000:
-            raise GuardError("statement nests too deeply")
+    def walk(self, plan) -> None:
+        left = [(self.plan, plan)]
+        while left:
+            visit, node = left.pop()
+            left.extend(visit(node))
+
+    def plan(self, node) -> list:
+        """Refuse a plan node or return what to visit below it."""
         name = node.getClass().getSimpleName()
         if self.command.isInstance(node) or name in DENIED_NODES:
             raise GuardError(f"read-only: {name} is not allowed")
@@ -101,22 +108,12 @@ class _Walker:
             if len(parts) > 1:
                 raise GuardError(
                     f"read-only: qualified name {'.'.join(parts)} is outside the database")
-        for e in _iter(node.expressions()):
-            self.expr(e, depth + 1)
-        for c in _iter(node.children()):
-            self.plan(c, depth + 1)
-        for c in _iter(node.innerChildren()):
-            if c.getClass().getName().endswith("Plan") or hasattr(c, "output"):
-                try:
-                    self.plan(c, depth + 1)
-                except GuardError:
-                    raise
-                except Exception:  # noqa: BLE001 - inner child that is no plan
-                    pass
-
-    def expr(self, e, depth: int) -> None:
-        if depth > 4000:
-            raise GuardError("expression nests too deeply")
+        below = [(self.plan, c) for c in _iter(node.children())]
+        below += [(self.plan, c) for c in _iter(node.innerChildren()) if self.logical.isInstance(c)]
+        return below + [(self.expr, e) for e in _iter(node.expressions())]
+
+    def expr(self, e) -> list:
+        """Refuse an expression or return what to visit below it."""
         name = e.getClass().getSimpleName()
         if name in DENIED_EXPRESSIONS:
             raise GuardError(f"read-only: {name} is not allowed")
@@ -124,17 +121,15 @@ class _Walker:
             fn = str(e.nameParts().last()).lower()
             if fn in DENIED_FUNCTIONS:
                 raise GuardError(f"read-only: function {fn} is not allowed")
-        if self.subquery.isInstance(e):
-            self.plan(e.plan(), depth + 1)
-        for c in _iter(e.children()):
-            self.expr(c, depth + 1)
+        nested = [(self.plan, e.plan())] if self.subquery.isInstance(e) else []
+        return nested + [(self.expr, c) for c in _iter(e.children())]
 
 
 def check_parsed(spark: SparkSession, sql: str, allow_qualified: bool = False) -> None:
     """Parse only (nothing runs) and refuse anything but a read-only query."""
     parser = spark._jsparkSession.sessionState().sqlParser()
     plan = parser.parsePlan(sql)
-    _Walker(spark, allow_qualified).plan(plan)
+    _Walker(spark, allow_qualified).walk(plan)
 
 
 def check_analyzed(df: DataFrame, scope: _Scope | None = None) -> None:
@@ -143,7 +138,7 @@ def check_analyzed(df: DataFrame, scope: _Scope | None = None) -> None:
     built at analysis time, e.g. ``IDENTIFIER('parquet.`/path`')``)."""
     spark = df.sparkSession
     plan = df._jdf.queryExecution().analyzed()
-    _Walker(spark, True, scope).plan(plan)
+    _Walker(spark, True, scope).walk(plan)
 
 
 def scope_of(db) -> _Scope:
