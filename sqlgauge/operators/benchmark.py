@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlgauge.operators import catalog, execute, generate, prompts, score
+from sqlgauge.operators.history import record_run
 from sqlgauge.plans.gold import GOLD
 from sqlgauge.session import work_path
 from sqlgauge.sources.tables import Database
@@ -94,13 +95,18 @@ def run_benchmark(spark: SparkSession, databases: dict[str, Database], examples:
                   prices: DataFrame | None = None, sample_limit: int = 3,
                   timeout_ms: int | None = None, parallelism: int = 8,
                   out_dir: str | None = None,
-                  sample_order_by_key: bool = False) -> BenchmarkResult:
+                  sample_order_by_key: bool = False, history: str | None = None,
+                  run: str | None = None) -> BenchmarkResult:
     """Score every (example, strategy) answer against its gold query.
 
     Give either ``generated`` (F1 output) or ``responses`` (a replay table).
     Sample rows for the schema text are the first rows read (a minimal scan);
     ``sample_order_by_key`` makes them repeatable at the cost of a full scan.
+    ``history`` is a folder that keeps the run's log, results and scores under the
+    name ``run``; the same name again takes the place of what was there.
     """
+    if history and not run:
+        raise ValueError("a run of a history needs a name")
     out_dir = out_dir or work_path(spark, "benchmark")
     texts = None
     for db in databases.values():
@@ -111,8 +117,16 @@ def run_benchmark(spark: SparkSession, databases: dict[str, Database], examples:
     ps = prompts.build_prompts(examples, texts)
     if generated is None:
         generated = generate.replay(ps, responses)
-    return score_generated(spark, databases, examples, ps, generated, prices, timeout_ms,
+    done = score_generated(spark, databases, examples, ps, generated, prices, timeout_ms,
                            parallelism, out_dir)
+    if history:
+        keep(spark, done, history, run)
+    return done
+
+
+def keep(spark: SparkSession, done: BenchmarkResult, history: str, run: str) -> None:
+    """Commit a benchmark's query log, result rows and scores to a history."""
+    record_run(spark, history, run, {"log": done.executions, "results": done.results, "scores": done.scored})
 
 
 def score_generated(spark: SparkSession, databases: dict[str, Database], examples: DataFrame,

@@ -1,4 +1,4 @@
-"""Extensions promised by the benchmark's plan (P1-P4), as plain DataFrame jobs."""
+"""Extensions promised by the benchmark's plan: cube (P1), exact top-k (P2), gain of one repair."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlgauge.functions import querylog as Q
@@ -141,16 +141,6 @@ def label_centroids(df: DataFrame, label: str = "label", vec: str = "embedding")
 
 # --------------------------------------------------------- P3: repair gain
 
-def repair_prompts(scored: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Failed answers -> a follow-up prompt carrying the failure reason."""
-    failed = scored.where(~F.col("correct")).select("example_id", "strategy", "reason", "sql")
-    p = prompts.join(failed, ["example_id", "strategy"], "inner")
-    follow = F.concat(F.col("user"), F.lit("\n\n"), F.lit("Your previous query was not accepted ("),
-                      F.col("reason"), F.lit(").\nPrevious query:\n"), F.col("sql"),
-                      F.lit("\n\nWrite a corrected query."))
-    return p.withColumn("user", follow).drop("reason", "sql")
-
-
 def repair_gain(before: DataFrame, after: DataFrame) -> DataFrame:
     """Accuracy before and after re-prompting failures, per strategy.
 
@@ -164,18 +154,3 @@ def repair_gain(before: DataFrame, after: DataFrame) -> DataFrame:
         F.sum(F.col("correct").cast("bigint")).alias("correct_before"),
         F.sum(now.cast("bigint")).alias("correct_after"),
     ).withColumn("gain", F.col("correct_after") - F.col("correct_before"))
-
-
-# ------------------------------------------------------------ P4: history
-
-def append_history(df: DataFrame, path: str, run_id: str, kind: str) -> None:
-    """Append one run's rows to ``<path>/<kind>``, partitioned by run_id."""
-    (df.withColumn("run_id", F.lit(run_id)).write.mode("append")
-     .partitionBy("run_id").parquet(f"{path}/{kind}"))
-
-
-def read_history(spark: SparkSession, path: str, kind: str,
-                 run_ids: list[str] | None = None) -> DataFrame:
-    """History rows; a run_id filter prunes partitions at the scan."""
-    df = spark.read.parquet(f"{path}/{kind}")
-    return df.where(F.col("run_id").isin(run_ids)) if run_ids else df

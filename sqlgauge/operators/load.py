@@ -15,12 +15,19 @@ Plan:
    taken by ``observe`` during the write (A7).  Foreign keys are checked
    afterwards and either accepted or skipped with a reason (B6).
 
-Writing replaces a database's folder, so it needs ``replace=True`` when the
-target already exists.
+A database's tables are written to a new folder, ``<target>/<db>/v-<id>``, and
+published by switching its pointer, ``<target>/<db>/CURRENT.json``, when all of them
+are there: readers (``open_database``) see the old tables or the new ones, and a load
+that fails midway leaves the old ones. The version before the current one stays for
+those who still read it; older ones go. Replacing needs ``replace=True``. Databases whose
+names become one folder name, and several files of one name, are refused before
+anything of them is written.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -30,6 +37,7 @@ from pyspark.sql import functions as F
 
 from sqlgauge.functions.names import map_type, sanitize, spark_type_name
 from sqlgauge.operators import validate
+from sqlgauge.publish import read_pointer, write_pointer
 from sqlgauge.session import child_names, delete_path, work_path
 from sqlgauge.sources import sqlite
 from sqlgauge.sources.tables import Database, ForeignKey, KeyMetadata
@@ -84,6 +92,12 @@ def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str |
     broken = {r["db_id"]: r["error"] for r in
               unreadable.groupBy("db_id").agg(F.min("error").alias("error")).collect()}
 
+    files = sqlite.list_files(path, only, limit)
+    refused = clashing_names([d for d, _ in files])
+    for d, n in Counter(d for d, _ in files).items():
+        if n > 1:
+            refused[d] = f"{n} files hold a database of this name"
+
     meta = cols.orderBy("db_id", "table_name", "cid").collect()   # column metadata: small
     by_table: dict[tuple[str, str], list] = {}
     for r in meta:
@@ -106,8 +120,10 @@ def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str |
     def load_one(db_id: str):
         """Check and write one database; returns (log row, Database or None)."""
         tables = sorted(t for d, t in by_table if d == db_id)
-        error = None
-        if db_id in broken:
+        error = refused.get(db_id) or held_by_another(spark, target, db_id)
+        if error is not None:
+            pass
+        elif db_id in broken:
             error = f"cannot be read: {broken[db_id]}"
         elif db_id in bad_names:
             error = "column or table names collide after cleaning"
@@ -134,13 +150,13 @@ def load_sqlite_dir(spark: SparkSession, path: str, target: str, *, only: str |
             error = first_key_error(frames, keys)
         if error is not None:
             return (db_id, False, 0, 0, error), None
-        paths, n_rows = write_tables(spark, frames, target, db_id)
         for r in fk_rows:
             if r["db_id"] == db_id:
                 keys.foreign_keys.append(ForeignKey(
                     sanitize_text(r["table_name"]), tuple(sanitize_text(c) for c in r["columns"]),
                     sanitize_text(r["ref_table"]), tuple(sanitize_text(c) for c in r["ref_columns"])))
         keys.primary_keys = {sanitize_text(t): v for t, v in keys.primary_keys.items()}
+        paths, n_rows = write_tables(spark, frames, target, db_id, keys)
         return (db_id, True, len(tables), n_rows, None), Database(sanitize_text(db_id), paths, keys)
 
     # One database per worker thread: each submits its own small jobs, so many
@@ -200,23 +216,65 @@ def first_key_error(frames: dict[str, DataFrame], keys: KeyMetadata) -> str | No
     return f"{bad[0]['table_name']}: primary key {bad[0]['verdict']}" if bad else None
 
 
+POINTER = "CURRENT.json"
+
+
+def db_folder(target: str, db_id: str) -> str:
+    return f"{target.rstrip('/')}/{sanitize_text(db_id)}"
+
+
+def clashing_names(db_ids: list[str]) -> dict[str, str]:
+    """Databases that would share a folder with another one: name -> why it is refused."""
+    by_folder: dict[str, set] = {}
+    for d in db_ids:
+        by_folder.setdefault(sanitize_text(d), set()).add(d)
+    return {d: f"its folder {folder} would also hold {', '.join(sorted(names - {d}))}"
+            for folder, names in by_folder.items() if len(names) > 1 for d in names}
+
+
+def held_by_another(spark: SparkSession, target: str, db_id: str) -> str | None:
+    """Why a database may not replace what its folder holds: that came from another name."""
+    there = read_pointer(spark, f"{db_folder(target, db_id)}/{POINTER}")
+    if there and there["db_id"] != db_id:
+        return f"its folder {sanitize_text(db_id)} holds {there['db_id']}"
+    return None
+
+
 def write_tables(spark: SparkSession, frames: dict[str, DataFrame], target: str,
-                 db_id: str) -> tuple[dict, int]:
-    """Write every table of one database anew (tables of an earlier load that
-    the source no longer has go away); row counts come from ``observe``."""
-    db_path = f"{target.rstrip('/')}/{sanitize_text(db_id)}"
-    delete_path(spark, db_path)
+                 db_id: str, keys: KeyMetadata) -> tuple[dict, int]:
+    """Write every table of one database into a new version and publish it; row counts
+    come from ``observe``."""
+    folder, version = db_folder(target, db_id), f"v-{uuid.uuid4().hex[:12]}"
     n_rows, paths = 0, {}
     for t in sorted(frames):
         clean_t = sanitize_text(t)
         obs = Observation(f"load_{db_id}_{t}")
-        frames[t].observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite") \
-            .parquet(f"{db_path}/{clean_t}")
+        paths[clean_t] = f"{folder}/{version}/{clean_t}"
+        frames[t].observe(obs, F.count(F.lit(1)).alias("n")).write.parquet(paths[clean_t])
         n_rows += int(obs.get.get("n", 0))
-        paths[clean_t] = f"{db_path}/{clean_t}"
+    before = read_pointer(spark, f"{folder}/{POINTER}")
+    write_pointer(spark, f"{folder}/{POINTER}", {
+        "db_id": db_id, "version": version, "tables": sorted(paths), "rows": n_rows,
+        "primary_keys": {t: list(c) for t, c in keys.primary_keys.items()},
+        "foreign_keys": [[f.table, list(f.columns), f.ref_table, list(f.ref_columns)] for f in keys.foreign_keys]})
+    keep = {version, before["version"]} if before else {version}
+    for name in child_names(spark, folder):
+        if name.startswith("v-") and name not in keep:
+            delete_path(spark, f"{folder}/{name}")
     return paths, n_rows
 
 
+def open_database(spark: SparkSession, target: str, db_id: str) -> Database:
+    """A loaded database as its pointer has it now; later loads do not change what was opened."""
+    folder = db_folder(target, db_id)
+    there = read_pointer(spark, f"{folder}/{POINTER}")
+    if there is None:
+        raise LookupError(f"{target} holds no database {db_id}")
+    keys = KeyMetadata({t: tuple(c) for t, c in there["primary_keys"].items()},
+                       [ForeignKey(t, tuple(c), r, tuple(rc)) for t, c, r, rc in there["foreign_keys"]])
+    return Database(sanitize_text(db_id), {t: f"{folder}/{there['version']}/{t}" for t in there["tables"]}, keys)
+
+
 def load_databases(spark: SparkSession, databases: list[Database], target: str, *,
                    replace: bool = False, parallelism: int = 8) -> LoadResult:
     """A6-A9 for databases that are already typed (parquet folders).
@@ -226,8 +284,14 @@ def load_databases(spark: SparkSession, databases: list[Database], target: str,
     others load in parallel; foreign keys are checked after the writes (B6).
     """
     refuse_existing(spark, target, replace)
+    names_of = [db.name for db in databases]
+    refused = clashing_names(names_of)
+    refused |= {d: f"{n} databases have this name" for d, n in Counter(names_of).items() if n > 1}
 
     def load_one(db: Database):
+        error = refused.get(db.name) or held_by_another(spark, target, db.name)
+        if error is not None:
+            return (db.name, False, 0, 0, error), None
         tables = db.tables(spark)
         names = [(db.name, t, c) for t, df in tables.items() for c in df.columns]
         names += [(db.name, "", t) for t in tables]
@@ -239,13 +303,13 @@ def load_databases(spark: SparkSession, databases: list[Database], target: str,
         if error is not None:
             return (db.name, False, 0, 0, error), None
         frames = {t: df.toDF(*[sanitize_text(c) for c in df.columns]) for t, df in tables.items()}
-        paths, n_rows = write_tables(spark, frames, target, db.name)
         keys = KeyMetadata(
             {sanitize_text(t): tuple(sanitize_text(c) for c in v) for t, v in db.keys.primary_keys.items()
              if t in tables},
             [ForeignKey(sanitize_text(f.table), tuple(map(sanitize_text, f.columns)),
                         sanitize_text(f.ref_table), tuple(map(sanitize_text, f.ref_columns)))
              for f in db.keys.foreign_keys if f.table in tables and f.ref_table in tables])
+        paths, n_rows = write_tables(spark, frames, target, db.name, keys)
         return (db.name, True, len(tables), n_rows, None), Database(sanitize_text(db.name), paths, keys)
 
     logs, loaded = [], {}

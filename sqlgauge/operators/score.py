@@ -10,19 +10,20 @@ Plan, for N (gold run, generated run) pairs:
    observed while the run was written or aggregated here.  Equal multisets
    always have equal fingerprints, so pairs whose fingerprints differ are
    settled as "differ" without moving their rows.
-2. Runs of the other pairs are aggregated once to (run, row) -> count, with
-   map-side partials, so duplicates and one huge result spread over all
-   partitions.  Only these counts are paired: +n for the gold run, -n for the
-   generated one, summed per (pair, row); equal iff every sum is 0.
+2. Runs of the other pairs form teams: a gold run and up to TEAM - 1 of the runs
+   that may equal it.  Their rows are exchanged once, by (team, row), as one
+   count per member, with map-side partials, so duplicates and one huge result
+   spread over all partitions.  A member equals the gold run iff their counts
+   agree for every row; only one flag per member and partition goes further.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlgauge.operators.execute import fingerprint_columns
-from sqlgauge.session import ensure_checkpoint_dir
+from sqlgauge.session import written
 
 
 def fingerprints(results: DataFrame) -> DataFrame:
@@ -35,7 +36,6 @@ def compare_runs(run_pairs: DataFrame, results: DataFrame, known: DataFrame | No
 
     ``known`` holds fingerprints (run_id, fp_n, fp_a, fp_b) that need not be computed.
     """
-    ensure_checkpoint_dir(results.sparkSession)
     pairs = run_pairs.select("gold_run_id", "gen_run_id").distinct()
     fp = fingerprints(results) if known is None else known.select("run_id", "fp_n", "fp_a", "fp_b")
     names = ["fp_n", "fp_a", "fp_b"]
@@ -45,25 +45,14 @@ def compare_runs(run_pairs: DataFrame, results: DataFrame, known: DataFrame | No
     same_fp = F.lit(True)
     for c in names:
         same_fp = same_fp & (F.coalesce(F.col("g_" + c), F.lit(0)) == F.coalesce(F.col("n_" + c), F.lit(0)))
-    # One row per pair: checkpointed (in the shared checkpoint folder) so the
-    # fingerprints are computed once, pin no executor memory, survive
-    # executor loss, and the exact step below sees a short lineage.
-    cand = cand.select("gold_run_id", "gen_run_id",
-                       (F.col("gold_run_id") == F.col("gen_run_id")).alias("same_run"),
-                       same_fp.alias("same_fp"),
-                       (F.coalesce("g_fp_n", F.lit(0)) == 0).alias("empty")).checkpoint(eager=True)
+    # One row per pair, written in the shared folder: fingerprints are computed once,
+    # survive executor loss, and the exact step below sees their true size.
+    cand = written(cand.select("gold_run_id", "gen_run_id",
+                               (F.col("gold_run_id") == F.col("gen_run_id")).alias("same_run"),
+                               same_fp.alias("same_fp"),
+                               (F.coalesce("g_fp_n", F.lit(0)) == 0).alias("empty")), "pairs")
     # Exact check only where fingerprints agree, rows exist and runs differ.
-    todo = cand.where("same_fp AND NOT same_run AND NOT empty").select("gold_run_id", "gen_run_id")
-    used = (todo.select(F.col("gold_run_id").alias("run_id"))
-            .unionByName(todo.select(F.col("gen_run_id").alias("run_id"))).distinct())
-    counts = results.join(used, "run_id", "left_semi").groupBy("run_id", "row").agg(F.count(F.lit(1)).alias("n"))
-    plus = (todo.join(counts.withColumnRenamed("run_id", "gold_run_id"), "gold_run_id")
-            .select("gold_run_id", "gen_run_id", "row", "n"))
-    minus = (todo.join(counts.withColumnRenamed("run_id", "gen_run_id"), "gen_run_id")
-             .select("gold_run_id", "gen_run_id", "row", (-F.col("n")).alias("n")))
-    exact = (plus.unionByName(minus)
-             .groupBy("gold_run_id", "gen_run_id", "row").agg(F.sum("n").alias("d"))
-             .groupBy("gold_run_id", "gen_run_id").agg(F.bool_and(F.col("d") == 0).alias("exact")))
+    exact = exactly_equal(cand.where("same_fp AND NOT same_run AND NOT empty"), results)
     out = cand.join(exact, ["gold_run_id", "gen_run_id"], "left").select(
         "gold_run_id", "gen_run_id",
         (F.col("same_run") | (F.col("same_fp") & (F.col("empty") | F.coalesce(F.col("exact"), F.lit(False)))))
@@ -71,6 +60,32 @@ def compare_runs(run_pairs: DataFrame, results: DataFrame, known: DataFrame | No
     return out
 
 
+TEAM = 8                  # runs whose counts a row carries
+SENT_MEMBERS = 500_000    # members that are sent to all tasks (some 50 MB); more are joined by shuffle
+
+
+def exactly_equal(pairs: DataFrame, results: DataFrame) -> DataFrame:
+    """(gold_run_id, gen_run_id, exact) of distinct pairs of runs, by the counts of all their rows."""
+    place = F.row_number().over(Window.partitionBy("gold_run_id").orderBy("gen_run_id")) - 1
+    teams = written(pairs.select("gold_run_id", "gen_run_id", place.alias("p")).select(
+        "gold_run_id", "gen_run_id", F.struct("gold_run_id", F.expr(f"p div {TEAM - 1}").alias("k")).alias("team"),
+        (F.col("p") % (TEAM - 1) + 1).alias("member")), "teams")
+    size = (teams.agg(F.max("member")).first()[0] or 0) + 1
+    members = teams.select("team", F.col("gen_run_id").alias("run_id"), "member").unionByName(
+        teams.select("team", F.col("gold_run_id").alias("run_id"), F.lit(0).alias("member")).distinct())
+    if teams.count() <= SENT_MEMBERS:
+        members = F.broadcast(members)
+    counts = (results.join(members, "run_id").groupBy("team", "row")
+              .agg(*[F.count_if(F.col("member") == i).alias(f"n{i}") for i in range(size)]))
+    flags = counts.groupBy("team").agg(*[F.bool_and(F.col(f"n{i}") == F.col("n0")).alias(f"e{i}")
+                                         for i in range(size)])
+    each = F.array(*[F.struct(F.lit(i).alias("member"), F.col(f"e{i}").alias("exact")) for i in range(1, size)])
+    if size == 1:  # no pair at all
+        return teams.select("gold_run_id", "gen_run_id", F.lit(False).alias("exact"))
+    found = flags.select("team", F.explode(each).alias("m")).select("team", "m.member", "m.exact")
+    return teams.join(found, ["team", "member"]).select("gold_run_id", "gen_run_id", "exact")
+
+
 def verdicts(pairs: DataFrame, executions: DataFrame, results: DataFrame) -> DataFrame:
     """Per pair: correct and reason (G8), with the two run logs' key fields.
 

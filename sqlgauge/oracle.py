@@ -312,7 +312,8 @@ def _samples_cte(db_name: str, tables: list[str], keys, limit: int) -> str:
         cols = table_columns(t)
         pk = list(keys.primary_keys.get(t, ()))
         order = ", ".join(f"{c} ASC NULLS LAST" for c in pk + [c for c in cols if c not in pk])
-        cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), {lit(C.NULL_TEXT)})" for c in cols)
+        as_text = {"embedding": "replace(CAST(embedding AS VARCHAR), 'NULL', 'None')"}
+        cells = ", ".join(f"coalesce({as_text.get(c, f'CAST({c} AS VARCHAR)')}, 'None')" for c in cols)
         parts.append(
             f"SELECT {lit(db_name)} AS db_id, {lit(t)} AS table_name, "
             f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS sample_pos, "
@@ -553,6 +554,108 @@ def history(db_name, tables, keys) -> str:
     return (f"SELECT 'round_2' AS run_id, strategy, n, n_correct FROM ({strategy_report(db_name, tables, keys)}) r")
 
 
+def history_runs(db_name, tables, keys) -> str:
+    from sqlgauge.plans.gold import GOLD
+    rows = " UNION ALL ".join(f"SELECT {lit(f'q{i:02d}_{g.key}')} AS example_id, count(*) AS n FROM ({g.oracle('sql')}) g"
+                              for i, g in enumerate(GOLD))
+    return benchmark_with(db_name, tables, keys)[:-1] + f", sizes AS ({rows}) " + (
+        "SELECT s.example_id, s.strategy, s.correct, z.n AS logged_rows, z.n AS kept_rows "
+        "FROM scored s JOIN sizes z ON z.example_id = s.example_id")
+
+
+def history_diff(before: str, after: str) -> str:
+    return (f"SELECT coalesce(b.example_id, a.example_id) AS example_id, coalesce(b.strategy, a.strategy) AS strategy, "
+            "b.correct AS before, a.correct AS after, CASE WHEN b.example_id IS NULL THEN 'added' "
+            "WHEN a.example_id IS NULL THEN 'removed' WHEN b.correct = a.correct THEN 'same' "
+            f"WHEN a.correct THEN 'fixed' ELSE 'broken' END AS change FROM ({before}) b FULL JOIN ({after}) a "
+            "ON a.example_id = b.example_id AND a.strategy = b.strategy")
+
+
+def repair_rounds(scored: str, most: int) -> str:
+    """Each round's failed answers asked again: every 17th unanswered, right by a rule on the id."""
+    ctes, asked = [f"r0 AS ({scored})"], "SELECT 0 AS round, strategy, correct FROM r0"
+    for r in range(1, most + 1):
+        ctes.append(f"r{r} AS (SELECT strategy, example_id, example_id % 17 <> {r} "
+                    f"AND (example_id + {r * r}) % {r + 2} = 0 AS correct FROM r{r - 1} WHERE NOT correct)")
+        asked += f" UNION ALL SELECT {r} AS round, strategy, correct FROM r{r}"
+    w = "OVER (PARTITION BY strategy ORDER BY round)"
+    return (f"WITH {', '.join(ctes)}, a AS ({asked}), "
+            "g AS (SELECT round, strategy, count(*) AS asked, count_if(correct) AS fixed FROM a GROUP BY ALL), "
+            # A round after one that fixed nothing at all never ran.
+            "t AS (SELECT round, sum(fixed) AS f FROM g GROUP BY round) "
+            f"SELECT CAST(round AS INTEGER) AS round, strategy, asked, CAST(fixed AS BIGINT) AS fixed, "
+            f"CAST(sum(fixed) {w} AS BIGINT) AS correct, first_value(asked) {w} AS n FROM g "
+            "WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.round > 0 AND t.round < g.round AND t.f = 0)")
+
+
+def index_recall() -> str:
+    return ("WITH v AS (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL) "
+            "SELECT count(*) AS n_queries, CAST(sum(least(5, (SELECT count(*) FROM v) - 1)) AS BIGINT) AS n_expected, "
+            "true AS enough FROM v WHERE vec_id % 50 = 0")
+
+
+WORDS_OF = (r"regexp_extract_all(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+            r"'abcdefghijklmnopqrstuvwxyz'), '[\p{{L}}\p{{N}}]+')")
+
+
+def bm25_ctes(queries: str, docs: str) -> str:
+    """CTEs ending in ``hits`` (grp, qid, id, score); queries: grp, qid, text; docs: grp, id, text."""
+    return (
+        f"q AS (SELECT grp, qid, term, count(*) AS times FROM (SELECT grp, qid, unnest({WORDS_OF.format(x='text')}) AS term "
+        f"FROM ({queries}) x) y GROUP BY ALL), "
+        f"t AS (SELECT grp, id, {WORDS_OF.format(x='text')} AS words FROM ({docs}) x), "
+        "s AS (SELECT grp, count(*) AS n_all, avg(len(words)) AS mean FROM t GROUP BY grp), "
+        "p AS (SELECT grp, id, len, term, CAST(count(*) AS DOUBLE) AS times FROM (SELECT grp, id, len(words) AS len, "
+        "unnest(words) AS term FROM t) y GROUP BY ALL), "
+        "f AS (SELECT grp, term, count(*) AS n FROM p GROUP BY ALL), "
+        "w AS (SELECT p.grp, p.term, p.id, CAST(floor(ln((n_all - n + 0.5e0) / (n + 0.5e0)) * p.times * 2.2e0 / "
+        "(p.times + 1.2e0 * (0.25e0 + 0.75e0 * len / mean)) * 1000000) AS BIGINT) AS weight "
+        "FROM p JOIN f ON f.grp = p.grp AND f.term = p.term JOIN s ON s.grp = p.grp WHERE 2 * n < n_all), "
+        "r AS (SELECT q.grp, q.qid, w.id, CAST(sum(q.times * w.weight) AS BIGINT) AS score "
+        "FROM q JOIN w ON w.grp = q.grp AND w.term = q.term GROUP BY ALL), "
+        "hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank "
+        "FROM r WHERE score > 0)")
+
+
+def bm25_documents() -> str:
+    return ("WITH " + bm25_ctes("SELECT '' AS grp, item_id AS qid, text FROM benchmark WHERE item_id IS NOT NULL",
+                                "SELECT '' AS grp, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL")
+            + " SELECT qid AS item_id, rank, id AS doc_id, score FROM hits WHERE rank <= 10")
+
+
+def schema_context(dbs: list[tuple[str, list[str]]], keys) -> str:
+    names = [(d, t, o, n) for d, tables in dbs for t in tables for o, n in enumerate([t, *table_columns(t)])]
+    fks = sorted({(d, f.table, f.ref_table) for d, tables in dbs for f in keys.foreign_keys
+                  if f.table in tables and f.ref_table in tables})
+    return (
+        f"WITH RECURSIVE names(db_id, table_name, o, name) AS (VALUES {_values(names)}), "
+        f"fk(db_id, table_name, referred) AS (VALUES {_values(fks)}), "
+        "reach AS (SELECT * FROM fk UNION SELECT r.db_id, r.table_name, f.referred FROM reach r "
+        "JOIN fk f ON f.db_id = r.db_id AND f.table_name = r.referred), "
+        "texts AS (SELECT db_id, table_name, string_agg(replace(name, '_', ' '), ' ' ORDER BY o) AS text "
+        "FROM names GROUP BY ALL), "
+        + bm25_ctes(f"SELECT db_id AS grp, example_id AS qid, question AS text FROM ({derived.questions_sql()}) e",
+                    "SELECT db_id AS grp, table_name AS id, text FROM texts") + ", "
+        "best AS (SELECT qid, grp, id FROM hits WHERE rank <= 3), "
+        "needed AS (SELECT qid, id FROM best UNION SELECT b.qid, r.referred FROM best b "
+        "JOIN reach r ON r.db_id = b.grp AND r.table_name = b.id) "
+        "SELECT qid AS example_id, string_agg(id, ',' ORDER BY id) AS tables, CAST(count(*) AS INTEGER) AS n_declared "
+        "FROM needed GROUP BY qid")
+
+
+def generate_calls() -> str:
+    return ("SELECT example_id, strategy, CASE WHEN length(user_text) % 13 <> 0 THEN trim(reverse(user_text)) END AS response, "
+            "CASE WHEN length(user_text) % 13 <> 0 THEN length(system) + length(user_text) END AS input_tokens, "
+            "CASE WHEN length(user_text) % 13 <> 0 THEN length(user_text) END AS output_tokens, "
+            "CASE WHEN length(user_text) % 13 = 0 THEN 'length divisible by 13' END AS error "
+            f"FROM ({derived.calls_sql()}) c")
+
+
+def score_pairs(pairs: list[tuple[str, str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT {lit(name)} AS pair, CAST({multiset_equal(a, b)} AS BOOLEAN) AS equal"
+                              for name, a, b in pairs)
+
+
 def benchmark_cube(db_name, tables, keys) -> str:
     src = "SELECT example_id AS g_example_id, gold_sql AS query FROM ex"
     cls = classify_cte(src, "query")

@@ -21,6 +21,10 @@ from sqlgauge.functions import names as NM
 from sqlgauge.operators import catalog as CT
 from sqlgauge.operators import extend as XT
 from sqlgauge.operators import generate as GN
+from sqlgauge.operators import history as HS
+from sqlgauge.operators import repair as RE
+from sqlgauge.operators import retrieval as RT
+from sqlgauge.operators import score as SC
 from sqlgauge.session import work_path
 from sqlgauge.operators import validate as VD
 from sqlgauge.plans.gold import GOLD
@@ -126,19 +130,19 @@ def q_fk_check(spark, sf):
     return VD.fk_check(tables, TEST_KEYS.foreign_keys + NULL_KEY_FKS)
 
 
-def test_databases(sf):
+def both_databases(sf):
     return [parquet_dir_database(sf, name="shop", tables=SHOP_TABLES),
             parquet_dir_database(sf, name="corpus", tables=CORPUS_TABLES)]
 
 
 def q_load_stats(spark, sf):
-    return VD.load_stats(VD.load_plan(spark, test_databases(sf)))
+    return VD.load_stats(VD.load_plan(spark, both_databases(sf)))
 
 
 def q_load_databases(spark, sf):
     """Load both test databases into a fresh folder under the checkpoint dir."""
     from sqlgauge.operators.load import load_databases
-    res = load_databases(spark, test_databases(sf), work_path(spark, "warehouse"))
+    res = load_databases(spark, both_databases(sf), work_path(spark, "warehouse"))
     return res.log
 
 
@@ -150,38 +154,31 @@ def q_bench_examples(spark, sf):
 
 # ---- C: catalog profiling of the shop database ----
 
-# Sample cells of ``embeddings`` are long float arrays, which engines print differently.
-SAMPLED_TABLES = [t for t in CORPUS_TABLES if t != "embeddings"]
-
 
 def _of_each(frames) -> DataFrame:
     from functools import reduce as _reduce
     return _reduce(DataFrame.unionByName, frames)
 
 
-def sampled_dbs(sf: str):
-    return [shop_db(sf), parquet_dir_database(sf, name="corpus", tables=SAMPLED_TABLES)]
-
-
 def q_cat_row_counts(spark, sf):
-    return _of_each([CT.row_counts(spark, db) for db in test_databases(sf)])
+    return _of_each([CT.row_counts(spark, db) for db in both_databases(sf)])
 
 
 def q_cat_samples(spark, sf):
-    s = _of_each([CT.samples(spark, db, 3, order_by_key=True) for db in sampled_dbs(sf)])
+    s = _of_each([CT.samples(spark, db, 3, order_by_key=True) for db in both_databases(sf)])
     return s.select("db_id", "table_name", "sample_pos", F.array_join("cells", " | ").alias("row_text"))
 
 
 def q_sample_text(spark, sf):
-    return _of_each([CT.sample_text(spark, db, 3, order_by_key=True) for db in sampled_dbs(sf)])
+    return _of_each([CT.sample_text(spark, db, 3, order_by_key=True) for db in both_databases(sf)])
 
 
 def q_schema_text(spark, sf):
-    return _of_each([CT.schema_text(spark, db, True, 3, order_by_key=True) for db in sampled_dbs(sf)])
+    return _of_each([CT.schema_text(spark, db, True, 3, order_by_key=True) for db in both_databases(sf)])
 
 
 def q_cat_profile(spark, sf):
-    p = _of_each([CT.profile(spark, db, 3, True, order_by_key=True) for db in test_databases(sf)])
+    p = _of_each([CT.profile(spark, db, 3, True, order_by_key=True) for db in both_databases(sf)])
     return p.select("db_id", "table_name", F.size("columns").alias("n_columns"),
                     F.array_join("primary_key", ", ").alias("primary_key"),
                     F.size("foreign_keys").alias("n_foreign_keys"), "row_count",
@@ -317,24 +314,139 @@ def q_similar_topk(spark, sf):
     return top.select("label", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+def _other_rows_of(emb) -> tuple[DataFrame, DataFrame]:
+    """(queries, corpus): every 50th vector against all."""
+    rows = emb.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return rows.where(F.col("id") % 50 == 0).toDF("qid", "qvec"), rows
+
+
+def q_similar_topk_index(spark, sf):
+    """P2 by index: each 50th vector's five most similar other ones."""
+    queries_, rows = _other_rows_of(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    found = RT.search_index(RT.build_index(rows), queries_, k=6)
+    return RT.others(found, 5).select("qid", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+def q_index_recall(spark, sf):
+    """The index's results against the exact mode's."""
+    queries_, rows = _other_rows_of(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    found = RT.others(RT.search_index(RT.build_index(rows), queries_, k=6), 5)
+    exact = RT.others(XT.top_k_similar(queries_, rows, k=6), 5)
+    r = RT.recall(found, exact)
+    return r.select("n_queries", "n_expected", (F.col("n_found") >= 0.9 * F.col("n_expected")).alias("enough"))
+
+
+def q_bm25_documents(spark, sf):
+    """The ten best documents for every benchmark item."""
+    return RT.rank_documents(spark.read.parquet(f"{sf}/benchmark.parquet"), spark.read.parquet(f"{sf}/documents.parquet"),
+                             10, "item_id", "text", "doc_id", "text")
+
+
+def q_schema_context(spark, sf):
+    """The tables that each derived question needs, with those they refer to."""
+    dbs = both_databases(sf)
+    cols = _of_each([CT.columns(spark, db) for db in dbs])
+    keys = _of_each([CT.foreign_keys(spark, db) for db in dbs])
+    ddl = _of_each([CT.ddl_text(spark, db) for db in dbs])
+    c = RT.schema_context(derived.questions(spark, sf), cols, keys, ddl)
+    return c.select("example_id", F.array_join("tables", ",").alias("tables"),
+                    F.regexp_count("schema_text", F.lit("CREATE TABLE")).alias("n_declared"))
+
+
 def q_repair_gain(spark, sf):
     b = benchmark(spark, sf)
-    rp = XT.repair_prompts(b.scored, b.prompts)
+    rp = RE.follow_up(b.scored.where("NOT correct"), b.prompts)
     gen = GN.replay(rp, BM.repair_responses(spark))
     after = BM.score_generated(spark, {"shop": shop_db(sf)}, BM.gold_examples(spark, "shop"),
                                rp, gen, timeout_ms=BENCH_TIMEOUT_MS)
     return XT.repair_gain(b.scored, after.scored)
 
 
+REPAIR_ROUNDS = 6
+
+
+def q_repair_rounds(spark, sf):
+    """The loop over a scored run of the events; what a round answers, and whether it is
+    right, follows from the event's id."""
+    def answer(failed, round_):
+        asked = failed.where(F.col("example_id") % 17 != round_)
+        return asked.withColumn("correct", (F.col("example_id") + round_ * round_) % (round_ + 2) == 0)
+
+    done = RE.repair_loop(spark, derived.scored(spark, sf, 0, 11), answer, most_rounds=REPAIR_ROUNDS)
+    return RE.gain_per_round(spark, done.path)
+
+
 def q_history(spark, sf):
+    """Two runs kept, the second one read."""
     b = benchmark(spark, sf)
     path = work_path(spark, "history")
-    for rid in ("round_1", "round_2"):
-        XT.append_history(b.scored.select("example_id", "strategy", "correct", "cost_usd"),
-                          path, rid, "scores")
-    h = XT.read_history(spark, path, "scores", ["round_2"])
-    return h.groupBy("run_id", "strategy").agg(F.count(F.lit(1)).alias("n"),
-                                               F.sum(F.col("correct").cast("bigint")).alias("n_correct"))
+    for run in ("round_1", "round_2"):
+        HS.record_run(spark, path, run, {"scores": b.scored.select("example_id", "strategy", "correct", "cost_usd")})
+    h = HS.read_history(spark, path, "scores", ["round_2"])
+    return h.groupBy(F.col("bench_run").alias("run_id"), "strategy").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("bigint")).alias("n_correct"))
+
+
+def q_history_runs(spark, sf):
+    """Log, results and scores of a benchmark, kept twice under one name and read back:
+    per answer, how many rows its gold run's log names and how many the results hold."""
+    path = work_path(spark, "history")
+    for _ in range(2):
+        BM.keep(spark, benchmark(spark, sf), path, "replay")
+    read = lambda kind: HS.read_history(spark, path, kind).drop(HS.RUN)
+    log = read("log").where("success").select(F.col("run_id").alias("gold_run_id"), F.col("n_rows").alias("logged_rows"))
+    held = read("results").groupBy(F.col("run_id").alias("gold_run_id")).agg(F.count(F.lit(1)).alias("kept_rows"))
+    return (read("scores").join(log, "gold_run_id").join(held, "gold_run_id", "left")
+            .select("example_id", "strategy", "correct", "logged_rows", F.coalesce("kept_rows", F.lit(0)).alias("kept_rows")))
+
+
+HISTORY_RUNS = {"first": (0, 11), "second": (1, 13)}
+
+
+def q_history_diff(spark, sf):
+    """What changed for every event between two kept runs (each written twice)."""
+    path = work_path(spark, "history")
+    for run in [*HISTORY_RUNS, *HISTORY_RUNS]:
+        HS.record_run(spark, path, run, {"scores": derived.scored(spark, sf, *HISTORY_RUNS[run])})
+    return HS.diff_runs(spark, path, *HISTORY_RUNS)
+
+
+def q_generate_calls(spark, sf):
+    """one call per event in Python workers, answers written once, failures as rows."""
+    from sqlgauge.session import ship_package
+    ship_package(spark)
+    prompts = derived.call_prompts(spark, sf).withColumnRenamed("user_text", "user").withColumn("max_tokens", F.lit(64))
+    done = GN.generate_once(spark, prompts, GN.ReverseClient, GN.DEFAULT_MODEL, work_path(spark, "answers"), partitions=16)
+    return done.select("example_id", "strategy", "response", "input_tokens", "output_tokens", "error")
+
+
+# Statements over all of ``lineitem``: (name, gold, generated).
+LINEITEM_PAIRS = [
+    ("as_is", "SELECT * FROM lineitem", "SELECT * FROM lineitem"),
+    ("reordered", "SELECT * FROM lineitem", "SELECT * FROM lineitem ORDER BY l_shipdate, l_orderkey DESC"),
+    ("other_filter", "SELECT * FROM lineitem", "SELECT * FROM lineitem WHERE l_linenumber >= 1 OR l_tax IS NULL"),
+    ("one_twice", "SELECT * FROM lineitem",
+     "SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey = 1 AND l_linenumber = 1"),
+    ("some_missing", "SELECT * FROM lineitem", "SELECT * FROM lineitem WHERE l_quantity <> 7"),
+    ("duplicates_count", "SELECT l_returnflag, l_linenumber FROM lineitem",
+     "SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem"),
+    ("duplicates_kept", "SELECT l_returnflag, l_linenumber FROM lineitem",
+     "SELECT l_returnflag, l_linenumber FROM lineitem WHERE l_quantity < 25 "
+     "UNION ALL SELECT l_returnflag, l_linenumber FROM lineitem WHERE l_quantity >= 25"),
+    ("swapped", "SELECT l_orderkey, l_partkey FROM lineitem", "SELECT l_partkey, l_orderkey FROM lineitem"),
+]
+
+
+def q_score_rows_lineitem(spark, sf):
+    """G7 over runs that hold all of ``lineitem``."""
+    db = parquet_dir_database(sf, name="shop", tables=["lineitem"])
+    pairs = spark.createDataFrame(LINEITEM_PAIRS, "pair string, gold string, gen string").select(
+        "pair", *[BM.run_id(F.lit("shop"), F.col(c)).alias(f"{c}_run_id") for c in ("gold", "gen")], "gold", "gen")
+    runs = _of_each([pairs.select(F.col(f"{c}_run_id").alias("run_id"), F.lit("shop").alias("db_id"),
+                                  F.col(c).alias("sql")) for c in ("gold", "gen")])
+    done = EX.run_batch(spark, runs, {"shop": db}, timeout_ms=BENCH_TIMEOUT_MS)
+    equal = SC.compare_runs(pairs, done.results)
+    return pairs.join(equal, ["gold_run_id", "gen_run_id"]).select("pair", "equal")
 
 
 def _write_stream_source(spark, sf, path, files: int = 4) -> None:
@@ -402,8 +514,17 @@ def queries() -> dict[str, Query]:
         "benchmark_cube": q_benchmark_cube,
         "benchmark_cube_log": q_benchmark_cube_log,
         "similar_topk": q_similar_topk,
+        "similar_topk_index": q_similar_topk_index,
+        "index_recall": q_index_recall,
+        "bm25_documents": q_bm25_documents,
+        "schema_context": q_schema_context,
         "repair_gain": q_repair_gain,
+        "repair_rounds": q_repair_rounds,
         "history": q_history,
+        "history_runs": q_history_runs,
+        "history_diff": q_history_diff,
+        "generate_calls": q_generate_calls,
+        "score_rows_lineitem": q_score_rows_lineitem,
         "stream_classify": q_stream_classify,
         "stream_tier_counts": q_stream_tier_counts,
         "strategy_report": q_strategy_report,
@@ -422,7 +543,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     both = [("shop", SHOP_TABLES), ("corpus", CORPUS_TABLES)]
-    sampled = [("shop", SHOP_TABLES), ("corpus", SAMPLED_TABLES)]
     return {
         **{f"run_gold_{g.key}": g.oracle("sql") for g in GOLD},
         "prompt_set": oracle.prompt_set("shop", SHOP_TABLES, TEST_KEYS),
@@ -444,10 +564,18 @@ def oracle_sql() -> dict[str, str]:
         "cat_row_counts": oracle.each([oracle.cat_row_counts(d, t) for d, t in both]),
         "cat_profile": oracle.each([oracle.cat_profile(d, t, TEST_KEYS) for d, t in both]),
         "history": oracle.history("shop", SHOP_TABLES, TEST_KEYS),
+        "history_runs": oracle.history_runs("shop", SHOP_TABLES, TEST_KEYS),
+        "history_diff": oracle.history_diff(*[derived.scored_sql(*x) for x in HISTORY_RUNS.values()]),
+        "repair_rounds": oracle.repair_rounds(derived.scored_sql(0, 11), REPAIR_ROUNDS),
+        "index_recall": oracle.index_recall(),
+        "bm25_documents": oracle.bm25_documents(),
+        "schema_context": oracle.schema_context([("shop", SHOP_TABLES), ("corpus", CORPUS_TABLES)], TEST_KEYS),
+        "generate_calls": oracle.generate_calls(),
+        "score_rows_lineitem": oracle.score_pairs(LINEITEM_PAIRS),
         "benchmark_cube_log": oracle.cube_of_log(),
-        "cat_samples": oracle.each([oracle.cat_samples(d, t, TEST_KEYS) for d, t in sampled]),
-        "sample_text": oracle.each([oracle.sample_text(d, t, TEST_KEYS) for d, t in sampled]),
-        "schema_text": oracle.each([oracle.schema_text(d, t, TEST_KEYS) for d, t in sampled]),
+        "cat_samples": oracle.each([oracle.cat_samples(d, t, TEST_KEYS) for d, t in both]),
+        "sample_text": oracle.each([oracle.sample_text(d, t, TEST_KEYS) for d, t in both]),
+        "schema_text": oracle.each([oracle.schema_text(d, t, TEST_KEYS) for d, t in both]),
         "map_types": oracle.map_types(),
         "sanitize_names": oracle.sanitize_names(),
         "name_collisions": oracle.name_collisions(),

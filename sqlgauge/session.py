@@ -73,6 +73,12 @@ def _hadoop(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its store's scheme, as tasks need it that open files themselves."""
+    fs, jpath = _hadoop(spark, path)
+    return fs.makeQualified(jpath).toString()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path of any store that Spark reads exists."""
     fs, jpath = _hadoop(spark, path)

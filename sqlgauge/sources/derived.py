@@ -53,6 +53,23 @@ NAME_SHAPES = [
 ]
 
 
+# Questions on the test databases, in words of their tables and columns; {n} is the event id.
+QUESTION_TEMPLATES = [
+    ("shop", "Highest totalprice per orderpriority since {n}"),
+    ("shop", "acctbal of each customer by mktsegment"),
+    ("shop", "How do returnflag and linestatus of lineitem {n} go together?"),
+    ("shop", "Which nation lies in which region, by name?"),
+    ("shop", "supplier with an acctbal under {n}"),
+    ("shop", "brand, size and retailprice of part {n}"),
+    ("shop", "events per user id and event type"),
+    ("corpus", "lang and source of documents, with their chars"),
+    ("corpus", "url of page {n}, with its html"),
+    ("corpus", "role and turn in conversations"),
+    ("corpus", "Which labels say toxic, and of what quality?"),
+    ("corpus", "What will the weather be?"),
+]
+
+
 def _sql_text(template: str, subs: dict[str, str]) -> str:
     """Render a template as a SQL string expression (chr for quote/newline)."""
     out: list[str] = []
@@ -115,6 +132,26 @@ def query_log_sql() -> str:
     )
 
 
+def questions_sql() -> str:
+    """One question per event: (example_id, db_id, question)."""
+    pick = f"event_id % {len(QUESTION_TEMPLATES)}"
+    return ("SELECT event_id AS example_id, " + _case(pick, [f"'{db}'" for db, _ in QUESTION_TEMPLATES])
+            + " AS db_id, " + _case(pick, [_sql_text(t, {"n": N_TEXT}) for _, t in QUESTION_TEMPLATES])
+            + " AS question FROM events")
+
+
+def scored_sql(offset: int, left_out: int) -> str:
+    """A scored run of all events but every ``left_out``-th: (strategy, example_id, correct)."""
+    return (f"SELECT event_type AS strategy, event_id AS example_id, (event_id * 7 + {offset}) % 5 < 2 AS correct "
+            f"FROM events WHERE event_id % {left_out} <> 0")
+
+
+def calls_sql() -> str:
+    """One prompt per event: (example_id, strategy, system, user_text)."""
+    return ("SELECT CAST(log_id AS STRING) AS example_id, source AS strategy, 'Answer.' AS system, "
+            f"query AS user_text FROM ({query_log_sql()}) l")
+
+
 def declarations_sql() -> str:
     """Derived declared column types: (column_id, declared)."""
     branches = ["NULL" if d is None else _sql_text(d, {}) for d in DECLARED_TYPES]
@@ -148,6 +185,18 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_events(spark, sf_dir, query_log_sql())
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_events(spark, sf_dir, questions_sql())
+
+
+def scored(spark: SparkSession, sf_dir: str, offset: int, left_out: int) -> DataFrame:
+    return _with_events(spark, sf_dir, scored_sql(offset, left_out))
+
+
+def call_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_events(spark, sf_dir, calls_sql())
+
+
 def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_events(spark, sf_dir, declarations_sql())
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 
 from sqlgauge.operators import execute as X
@@ -240,15 +243,57 @@ def test_log_rows_are_flushed_in_parts(spark, tmp_path, monkeypatch):
     assert sorted(json_rows(rr.results)) == [[str(i)] for i in range(5)]
 
 
-def test_scoring_moves_counted_rows_only(spark):
-    """Raw rows are aggregated per run before any pairing."""
+def test_scoring_moves_rows_once(spark):
+    """Rows are exchanged once, by team and row, after they were counted where they lie."""
     res = spark.createDataFrame([("a", "x"), ("b", "x")], "run_id string, row string")
     pairs = spark.createDataFrame([("a", "b")], "gold_run_id string, gen_run_id string")
     df = S.compare_runs(pairs, res)
     assert df.first()["equal"]
-    logical = df._jdf.queryExecution().optimizedPlan().toString()
-    # Below each pair join on rows there is an aggregate keyed by (run_id, row).
-    assert logical.count("Aggregate [run_id") + logical.count("Aggregate [gold_run_id") >= 2
+    exact = S.exactly_equal(pairs, res)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(team#\d+, row#", exact)) == 1
+    assert not re.search(r"Exchange hashpartitioning\((run_id|row)#", exact)
+
+
+@pytest.mark.parametrize("team,sent", [(8, 10**6), (3, 10**6), (2, 0)])
+def test_counts_of_many_runs_equal_brute_force(spark, monkeypatch, team, sent):
+    from collections import Counter
+    monkeypatch.setattr(S, "TEAM", team)
+    monkeypatch.setattr(S, "SENT_MEMBERS", sent)
+    rng = random.Random(6)
+    base = [f"r{k % 7}" for k in range(30)]
+    runs = {f"g{k}": rng.sample(base, len(base) - k % 2) for k in range(3)}
+    for k in range(25):
+        rows = rng.sample(base, len(base))
+        if k % 3 == 1:  # as many rows, one of them another one
+            rows[0] = rows[-1] if rows[0] != rows[-1] else "r9"
+        runs[f"n{k}"] = rows[:-1] if k % 5 == 4 else rows
+    runs["none"] = []
+    res = spark.createDataFrame([(r, x) for r, rows in runs.items() for x in rows], "run_id string, row string")
+    pairs = [(g, n) for g in ("g0", "g1", "none") for n in runs] * 2
+    df = spark.createDataFrame(pairs, "gold_run_id string, gen_run_id string")
+    got = {(r["gold_run_id"], r["gen_run_id"]): r["equal"] for r in S.compare_runs(df, res.repartition(6)).collect()}
+    assert got == {(g, n): Counter(runs[g]) == Counter(runs[n]) for g, n in pairs}
+    # Runs whose fingerprints agree by chance are told apart by their rows.
+    exact = {(r["gold_run_id"], r["gen_run_id"]): r["exact"] for r in S.exactly_equal(
+        df.distinct().where("gold_run_id = 'g0' AND gen_run_id NOT IN ('g0', 'none')"), res).collect()}
+    assert exact == {("g0", n): Counter(runs["g0"]) == Counter(runs[n]) for n in runs if n not in ("g0", "none")}
+    assert S.compare_runs(df.limit(0), res).count() == 0
+
+
+def test_the_guard_walks_any_depth(spark):
+    from pyspark.sql.functions import col
+    deep = col("x")
+    for _ in range(1500):
+        deep = ~deep
+    df = spark.createDataFrame([(True,)], "x boolean").select(deep.alias("y"))
+    plan = df._jdf.queryExecution().logical()
+    guard._Walker(spark, False).walk(plan)  # deeper than Python's own stack allows
+    nested = "SELECT 1 AS a"
+    for _ in range(60):
+        nested = f"SELECT a FROM ({nested}) t"
+    guard.check_parsed(spark, nested)
+    with pytest.raises(guard.GuardError):
+        guard.check_parsed(spark, nested.replace("SELECT 1 AS a", "SELECT reflect('java.lang.Math', 'abs', 1) AS a"))
 
 
 def json_rows(df):

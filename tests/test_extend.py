@@ -1,4 +1,4 @@
-"""Extensions: exact top-k against brute force, cube levels."""
+"""Extensions: exact top-k against brute force, centroids."""
 
 from __future__ import annotations
 
@@ -41,13 +41,3 @@ def test_centroids(spark):
                                "label int, embedding array<float>")
     got = {r["label"]: list(r["centroid"]) for r in X.label_centroids(df).collect()}
     assert got == {0: [2.0, 3.0], 1: [5.0, 5.0]}
-
-
-def test_history_partition_pruning(spark, tmp_path):
-    df = spark.createDataFrame([(1, True)], "x int, ok boolean")
-    X.append_history(df, str(tmp_path), "r1", "scores")
-    X.append_history(df, str(tmp_path), "r2", "scores")
-    h = X.read_history(spark, str(tmp_path), "scores", ["r2"])
-    assert h.count() == 1
-    plan = h._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "r2" in plan

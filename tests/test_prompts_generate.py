@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from sqlgauge.operators import generate as G
 from sqlgauge.operators import prompts as P
 
@@ -121,3 +123,86 @@ def test_similar_shots_come_from_the_most_similar_questions(spark):
     ps = {r["example_id"]: r for r in PR.build_similar_prompts(asked, texts, solved, 2).collect()}
     assert len(ps) == 3 and ps["x"]["strategy"] == "similar_shot"
     assert "SQL_C" in ps["x"]["user"] and "CREATE TABLE t (x)" in ps["x"]["user"]
+
+
+class CountedClient:
+    """Notes every call in a file; one call, the first time it is made, kills its task's process."""
+
+    def __init__(self, calls, die_at=None):
+        self.calls, self.die_at = calls, die_at
+
+    def generate(self, system, user, max_tokens, temperature):
+        import os
+        if user == self.die_at and not os.path.exists(f"{self.calls}-died"):
+            open(f"{self.calls}-died", "w").close()
+            os._exit(1)
+        with open(self.calls, "a") as f:
+            f.write(user + "\n")
+        return f"answer to {user}", len(user), 3
+
+
+def event_prompts(spark, n=300):
+    from sqlgauge.sources import derived
+    calls = derived.call_prompts(spark, "/root/testdata/sf0.001").orderBy(F.col("example_id").cast("int")).limit(n)
+    return calls.select("example_id", "strategy", "system", F.concat("example_id", F.lit(" ? "), F.trim("user_text"))
+                        .alias("user"), F.lit(8).alias("max_tokens"))
+
+
+LOGGED_RUN = """
+import functools, sys
+sys.path[:0] = [{tests!r}, {root!r}]
+from pyspark.sql import SparkSession
+from test_prompts_generate import CountedClient, event_prompts
+from sqlgauge.operators import generate as G
+G.LOGGED_CALLS = 4
+spark = (SparkSession.builder.master("local[2,3]").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.ui.enabled", "false").config("spark.sql.execution.arrow.maxRecordsPerBatch", "50").getOrCreate())
+out = G.generate_once(spark, event_prompts(spark), functools.partial(CountedClient, {calls!r}, {die!r}), "m",
+                      {path!r}, partitions=3)
+print(out.where("error IS NULL").count())
+"""
+
+
+def test_a_task_that_is_run_again_calls_nothing_twice(spark, tmp_path):
+    """Its worker dies after some calls; the repeated task takes those from the log."""
+    import os
+    import subprocess
+    import sys
+    here = os.path.dirname(os.path.abspath(__file__))
+    die = event_prompts(spark).collect()[150]["user"]
+    calls = str(tmp_path / "calls")
+    code = LOGGED_RUN.format(tests=here, root=os.path.dirname(here), calls=calls, die=die, path=f"file:{tmp_path}/gen")
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=240)
+    assert done.stdout.split()[-1:] == ["300"], done.stderr[-3000:]
+    made = open(calls).read().splitlines()
+    assert os.path.exists(f"{calls}-died")
+    # Calls that ran beside the fatal one, four at most, were not logged yet.
+    assert set(made) == {r["user"] for r in event_prompts(spark).collect()} and len(made) <= 300 + 4
+    assert not os.path.exists(f"{tmp_path}/gen-calls") or not os.listdir(f"{tmp_path}/gen-calls")
+
+
+def test_a_job_that_fails_leaves_its_calls_to_the_next(spark, tmp_path):
+    import functools
+    ps, calls, path = event_prompts(spark, 120), str(tmp_path / "calls"), f"file:{tmp_path}/gen"
+    die = ps.collect()[60]["user"]
+    with pytest.raises(Exception):  # one attempt per task here: the job ends
+        G.generate_once(spark, ps, functools.partial(CountedClient, calls, die), "m", path, partitions=1)
+    before = len(open(calls).read().splitlines())
+    out = G.generate_once(spark, ps, functools.partial(CountedClient, calls), "m", path, partitions=5)
+    assert out.count() == 120 and out.where("response IS NULL").count() == 0
+    made = open(calls).read().splitlines()
+    assert before >= 32 and len(set(made)) == 120 and len(made) <= 120 + G.LOGGED_CALLS
+    assert G.salvage_calls(spark, path) == 0
+    # Nothing is left to ask.
+    G.generate_once(spark, ps, functools.partial(CountedClient, calls), "m", path)
+    assert len(open(calls).read().splitlines()) == len(made)
+
+
+def test_another_prompt_or_model_is_another_call(spark):
+    ps = event_prompts(spark, 3)
+    key = lambda df, m="m", t=0.0: {r[0] for r in df.select(G.prompt_key(m, t)).collect()}
+    base = key(ps)
+    assert len(base) == 3 and key(ps) == base
+    for other in (key(ps, "n"), key(ps, "m", 0.5), key(ps.withColumn("system", F.lit(None).cast("string"))),
+                  key(ps.withColumn("user", F.concat("user", F.lit(" "))))):
+        assert not base & other

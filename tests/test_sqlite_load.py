@@ -229,4 +229,64 @@ def test_reload_needs_replace_and_drops_stale_tables(spark, tmp_path):
     with pytest.raises(FileExistsError):
         L.load_databases(spark, [one], out)
     L.load_databases(spark, [one], out, replace=True)
-    assert sorted(p.name for p in (tmp_path / "out" / "d").iterdir()) == ["region"]
+    assert sorted(L.open_database(spark, out, "d").paths) == ["region"]
+
+
+def _small(name, sf="/root/testdata/sf0.001", tables=("region", "nation")):
+    from sqlgauge.sources.tables import parquet_dir_database
+    return parquet_dir_database(sf, name=name, tables=list(tables))
+
+
+def test_names_that_become_one_folder_are_refused(spark, tmp_path):
+    out = f"file:{tmp_path}/out"
+    res = L.load_databases(spark, [_small("A-b"), _small("a_b"), _small("ok"), _small("twice"), _small("twice")], out)
+    log = {r["db_id"]: r for r in res.log.collect()}
+    assert log["ok"]["ok"] and sorted(res.databases) == ["ok"]
+    assert "a_b" in log["A-b"]["error"] and "A-b" in log["a_b"]["error"]
+    assert log["twice"]["error"] == "2 databases have this name"
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["ok"]
+    # A later load does not take over the folder of another name either.
+    assert L.load_databases(spark, [_small("A-b")], out, replace=True).log.first()["ok"]
+    log = L.load_databases(spark, [_small("a_b")], out, replace=True).log.first()
+    assert not log["ok"] and log["error"] == "its folder a_b holds A-b"
+
+
+def test_two_files_of_one_name_are_refused_by_name(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    for folder, name in (("x", "a"), ("y", "a"), ("z", "b")):
+        _db(src, folder, name, "CREATE TABLE t (x INTEGER PRIMARY KEY); INSERT INTO t VALUES (1)")
+    log = {r["db_id"]: r for r in L.load_sqlite_dir(spark, str(src), str(tmp_path / "out")).log.collect()}
+    assert log["b"]["ok"] and log["a"]["error"] == "2 files hold a database of this name"
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["b"]
+
+
+def test_a_load_that_fails_midway_leaves_the_old_tables(spark, tmp_path, monkeypatch):
+    out = f"file:{tmp_path}/out"
+    L.load_databases(spark, [_small("d")], out)
+    opened = L.open_database(spark, out, "d")
+    real = L.Observation
+
+    def broken(name):
+        if name.endswith("region"):  # the second of two tables
+            raise OSError("the store went away")
+        return real(name)
+
+    monkeypatch.setattr(L, "Observation", broken)
+    log = L.load_databases(spark, [_small("d", "/root/testdata/sf0.01")], out, replace=True).log.first()
+    assert not log["ok"] and "went away" in log["error"]
+    assert L.open_database(spark, out, "d").paths == opened.paths
+    assert {t: df.count() for t, df in L.open_database(spark, out, "d").tables(spark).items()} == {
+        "nation": 25, "region": 5}
+    monkeypatch.undo()
+    # Readers of the replaced version still find it; what failed and what is older goes.
+    L.load_databases(spark, [_small("d", tables=["region"])], out, replace=True)
+    assert sorted(L.open_database(spark, out, "d").paths) == ["region"]
+    assert opened.tables(spark)["nation"].count() == 25
+    assert len([p for p in (tmp_path / "out" / "d").iterdir() if p.name.startswith("v-")]) == 2
+    L.load_databases(spark, [_small("d")], out, replace=True)
+    assert len([p for p in (tmp_path / "out" / "d").iterdir() if p.name.startswith("v-")]) == 2
+    keys = L.open_database(spark, out, "d").keys
+    assert keys.primary_keys["nation"] == ("n_nationkey",) and keys.foreign_keys[0].ref_table == "region"
+    with pytest.raises(LookupError):
+        L.open_database(spark, out, "none")
