@@ -8,8 +8,11 @@ ones are marked first and never overlap, and the window length is halved until
 MIN_MATCH. An item counts as leaked where its tiles cover at least COVERAGE of its
 tokens, in whatever order its parts stand in the document.
 
-The benchmark is scanned in blocks of at most BLOCK_ITEM_BYTES; each block is sent
-to all tasks, whatever the benchmark's whole size, and documents are never shuffled.
+The benchmark is dealt into blocks of about BLOCK_ITEM_BYTES, files of the shared folder
+that tasks write and read; the driver sees their names. A task holds some documents and
+reads the blocks one after another, so documents are scanned once and never shuffled,
+whatever the benchmark's size. Shared seeds are looked up for about HELD_HITS hits at a
+time, of some documents or of some items of one document, also where all items share one.
 
 Defined results: null and empty texts and items have no tokens and are in no
 result; items shorter than MIN_MATCH are found as a whole; repeated documents and
@@ -28,12 +31,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sqlgauge.llm import storage
 from sqlgauge.llm import textvec as V
 from sqlgauge.llm.graph import fresh
+from sqlgauge.session import work_path
 
 MIN_MATCH = 5
 COVERAGE = 0.5
 BLOCK_ITEM_BYTES = 16 << 20
+CHUNK_BYTES = 64 << 20  # texts of documents that a task holds while it reads the blocks
+HELD_HITS = 1 << 20
 FILTER_BITS = 22
 
 _U = np.uint64
@@ -154,7 +161,7 @@ class ItemBlock:
         self.items = [token[a:b] for _, _, token, before in tokens(pa.array(texts, pa.string()))
                       for a, b in zip(before[:-1], before[1:])]
         self.sizes = sorted({min(least, len(x)) for x in self.items if len(x)})
-        self.seeds = {}
+        self.seeds, self.ordered = {}, {}
         for size in self.sizes:
             rows = [(grams(x, size), k) for k, x in enumerate(self.items)
                     if len(x) and min(least, len(x)) == size]
@@ -165,6 +172,8 @@ class ItemBlock:
             present = np.zeros(1 << FILTER_BITS, dtype=bool)
             present[(keys & _U((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
             self.seeds[size] = keys[order], item[order], place[order], present
+            rank = np.cumsum(np.concatenate([[0], np.diff(keys[order]) != 0]))
+            self.ordered[size] = rank * len(self.items) + item[order]
 
     def hits(self, token: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
         """(row, item, document positions, item positions, seed size) of joined pairs."""
@@ -179,13 +188,42 @@ class ItemBlock:
             at, row = at[inside], row[inside]
             lo = np.searchsorted(keys, g[at], side="left")
             n = np.searchsorted(keys, g[at], side="right") - lo
-            pick = V.ranges(lo, n)
-            r, d, i, p = np.repeat(row, n), np.repeat(at, n), item[pick], place[pick]
-            order = np.lexsort((i, r))
-            r, d, i, p = r[order], d[order], i[order], p[order]
-            cut = np.flatnonzero(np.concatenate([[True], (np.diff(r) != 0) | (np.diff(i) != 0)])) if len(r) else []
-            for a, b in zip(cut, [*cut[1:], len(r)]):
-                yield int(r[a]), int(i[a]), d[a:b], p[a:b], size
+            at, row, lo, n = at[n > 0], row[n > 0], lo[n > 0], n[n > 0]
+            total, begin = np.cumsum(n), 0
+            while begin < len(at):  # whole documents, of a bounded number of hits
+                end = int(np.searchsorted(total, total[begin] - n[begin] + HELD_HITS, side="right"))
+                first = int(np.searchsorted(row, row[min(end, len(row) - 1)], side="left"))
+                if end < len(at):
+                    end = first if first > begin else int(np.searchsorted(row, row[begin], side="right"))
+                s = slice(begin, end)
+                count = int(total[end - 1] - total[begin] + n[begin])
+                for lo_, n_ in self._item_ranges(size, lo[s], n[s], -(-count // HELD_HITS)):
+                    yield from _pairs(row[s], at[s], item, place, lo_, n_, size)
+                begin = end
+
+    def _item_ranges(self, size: int, lo: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple]:
+        """The hits (start, number) of each position, for one range of items after another."""
+        if parts == 1:
+            yield lo, n
+            return
+        ordered = self.ordered[size]  # seeds in order of (key, item)
+        base = ordered[lo] - ordered[lo] % len(self.items)
+        for a, b in zip(bounds := [len(self.items) * k // parts for k in range(parts + 1)], bounds[1:]):
+            first = np.searchsorted(ordered, base + a)
+            yield first, np.searchsorted(ordered, base + b) - first
+
+
+def _pairs(row, at, item, place, lo, n, size) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """The hits of each (row, item)."""
+    pick = V.ranges(lo, n)
+    if len(pick) == 0:
+        return
+    r, d, i, p = np.repeat(row, n), np.repeat(at, n), item[pick], place[pick]
+    order = np.lexsort((i, r))
+    r, d, i, p = r[order], d[order], i[order], p[order]
+    cut = np.flatnonzero(np.concatenate([[True], (np.diff(r) != 0) | (np.diff(i) != 0)])).tolist()
+    for a, b in zip(cut, [*cut[1:], len(r)]):
+        yield int(r[a]), int(i[a]), d[a:b], p[a:b], size
 
 
 RESULT = ("doc_id bigint, item_id bigint, item_tokens bigint, covered_tokens bigint, coverage double, "
@@ -215,46 +253,78 @@ def scan(block: ItemBlock, doc_ids: pa.Array, texts: pa.Array, coverage: float)
                        [(i, at + shift, n) for i, at, n in sorted(tiles)])
 
 
-def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[tuple[list, list]]:
-    """The benchmark in blocks of at most ``limit`` bytes (a longer item alone)."""
-    ids, texts, held = [], [], 0
-    rows = benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))
-    for r in rows.where("t IS NOT NULL").toLocalIterator():
-        size = len(r.t.encode())
-        if ids and held + size > limit:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-        ids.append(r.i)
-        texts.append(r.t)
-        held += size
-    if ids:
-        yield ids, texts
+def _write_items(folder: str):
+    """Each partition of items becomes a block file; its name is listed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        uris = []
+        if held:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as w:
+                for b in held:
+                    w.write_batch(b)
+            uris.append(storage.task_file(folder, "items", ".arrow"))
+            storage.write_bytes(uris[0], sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(uris, pa.string())], ["uri"])
+    return run
+
+
+def item_files(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[str]:
+    """The block files of a benchmark's items, of about ``limit`` bytes each."""
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    listing = work_path(spark, "item-listing")
+    dealt = rows.repartitionById(max(1, -(-size // limit)), F.pmod(F.xxhash64("i", "t"), F.lit(
+        max(1, -(-size // limit)))).cast("int"))
+    dealt.mapInArrow(_write_items(storage.base_folder(spark, "items")), "uri string").write.parquet(listing)
+    # One name per block.
+    return [r.uri for r in spark.read.parquet(listing).orderBy("uri").toLocalIterator()]
+
+
+def _read_items(uri: str, least: int) -> ItemBlock:
+    table = pa.ipc.open_stream(storage.read_bytes(uri)).read_all()
+    return ItemBlock(table["i"].to_pylist(), table["t"].to_pylist(), least)
+
+
+def _find(uris: list[str], least: int, coverage: float):
+    """Leaks of all blocks in a task's documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: ItemBlock | None = None  # a benchmark of one block is read once
+
+        def search(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal kept
+            for uri in uris:
+                block = kept or _read_items(uri, least)
+                kept = block if len(uris) == 1 else None
+                for batch in held:
+                    found = list(scan(block, batch.column(0), batch.column(1), coverage))
+                    if found:
+                        c = list(zip(*found))
+                        tiles = pa.array([[dict(zip(("item_at", "doc_at", "n_tokens"), t)) for t in x]
+                                          for x in c[5]], pa.list_(_TILE))
+                        yield pa.RecordBatch.from_arrays(
+                            [*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.float64()), tiles],
+                            ["doc_id", "item_id", "item_tokens", "covered_tokens", "coverage", "tiles"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= CHUNK_BYTES or len(uris) == 1:
+                yield from search(held)
+                held, size = [], 0
+        yield from search(held)
+    return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE,
                id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text", block_bytes: int = BLOCK_ITEM_BYTES) -> DataFrame:
     """One row per document and benchmark item that it leaks, with the tiles."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    out = spark.createDataFrame([], RESULT)
-    for ids, texts in _item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        sent = spark.sparkContext.broadcast((ids, texts, least))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = ItemBlock(*sent.value)
-            for batch in batches:
-                found = list(scan(block, batch.column(0), batch.column(1), coverage))
-                if found:
-                    c = list(zip(*found))
-                    tiles = pa.array([[dict(zip(("item_at", "doc_at", "n_tokens"), t)) for t in x]
-                                      for x in c[5]], pa.list_(_TILE))
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.float64()), tiles],
-                        ["doc_id", "item_id", "item_tokens", "covered_tokens", "coverage", "tiles"])
-
-        out = out.unionByName(rows.mapInArrow(run, RESULT))
-    return out
+    uris = item_files(benchmark, item_col, item_text_col, block_bytes)
+    return rows.mapInArrow(_find(uris, least, coverage), RESULT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

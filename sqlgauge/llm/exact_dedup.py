@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from sqlgauge.llm import storage
 from sqlgauge.llm import textvec as V
 from sqlgauge.llm.graph import fresh, written
-from sqlgauge.session import work_path
+from sqlgauge.session import delete_path, work_path
 
 BUCKET = 4             # fingerprints of a bucket
 FIRST_BUCKETS = 1024   # of a new filter
@@ -418,8 +418,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shards = max(spark.sparkContext.defaultParallelism, min(MANY_SHARDS, -(-rows // SMALL_SHARD)),
                  -(-rows // SHARD_ROWS))
     index = empty_index(spark, shards)._insert(digests)
-    # Written, so that Spark joins by the table's true size.
-    return (index.documents().join(written(index.keys(), "dedup-keys"), "digest")
+    # Written, so that Spark joins by the table's true size and the index can go.
+    keys = written(index.keys(), "dedup-keys")
+    for path in (index.folder, index.listing):
+        delete_path(spark, path)
+    return (index.documents().join(keys, "digest")
             .select("doc_id", "keep_id", "group_size",
                     F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
                     F.lower(F.hex("digest")).alias("text_sha256")))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sqlgauge.llm import storage
 from sqlgauge.llm import textvec as V
-from sqlgauge.llm.graph import fresh, merge_components, written
+from sqlgauge.llm.graph import Scratch, fresh, merge_components, written
 
 CHUNKS, WIDTH, ERRORS, BITS = 16, 5, 1, 16
 SLOTS = CHUNKS * WIDTH
@@ -281,7 +281,7 @@ def _meet(percent: int):
     return run
 
 
-def _hot_links(hot: DataFrame, at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _hot_links(hot: DataFrame, at: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links inside entries with many sets, compared block by block.
 
     A set belongs to one block, of the sets with the same smallest entry; those of
@@ -293,24 +293,25 @@ def _hot_links(hot: DataFrame, at: DataFrame, sets: DataFrame, percent: int) ->
     spark = at.sparkSession
     rows = at.join(hot.select("entry"), "entry").select("entry", "node", "component", "n")
     shares = rows.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = written(shares.groupBy("entry").agg(F.max(F.struct("k", "component")).alias("m"))
+    main = scratch.written(shares.groupBy("entry").agg(F.max(F.struct("k", "component")).alias("m"))
                    .select("entry", F.col("m.component").alias("main")), "main")
-    rows = written(rows.join(main, "entry"), "hot")
+    rows = scratch.written(rows.join(main, "entry"), "hot")
     home = rows.groupBy("node").agg(F.min(F.struct("entry", "main")).alias("home"),
                                     F.first("component").alias("component"), F.first("n").alias("n"))
-    home = written(home.select("node", "component", "n", F.col("home.entry").alias("home"),
+    home = scratch.written(home.select("node", "component", "n", F.col("home.entry").alias("home"),
                                (F.col("component") == F.col("home.main")).alias("is_main")), "homes")
     sizes = home.groupBy("home", "is_main").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("bigint")
     block = F.struct("home", "is_main", F.pmod(F.xxhash64("node"), blocks).alias("part"))
-    dealt = written(home.join(sizes, ["home", "is_main"]).select("node", "component", block.alias("block")), "dealt")
+    dealt = scratch.written(home.join(sizes, ["home", "is_main"]).select("node", "component", block.alias("block")), "dealt")
     folder = storage.base_folder(spark, "near-blocks")
-    files = written(dealt.join(sets, "node").groupBy("block")
+    scratch.paths.append(folder)
+    files = scratch.written(dealt.join(sets, "node").groupBy("block")
                     .agg(F.collect_list(F.struct("node", "component", "shingles")).alias("sets"))
                     .mapInArrow(_write_blocks(folder), "block struct<home: bigint, is_main: boolean, part: bigint>,"
                                                        " uri string"), "block-files")
     # Of each entry and block: whether all of the block's sets here are of the entry's largest component.
-    there = written(rows.join(dealt.select("node", "block"), "node").groupBy("entry", "block")
+    there = scratch.written(rows.join(dealt.select("node", "block"), "node").groupBy("entry", "block")
                     .agg(F.min(F.col("component") == F.col("main")).alias("of_main"))
                     .join(files, "block").select("entry", "of_main", "uri"), "block-entries")
     met = (there.where("NOT of_main").select("entry", F.col("uri").alias("p"))
@@ -325,6 +326,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     ``kept`` marks the smallest doc_id of each component (and rows without id).
     """
+    scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_text"))
     signed = written(base.select("doc_id", signed_text(F.col("_text"), words).alias("s"))
                      .select("doc_id", "s.*"), "signed")
@@ -336,10 +338,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shared = (index.groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
                                          F.count(F.lit(1)).alias("size")).where("lo < hi"))
     sizes = nodes.select("node", F.col("n_shingles").alias("n"))
-    members = written(index.join(shared.select("entry", "lo", "size"), "entry").join(sizes, "node")
+    members = scratch.written(index.join(shared.select("entry", "lo", "size"), "entry").join(sizes, "node")
                       .select("entry", "node", "n", "lo", "size"), "members")
     ids = members.select("node").distinct()
-    sets = written(base.join(ids, F.col("doc_id") == F.col("node"), "left_semi")
+    sets = scratch.written(base.join(ids, F.col("doc_id") == F.col("node"), "left_semi")
                    .dropDuplicates(["doc_id"])
                    .select(F.col("doc_id").alias("node"),
                            shingle_sets(F.col("_text"), words).alias("shingles")), "sets")
@@ -350,9 +352,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         nonlocal tested
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = scratch.written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        return written(_confirmed(_near(pairs, nodes), sets, percent), "links")
+        return scratch.written(_confirmed(_near(pairs, nodes), sets, percent), "links")
 
     for round_ in range(STAR_ROUNDS):
         centres = (at.groupBy("entry").agg(
@@ -364,13 +366,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             (F.col("component") != F.col("centre_c")) & _ratio("n", "centre_n", percent))
         new = test(found.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
                    .distinct())
-        labels = merge_components(labels, new)
+        labels = merge_components(labels, new, scratch)
         at = (members.join(labels, "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
 
     # What still holds several components: all pairs, in a join or in blocks.
-    at = written(at, "labelled")
-    mixed = written(at.groupBy("entry").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"),
+    at = scratch.written(at, "labelled")
+    mixed = scratch.written(at.groupBy("entry").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"),
                                             F.first("size").alias("size"))
                     .where("c_lo < c_hi").select("entry", "size"), "mixed")
     few = at.join(mixed.where(F.col("size") <= HOT).select("entry"), "entry")
@@ -379,8 +381,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
              .where((F.col("component") < F.col("c_y")) & _ratio("n", "n_y", percent))
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     new = test(pairs)
-    hot = written(_hot_links(mixed.where(F.col("size") > HOT), at, sets, percent), "links")
+    hot = scratch.written(_hot_links(mixed.where(F.col("size") > HOT), at, sets, percent, scratch), "links")
     labels = merge_components(labels, new.unionByName(hot))
+    scratch.clear()
 
     named = nodes.join(labels, "node", "left").select(
         *ident, F.coalesce("component", "node").alias("component_id"))

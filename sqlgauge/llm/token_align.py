@@ -43,7 +43,7 @@ from sqlgauge.llm import piece_bpe as PB
 from sqlgauge.llm import storage
 from sqlgauge.llm import textvec as V
 from sqlgauge.llm.byte_split import ByteSplitter, byte_alphabet
-from sqlgauge.llm.graph import written
+from sqlgauge.llm.graph import Scratch, written
 from sqlgauge.session import child_names, work_path
 
 LONG_BYTES = 1 << 16     # longer texts are cut into pieces of about this size
@@ -434,11 +434,11 @@ def _finish(path_a: str, path_b: str, show):
     return run
 
 
-def _align_long(long: DataFrame, path_a: str, path_b: str, show) -> DataFrame:
-    pieces = written(long.mapInArrow(_pieces(path_a, path_b), PIECES), "pieces")
+def _align_long(long: DataFrame, path_a: str, path_b: str, show, scratch: Scratch) -> DataFrame:
+    pieces = scratch.written(long.mapInArrow(_pieces(path_a, path_b), PIECES), "pieces")
     last = pieces.agg(F.max("no")).first()[0] or 0
-    parts = written(pieces.repartition("row", "no").mapInArrow(_piece_fragments(path_a, path_b), FRAGMENTS),
-                    "fragments")
+    parts = scratch.written(pieces.repartition("row", "no").mapInArrow(_piece_fragments(path_a, path_b), FRAGMENTS),
+                            "fragments")
     while last > 0:
         last //= FAN
         parts = (parts.groupBy("row", "doc_id", F.expr(f"no div {FAN}").alias("at"))
@@ -458,10 +458,10 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     is_long = F.coalesce((F.octet_length("text") > LONG_BYTES) & ~F.col("text").contains(PB.MARK), F.lit(False))
     out = rows.where(~is_long).mapInArrow(_align_short(path_a, path_b, show), ALIGNED)
-    out = out.unionByName(_align_long(rows.where(is_long), path_a, path_b, show))
-    path = work_path(docs.sparkSession, "aligned")
-    out.write.parquet(path)
-    return docs.sparkSession.read.schema(ALIGNED).parquet(path)
+    scratch = Scratch(docs.sparkSession)
+    out = written(out.unionByName(_align_long(rows.where(is_long), path_a, path_b, show, scratch)), "aligned")
+    scratch.clear()
+    return out
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

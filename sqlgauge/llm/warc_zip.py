@@ -327,10 +327,14 @@ def write_packages(pages: DataFrame, min_payload: int = 0, id_col: str = "page_i
     repeated = written(facts.groupBy("digest").agg(F.max("page_id").alias("keeper"),
                                                    F.count(F.lit(1)).alias("n"))
                        .where("n > 1 AND keeper IS NOT NULL").select("digest", "keeper"), "repeated")
+    # Which pages revisit which, without their payloads; then payloads meet them by page, so that
+    # a payload of very many pages is no hot key for the payloads themselves.
+    revisits = written(facts.join(repeated, "digest").where(~F.col("page_id").eqNullSafe(F.col("keeper")))
+                       .select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"),
+                               F.col("keeper").alias("refers_to")).distinct(), "revisits")
     keyed = rows.withColumn("digest", payload_facts(F.col("html"))["digest"])
-    ready = (keyed.join(repeated, "digest", "left")
-             .select("page_id", "url", "html",
-                     F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to")))
+    ready = (keyed.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")),
+                        "left").select("page_id", "url", "html", "refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = PackageWriter(folder)

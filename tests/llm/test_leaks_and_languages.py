@@ -227,3 +227,51 @@ def test_blocks_do_not_change_vectors():
     single = np.concatenate([t for x in texts for _, _, t in LI.counts(pa.array([x], pa.string()))])
     assert np.array_equal(whole, single)
     assert np.array_equal(whole[5], np.concatenate([t for _, _, t in LI.counts(pa.array(["The the!the"]))])[0])
+
+
+def hits_of(block, texts):
+    out = []
+    for lo, _, token, before in DC.tokens(pa.array(texts)):
+        out += [(lo + r, k, sorted(zip(d.tolist(), p.tolist())), size) for r, k, d, p, size in block.hits(token, before)]
+    return sorted(out)
+
+
+def test_a_seed_that_all_items_share_is_looked_up_in_parts(spark, documents, monkeypatch):
+    call = "please answer the question below now"
+    items = [(k, f"{call} alpha{k} beta{k} gamma{k} delta{k} epsilon{k} zeta{k} eta{k}") for k in range(20_000)]
+    text = " ".join([call] * 40) + " " + items[7][1] + " filler words " + " ".join([call] * 40)
+    docs = [(1, text), (2, " ".join([call] * 60)), (3, "nothing shared"), (4, items[19_999][1].upper())]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = DC.find_leaks(documents(docs), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 7), (4, 19_999)}
+    block = DC.ItemBlock([k for k, _ in items[:500]], [t for _, t in items[:500]], DC.MIN_MATCH)
+    texts = [t for _, t in docs] + [None, items[3][1]]
+    whole = hits_of(block, texts)
+    assert len(whole) > 1500
+    for held in (1, 700, 5000, 60_000):
+        monkeypatch.setattr(DC, "HELD_HITS", held)
+        largest = []
+        real = DC._pairs
+        monkeypatch.setattr(DC, "_pairs", lambda row, at, item, place, lo, n, size: largest.append(int(n.sum())) or real(
+            row, at, item, place, lo, n, size))
+        assert hits_of(block, texts) == whole
+        monkeypatch.setattr(DC, "_pairs", real)
+        assert max(largest) <= max(held * 2, 250)
+
+
+def test_windows_that_share_a_hash_make_no_tile():
+    one = np.array([bin(k).count("1") % 2 for k in range(1024)], np.uint64) + np.uint64(5)
+    two = np.uint64(11) - one  # the same sequence with the two tokens exchanged
+    roll = [DC.RollingHash(x).windows(1024) for x in (one, two)]
+    assert roll[0] == roll[1]  # what the test is about
+    for i, d, n in DC.greedy_tiles(one, two, 5):
+        assert (one[i:i + n] == two[d:d + n]).all()
+
+
+def test_a_benchmark_of_many_blocks_scans_documents_once(spark, documents, leaks):
+    docs, items, want = leaks
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = DC.find_leaks(documents(docs), bench, block_bytes=500)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan and "Exchange" not in plan
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want

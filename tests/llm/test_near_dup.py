@@ -173,8 +173,8 @@ def test_links_grow_in_proportion_to_a_group_of_near_copies(spark, documents, mo
     walked = []
     real = graph.written
 
-    def counting(df, name):
-        out = real(df, name)
+    def counting(df, name, path=None):
+        out = real(df, name, path)
         if name in ("edges", "moves", "joined"):
             walked.append(out.count())
         return out
