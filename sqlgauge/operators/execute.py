@@ -1,8 +1,11 @@
 """Batch execution of SQL runs: read-only, timed out, failures as data.
 
 Each distinct (database, SQL) pair is one run.  Every statement is parsed,
-guarded and analysed on its own (errors there cost no job) and then runs as a
-Spark job of its own, under its own job tag and its own clock.  A watchdog
+guarded and analysed on its own (errors there cost no job).  Statements whose
+plans are the same up to names, blanks and letter case share one job: the later
+ones take the first one's outcome and point to its rows (``source_run_id``).
+Every other statement runs as a Spark job of its own, under its own job tag and
+its own clock.  A watchdog
 cancels the tag when the deadline passes and goes on cancelling until the
 write returns, so a job that starts late is stopped too; what a late write may
 still have committed is deleted.  A run that ignores its cancel is given up:
@@ -56,6 +59,7 @@ EXECUTION_SCHEMA = T.StructType([
     T.StructField("result_path", T.StringType(), True),
     T.StructField("fp_a", T.DecimalType(38, 0), True),
     T.StructField("fp_b", T.DecimalType(38, 0), True),
+    T.StructField("source_run_id", T.StringType(), False),
 ])
 
 
@@ -159,7 +163,60 @@ class RunResult:
 
 def _log(run_id, db_id, sql, ok, error=None, error_class=None, timed_out=False,
          columns=None, n_rows=None, ms=0, path=None, fp=(None, None)) -> tuple:
-    return (run_id, db_id, sql, ok, error, error_class, timed_out, columns, n_rows, ms, path, *fp)
+    return (run_id, db_id, sql, ok, error, error_class, timed_out, columns, n_rows, ms, path, *fp, run_id)
+
+
+PLANS_KEPT = 2000  # distinct plans that a batch remembers on the driver; one that is forgotten runs again
+
+
+class _Shared:
+    """The outcome of the first run of a plan, for those that come after it."""
+
+    def __init__(self):
+        self.ended, self.row = threading.Event(), None
+
+    def finish(self, row: tuple) -> None:
+        if not self.ended.is_set():
+            self.row = row
+            self.ended.set()
+
+    def outcome(self, ready: _Ready) -> tuple:
+        """The log row of another statement with the same plan."""
+        self.ended.wait()
+        run_id, _, _, *rest, source = self.row
+        rest[4] = list(ready.df.columns) if self.row[3] else None
+        return (ready.run_id, ready.db_id, ready.sql, *rest, source)
+
+
+class _PlanBook:
+    """Canonical plans of a batch's runs: equal ones share an outcome."""
+
+    def __init__(self):
+        self._lock, self._known, self._order = threading.Lock(), {}, []
+
+    def claim(self, db_id: str, plan) -> tuple[_Shared, bool]:
+        """(the plan's outcome, whether the caller is the one to run it)."""
+        key = (db_id, plan.hashCode())
+        with self._lock:
+            for other, shared in self._known.get(key, ()):
+                if plan.equals(other):  # the whole trees, on the JVM
+                    return shared, False
+            shared = _Shared()
+            self._known.setdefault(key, []).append((plan, shared))
+            self._order.append(key)
+            if len(self._order) > PLANS_KEPT:
+                self._known[self._order.pop(0)].pop(0)
+            return shared, True
+
+
+def canonical_plan(df: DataFrame):
+    """The optimized plan of a result's rows without names and ids, or None where running it twice
+    may give two results."""
+    try:
+        plan = row_frame(df)._jdf.queryExecution().optimizedPlan()
+        return plan.canonicalized() if plan.deterministic() else None
+    except Exception:  # noqa: BLE001 - a plan that fails here fails when it is run
+        return None
 
 
 def _failure(run_id, db_id, sql, exc: BaseException, ms: int) -> tuple:
@@ -310,11 +367,19 @@ def _executed(spark: SparkSession, work: Iterator[tuple], sessions, out_dir: str
     active: dict[int, dict] = {}
     limit_s = timeout_ms / 1000.0 + CANCEL_GRACE_S
 
+    book = _PlanBook()
+
     def run(token: int, item: tuple, state: dict) -> None:
         out = _prepare_run(sessions, *item, allow_qualified)
         if isinstance(out, _Ready):
-            state["ready"], state["started"] = out, time.time()
-            out = _run_one(spark, out, out_dir, timeout_ms, strict_null)
+            plan = canonical_plan(out.df)
+            shared, first = book.claim(out.db_id, plan) if plan is not None else (_Shared(), True)
+            if first:
+                state["shared"], state["ready"], state["started"] = shared, out, time.time()
+                out = _run_one(spark, out, out_dir, timeout_ms, strict_null)
+                shared.finish(out)
+            else:
+                out = shared.outcome(out)
         done.put((token, out))
 
     token, left = 0, True
@@ -339,7 +404,9 @@ def _executed(spark: SparkSession, work: Iterator[tuple], sessions, out_dir: str
         for t, state in list(active.items()):
             if "started" in state and now - state["started"] > limit_s:
                 del active[t]
-                yield _timeout_log(state["ready"], timeout_ms, int((now - state["started"]) * 1000))
+                row = _timeout_log(state["ready"], timeout_ms, int((now - state["started"]) * 1000))
+                state["shared"].finish(row)
+                yield row
 
 
 RESULT_SCHEMA = T.StructType([
@@ -349,8 +416,11 @@ RESULT_SCHEMA = T.StructType([
 
 
 def read_results(spark: SparkSession, out_dir: str, executions: DataFrame) -> DataFrame:
-    """Result rows (run_id, row) of successful runs, from the one root they are written to."""
-    ok = executions.where("success AND n_rows > 0").select("run_id")
+    """Result rows (run_id, row) of successful runs, from the one root they are written to.
+
+    Runs that shared a job have their rows once, under the ``source_run_id`` that they name.
+    """
+    ok = executions.where("success AND n_rows > 0").select(F.col("source_run_id").alias("run_id")).distinct()
     if not ok.limit(1).count():
         return spark.createDataFrame([], RESULT_SCHEMA).select("run_id", "row")
     rows = spark.read.schema(RESULT_SCHEMA).parquet(f"{out_dir}/results")

@@ -86,16 +86,46 @@ def exactly_equal(pairs: DataFrame, results: DataFrame) -> DataFrame:
     return teams.join(found, ["team", "member"]).select("gold_run_id", "gen_run_id", "exact")
 
 
-def verdicts(pairs: DataFrame, executions: DataFrame, results: DataFrame) -> DataFrame:
+def compare_executed(pairs: DataFrame, executions: DataFrame, results: DataFrame,
+                     any_columns: bool = False) -> DataFrame:
+    """(gold_run_id, gen_run_id, equal) of runs of a batch; runs that shared a job are compared
+    as the run whose rows they name. ``any_columns``: see ``verdicts``."""
+    known = None
+    if "fp_a" in executions.columns:
+        known = executions.where("success").select("run_id", F.col("n_rows").alias("fp_n"), "fp_a", "fp_b")
+    pairs = pairs.select("gold_run_id", "gen_run_id").distinct()
+    if "source_run_id" not in executions.columns:
+        return _with_columns(pairs, compare_runs(pairs, results, known), results, any_columns)
+    named = pairs
+    for c in ("gold", "gen"):
+        source = executions.select(F.col("run_id").alias(f"{c}_run_id"), F.col("source_run_id").alias(f"{c}_source"))
+        named = named.join(source, f"{c}_run_id", "left").withColumn(
+            f"{c}_source", F.coalesce(f"{c}_source", f"{c}_run_id"))
+    named = written(named, "sources")
+    asked = named.select(F.col("gold_source").alias("gold_run_id"), F.col("gen_source").alias("gen_run_id")).distinct()
+    eq = _with_columns(asked, compare_runs(asked, results, known), results, any_columns).select(
+        F.col("gold_run_id").alias("gold_source"), F.col("gen_run_id").alias("gen_source"), "equal")
+    return named.join(eq, ["gold_source", "gen_source"]).select("gold_run_id", "gen_run_id", "equal")
+
+
+def _with_columns(pairs: DataFrame, eq: DataFrame, results: DataFrame, any_columns: bool) -> DataFrame:
+    if not any_columns:
+        return eq
+    from sqlgauge.operators.columns import matching_columns
+    eq = written(eq, "equal")
+    found = matching_columns(eq.where("NOT equal"), results).select("gold_run_id", "gen_run_id", F.lit(True).alias("m"))
+    return eq.join(found, ["gold_run_id", "gen_run_id"], "left").select(
+        "gold_run_id", "gen_run_id", (F.col("equal") | F.coalesce("m", F.lit(False))).alias("equal"))
+
+
+def verdicts(pairs: DataFrame, executions: DataFrame, results: DataFrame, any_columns: bool = False) -> DataFrame:
     """Per pair: correct and reason (G8), with the two run logs' key fields.
 
     Order of reasons: gold failed (the generated query still ran), then
-    generated failed, then match / differ.
+    generated failed, then match / differ. With ``any_columns`` a generated result
+    also matches if some of its columns, in some order, are the gold result.
     """
-    known = None
-    if "fp_a" in executions.columns:
-        known = executions.where("success").select("run_id", F.col("n_rows").alias("fp_n"), "fp_a", "fp_b")
-    eq = compare_runs(pairs, results, known)
+    eq = compare_executed(pairs, executions, results, any_columns)
     g = executions.select(F.col("run_id").alias("gold_run_id"),
                           F.col("success").alias("gold_ok"), F.col("error").alias("gold_error"),
                           F.col("n_rows").alias("gold_rows"))

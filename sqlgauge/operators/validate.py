@@ -88,40 +88,62 @@ def pk_check(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]]) ->
                           .otherwise(F.lit("ok")))
 
 
-def _fk_row(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
-    cols, refs = list(fk.columns), list(fk.ref_columns)
-    c = child.groupBy(*cols).agg(F.count(F.lit(1)).alias("cn"))
+def _parent_keys(parent: DataFrame, refs: tuple[str, ...]) -> DataFrame:
+    """k0, k1, ..., pn: how often each whole key stands in a parent table."""
     # A key with a NULL part is no key: it is neither found nor a duplicate.
-    p = parent.dropna(subset=refs).groupBy(*refs).agg(F.count(F.lit(1)).alias("pn"))
-    p = p.select(*[F.col(r).alias(f"__ref_{i}") for i, r in enumerate(refs)], "pn")
-    cond = reduce(lambda a, b: a & b, [F.col(cc) == F.col(f"__ref_{i}") for i, cc in enumerate(cols)])
-    # Both sides are distinct by key after their aggregates, so in the full
-    # outer join every child key and every parent key appears exactly once.
-    j = c.join(p, cond, "full_outer")
-    all_set = reduce(lambda a, b: a & b, [F.col(cc).isNotNull() for cc in cols])
-    is_child = F.col("cn").isNotNull()
-    orphan = is_child & all_set & F.col("pn").isNull()
-    stats = j.agg(
-        F.coalesce(F.sum("cn"), F.lit(0)).alias("n_child_rows"),
-        F.coalesce(F.sum(F.when(all_set, F.col("cn"))), F.lit(0)).alias("n_checked"),
-        F.coalesce(F.sum(F.when(orphan, F.col("cn"))), F.lit(0)).alias("n_orphan_rows"),
-        F.count(F.when(orphan, 1)).alias("n_orphan_keys"),
-        F.count(F.when(F.col("pn") > 1, 1)).alias("n_parent_dup_keys"))
-    return stats.select(
-        F.lit(fk.name).alias("fk_name"), F.lit(fk.table).alias("table_name"),
-        F.lit(", ".join(cols)).alias("columns"), F.lit(fk.ref_table).alias("ref_table"),
-        F.lit(", ".join(refs)).alias("ref_columns"),
-        *[F.col(x).cast("bigint").alias(x) for x in
-          ("n_child_rows", "n_checked", "n_orphan_rows", "n_orphan_keys", "n_parent_dup_keys")])
+    keys = parent.dropna(subset=list(refs)).groupBy(*refs).agg(F.count(F.lit(1)).alias("pn"))
+    return keys.toDF(*[f"k{i}" for i in range(len(refs))], "pn")
+
+
+def _child_keys(child: DataFrame, cols: tuple[str, ...], fk: int) -> DataFrame:
+    """fk, k0, k1, ..., cn: how often each key stands in a child table."""
+    keys = child.groupBy(*cols).agg(F.count(F.lit(1)).alias("cn"))
+    return keys.toDF(*[f"k{i}" for i in range(len(cols))], "cn").withColumn("fk", F.lit(fk))
 
 
 def fk_check(tables: dict[str, DataFrame], fks: list[ForeignKey]) -> DataFrame:
     """Foreign keys, best effort: accepted when every child row whose key
     parts are all set finds a parent and the parent key is unique; else
-    skipped with a reason (MATCH SIMPLE: a row with a NULL part passes)."""
-    parts = [_fk_row(tables[fk.table], tables[fk.ref_table], fk)
-             for fk in fks if fk.table in tables and fk.ref_table in tables]
-    out = reduce(DataFrame.unionByName, parts)
+    skipped with a reason (MATCH SIMPLE: a row with a NULL part passes).
+
+    Each parent key is aggregated once, and the keys of all its children are
+    joined to it together.
+    """
+    fks = [fk for fk in fks if fk.table in tables and fk.ref_table in tables]
+    spark = next(iter(tables.values())).sparkSession
+    parents: dict[tuple, list[int]] = {}
+    for i, fk in enumerate(fks):
+        parents.setdefault((fk.ref_table, tuple(fk.ref_columns)), []).append(i)
+    found, doubled, of_parent = [], [], {}
+    for number, ((ref_table, refs), members) in enumerate(parents.items()):
+        keys = _parent_keys(tables[ref_table], refs)
+        doubled.append(keys.agg(F.count(F.when(F.col("pn") > 1, 1)).alias("n_parent_dup_keys"))
+                       .withColumn("parent", F.lit(number)))
+        by_type: dict[tuple, list[DataFrame]] = {}  # keys of one type can be joined together
+        for i in members:
+            of_parent[i] = number
+            c = _child_keys(tables[fks[i].table], tuple(fks[i].columns), i)
+            by_type.setdefault(tuple(t for _, t in c.dtypes), []).append(c)
+        names = [f"k{j}" for j in range(len(refs))]
+        whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in names])
+        for children in by_type.values():
+            orphan = whole & F.col("pn").isNull()
+            found.append(reduce(DataFrame.unionByName, children).join(keys, names, "left").groupBy("fk").agg(
+                F.sum("cn").alias("n_child_rows"), F.sum(F.when(whole, F.col("cn"))).alias("n_checked"),
+                F.sum(F.when(orphan, F.col("cn"))).alias("n_orphan_rows"),
+                F.count(F.when(orphan, 1)).alias("n_orphan_keys")))
+    rows = [(i, of_parent[i], fk.name, fk.table, ", ".join(fk.columns), fk.ref_table, ", ".join(fk.ref_columns))
+            for i, fk in enumerate(fks)]
+    listed = spark.createDataFrame(rows, "fk int, parent int, fk_name string, table_name string, columns string, "
+                                         "ref_table string, ref_columns string")
+    none = spark.createDataFrame([], "fk int, n_child_rows bigint, n_checked bigint, n_orphan_rows bigint, "
+                                     "n_orphan_keys bigint")
+    counts = ["n_child_rows", "n_checked", "n_orphan_rows", "n_orphan_keys", "n_parent_dup_keys"]
+    doubles = reduce(DataFrame.unionByName, doubled) if doubled else spark.createDataFrame(
+        [], "n_parent_dup_keys bigint, parent int")
+    out = (listed.join(reduce(DataFrame.unionByName, found, none), "fk", "left").join(doubles, "parent", "left")
+           .select("fk_name", "table_name", "columns", "ref_table", "ref_columns",
+                   *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts]))
     status = (F.when(F.col("n_parent_dup_keys") > 0, F.lit("skipped"))
               .when(F.col("n_orphan_rows") > 0, F.lit("skipped")).otherwise(F.lit("accepted")))
     reason = (F.when(F.col("n_parent_dup_keys") > 0, F.lit("referenced key is not unique"))

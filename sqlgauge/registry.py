@@ -292,18 +292,45 @@ def q_benchmark_cube(spark, sf):
                        "n", "n_correct", "accuracy_pct", "cost_usd")
 
 
-def q_benchmark_cube_log(spark, sf):
-    """P1 with latencies: the whole derived log as one scored run per query, with
-    model, outcome, cost and milliseconds computed from its id."""
+def _scored_log(spark, sf):
+    """The whole derived log as one scored run per query, with model, outcome, cost and
+    milliseconds computed from its id."""
     log = derived.query_log(spark, sf)
     scored = log.select(F.concat(F.lit("m"), F.col("log_id") % 3).alias("model"), F.col("source").alias("strategy"),
                         F.col("query").alias("gold_sql"), (F.col("log_id") % 4 != 1).alias("correct"),
                         (F.col("log_id") % 16 / 16).alias("cost_usd"),
                         F.col("log_id").cast("string").alias("gen_run_id"))
     runs = log.select(F.col("log_id").cast("string").alias("run_id"), (F.col("log_id") * 7919 % 1000).alias("ms"))
-    cube = XT.benchmark_cube(scored, runs)
-    return cube.select("model", "strategy", "tier", F.col("level").cast("bigint").alias("level"), "n", "n_correct",
-                       "accuracy_pct", "cost_usd", "p50_ms", "p95_ms")
+    return scored, runs
+
+
+CUBE_COLUMNS = ["model", "strategy", "tier", "level", "n", "n_correct", "accuracy_pct", "cost_usd"]
+
+
+def q_benchmark_cube_log(spark, sf):
+    """P1 with latencies, exact."""
+    cube = XT.benchmark_cube(*_scored_log(spark, sf))
+    return cube.withColumn("level", F.col("level").cast("bigint")).select(*CUBE_COLUMNS, "p50_ms", "p95_ms")
+
+
+def q_benchmark_cube_sketch(spark, sf):
+    """P1 with sketched latencies: for every cell, whether they keep to the stated rank error."""
+    scored, runs = _scored_log(spark, sf)
+    cube = XT.benchmark_cube(scored, runs, latency="sketch").withColumn("level", F.col("level").cast("bigint"))
+    # The cells' latencies: every value goes to the eight cells that count it.
+    values = XT._timed(scored, runs).groupBy(*XT.DIMENSIONS, "gen_ms").agg(F.count(F.lit(1)).alias("k"))
+    values = values.withColumn("level", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))))
+    for bit, d in zip((4, 2, 1), XT.DIMENSIONS):
+        values = values.withColumn(d, F.when(F.col("level").bitwiseAND(bit) == 0, F.col(d)))
+    v, c = values.alias("v"), cube.alias("c")
+    same = F.col("c.level") == F.col("v.level")
+    for d in XT.DIMENSIONS:
+        same = same & F.col(f"c.{d}").eqNullSafe(F.col(f"v.{d}"))
+    share = lambda cond: F.sum(F.when(cond, F.col("v.k")).otherwise(0)) / F.sum("v.k")
+    near = [((share(F.col("v.gen_ms") < F.col(f"c.{p}_ms")) <= q + XT.rank_error())
+             & (share(F.col("v.gen_ms") <= F.col(f"c.{p}_ms")) >= q - XT.rank_error())).alias(f"{p}_near")
+            for p, q in (("p50", 0.5), ("p95", 0.95))]
+    return c.join(v, same).groupBy(*[F.col(f"c.{x}").alias(x) for x in CUBE_COLUMNS]).agg(*near)
 
 
 def q_similar_topk(spark, sf):
@@ -394,9 +421,10 @@ def q_history_runs(spark, sf):
     for _ in range(2):
         BM.keep(spark, benchmark(spark, sf), path, "replay")
     read = lambda kind: HS.read_history(spark, path, kind).drop(HS.RUN)
-    log = read("log").where("success").select(F.col("run_id").alias("gold_run_id"), F.col("n_rows").alias("logged_rows"))
-    held = read("results").groupBy(F.col("run_id").alias("gold_run_id")).agg(F.count(F.lit(1)).alias("kept_rows"))
-    return (read("scores").join(log, "gold_run_id").join(held, "gold_run_id", "left")
+    log = read("log").where("success").select(F.col("run_id").alias("gold_run_id"), "source_run_id",
+                                              F.col("n_rows").alias("logged_rows"))
+    held = read("results").groupBy(F.col("run_id").alias("source_run_id")).agg(F.count(F.lit(1)).alias("kept_rows"))
+    return (read("scores").join(log, "gold_run_id").join(held, "source_run_id", "left")
             .select("example_id", "strategy", "correct", "logged_rows", F.coalesce("kept_rows", F.lit(0)).alias("kept_rows")))
 
 
@@ -437,18 +465,47 @@ LINEITEM_PAIRS = [
 ]
 
 
-def q_score_rows_lineitem(spark, sf):
-    """G7 over runs that hold all of ``lineitem``."""
+def _lineitem_scores(spark, sf, listed, any_columns: bool):
     db = parquet_dir_database(sf, name="shop", tables=["lineitem"])
-    pairs = spark.createDataFrame(LINEITEM_PAIRS, "pair string, gold string, gen string").select(
+    pairs = spark.createDataFrame(listed, "pair string, gold string, gen string").select(
         "pair", *[BM.run_id(F.lit("shop"), F.col(c)).alias(f"{c}_run_id") for c in ("gold", "gen")], "gold", "gen")
     runs = _of_each([pairs.select(F.col(f"{c}_run_id").alias("run_id"), F.lit("shop").alias("db_id"),
                                   F.col(c).alias("sql")) for c in ("gold", "gen")])
     done = EX.run_batch(spark, runs, {"shop": db}, timeout_ms=BENCH_TIMEOUT_MS)
-    equal = SC.compare_runs(pairs, done.results)
+    equal = SC.compare_executed(pairs, done.executions, done.results, any_columns)
     return pairs.join(equal, ["gold_run_id", "gen_run_id"]).select("pair", "equal")
 
 
+def q_score_rows_lineitem(spark, sf):
+    """G7 over runs that hold all of ``lineitem``."""
+    return _lineitem_scores(spark, sf, LINEITEM_PAIRS, False)
+
+
+# Statements whose columns stand in another order or beside others: (name, gold, generated, the
+# generated columns that should stand for the gold ones).
+COLUMN_PAIRS = [
+    ("reordered", "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem",
+     "SELECT l_shipdate, l_quantity, l_linenumber, l_orderkey FROM lineitem",
+     "l_orderkey, l_linenumber, l_quantity, l_shipdate"),
+    ("extra", "SELECT l_orderkey, l_returnflag FROM lineitem", "SELECT * FROM lineitem", "l_orderkey, l_returnflag"),
+    ("twice", "SELECT l_returnflag AS a, l_returnflag AS b FROM lineitem",
+     "SELECT l_returnflag AS x, l_linestatus AS y, l_returnflag AS z FROM lineitem", "x, z"),
+    ("shifted", "SELECT l_orderkey, l_linenumber FROM lineitem",
+     "SELECT l_linenumber, l_orderkey + 1 AS l_orderkey FROM lineitem", "l_orderkey, l_linenumber"),
+    ("cells_agree_rows_do_not", "SELECT l_orderkey, l_quantity FROM lineitem",
+     "SELECT q AS l_quantity, l_orderkey FROM (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber) "
+     "AS i FROM lineitem) a JOIN (SELECT l_quantity AS q, row_number() OVER (ORDER BY l_quantity, l_orderkey, "
+     "l_linenumber) AS i FROM lineitem) b ON a.i = b.i", "l_orderkey, l_quantity"),
+    ("too_few", "SELECT l_orderkey, l_partkey FROM lineitem", "SELECT l_orderkey FROM lineitem",
+     "l_orderkey, NULL AS l_partkey"),
+]
+
+
+def q_score_columns_lineitem(spark, sf):
+    """G7 with columns in any order, over runs that hold all of ``lineitem``."""
+    return _lineitem_scores(spark, sf, [p[:3] for p in COLUMN_PAIRS], True)
+
+
 def _write_stream_source(spark, sf, path, files: int = 4) -> None:
     """The derived log as several source files (no shuffle: the writer splits
     its output by record count)."""
@@ -513,6 +570,7 @@ def queries() -> dict[str, Query]:
         "normalise_rows": q_normalise_rows,
         "benchmark_cube": q_benchmark_cube,
         "benchmark_cube_log": q_benchmark_cube_log,
+        "benchmark_cube_sketch": q_benchmark_cube_sketch,
         "similar_topk": q_similar_topk,
         "similar_topk_index": q_similar_topk_index,
         "index_recall": q_index_recall,
@@ -525,6 +583,7 @@ def queries() -> dict[str, Query]:
         "history_diff": q_history_diff,
         "generate_calls": q_generate_calls,
         "score_rows_lineitem": q_score_rows_lineitem,
+        "score_columns_lineitem": q_score_columns_lineitem,
         "stream_classify": q_stream_classify,
         "stream_tier_counts": q_stream_tier_counts,
         "strategy_report": q_strategy_report,
@@ -572,7 +631,11 @@ def oracle_sql() -> dict[str, str]:
         "schema_context": oracle.schema_context([("shop", SHOP_TABLES), ("corpus", CORPUS_TABLES)], TEST_KEYS),
         "generate_calls": oracle.generate_calls(),
         "score_rows_lineitem": oracle.score_pairs(LINEITEM_PAIRS),
+        "score_columns_lineitem": oracle.score_pairs(
+            [(name, gold, f"SELECT {cols} FROM ({gen}) g") for name, gold, gen, cols in COLUMN_PAIRS]),
         "benchmark_cube_log": oracle.cube_of_log(),
+        "benchmark_cube_sketch": f"SELECT {', '.join(CUBE_COLUMNS)}, true AS p50_near, true AS p95_near "
+                                 f"FROM ({oracle.cube_of_log()}) c",
         "cat_samples": oracle.each([oracle.cat_samples(d, t, TEST_KEYS) for d, t in both]),
         "sample_text": oracle.each([oracle.sample_text(d, t, TEST_KEYS) for d, t in both]),
         "schema_text": oracle.each([oracle.schema_text(d, t, TEST_KEYS) for d, t in both]),

@@ -1,0 +1,197 @@
+"""Scoring with columns in any order (G7), runs shared by plan (G1), sketched latencies."""
+
+from __future__ import annotations
+
+import itertools
+import json
+import random
+from collections import Counter
+
+import pytest
+
+from pyspark.sql import functions as F
+from sqlgauge.operators import columns as CL
+from sqlgauge.operators import execute as X
+from sqlgauge.operators import extend as XT
+from sqlgauge.operators import score as S
+from sqlgauge.sources.tables import parquet_dir_database
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute(gold, gen):
+    """The smallest mapping under which the generated rows are the gold rows, or None."""
+    if not gold or len(gold) != len(gen):
+        return None
+    for mapping in itertools.permutations(range(len(gen[0])), len(gold[0])):
+        if Counter(map(tuple, gold)) == Counter(tuple(r[j] for j in mapping) for r in gen):
+            return list(mapping)
+    return None
+
+
+def runs_of(rng):
+    rows = [[str(k % 4), str(rng.randrange(3)), rng.choice(["x", None, "None"])] for k in range(24)]
+    shuffled = lambda x: rng.sample(x, len(x))
+    column = [r[0] for r in rows]
+    moved = column[1:] + column[:1]  # the same cells, in other rows
+    return {
+        "gold": rows, "same": shuffled(rows), "turned": shuffled([r[::-1] for r in rows]),
+        "extra": shuffled([[r[1], "e", r[2], r[0], "f"] for r in rows]),
+        "twins": shuffled([[r[1], r[0], r[0], r[2], r[0]] for r in rows]),
+        "moved": [[r[1], m, r[2]] for r, m in zip(rows, moved)],
+        "moved_and_true": shuffled([[m, r[2], r[0], r[1]] for r, m in zip(rows, moved)]),
+        "near": shuffled([[r[1], r[0], r[2]] for r in rows[:-1]] + [["9", rows[-1][0], rows[-1][2]]]),
+        "fewer": [r[:2] for r in rows], "short": rows[:-1], "none": [],
+        "pair": [[r[0], r[0]] for r in rows], "one": [[r[0]] for r in rows],
+    }
+
+
+def results(spark, runs):
+    flat = [(k, json.dumps(r)) for k, rows in runs.items() for r in rows]
+    return spark.createDataFrame(flat, "run_id string, row string")
+
+
+def test_mappings_equal_brute_force(spark):
+    runs = runs_of(random.Random(5))
+    pairs = [(a, b) for a in ("gold", "pair", "one", "none", "twins") for b in runs]
+    df = spark.createDataFrame(pairs * 2, "gold_run_id string, gen_run_id string")
+    got = {(r[0], r[1]): list(r[2]) for r in CL.matching_columns(df, results(spark, runs).repartition(5)).collect()}
+    want = {(a, b): brute(runs[a], runs[b]) for a, b in pairs}
+    assert set(got) == {k for k, m in want.items() if m}
+    for (a, b), mapping in got.items():  # equal columns may stand for each other
+        assert Counter(map(tuple, runs[a])) == Counter(tuple(r[j] for j in mapping) for r in runs[b])
+    assert ("gold", "moved") not in got and ("gold", "near") not in got and got["gold", "turned"] == [2, 1, 0]
+
+
+def test_equal_columns_are_taken_in_order(spark):
+    """Ten equal columns are one mapping, not ten factorial."""
+    rows = [[str(k)] * 10 + [str(-k)] for k in range(5)]
+    runs = {"g": [r[:10] for r in rows], "n": [r[::-1] for r in rows]}
+    df = spark.createDataFrame([("g", "n")], "gold_run_id string, gen_run_id string")
+    left = CL.mappings(df, results(spark, runs)).collect()
+    assert [list(r["mapping"]) for r in left] == [list(range(1, 11))]
+
+
+def test_verdicts_with_columns_in_any_order(spark, tmp_path):
+    db = parquet_dir_database(SF, name="shop", tables=["nation"])
+    texts = {"g": "SELECT n_nationkey, n_name FROM nation", "t": "SELECT n_name, n_regionkey, n_nationkey FROM nation",
+             "w": "SELECT n_name, n_regionkey FROM nation", "f": "SELECT no FROM nation"}
+    runs = spark.createDataFrame([(k, "shop", q) for k, q in texts.items()], "run_id string, db_id string, sql string")
+    done = X.run_batch(spark, runs, {"shop": db}, out_dir=f"file:{tmp_path}/o", timeout_ms=60_000)
+    pairs = spark.createDataFrame([("g", k) for k in texts], "gold_run_id string, gen_run_id string")
+    score = lambda **o: {r["gen_run_id"]: r["verdict"] for r in S.verdicts(
+        pairs, done.executions, done.results, **o).collect()}
+    assert score() == {"g": "match", "t": "differ", "w": "differ", "f": "generated_failed"}
+    assert score(any_columns=True) == {"g": "match", "t": "match", "w": "differ", "f": "generated_failed"}
+
+
+SAME = ["SELECT n_name AS a, count(*) AS k FROM nation n WHERE n_regionkey > 1 GROUP BY n_name",
+        "select  x.n_name  as b, count(*) as other from nation as x where x.n_regionkey > 1 group by x.n_name",
+        "SELECT N_NAME, COUNT(*)\nFROM Nation\nWHERE N_REGIONKEY > 1\nGROUP BY N_NAME"]
+OTHER = ["SELECT n_name, count(*) FROM nation WHERE n_regionkey > 2 GROUP BY n_name",
+         "SELECT n_name, count(*) FROM nation WHERE n_regionkey > 1 GROUP BY n_name, n_regionkey",
+         "SELECT n_name, sum(1) FROM nation WHERE n_regionkey > 1 GROUP BY n_name",
+         "SELECT r_name, count(*) FROM region WHERE r_regionkey > 1 GROUP BY r_name",
+         "SELECT n_regionkey, count(*) FROM nation WHERE n_regionkey > 1 GROUP BY n_regionkey",
+         "SELECT 1", "SELECT '1'", "SELECT 1.0", "SELECT CAST(1 AS BIGINT)", "SELECT n_name FROM nation WHERE n_nationkey = 1",
+         "SELECT n_name FROM nation WHERE n_nationkey = '1'", "SELECT n_name FROM nation WHERE n_nationkey = 10",
+         "SELECT n_name FROM nation ORDER BY n_name LIMIT 3", "SELECT n_name FROM nation ORDER BY n_name LIMIT 4",
+         "SELECT n_name FROM nation ORDER BY n_name DESC LIMIT 3", "SELECT DISTINCT n_regionkey FROM nation",
+         "SELECT n_regionkey FROM nation"]
+RANDOM = "SELECT rand() AS r FROM nation"
+
+
+@pytest.fixture(scope="module")
+def shared(spark, tmp_path_factory):
+    db = parquet_dir_database(SF, name="shop", tables=["nation", "region"])
+    texts = [*SAME, *OTHER, RANDOM, RANDOM + " ", "SELECT broken FROM nation", "select broken from nation"]
+    runs = spark.createDataFrame([(f"r{k:02d}", "shop", t) for k, t in enumerate(texts)] + [("e0", "other", SAME[0])],
+                                 "run_id string, db_id string, sql string")
+    other = parquet_dir_database(SF, name="other", tables=["nation"])
+    out = f"file:{tmp_path_factory.mktemp('shared')}/o"
+    done = X.run_batch(spark, runs, {"shop": db, "other": other}, out_dir=out, timeout_ms=60_000)
+    return texts, done, {r["run_id"]: r for r in done.executions.collect()}
+
+
+def test_texts_that_differ_in_names_only_run_once(spark, shared):
+    texts, done, log = shared
+    assert len({log[f"r{k:02d}"]["source_run_id"] for k in range(len(SAME))}) == 1
+    first = log["r00"]["source_run_id"]
+    held = {r["run_id"]: r["n"] for r in done.results.groupBy("run_id").agg(F.count("*").alias("n")).collect()}
+    assert set(held) & {"r00", "r01", "r02"} == {first}
+    for k in range(len(SAME)):  # each log row is the statement's own
+        row = log[f"r{k:02d}"]
+        assert row["success"] and row["n_rows"] == held[first] and row["sql"] == texts[k]
+    assert log["r00"]["columns"] == ["a", "k"] and log["r01"]["columns"] == ["b", "other"]
+    assert log["e0"]["source_run_id"] == "e0"  # another database
+    pairs = spark.createDataFrame([("r00", f"r{k:02d}") for k in range(len(SAME) + 5)],
+                                  "gold_run_id string, gen_run_id string")
+    got = {r["gen_run_id"]: r["equal"] for r in S.compare_executed(pairs, done.executions, done.results).collect()}
+    assert [k for k, v in got.items() if v] and all(got[f"r{k:02d}"] for k in range(len(SAME)))
+
+
+def test_different_plans_never_share(spark, shared):
+    """Every run's log and rows are those of its own statement run alone."""
+    texts, done, log = shared
+    db = parquet_dir_database(SF, name="shop", tables=["nation", "region"])
+    rows = {}
+    for r in done.results.collect():
+        rows.setdefault(r["run_id"], []).append(r["row"])
+    for k, text in enumerate(texts[:len(SAME) + len(OTHER)]):
+        alone = X.row_frame(X.sql_frame(spark, db, text)).collect()
+        assert Counter(rows.get(log[f"r{k:02d}"]["source_run_id"], [])) == Counter(r["row"] for r in alone), text
+    n = len(SAME) + len(OTHER)
+    assert log[f"r{n:02d}"]["source_run_id"] != log[f"r{n + 1:02d}"]["source_run_id"]  # random results are not shared
+    assert not log[f"r{n + 2:02d}"]["success"] and not log[f"r{n + 3:02d}"]["success"]
+
+
+def test_a_forgotten_plan_runs_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "PLANS_KEPT", 1)
+    db = parquet_dir_database(SF, name="shop", tables=["nation"])
+    texts = ["SELECT n_name FROM nation", "SELECT n_regionkey FROM nation", "select n_name from nation"]
+    runs = spark.createDataFrame([(f"r{k}", "shop", t) for k, t in enumerate(texts)], "run_id string, db_id string, sql string")
+    done = X.run_batch(spark, runs, {"shop": db}, out_dir=f"file:{tmp_path}/o", timeout_ms=60_000, parallelism=1)
+    assert {r["run_id"]: r["source_run_id"] for r in done.executions.collect()} == {"r0": "r0", "r1": "r1", "r2": "r2"}
+
+
+def test_sketched_latencies_keep_their_bound_over_a_million_runs(spark):
+    n = 1_000_000
+    runs = spark.range(n).select(F.col("id").cast("string").alias("run_id"),
+                                 F.floor(F.exp(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 100_000)).alias("ms"))
+    scored = spark.range(n).select(F.concat(F.lit("m"), F.col("id") % 2).alias("model"), F.lit("s").alias("strategy"),
+                                   F.when(F.col("id") % 3 == 0, "SELECT a FROM b").otherwise(
+                                       "SELECT a FROM b JOIN c ON x = y").alias("gold_sql"),
+                                   F.lit(True).alias("correct"), F.lit(0.5).alias("cost_usd"),
+                                   F.col("id").cast("string").alias("gen_run_id"))
+    halves = [XT.latency_cells(scored.where(F.col("gen_run_id").cast("long") % 5 < 2), runs),
+              XT.latency_cells(scored.where(F.col("gen_run_id").cast("long") % 5 >= 2), runs)]
+    exact = XT._timed(scored, runs).cache()
+    for cube in (XT.benchmark_cube(scored, runs, latency="sketch"), XT.cube_of_cells(halves[0].unionByName(halves[1]))):
+        cells = cube.collect()
+        assert len(cells) == 18 and {r["level"] for r in cells} == set(range(8))
+        assert [r["n"] for r in cells if r["level"] == 7] == [n]
+        asked, shares = [], []
+        for r in cells:
+            here = F.lit(True)
+            for bit, d in zip((4, 2, 1), XT.DIMENSIONS):
+                if not r["level"] & bit:
+                    here = here & (F.col(d) == r[d])
+            for name, q in (("p50_ms", 0.5), ("p95_ms", 0.95)):
+                asked.append((r, name, q))
+                shares += [F.count_if(here & (F.col("gen_ms") < r[name])) / F.count_if(here),
+                           F.count_if(here & (F.col("gen_ms") <= r[name])) / F.count_if(here)]
+        got = list(exact.agg(*[c.alias(f"c{k}") for k, c in enumerate(shares)]).first())
+        for (r, name, q), below, upto in zip(asked, got[::2], got[1::2]):
+            assert below <= q + XT.rank_error() and upto >= q - XT.rank_error(), (r, name)
+    assert halves[0].agg(F.max(F.length("sketch"))).first()[0] < 200_000
+    exact.unpersist()
+
+
+def test_cells_without_latencies(spark):
+    scored = spark.createDataFrame([("m", "s", "SELECT 1", True, 0.1, "r1")],
+                                   "model string, strategy string, gold_sql string, correct boolean, cost_usd double, gen_run_id string")
+    for latency in ("exact", "sketch"):
+        rows = XT.benchmark_cube(scored, None, latency).collect()
+        assert len(rows) == 8 and all(r["p50_ms"] is None and r["n"] == 1 for r in rows)
+    with pytest.raises(ValueError):
+        XT.benchmark_cube(scored, None, "guess")

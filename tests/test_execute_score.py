@@ -281,13 +281,12 @@ def test_counts_of_many_runs_equal_brute_force(spark, monkeypatch, team, sent):
 
 
 def test_the_guard_walks_any_depth(spark):
-    from pyspark.sql.functions import col
-    deep = col("x")
-    for _ in range(1500):
-        deep = ~deep
-    df = spark.createDataFrame([(True,)], "x boolean").select(deep.alias("y"))
-    plan = df._jdf.queryExecution().logical()
-    guard._Walker(spark, False).walk(plan)  # deeper than Python's own stack allows
+    catalyst = spark._jvm.org.apache.spark.sql.catalyst
+    deep = catalyst.expressions.Literal.TrueLiteral()
+    for _ in range(3000):  # far deeper than Python's own stack allows
+        deep = catalyst.expressions.Not(deep)
+    plan = catalyst.plans.logical.Filter(deep, catalyst.plans.logical.OneRowRelation())
+    guard._Walker(spark, False).walk(plan)
     nested = "SELECT 1 AS a"
     for _ in range(60):
         nested = f"SELECT a FROM ({nested}) t"
