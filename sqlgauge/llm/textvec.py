@@ -211,18 +211,19 @@ class SpanBank:
 
     def _differing(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Positions of the spans whose bytes are not those kept at ``at``."""
-        size = end - start
+        size, held = end - start, self.byte_start[at]
         wrong = size != self.byte_size[at]
-        total = np.cumsum(size)
-        lo = 0
-        while lo < len(at):  # a bounded number of bytes at a time
-            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + BLOCK_BYTES, side="right")))
-            rows = lo + np.flatnonzero(~wrong[lo:hi])
-            n = size[rows]
-            other = data[ranges(start[rows], n)] != self._bytes.values[ranges(self.byte_start[at[rows]], n)]
-            if other.any():
-                wrong[rows[np.searchsorted(np.cumsum(n), np.flatnonzero(other), side="right")]] = True
-            lo = hi
+        here, there = _words_of(data), self._bytes.words
+        rows = np.flatnonzero(~wrong)
+        for k in range(0, WORDWISE, 8):  # eight bytes of every span that is so long
+            rows = rows[size[rows] > k]
+            if len(rows) == 0:
+                return np.flatnonzero(wrong)
+            other = (here[start[rows] + k] ^ there[held[rows] + k]) & _KEEP[np.minimum(size[rows] - k, 8)]
+            wrong[rows[other != 0]] = True
+        for r in rows[size[rows] > WORDWISE].tolist():  # few spans are longer
+            n = int(size[r])
+            wrong[r] |= not np.array_equal(data[start[r]:start[r] + n], self._bytes.values[held[r]:held[r] + n])
         return np.flatnonzero(wrong)
 
     def lookup(self, data: np.ndarray, pre: np.ndarray, start: np.ndarray,
@@ -264,6 +265,18 @@ class SpanBank:
         return out_start, out_size
 
 
+#: Spans are compared eight bytes at a time up to this many.
+WORDWISE = 64
+#: Of a little-endian word, its first 0..8 bytes.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=_U)
+
+
+def _words_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as little-endian words (zeros after the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
 class Growing:
     """An array that is appended to."""
 
@@ -274,11 +287,16 @@ class Growing:
     def values(self) -> np.ndarray:
         return self._data[:self._used]
 
+    @property
+    def words(self) -> np.ndarray:
+        """Of bytes: the little-endian word from each position on."""
+        return np.ndarray((self._used + 1,), dtype="<u8", buffer=self._data, strides=(1,))
+
     def add(self, more: np.ndarray) -> int:
         """Where ``more`` now starts."""
         start, need = self._used, self._used + len(more)
-        if need > len(self._data):
-            grown = np.zeros(max(need, len(self._data) * 3 // 2), dtype=self._data.dtype)
+        if need + 8 > len(self._data):
+            grown = np.zeros(max(need + 8, len(self._data) * 3 // 2), dtype=self._data.dtype)
             grown[:start] = self.values
             self._data = grown
         self._data[start:need] = more
