@@ -186,16 +186,15 @@ class SpanBank:
     spans it starts anew: it is a cache, never a filter.
     """
 
-    def __init__(self, compute, limit: int = 1_000_000):
+    def __init__(self, compute, limit: int = 500_000):
         self.compute, self.limit = compute, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, dtype=_U)
-        self.start = np.zeros(0, dtype=np.int64)
-        self.size = np.zeros(0, dtype=np.int64)
-        self.byte_start = np.zeros(0, dtype=np.int64)
-        self.byte_size = np.zeros(0, dtype=np.int64)
+        self.keys = np.zeros(0, dtype=_U)          # sorted hashes,
+        self.slot = np.zeros(0, dtype=np.int64)    # and where each one's span is in what follows
+        self._start, self._size = Growing(np.int64), Growing(np.int64)
+        self._byte_start, self._byte_size = Growing(np.int64), Growing(np.int64)
         self._store = Growing(np.int32)
         self._bytes = Growing(np.uint8)
         self._clashes: dict[bytes, tuple[int, int]] = {}
@@ -211,8 +210,8 @@ class SpanBank:
 
     def _differing(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Positions of the spans whose bytes are not those kept at ``at``."""
-        size, held = end - start, self.byte_start[at]
-        wrong = size != self.byte_size[at]
+        size, held = end - start, self._byte_start.values[at]
+        wrong = size != self._byte_size.values[at]
         here, there = _words_of(data), self._bytes.words
         rows = np.flatnonzero(~wrong)
         for k in range(0, WORDWISE, 8):  # eight bytes of every span that is so long
@@ -246,15 +245,16 @@ class SpanBank:
             s, n = self._append(self.compute(spans))
             size = to - from_
             b = self._bytes.add(np.frombuffer(b"".join(spans), dtype=np.uint8)) + np.cumsum(size) - size
+            self._size.add(n)
+            self._byte_start.add(b)
+            self._byte_size.add(size)
+            slots = self._start.add(s) + np.arange(len(new))
             where = at[new]
             self.keys = np.insert(self.keys, where, keys[new])
-            self.start = np.insert(self.start, where, s)
-            self.size = np.insert(self.size, where, n)
-            self.byte_start = np.insert(self.byte_start, where, b)
-            self.byte_size = np.insert(self.byte_size, where, size)
+            self.slot = np.insert(self.slot, where, slots)
             at = np.searchsorted(self.keys, keys)
-        at = at[inverse]
-        out_start, out_size = self.start[at], self.size[at]
+        at = self.slot[at][inverse]
+        out_start, out_size = self._start.values[at], self._size.values[at]
         wrong = self._differing(data, start, end, at)
         if len(wrong):
             spans = [data[start[k]:end[k]].tobytes() for k in wrong]
