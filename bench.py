@@ -122,6 +122,9 @@ def main() -> None:
     # The whole replayed benchmark (prompts, answers, 60+ runs, one scoring job).
     timed("benchmark", lambda: run(R.q_strategy_report(spark, sf_dir)))
     timed("similar_topk", lambda: run(qs["similar_topk"](spark, sf_dir)))
+    # Retrieval by index and by terms, kept runs, the repair loop, calls in workers.
+    for name in ("similar_topk_index", "bm25_documents", "history_diff", "repair_rounds", "generate_calls"):
+        timed(name, lambda n=name: run(qs[n](spark, sf_dir)))
 
     n_log = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     n_lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
