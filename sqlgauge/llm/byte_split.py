@@ -23,6 +23,10 @@ WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
                0x2029, 0x202F, 0x205F, 0x3000)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
+#: The last three bytes, at most, of white space characters.
+_SPACE_ENDS = {n: [int.from_bytes(chr(c).encode(), "big") for c in WHITE_SPACE if len(chr(c).encode()) == n]
+               for n in (1, 2, 3)}
+
 _classes: np.ndarray | None = None
 
 
@@ -148,3 +152,58 @@ class ByteSplitter:
         ends = np.append(starts[1:], n_bytes)
         return (starts, ends, np.searchsorted(starts, off),
                 (at[run_start[long_run]], at[run_end[long_run]]), special)
+
+
+def ends_in_space(data: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether the character before each position is white space."""
+    value, found = np.zeros(len(end), dtype=np.int64), np.zeros(len(end), dtype=bool)
+    for n, known in _SPACE_ENDS.items():
+        value |= data[np.maximum(end - n, 0)].astype(np.int64) << 8 * (n - 1)
+        found |= np.isin(value, known)
+    return found
+
+
+class SpanEncoder:
+    """ids of pre-tokens by the library, which takes those of a block as one text of lines.
+
+    A line break is a pre-token of its own between two that neither start with two
+    white space characters nor end in one, so the ids of a line are those of its
+    pre-token alone. White space is encoded span by span, as is everything if the ids
+    of the line breaks do not add up (as added tokens that hold one would cause).
+    """
+
+    def __init__(self, library):
+        self.library = library
+        ids = library.encode("\n", add_special_tokens=False).ids
+        self.line_break = ids[0] if len(ids) == 1 else None
+
+    def _one_by_one(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        spans = [data[s:e].tobytes().decode() for s, e in zip(start.tolist(), end.tolist())]
+        rows = [e.ids for e in self.library.encode_batch_fast(spans, add_special_tokens=False)]
+        size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        return np.fromiter((x for r in rows for x in r), dtype=np.int32, count=int(size.sum())), size
+
+    def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all spans, how many of each)."""
+        space = ends_in_space(data, end)
+        lines = np.flatnonzero(~space)
+        if self.line_break is None or len(lines) < 2:
+            return self._one_by_one(data, start, end)
+        width = end[lines] - start[lines]
+        text = np.full(int(width.sum()) + len(lines), 0x0A, dtype=np.uint8)
+        text[V.ranges(np.cumsum(width + 1) - width - 1, width)] = data[V.ranges(start[lines], width)]
+        got, = self.library.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)
+        ids = np.array(got.ids, dtype=np.int32)
+        breaks = np.flatnonzero(ids == self.line_break)
+        if len(breaks) != len(lines) or breaks[-1] != len(ids) - 1:
+            return self._one_by_one(data, start, end)
+        size = np.zeros(len(start), dtype=np.int64)
+        size[lines] = np.diff(breaks, prepend=-1) - 1
+        blanks = np.flatnonzero(space)
+        extra, size[blanks] = self._one_by_one(data, start[blanks], end[blanks])
+        # Both parts, each span's ids at its place.
+        flat = np.empty(int(size.sum()), dtype=np.int32)
+        at = np.cumsum(size) - size
+        flat[V.ranges(at[lines], size[lines])] = np.delete(ids, breaks)
+        flat[V.ranges(at[blanks], size[blanks])] = extra
+        return flat, size

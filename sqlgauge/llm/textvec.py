@@ -180,14 +180,15 @@ class SpanBank:
 
     ``lookup`` takes spans of one block and returns, for each, where its values
     lie in ``self.values``. Unknown spans are computed once by ``compute``
-    (list of bytes -> list of sequences). Spans are found by hash and compared byte
-    by byte with the span that the bank holds under it; those that only share its
-    hash are kept apart by their bytes. When the bank holds more than ``limit``
-    spans it starts anew: it is a cache, never a filter.
+    (list of bytes -> list of sequences, or ``by_arrays``: bytes, starts, ends -> all
+    values, sizes). Spans are found by hash and compared byte by byte with
+    the span that the bank holds under it; those that only share its hash are kept
+    apart by their bytes. When the bank holds more than ``limit`` spans it starts
+    anew: it is a cache, never a filter.
     """
 
-    def __init__(self, compute, limit: int = 1_000_000):
-        self.compute, self.limit = compute, limit
+    def __init__(self, compute, limit: int = 1_000_000, by_arrays: bool = False):
+        self.compute, self.limit, self.by_arrays = compute, limit, by_arrays
         self._clear()
 
     def _clear(self) -> None:
@@ -203,9 +204,15 @@ class SpanBank:
     def values(self) -> np.ndarray:
         return self._store.values
 
-    def _append(self, rows: list) -> tuple[np.ndarray, np.ndarray]:
-        size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        flat = np.fromiter((x for r in rows for x in r), dtype=np.int32, count=int(size.sum()))
+    def _append(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Computes spans; where the values of each are, and how many."""
+        if self.by_arrays:
+            flat, size = self.compute(data, start, end)
+        else:
+            raw = data.tobytes()
+            rows = self.compute([raw[s:e] for s, e in zip(start.tolist(), end.tolist())])
+            size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+            flat = np.fromiter((x for r in rows for x in r), dtype=np.int32, count=int(size.sum()))
         return self._store.add(flat) + np.cumsum(size) - size, size
 
     def _differing(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -237,30 +244,31 @@ class SpanBank:
         known = np.zeros(len(keys), dtype=bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == keys[inside]
+        slots = np.empty(len(keys), dtype=np.int64)
+        slots[known] = self.slot[at[known]]
         if not known.all():
             new = np.flatnonzero(~known)
             from_, to = start[first[new]], end[first[new]]
-            raw = data.tobytes()
-            spans = [raw[s:e] for s, e in zip(from_.tolist(), to.tolist())]
-            s, n = self._append(self.compute(spans))
+            s, n = self._append(data, from_, to)
             size = to - from_
-            b = self._bytes.add(np.frombuffer(b"".join(spans), dtype=np.uint8)) + np.cumsum(size) - size
+            b = self._bytes.add(data[ranges(from_, size)]) + np.cumsum(size) - size
             self._size.add(n)
             self._byte_start.add(b)
             self._byte_size.add(size)
-            slots = self._start.add(s) + np.arange(len(new))
-            where = at[new]
-            self.keys = np.insert(self.keys, where, keys[new])
-            self.slot = np.insert(self.slot, where, slots)
-            at = np.searchsorted(self.keys, keys)
-        at = self.slot[at][inverse]
+            slots[new] = self._start.add(s) + np.arange(len(new))
+            self.keys = np.insert(self.keys, at[new], keys[new])
+            self.slot = np.insert(self.slot, at[new], slots[new])
+        at = slots[inverse]
         out_start, out_size = self._start.values[at], self._size.values[at]
         wrong = self._differing(data, start, end, at)
         if len(wrong):
             spans = [data[start[k]:end[k]].tobytes() for k in wrong]
             new_spans = list(dict.fromkeys(x for x in spans if x not in self._clashes))
-            for span, s, n in zip(new_spans, *(x.tolist() for x in self._append(self.compute(new_spans)))):
-                self._clashes[span] = s, n
+            cut = np.cumsum([0, *map(len, new_spans)])
+            joined = np.frombuffer(b"".join(new_spans), dtype=np.uint8)
+            if new_spans:
+                for span, s, n in zip(new_spans, *(x.tolist() for x in self._append(joined, cut[:-1], cut[1:]))):
+                    self._clashes[span] = s, n
             out_start[wrong], out_size[wrong] = np.array([self._clashes[x] for x in spans]).T
         return out_start, out_size
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sqlgauge.llm import storage
 from sqlgauge.llm import textvec as V
-from sqlgauge.llm.byte_split import ByteSplitter, splits_by_bytes
+from sqlgauge.llm.byte_split import ByteSplitter, SpanEncoder, splits_by_bytes
 from sqlgauge.session import work_path
 
 MAGIC = b"SGTOKID1"
@@ -63,11 +63,7 @@ class Encoder:
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.splitter = ByteSplitter(path) if splits_by_bytes(spec) else None
-        self.bank = V.SpanBank(self._spans)
-
-    def _spans(self, spans: list[bytes]) -> list[list[int]]:
-        got = self.library.encode_batch_fast([s.decode() for s in spans], add_special_tokens=False)
-        return [e.ids for e in got]
+        self.bank = V.SpanBank(SpanEncoder(self.library), by_arrays=True)
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
         """The id array of each row."""
