@@ -194,6 +194,9 @@ class SpanBank:
     def _clear(self) -> None:
         self.keys = np.zeros(0, dtype=_U)          # sorted hashes,
         self.slot = np.zeros(0, dtype=np.int64)    # and where each one's span is in what follows
+        self.near_bits = (2 * self.limit).bit_length()
+        self.near = np.zeros(1 << self.near_bits, dtype=np.int32)  # the span last met under a hash's first bits
+        self._key = Growing(_U)
         self._start, self._size = Growing(np.int64), Growing(np.int64)
         self._byte_start, self._byte_size = Growing(np.int64), Growing(np.int64)
         self._store = Growing(np.int32)
@@ -232,33 +235,46 @@ class SpanBank:
             wrong[r] |= not np.array_equal(data[start[r]:start[r] + n], self._bytes.values[held[r]:held[r] + n])
         return np.flatnonzero(wrong)
 
-    def lookup(self, data: np.ndarray, pre: np.ndarray, start: np.ndarray,
-               end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(start) == 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, first, inverse = np.unique(span_hash(pre, start, end), return_index=True,
-                                         return_inverse=True)
-        if len(self.keys) + len(self._clashes) + len(keys) > self.limit:
-            self._clear()
+    def _slots(self, data: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which span of the bank has each hash; unknown ones are computed."""
+        near = (hashes >> _U(64 - self.near_bits)).astype(np.int64)
+        slots, rest = self.near[near].astype(np.int64), np.arange(len(hashes))
+        if len(self.keys):
+            rest = np.flatnonzero(self._key.values[slots] != hashes)
+            if len(rest) == 0:
+                return slots
+        keys, first, inverse = np.unique(hashes[rest], return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == keys[inside]
-        slots = np.empty(len(keys), dtype=np.int64)
-        slots[known] = self.slot[at[known]]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            from_, to = start[first[new]], end[first[new]]
+        new = np.flatnonzero(~known)
+        if len(self.keys) and len(self.keys) + len(self._clashes) + len(new) > self.limit:
+            self._clear()
+            return self._slots(data, hashes, start, end)
+        found = np.empty(len(keys), dtype=np.int64)
+        found[known] = self.slot[at[known]]
+        if len(new):
+            from_, to = start[rest[first[new]]], end[rest[first[new]]]
             s, n = self._append(data, from_, to)
             size = to - from_
             b = self._bytes.add(data[ranges(from_, size)]) + np.cumsum(size) - size
             self._size.add(n)
             self._byte_start.add(b)
             self._byte_size.add(size)
-            slots[new] = self._start.add(s) + np.arange(len(new))
+            self._key.add(keys[new])
+            found[new] = self._start.add(s) + np.arange(len(new))
             self.keys = np.insert(self.keys, at[new], keys[new])
-            self.slot = np.insert(self.slot, at[new], slots[new])
-        at = slots[inverse]
+            self.slot = np.insert(self.slot, at[new], found[new])
+        slots[rest] = found[inverse]
+        self.near[near[rest]] = slots[rest]
+        return slots
+
+    def lookup(self, data: np.ndarray, pre: np.ndarray, start: np.ndarray,
+               end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(start) == 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = self._slots(data, span_hash(pre, start, end), start, end)
         out_start, out_size = self._start.values[at], self._size.values[at]
         wrong = self._differing(data, start, end, at)
         if len(wrong):

@@ -87,6 +87,47 @@ def test_a_bank_that_starts_anew_gives_the_same():
         assert got == [[e - s, data[s]] for s, e in zip(start[lo:hi], end[lo:hi])]
 
 
+def test_spans_encoded_as_lines_have_the_ids_they_have_alone():
+    from sqlgauge.llm.byte_split import WHITE_SPACE, ByteSplitter, SpanEncoder
+    enc = TS.encoder(BYTE)
+    rng = random.Random(11)
+    parts = ["a", "Zoë", "12", "٣", "'", "s", "'ll", "re", "—", "你好", "か", "\u0378", "\U0001F600", "e\u0301",
+             "<|endoftext|>", "<|endo", "\x00", "\x1f", "x" * 300, *map(chr, WHITE_SPACE), " ", " ", "\n"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(20)]
+        raw, off = V.text_bytes(pa.array(texts))
+        start, end, *_ = ByteSplitter(BYTE).cut(raw, off)
+        spans = [raw[s:e].tobytes().decode() for s, e in zip(start, end)]
+        flat, size = SpanEncoder(enc.library)(raw, start, end)
+        at = np.cumsum(size) - size
+        assert [flat[a:a + n].tolist() for a, n in zip(at, size)] == \
+            [e.ids for e in enc.library.encode_batch(spans, add_special_tokens=False)]
+
+
+def test_line_breaks_that_do_not_add_up_are_encoded_span_by_span():
+    from tokenizers import Tokenizer
+    from sqlgauge.llm.byte_split import SpanEncoder
+    library = Tokenizer.from_file(BYTE)
+    library.add_tokens(["b\nc"])
+    raw = np.frombuffer(b"abcd", dtype=np.uint8)
+    start = np.arange(4)
+    flat, size = SpanEncoder(library)(raw, start, start + 1)
+    assert flat.tolist() == [i for c in "abcd" for i in library.encode(c).ids] and size.tolist() == [1] * 4
+
+
+def test_a_bank_of_any_limit_gives_the_same():
+    rng = random.Random(3)
+    for limit in (1, 2, 7, 50, 10_000):
+        bank = V.SpanBank(lambda spans: [list(s) for s in spans], limit=limit)
+        for _ in range(40):
+            spans = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 60))]
+            data = np.frombuffer(b"".join(spans), dtype=np.uint8)
+            end = np.cumsum([len(s) for s in spans])
+            start = end - [len(s) for s in spans]
+            at, size = bank.lookup(data, V.prefix_hash(data), start, end)
+            assert [bytes(bank.values[a:a + n].tolist()) for a, n in zip(at, size)] == spans
+
+
 def test_pieces_decode_any_ids():
     c = PB.coder(PIECE)
     rng = random.Random(2)
