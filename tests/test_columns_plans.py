@@ -195,3 +195,22 @@ def test_cells_without_latencies(spark):
         assert len(rows) == 8 and all(r["p50_ms"] is None and r["n"] == 1 for r in rows)
     with pytest.raises(ValueError):
         XT.benchmark_cube(scored, None, "guess")
+
+
+def test_column_prints_take_one_pass(spark):
+    """Rows are read once, and no decimal is added up for every cell."""
+    res = results(spark, runs_of(random.Random(3)))
+    plan = CL.column_fingerprints(res)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(" in plan and "as decimal(20,0)))" not in plan.replace(") as decimal(20,0))", ")")
+    prints = {r["run_id"]: r for r in CL.column_fingerprints(res).collect()}
+    assert {k: (r["width"], r["n_rows"]) for k, r in prints.items()} == {
+        k: (len(v[0]), len(v)) for k, v in runs_of(random.Random(3)).items() if v}
+
+
+def test_hash_sums_equal_the_decimal_ones(spark):
+    df = spark.range(5000).select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"))
+    edge = spark.createDataFrame([(2**63 - 1, 2**32), (-2**63, -2**32), (-1, 2**31), (0, 0)], "a bigint, b bigint")
+    for d in (df, edge, edge.unionByName(edge), edge.where("a < -1"), df.limit(0)):
+        for c in ("a", "b"):
+            got = d.agg(X.hash_sum(F.col(c)).alias("x"), F.sum(F.col(c).cast("decimal(20,0)")).alias("y")).first()
+            assert got["x"] == got["y"]
