@@ -298,3 +298,20 @@ def test_the_guard_walks_any_depth(spark):
 def json_rows(df):
     import json
     return [json.loads(r["row"]) for r in df.collect()]
+
+
+def test_the_exchange_carries_one_count_per_compared_run(spark):
+    """A team's rows travel under a short number, with one count per run that is compared with the gold one."""
+    res = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "run_id string, row string")
+    pairs = spark.createDataFrame([("a", "b")], "gold_run_id string, gen_run_id string")
+    plan = S.exactly_equal(pairs, res)._jdf.queryExecution().optimizedPlan().toString()
+    counts = next(line for line in plan.splitlines() if re.search(r"Aggregate \[team#\d+, row#", line))
+    assert len(re.findall(r" AS d\d+#", counts)) == 1 and "gold_run_id" not in counts
+    assert "run_id#" in plan and re.search(r"run_id#\d+ IN \(a,b\)|run_id#\d+ = a", plan)  # c's files are not read
+
+
+def test_result_rows_are_written_small(spark, tmp_path):
+    db = parquet_dir_database(SF, name="shop")
+    X.run_batch(spark, _runs(spark, [("g", "shop", "SELECT * FROM orders")]), {"shop": db}, out_dir=str(tmp_path / "r"),
+                timeout_ms=LIMIT)
+    assert list((tmp_path / "r").rglob("results/run_id=g/*.zstd.parquet"))
