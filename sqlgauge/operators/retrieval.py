@@ -34,6 +34,7 @@ SAMPLE_ROWS = 20_000      # rows that centroids are fitted on (the smallest id h
 MAX_LISTS = 4_096         # centroids are sent to every task: at most this many
 CHUNK_ROWS = 2_048        # rows of a list that are compared at a time; longer lists are split
 QUERY_ROWS = 1_024        # queries of a list that are compared at a time
+OUT_ROWS = 8_192          # vectors that a task sends out at a time
 CALIBRATION_QUERIES = 200
 TARGET_RECALL = 0.97      # of the exact search's results, over the calibration queries
 
@@ -68,18 +69,23 @@ def fit_centroids(vectors: DataFrame, lists: int) -> np.ndarray:
     return unit_rows(pd.Series(model.clusterCenters()))
 
 
-def _nearest_lists(centroids: np.ndarray, probes: int):
+def _nearest_lists(centroids: np.ndarray, probes: int, with_vec: bool = True):
     """(list, id, vec, place): the ``probes`` nearest lists of each vector, nearest first."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            m = unit_rows(pdf["vec"])
-            order = np.argsort(-(m @ centroids.T), axis=1, kind="stable")[:, :probes]
-            n = order.shape[1]
-            yield pd.DataFrame({"list": order.ravel(), "id": np.repeat(pdf["id"].to_numpy(), n),
-                                "vec": [v for v in m.tolist() for _ in range(n)],
-                                "place": np.tile(np.arange(n), len(m))})
+            # Each vector goes out once per list, so a block has few of them if the lists are many.
+            step = max(1, OUT_ROWS // probes)
+            for lo in range(0, len(pdf), step):
+                part = pdf.iloc[lo:lo + step]
+                m = unit_rows(part["vec"])
+                order = np.argsort(-(m @ centroids.T), axis=1, kind="stable")[:, :probes]
+                n = order.shape[1]
+                out = {"list": order.ravel(), "id": np.repeat(part["id"].to_numpy(), n)}
+                if with_vec:
+                    out["vec"] = [v for v in m for _ in range(n)]
+                yield pd.DataFrame(out | {"place": np.tile(np.arange(n), len(m))})
     return run
 
 
@@ -124,8 +130,8 @@ def _calibrate(rows: DataFrame, dealt: DataFrame, centroids: np.ndarray, k: int)
     asked = written(_pick(rows, CALIBRATION_QUERIES), "calibration")
     exact = top_k_similar(asked.toDF("qid", "qvec"), rows, k + 1).where("qid <> id").select("qid", "id")
     kind = rows.schema["id"].dataType.simpleString()
-    order = asked.mapInPandas(_nearest_lists(centroids, len(centroids)),
-                              f"list int, id {kind}, vec array<double>, place int")
+    order = asked.mapInPandas(_nearest_lists(centroids, len(centroids), with_vec=False),
+                              f"list int, id {kind}, place int")
     places = (exact.join(dealt.select("id", "list"), "id")
               .join(order.select(F.col("id").alias("qid"), "list", "place"), ["qid", "list"])
               .groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect())  # at most one row per list

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -179,3 +180,20 @@ def test_real_catalog(spark):
                               "example_id int, db_id string, question string")
     got = RT.schema_context(q, cols, CT.foreign_keys(spark, dbs[0]), CT.ddl_text(spark, dbs[0])).first()
     assert list(got["tables"]) == ["customer", "nation", "orders", "region"]
+
+
+def test_vectors_leave_a_task_in_small_frames(monkeypatch):
+    """However many lists there are: calibration goes through all of them."""
+    monkeypatch.setattr(RT, "OUT_ROWS", 50)
+    rng = np.random.default_rng(2)
+    centroids = RT.unit_rows(pd.Series(list(rng.normal(size=(20, 4)))))
+    pdf = pd.DataFrame({"id": range(33), "vec": [list(v) for v in rng.normal(size=(33, 4))]})
+    for probes in (1, 3, 20):
+        for with_vec in (True, False):
+            out = list(RT._nearest_lists(centroids, probes, with_vec)([pdf]))
+            assert max(len(x) for x in out) <= 50
+            got = pd.concat(out)
+            m = RT.unit_rows(pdf["vec"])
+            want = np.argsort(-(m @ centroids.T), axis=1, kind="stable")[:, :probes]
+            assert got["list"].tolist() == want.ravel().tolist() and got["place"].tolist() == list(range(probes)) * 33
+            assert got["id"].tolist() == np.repeat(pdf["id"], probes).tolist() and ("vec" in got) == with_vec
