@@ -202,6 +202,7 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[\p{L}\p{N}]+"
 SENT_TERMS = 1_000_000    # (query, term) rows that are sent to all tasks; more are joined by shuffle
 SPLIT_ROWS = 50_000       # postings of a term that one partition of the shuffled join takes, about
+PAIR_ROWS = 2_000_000     # (document, query, term) rows that one task adds up, about
 
 
 def words(text: Column) -> Column:
@@ -256,7 +257,12 @@ def rank_documents(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: s
     asked = written(query_terms(queries, query_id, query_text, group), "query-terms")
     postings = weighted_postings(docs, asked.select("grp", "term").distinct(), doc_id, doc_text, group)
     if asked.count() <= sent_terms:
-        pairs = postings.repartition("id").join(F.broadcast(asked), ["grp", "term"])
+        # A common term meets many queries: partitions are as many as the pairs need, whatever the postings take.
+        per_term = asked.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("q"))
+        n = postings.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("p")).join(F.broadcast(per_term), ["grp", "term"]) \
+            .agg(F.sum(F.col("p") * F.col("q"))).first()[0] or 0
+        parts = max(-(-n // PAIR_ROWS), int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        pairs = postings.repartition(parts, "id").join(F.broadcast(asked), ["grp", "term"])
     else:
         splits = F.ceil(F.col("n") / SPLIT_ROWS).cast("int")
         per_term = postings.groupBy("grp", "term").agg(F.first("n").alias("n"))

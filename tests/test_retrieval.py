@@ -197,3 +197,16 @@ def test_vectors_leave_a_task_in_small_frames(monkeypatch):
             want = np.argsort(-(m @ centroids.T), axis=1, kind="stable")[:, :probes]
             assert got["list"].tolist() == want.ravel().tolist() and got["place"].tolist() == list(range(probes)) * 33
             assert got["id"].tolist() == np.repeat(pdf["id"], probes).tolist() and ("vec" in got) == with_vec
+
+
+def test_bm25_partitions_grow_with_the_pairs(spark, corpus, monkeypatch):
+    monkeypatch.setattr(RT, "PAIR_ROWS", 20)
+    docs, queries = corpus
+    df = RT.rank_documents(spark.createDataFrame(queries, "qid long, text string"),
+                           spark.createDataFrame(docs, "id long, text string"), 5)
+    dealt = re.findall(r"RepartitionByExpression \[id#\d+L?\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString())
+    assert dealt and int(dealt[0]) > 20
+    got = {}
+    for r in df.orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["id"], r["score"]))
+    assert got == {q: hits for q, hits in brute_bm25(queries, docs, 5).items() if hits}
