@@ -33,11 +33,17 @@ def tier_histogram(classified: DataFrame, tier_col: str = "tier") -> DataFrame:
 
 
 def feature_counts(classified: DataFrame, features_col: str = "features") -> DataFrame:
-    """Hits per feature (features never seen are absent, like a Counter)."""
-    return (classified.select(F.explode(features_col).alias("feature"))
+    """Hits per feature (features never seen are absent, like a Counter).
+
+    A plain ``explode`` lets Spark infer a filter on the size of the array, which it
+    moves down to the scan with the whole classification written out in it, every
+    regex many times over. The outer form infers none; rows without features go after it.
+    """
+    return (classified.select(F.posexplode_outer(features_col).alias("pos", "feature"))
+            .where(F.col("pos").isNotNull())
             .groupBy("feature").agg(F.count(F.lit(1)).alias("n")))
 
 
 def classified_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sqlgauge.sources import derived
-    return classify_log(derived.query_log(spark, sf_dir))
+    return classify_log(derived.query_log(spark, sf_dir, dealt=True))

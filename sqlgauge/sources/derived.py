@@ -174,15 +174,19 @@ def raw_names_sql() -> str:
             + " AS raw_name FROM events")
 
 
-def _with_events(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def _with_events(spark: SparkSession, sf_dir: str, sql: str, dealt: bool = False) -> DataFrame:
+    """``dealt``: the rows are dealt to the session's shuffle partitions first. A file's row group
+    is read by one task, and few ids fill one, so costly work on the texts would keep few tasks busy."""
     events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    if dealt:
+        events = events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     # The events DataFrame is bound as a SQL argument: no named view, one
     # lineage, and column pruning reaches the parquet reader.
     return spark.sql(sql.replace("FROM events", "FROM {events}"), events=events)
 
 
-def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_events(spark, sf_dir, query_log_sql())
+def query_log(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    return _with_events(spark, sf_dir, query_log_sql(), dealt)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +145,28 @@ def test_derived_copies(spark):
     n = spark.read.parquet(f"{sf}/events.parquet").count()
     big = derived.query_log_copies(spark, sf, 10)
     assert big.count() == 10 * n and big.select("log_id").distinct().count() == 10 * n
+
+
+def test_feature_counts_classifies_a_row_once(spark, tmp_path):
+    from sqlgauge.operators import querylog as QL
+    rows = [("SELECT a FROM t JOIN u ON t.i = u.i",), ("SELECT count(a) FROM t",), ("SELECT a FROM t",), ("",), (None,)]
+    spark.createDataFrame(rows, "query string").write.parquet(str(tmp_path / "log"))
+    counts = QL.feature_counts(QL.classify_log(spark.read.parquet(str(tmp_path / "log"))))
+    # An inferred filter on the array repeats the classification, every regex in it, at the scan.
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "RLIKE" in x]
+    assert plan.count("RLIKE(") == len(set(re.findall(r"RLIKE\([^ ]+, (.*?)\) ELSE", plan)))
+    assert {r["feature"]: r["n"] for r in counts.collect()} == {"join": 1, "aggregate": 1}
+    # A NULL inside an array is a value; a NULL or empty array holds none.
+    odd = spark.createDataFrame([(["a", None, "a"],), ([],), (None,)], "features array<string>")
+    assert {r["feature"]: r["n"] for r in QL.feature_counts(odd).collect()} == {"a": 2, None: 1}
+
+
+def test_log_is_dealt_to_all_tasks(spark):
+    from sqlgauge.sources import derived
+    sf = "/root/testdata/sf0.001"  # one row group
+    log, plain = derived.query_log(spark, sf, dealt=True), derived.query_log(spark, sf)
+    sizes = [r["count"] for r in log.groupBy(F.spark_partition_id()).count().collect()]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) == n and max(sizes) - min(sizes) <= n
+    assert log.exceptAll(plain).count() == 0 and plain.exceptAll(log).count() == 0
