@@ -214,3 +214,29 @@ def test_hash_sums_equal_the_decimal_ones(spark):
         for c in ("a", "b"):
             got = d.agg(X.hash_sum(F.col(c)).alias("x"), F.sum(F.col(c).cast("decimal(20,0)")).alias("y")).first()
             assert got["x"] == got["y"]
+
+
+def test_aliases_of_lateral_views_are_names(spark, tmp_path):
+    db = parquet_dir_database(SF, name="shop", tables=["nation"])
+    view = "SELECT {a}.p, n_name FROM nation LATERAL VIEW posexplode(split(n_name, 'A')) {a} AS p, {b}{c}"
+    texts = [view.format(a="t", b="x", c=""), view.format(a="u", b="y", c=""), view.format(a="t", b="x", c=" WHERE t.p > 0"),
+             "SELECT DISTINCT n_regionkey FROM nation", "SELECT n_regionkey FROM nation GROUP BY n_regionkey"]
+    runs = spark.createDataFrame([(f"r{k}", "shop", t) for k, t in enumerate(texts)], "run_id string, db_id string, sql string")
+    done = X.run_batch(spark, runs, {"shop": db}, out_dir=f"file:{tmp_path}/o", timeout_ms=60_000, parallelism=1)
+    log = {r["run_id"]: r["source_run_id"] for r in done.executions.collect()}
+    assert log == {"r0": "r0", "r1": "r0", "r2": "r2", "r3": "r3", "r4": "r3"}
+    pairs = spark.createDataFrame([("r0", "r1"), ("r0", "r2")], "gold_run_id string, gen_run_id string")
+    got = {r["gen_run_id"]: r["equal"] for r in S.compare_executed(pairs, done.executions, done.results).collect()}
+    assert got == {"r1": True, "r2": False}
+
+
+def test_result_files_are_read_in_small_splits(spark, tmp_path, monkeypatch):
+    db = parquet_dir_database(SF, name="shop", tables=["nation", "region"])
+    runs = spark.createDataFrame([(f"r{k}", "shop", f"SELECT n_name, {k} FROM nation") for k in range(6)],
+                                 "run_id string, db_id string, sql string")
+    monkeypatch.setattr(X, "RESULT_SPLIT", "64k")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    done = X.run_batch(spark, runs, {"shop": db}, out_dir=f"file:{tmp_path}/o", timeout_ms=60_000)
+    spread = done.results.groupBy(F.spark_partition_id()).agg(F.countDistinct("run_id").alias("n")).collect()
+    assert len(spread) == 6 and all(r["n"] == 1 for r in spread)  # a task reads one run's rows, not a size's worth of runs
+    assert done.results.count() == 6 * 25 and spark.conf.get("spark.sql.files.maxPartitionBytes") == size
