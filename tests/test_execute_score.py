@@ -315,3 +315,34 @@ def test_result_rows_are_written_small(spark, tmp_path):
     X.run_batch(spark, _runs(spark, [("g", "shop", "SELECT * FROM orders")]), {"shop": db}, out_dir=str(tmp_path / "r"),
                 timeout_ms=LIMIT)
     assert list((tmp_path / "r").rglob("results/run_id=g/*.zstd.parquet"))
+
+
+def test_only_a_statements_own_failure_is_a_row(spark, tmp_path):
+    """What the machines fail has no outcome: the batch ends, and nothing waits for it."""
+    db = parquet_dir_database(SF, name="shop")
+    own = ["SELECT 1 / (o_orderkey - o_orderkey) FROM orders", "SELECT CAST(o_orderstatus AS INT) FROM orders",
+           "SELECT (SELECT n_name FROM nation) FROM orders", "SELECT sequence(1, o_orderkey, -1) FROM orders",
+           "SELECT raise_error('no') FROM orders", "SELECT repeat(o_orderstatus, 2000000000) FROM orders WHERE false"]
+    runs = _runs(spark, [(f"r{k}", "shop", q) for k, q in enumerate(own)])
+    ex = X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "own"), timeout_ms=LIMIT).executions.collect()
+    assert sorted(r["run_id"] for r in ex if not r["success"]) == ["r0", "r1", "r2", "r3", "r4"]
+    (tmp_path / "full").mkdir()
+    (tmp_path / "full" / "results").write_text("a file where the results should go")
+    runs = _runs(spark, [("a", "shop", "SELECT o_orderkey FROM orders"), ("b", "shop", "select o_orderkey from orders"),
+                         ("c", "shop", "SELECT n_name FROM nation")])
+    with pytest.raises(X.RunLost):
+        X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "full"), timeout_ms=LIMIT)
+
+
+def test_a_damaged_table_is_not_the_statements_failure(spark, tmp_path):
+    for t in ("fine", "damaged"):
+        spark.range(20_000).selectExpr(f"id * 7919 % 20011 AS {t}_id").coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    [part] = (tmp_path / "damaged.parquet").glob("part-*")
+    data = part.read_bytes()
+    part.write_bytes(data[:4] + bytes(len(data) // 2) + data[4 + len(data) // 2:])  # its schema can be read
+    for crc in (tmp_path / "damaged.parquet").glob(".part-*.crc"):
+        crc.unlink()
+    db = parquet_dir_database(str(tmp_path), name="shop", tables=["fine", "damaged"])
+    runs = _runs(spark, [("a", "shop", "SELECT * FROM damaged"), ("b", "shop", "SELECT * FROM fine")])
+    with pytest.raises(X.RunLost):
+        X.run_batch(spark, runs, {"shop": db}, out_dir=str(tmp_path / "r"), timeout_ms=LIMIT)
