@@ -23,6 +23,18 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """``df`` for a join that must not send it, or the other side, to all tasks.
+
+    Spark sizes a table by its compressed files and an exploded column as one element, so a table of
+    hundreds of MB may look smaller than the broadcast limit and fill the driver's memory.
+    """
+    return df.hint("merge")
+
+
+FEW = 100_000  # edges; tables of their ends may be sent to all tasks
+
+
 class Scratch:
     """Written tables and folders of an operator's steps, removed when its result is written."""
 
@@ -52,6 +64,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", into: Scratch | Non
     edges = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
     moves: list[DataFrame] = []
     own = Scratch(links.sparkSession)
+    side = by_key
     while True:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(
             edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
@@ -61,19 +74,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b", into: Scratch | Non
         moves.append(move)
         ends = [move.select(F.col("node").alias(e), F.col("to").alias("to_" + e)) for e in "ab"]
         left = Observation()
-        edges = own.written(edges.where("a <> b").join(ends[0], "a").join(ends[1], "b").where("to_a <> to_b")
+        edges = own.written(edges.where("a <> b").join(side(ends[0]), "a").join(side(ends[1]), "b").where("to_a <> to_b")
                         .select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
                         .distinct().observe(left, F.count(F.lit(1)).alias("n")), "edges")
+        if left.get["n"] <= FEW:
+            side = lambda df: df
         if not left.get["n"]:
             break
     label = moves.pop()
     while moves:
         further = label.select(F.col("node").alias("to"), F.col("to").alias("root"))
-        label = (moves.pop().join(further, "to", "left")
+        label = (moves.pop().join(by_key(further), "to", "left")
                  .select("node", F.coalesce("root", "to").alias("to")))
     label = own.written(label, "roots")
     least = label.groupBy("to").agg(F.min("node").alias("component"))
-    out = (into.written if into else written)(label.join(least, "to").select("node", "component"), "labels")
+    out = (into.written if into else written)(label.join(by_key(least), "to").select("node", "component"), "labels")
     own.clear()
     return out
 
@@ -88,12 +103,12 @@ def merge_components(labels: DataFrame | None, links: DataFrame, into: Scratch |
     own = Scratch(links.sparkSession)
     of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    joined = (links.join(of_a, "a", "left").join(of_b, "b", "left")
+    joined = (links.join(by_key(of_a), "a", "left").join(by_key(of_b), "b", "left")
               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
               .where("a <> b").distinct())
     roots = components(own.written(joined, "joined"), into=own)
-    moved = labels.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")),
+    moved = labels.join(by_key(roots.select(F.col("node").alias("component"), F.col("component").alias("root"))),
                         "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-    out = (into.written if into else written)(moved.unionByName(roots.join(labels, "node", "left_anti")), "labels")
+    out = (into.written if into else written)(moved.unionByName(roots.join(by_key(labels), "node", "left_anti")), "labels")
     own.clear()
     return out

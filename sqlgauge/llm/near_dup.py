@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sqlgauge.llm import storage
 from sqlgauge.llm import textvec as V
-from sqlgauge.llm.graph import Scratch, fresh, merge_components, written
+from sqlgauge.llm.graph import Scratch, by_key, fresh, merge_components, written
 
 CHUNKS, WIDTH, ERRORS, BITS = 16, 5, 1, 16
 SLOTS = CHUNKS * WIDTH
@@ -175,7 +175,7 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures are within DISTANCE."""
     left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("ga"))
     right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("gb"))
-    return (pairs.join(left, "a").join(right, "b")
+    return (pairs.join(by_key(left), "a").join(by_key(right), "b")
             .where(slots_apart(F.col("ga"), F.col("gb")) <= DISTANCE).select("a", "b"))
 
 
@@ -185,7 +185,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     either = F.size("sa") + F.size("sb") - both
-    return (pairs.join(left, "a").join(right, "b")
+    return (pairs.join(by_key(left), "a").join(by_key(right), "b")
             .where(100 * both.cast("bigint") >= percent * either.cast("bigint")).select("a", "b"))
 
 
@@ -306,12 +306,12 @@ def _hot_links(hot: DataFrame, at: DataFrame, sets: DataFrame, percent: int, scr
     dealt = scratch.written(home.join(sizes, ["home", "is_main"]).select("node", "component", block.alias("block")), "dealt")
     folder = storage.base_folder(spark, "near-blocks")
     scratch.paths.append(folder)
-    files = scratch.written(dealt.join(sets, "node").groupBy("block")
+    files = scratch.written(dealt.join(by_key(sets), "node").groupBy("block")
                     .agg(F.collect_list(F.struct("node", "component", "shingles")).alias("sets"))
                     .mapInArrow(_write_blocks(folder), "block struct<home: bigint, is_main: boolean, part: bigint>,"
                                                        " uri string"), "block-files")
     # Of each entry and block: whether all of the block's sets here are of the entry's largest component.
-    there = scratch.written(rows.join(dealt.select("node", "block"), "node").groupBy("entry", "block")
+    there = scratch.written(rows.join(by_key(dealt.select("node", "block")), "node").groupBy("entry", "block")
                     .agg(F.min(F.col("component") == F.col("main")).alias("of_main"))
                     .join(files, "block").select("entry", "of_main", "uri"), "block-entries")
     met = (there.where("NOT of_main").select("entry", F.col("uri").alias("p"))
@@ -338,10 +338,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shared = (index.groupBy("entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi"),
                                          F.count(F.lit(1)).alias("size")).where("lo < hi"))
     sizes = nodes.select("node", F.col("n_shingles").alias("n"))
-    members = scratch.written(index.join(shared.select("entry", "lo", "size"), "entry").join(sizes, "node")
+    members = scratch.written(index.join(by_key(shared.select("entry", "lo", "size")), "entry").join(sizes, "node")
                       .select("entry", "node", "n", "lo", "size"), "members")
     ids = members.select("node").distinct()
-    sets = scratch.written(base.join(ids, F.col("doc_id") == F.col("node"), "left_semi")
+    sets = scratch.written(base.join(by_key(ids), F.col("doc_id") == F.col("node"), "left_semi")
                    .dropDuplicates(["doc_id"])
                    .select(F.col("doc_id").alias("node"),
                            shingle_sets(F.col("_text"), words).alias("shingles")), "sets")
@@ -351,7 +351,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     def test(pairs: DataFrame) -> DataFrame:
         nonlocal tested
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(by_key(tested), ["a", "b"], "left_anti")
         pairs = scratch.written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         return scratch.written(_confirmed(_near(pairs, nodes), sets, percent), "links")
@@ -362,12 +362,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             F.min(F.struct(F.xxhash64("node", F.lit(round_)), F.col("node").alias("centre"),
                            F.col("n").alias("centre_n"), F.col("component").alias("centre_c"))).alias("m"))
             .where("c_lo < c_hi").select("entry", "m.centre", "m.centre_n", "m.centre_c"))
-        found = at.join(centres, "entry").where(
+        found = at.join(by_key(centres), "entry").where(
             (F.col("component") != F.col("centre_c")) & _ratio("n", "centre_n", percent))
         new = test(found.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
                    .distinct())
         labels = merge_components(labels, new, scratch)
-        at = (members.join(labels, "node", "left")
+        at = (members.join(by_key(labels), "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
 
     # What still holds several components: all pairs, in a join or in blocks.
@@ -375,7 +375,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     mixed = scratch.written(at.groupBy("entry").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"),
                                             F.first("size").alias("size"))
                     .where("c_lo < c_hi").select("entry", "size"), "mixed")
-    few = at.join(mixed.where(F.col("size") <= HOT).select("entry"), "entry")
+    few = at.join(by_key(mixed.where(F.col("size") <= HOT).select("entry")), "entry")
     other = few.select("entry", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
     pairs = (few.select("entry", F.col("node").alias("x"), "n", "component").join(other, "entry")
              .where((F.col("component") < F.col("c_y")) & _ratio("n", "n_y", percent))
@@ -385,7 +385,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     labels = merge_components(labels, new.unionByName(hot))
     scratch.clear()
 
-    named = nodes.join(labels, "node", "left").select(
+    named = nodes.join(by_key(labels), "node", "left").select(
         *ident, F.coalesce("component", "node").alias("component_id"))
     alone = F.coalesce("component_id", "doc_id")
     out = (signed.select("doc_id", *ident).join(named, ident, "left")

@@ -211,3 +211,36 @@ def test_merging_components_equals_walking_all_links(spark):
     for k in range(0, 220, 55):
         labels = graph.merge_components(labels, spark.createDataFrame(links[k:k + 55], kind))
     assert {r.node: r.component for r in labels.collect()} == whole
+
+
+def test_tables_of_unknown_size_are_joined_by_key(documents, rows, monkeypatch):
+    """Spark sizes the exploded index as one entry per document; sent to all tasks it would fill the driver."""
+    plans = {}
+    real = graph.Scratch.written
+
+    def spy(self, df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().sparkPlan().toString())
+        return real(self, df, name)
+
+    monkeypatch.setattr(graph.Scratch, "written", spy)
+    got = ND.near_duplicates(documents(rows), words=2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, 2)
+    [members], [sets] = plans["members"], plans["sets"]
+    assert "SortMergeJoin [entry" in members and "BroadcastHashJoin [entry" not in members
+    assert "SortMergeJoin [doc_id" in sets and "Broadcast" not in sets
+    for name in ("links", "labels"):  # (the last links are of the entries compared in blocks)
+        assert all("BroadcastHashJoin" not in p for p in plans[name][:2]), name
+    assert "BroadcastHashJoin" not in plans["edges"][0]  # later rounds know how few edges are left
+
+
+def test_components_of_more_edges_than_are_sent(spark, monkeypatch):
+    """Every round joined by key gives the same components."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(60) if k % 7], "a bigint, b bigint")
+    got = {}
+    for few in (0, 10**6):
+        monkeypatch.setattr(graph, "FEW", few)
+        got[few] = {r.node: r.component for r in graph.components(graph.written(links, "links")).collect()}
+    root = {}
+    for a, b in sorted((r.a, r.b) for r in links.collect()):
+        root[b] = root.setdefault(a, a)
+    assert got[0] == got[10**6] == root
