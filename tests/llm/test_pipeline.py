@@ -73,3 +73,22 @@ def test_clean_documents_stay(spark):
     docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
     kept = CP.language_stage(spark, docs, SF_CHECK)
     assert kept.count() >= 0.99 * docs.where("text RLIKE '[A-Za-z]'").count()
+
+
+def test_the_near_duplicate_stage_joins_its_index_by_key(spark, monkeypatch):
+    """The index's entries look like one a document to Spark; they never go to the driver."""
+    from sqlgauge.llm import graph
+
+    class Seen(Exception):
+        pass
+
+    def spy(self, df, name):
+        raise Seen(name, df._jdf.queryExecution().sparkPlan().toString())
+
+    monkeypatch.setattr(graph.Scratch, "written", spy)
+    docs = spark.createDataFrame([(k, f"the same {k % 3} words stand in here again and again") for k in range(9)],
+                                 "doc_id bigint, text string")
+    with pytest.raises(Seen) as seen:
+        CP.near_duplicate_stage(spark, docs, None)
+    name, plan = seen.value.args
+    assert name == "members" and "SortMergeJoin [entry" in plan and "BroadcastHashJoin [entry" not in plan
